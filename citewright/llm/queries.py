@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from citewright.llm.common import read
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.langid import identify_documents
+
+    return identify_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -15,7 +21,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.toxicity import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_langid": op1_langid,
+    "op10_toxicity": op10_toxicity,
     "op4_bpe": op4_bpe,
 }
 ORACLES: dict[str, str] = {}
