@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citewright.llm import decontam, sharding
 from citewright.llm.common import read
 
 
@@ -21,6 +22,22 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.sharding import assign
+
+    return assign(read(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.decontam import contained
+
+    return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citewright.llm.toxicity import score_documents
 
@@ -29,7 +46,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op6_sharding": op6_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op4_bpe": op4_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_sharding": sharding.SQL.format(limit=SHARD_BYTES),
+    "op9_decontamination": decontam.SQL,
+}
