@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import decontam, sharding
+from citewright.llm import decontam, sharding, warc
 from citewright.llm.common import read
 
 
@@ -32,6 +32,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.warc import round_trip
+
+    return round_trip(spark, sf_dir)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citewright.llm.decontam import contained
 
@@ -47,11 +53,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op6_sharding": op6_sharding,
+    "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op4_bpe": op4_bpe,
 }
 ORACLES: dict[str, str] = {
     "op6_sharding": sharding.SQL.format(limit=SHARD_BYTES),
+    "op7_warc": warc.SQL,
     "op9_decontamination": decontam.SQL,
 }
