@@ -38,6 +38,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, sf_dir)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.htmlwrap import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citewright.llm.decontam import contained
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
+    "op8_html": op8_html,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op4_bpe": op4_bpe,
