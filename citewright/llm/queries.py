@@ -14,6 +14,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.epsgrid import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_html": op8_html,
     "op9_decontamination": op9_decontamination,
+    "op2_epsilon_grid": op2_epsilon_grid,
     "op10_toxicity": op10_toxicity,
     "op4_bpe": op4_bpe,
 }
