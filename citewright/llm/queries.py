@@ -20,6 +20,12 @@ def op2_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.lmscore import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_html": op8_html,
     "op9_decontamination": op9_decontamination,
+    "op3_lm": op3_lm,
     "op2_epsilon_grid": op2_epsilon_grid,
     "op10_toxicity": op10_toxicity,
     "op4_bpe": op4_bpe,
