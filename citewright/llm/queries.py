@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import decontam, sharding, warc
+from citewright.llm import decontam, ngramjoin, sharding, warc
 from citewright.llm.common import read
 
 
@@ -34,6 +34,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.ngramjoin import join
+
+    return join(read(spark, sf_dir, "documents"))
+
+
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
 
@@ -70,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
     "op8_html": op8_html,
@@ -80,6 +87,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard": ngramjoin.SQL,
     "op6_sharding": sharding.SQL.format(limit=SHARD_BYTES),
     "op7_warc": warc.SQL,
     "op9_decontamination": decontam.SQL,
