@@ -135,21 +135,25 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     return LanguageModel([(r["l"], r["w"], r["n"]) for r in top.collect()])
 
 
-def identify(df: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """key, lang_pred and score of every row (and the columns named in extra, unchanged)."""
+def identify(df: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """key, language and score (under `names`) of every row, and the columns named in extra, unchanged."""
     spark = df.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     keep = [key, *extra]
+    cols = keep if text in keep else [*keep, text]
+    where, n = cols.index(text), len(keep)
 
     def run(batches):
         scorer = Scorer(shared.value)
         for b in batches:
-            name, score = scorer.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(name, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            lang, score = scorer.predict(b.column(where).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*[f"c{i}" for i in range(n)], "lang", "score"])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    # columns go by place: the caller's names may clash with ours
+    schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", lang string, score double"
+    out = df.select(*cols).mapInArrow(run, schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("lang").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -276,8 +276,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return model
 
 
-def _margins(shared, where: int):
-    """Replace the text at column `where` (the last) by the margin of its worst token."""
+def _margins(shared, where: int, keep: int | None = None):
+    """The first `keep` columns (all before `where`, if not given) and the margin of the worst token of the text at column `where`."""
+    keep = where if keep is None else keep
 
     def run(batches):
         model, cache = shared.value, {}
@@ -289,21 +290,23 @@ def _margins(shared, where: int):
             new = list(set().union(*sets) - cache.keys()) if sets else []
             cache.update(zip(new, model.margins(new).tolist()))
             got = [max((cache[w] for w in s), default=floor) for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns[:where], pa.array(got, pa.float64())], names=[*b.schema.names[:where], "margin"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(got, pa.float64())], names=[*[f"c{i}" for i in range(keep)], "margin"])
 
     return run
 
 
-def score(df: DataFrame, model: ToxicModel | None, *, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """key and score of every row (and the columns named in extra, unchanged)."""
+def score(df: DataFrame, model: ToxicModel | None, *, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """key and score (under `name`) of every row, and the columns named in extra, unchanged."""
     keep = [key, *extra]
     if model is None:
-        return df.select(*keep, F.lit(0.0).alias("score"))
+        return df.select(*keep, F.lit(0.0).alias(name))
     small_batches(df.sparkSession)
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", margin double"
-    run = _margins(df.sparkSession.sparkContext.broadcast(model), len(keep))
+    cols = keep if text in keep else [*keep, text]
+    # columns go by place: the caller's names may clash with ours
+    schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", margin double"
+    run = _margins(df.sparkSession.sparkContext.broadcast(model), cols.index(text), len(keep))
     z = F.greatest(F.least(F.lit(model.slope) * F.col("margin") + F.lit(model.shift), F.lit(40.0)), F.lit(-40.0))
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).select(*keep, (1.0 / (1.0 + F.exp(-z))).alias("score"))
+    return df.select(*cols).mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], (1.0 / (1.0 + F.exp(-z))).alias(name))
 
 
 def held_out(key: str = "doc_id") -> Column:
