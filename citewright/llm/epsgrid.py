@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citewright.llm.common import cut, small_batches
-from citewright.llm.components import components
+from citewright.llm.components import components, roots
 
 AXES, SEGMENT, LEAF = 6, 1024, 64
 
@@ -72,16 +72,7 @@ def by_length(column: pa.Array):
 
 def forest(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A star forest with the components of the links i-j among `size` nodes: (node, smallest node of its component)."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    label = roots(i, j, size)
     moved = np.flatnonzero(label != np.arange(size))
     return moved, label[moved]
 
