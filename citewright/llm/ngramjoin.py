@@ -11,9 +11,9 @@ equal segments and one-deletion neighbourhoods; a segment costs what a sample of
 many texts share are not probed while others suffice. The sample steers cost alone, never the result.
 
 Signatures meet by a shuffle and are read in sorted order, one size window at a time. Sets of a run are first paired with one leader (a star, not all pairs), candidates
-are verified on whole sets, and links give components. Then, wherever a run holds sets of different components, each such set is verified against
-the members of the other components of its run. What is left unlinked is not similar: no pair is lost, and pairs inside a
-component are never enumerated. Texts with equal sets are one set throughout.
+are verified on whole sets, and links give components. Then, wherever a run holds sets of different components, these are compared too: pair
+by pair in short runs; long ones are joined in blocks, once for all runs with the same leader. What is left unlinked is not similar: no
+pair is lost, and pairs inside a component are never enumerated. Texts with equal sets are one set throughout.
 
 Sets are identified by 64-bit hashes, as are shingles: two different ones meet with a probability of about (number of sets) ** 2 / 2 ** 65.
 
@@ -29,12 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from citewright.llm.common import cut, small_batches
+from citewright.llm.common import cut, release, small_batches
 from citewright.llm.components import components
 
-SHINGLE, GROWTH, FINE, DESIGNATED = 5, 1.5625, 200, 16
+SHINGLE, GROWTH, FINE, DESIGNATED = 5, 1.5625, 200, 32
 SAMPLE_DOCS, HOT_LEAST, HOT_MOST, WORDS, SHARED_ROWS = 10_000, 4, 200_000, 400_000, 1_000_000
+#: Sets in a run that are compared pair by pair; more meet as a family, in blocks of so many elements.
+FEW, BLOCK = 12, 200_000
 #: Roles of a signature: indexed segment, probe for an equal one, probe for one with a deletion, own deletion probing, own deletion indexed.
 INDEX, PROBE, GROW, SHRUNK, DELETED = 1, 2, 4, 8, 16
 U = np.uint64
@@ -106,8 +109,9 @@ def segments_of(band: int) -> int:
     edge = GROWTH ** (band + 1)
     if edge <= FINE:
         return 0
-    largest = int(np.ceil(edge)) - 1
-    return (largest // 4 + 1) * 5 // 4 + 1
+    need = (int(np.ceil(edge)) - 1) // 4 + 1
+    # spare segments: more than stay empty, by seven standard deviations or more
+    return need + int(0.03 * need + 1.4 * need**0.5) + 4
 
 
 def choose(cost: np.ndarray, size: np.ndarray, designated: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +176,7 @@ def signatures(s: np.ndarray, cost: np.ndarray) -> list[tuple[np.ndarray, np.nda
 # ---- runs --------------------------------------------------------------------------------------------------------------
 
 
-class Window:
+class Probes:
     """Probing sets of at least 0.8 of the size in hand, and the one of them with the smallest hash."""
 
     def __init__(self):
@@ -197,7 +201,7 @@ def leaders(run: list[tuple[int, int, int]]):
     """run: (n, set, roles) by size. Yields (leader, set) for each set that some probe of the run may match."""
     if not any(r & (PROBE | SHRUNK | GROW) for _, _, r in run):
         return
-    windows = {INDEX: (Window(), PROBE | SHRUNK), DELETED: (Window(), GROW)}
+    windows = {INDEX: (Probes(), PROBE | SHRUNK), DELETED: (Probes(), GROW)}
     at = 0
     while at < len(run):
         end = at
@@ -222,7 +226,7 @@ def leaders(run: list[tuple[int, int, int]]):
 
 
 def runs(batches):
-    """Sorted rows sig, n, set, roles, doc: yields kind 0 (leader, set), kind 1 (sig, set) of runs of three sets or more, kind 2 (doc, set, n)."""
+    """Sorted rows sig, size << 8 | roles, set, doc: yields kind 0 (leader, set), kind 1 (sig, set) of runs of three sets or more, kind 2 (doc, set, n)."""
     kind: list[int] = []
     a: list = []
     b: list = []
@@ -252,10 +256,11 @@ def runs(batches):
 
     open_sig, open_run = None, []
     for batch in batches:
-        sig, n, sid, role = (np.asarray(x) for x in batch.columns[:4])
+        sig, packed, sid = (np.asarray(x) for x in batch.columns[:3])
+        n, role = packed >> 8, packed & 255
         docs = role == 0
         if docs.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(docs.sum()), 2, dtype=np.int8)), batch.column(4).filter(pa.array(docs)), pa.array(sid[docs]), pa.array(n[docs].astype(np.int64))], names=["kind", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(docs.sum()), 2, dtype=np.int8)), batch.column(3).filter(pa.array(docs)), pa.array(sid[docs]), pa.array(n[docs])], names=["kind", "a", "b", "c"])
             keep = ~docs
             sig, n, sid, role = sig[keep], n[keep], sid[keep], role[keep]
         if not len(sig):
@@ -345,13 +350,16 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
                     role.append(r)
                     doc += [None] * len(value)
             if sig:
-                cols = [np.concatenate(sig).view(np.int64), np.concatenate(n).astype(np.int32), np.concatenate(sid).astype(np.int64), np.concatenate(role).astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(doc, pa.int64())], names=["sig", "n", "sid", "role", "doc"])
+                packed = np.concatenate(n).astype(np.int64) << 8 | np.concatenate(role)
+                cols = [np.concatenate(sig).view(np.int64), packed, np.concatenate(sid).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(doc, pa.int64())], names=["sig", "packed", "sid", "doc"])
 
-    rows = docs.mapInArrow(sign, "sig long, n int, sid long, role smallint, doc long").repartition("sig").sortWithinPartitions("sig", "n", "sid")
+    rows = docs.mapInArrow(sign, "sig long, packed long, sid long, doc long").repartition("sig").sortWithinPartitions("sig", "packed")
     small_batches(spark, rows=100_000)
     found = cut(rows.mapInArrow(runs, "kind byte, a long, b long, c long"))
     small_batches(spark)
+    del rows
+    release(spark)
     members = found.filter("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("sid"), F.col("c").alias("n"))
     first = found.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     links = verify(docs, members, first, percent)
@@ -361,12 +369,16 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
     told = shared.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     mixed = told.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
     told = cut(told.join(mixed, "sig", "left_semi"))
-    one, two = told.alias("p"), told.alias("q")
+    order = F.xxhash64("sid")
+    sizes = told.groupBy("sig").agg(F.count("*").alias("g"), F.min_by("sid", order).alias("leader"))
+    sized = cut(told.join(sizes, "sig"))
+    small = sized.filter(F.col("g") <= FEW)
+    one, two = small.alias("p"), small.alias("q")
     asks = (F.col("p.r").bitwiseAND(PROBE | SHRUNK) > 0) & (F.col("q.r").bitwiseAND(INDEX) > 0) | (F.col("p.r").bitwiseAND(GROW) > 0) & (F.col("q.r").bitwiseAND(DELETED) > 0)
     fits = (F.col("p.n") <= F.col("q.n")) & (F.col("p.n") * 5 >= F.col("q.n") * 4)
     rest = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.component") != F.col("q.component")) & fits & asks)
     second = rest.select(F.least("p.sid", "q.sid").alias("x"), F.greatest("p.sid", "q.sid").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
-    more = verify(docs, members, second, percent)
+    more = verify(docs, members, second, percent).unionByName(families(docs, members, sized.filter(F.col("g") > FEW), percent))
     last = components(links.unionByName(more), "x", "y").withColumnRenamed("node", "sid")
     placed = members.filter("n > 0").join(last, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -374,10 +386,8 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs x, y of sets that are similar, by whole sets."""
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+def sets_of(docs: DataFrame, members: DataFrame, needed: DataFrame) -> DataFrame:
+    """sid, s: the sets with the ids in needed (one column sid), made anew from their texts."""
     ids = cut(members.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")).select("id").distinct())
     few = ids.count() <= SHARED_ROWS
     chosen = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -388,11 +398,74 @@ def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int)
             got = [s for s in sets.of(b.column(0).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["sid", "s"])
 
-    sets = chosen.select("t").mapInArrow(build, "sid long, s array<long>").dropDuplicates(["sid"])
-    sets = cut(sets)
+    return chosen.select("t").mapInArrow(build, "sid long, s array<long>")
+
+
+def families(docs: DataFrame, members: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Links x, y between different components inside large runs.
+
+    Runs with one leader hold much the same sets, so they are joined once, as a family, in blocks of BLOCK elements. Blocks of one and the same component are
+    not compared with each other, nor blocks whose sizes rule links out. A block pair gives one link for each set and
+    component that it links to, not all pairs.
+    """
+    member = large.groupBy("leader", "sid").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+    before = F.sum("n").over(Window.partitionBy("leader").orderBy("component", "n", "sid").rowsBetween(Window.unboundedPreceding, 0))
+    member = cut(member.withColumn("block", F.floor(before / BLOCK)))
+    if member.isEmpty():
+        return member.select(F.col("sid").alias("x"), F.col("sid").alias("y"))
+    box = member.groupBy("leader", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"))
+    p, q = box.alias("p"), box.alias("q")
+    reach = (F.col("p.lo") * 4 <= F.col("q.hi") * 5) & (F.col("q.lo") * 4 <= F.col("p.hi") * 5)
+    pure = (F.col("p.c") == F.col("p.d")) & (F.col("q.c") == F.col("q.d")) & (F.col("p.c") == F.col("q.c"))
+    pairs = p.join(q, (F.col("p.leader") == F.col("q.leader")) & (F.col("p.block") <= F.col("q.block")) & reach & ~pure).select(F.col("p.leader").alias("leader"), F.col("p.block").alias("i"), F.col("q.block").alias("j"))
+    sets = sets_of(docs, members, member.select("sid").distinct())
+    packed = cut(member.join(sets, "sid").dropDuplicates(["leader", "sid"]).groupBy("leader", "block").agg(F.collect_list(F.struct("sid", "component", "s")).alias("m")))
+    side = lambda n, m: packed.select("leader", F.col("block").alias(n), F.col("m").alias(m))
+    work = pairs.join(side("i", "a"), ["leader", "i"]).join(side("j", "b"), ["leader", "j"]).select("a", "b")
+
+    def link(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                got = list(block_links(*(unpack(batch.column(c)[k].values) for c in range(2)), percent))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["x", "y"])
+
+    return cut(work.mapInArrow(link, "x long, y long").distinct())
+
+
+def unpack(m: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sets, components, offsets, elements) of a packed block."""
+    s = m.field("s")
+    return np.asarray(m.field("sid")), np.asarray(m.field("component")), np.asarray(s.offsets) - s.offsets[0].as_py(), np.asarray(s.flatten())
+
+
+def block_links(a, b, percent: int):
+    """For each set of b one link to each other component of a that it has links to."""
+    (ida, ca, oa, xa), (idb, cb, ob, xb) = a, b
+    na, nb = np.diff(oa), np.diff(ob)
+    order = np.argsort(xa, kind="stable")
+    owner, values = np.repeat(np.arange(len(ida)), na)[order], xa[order]
+    lo, hi = np.searchsorted(values, xb, "left"), np.searchsorted(values, xb, "right")
+    for k in range(len(idb)):
+        begin, n = lo[ob[k] : ob[k + 1]], (hi - lo)[ob[k] : ob[k + 1]]
+        total = int(n.sum())
+        if not total:
+            continue
+        at = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
+        common = np.bincount(owner[at], minlength=len(ida))
+        hit = np.flatnonzero((common * 100 >= (na + nb[k] - common) * percent) & (ca != cb[k]))
+        for i in hit[np.unique(ca[hit], return_index=True)[1]]:
+            yield min(int(ida[i]), int(idb[k])), max(int(ida[i]), int(idb[k]))
+
+
+def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs x, y of sets that are similar, by whole sets."""
+    pairs = cut(pairs)
+    needed = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+    sets = sets_of(docs, members, needed)
     both = pairs.join(sets.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y").join(sets.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x")
     common = F.size(F.array_intersect("sx", "sy"))
-    return cut(both.select("x", "y", common.alias("i"), (F.size("sx") + F.size("sy")).alias("n")).filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("x", "y"))
+    return cut(both.select("x", "y", common.alias("i"), (F.size("sx") + F.size("sy")).alias("n")).filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("x", "y").distinct())  # rows that share an id repeat a set
 
 
 #: The same by brute force.
