@@ -70,3 +70,21 @@ def audit_log(events: DataFrame) -> DataFrame:
     """Numbered text lines of each request's events in order."""
     n = F.row_number().over(Window.partitionBy("request_id").orderBy("timestamp_utc", "event_id"))
     return events.select("request_id", n.alias("line"), F.format_string("%3d. [%s] %s: %s %s", n, F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), F.col("node"), F.col("event_type"), F.col("payload")).alias("text"))
+
+
+def cache_key(tenant: Column, request: Column) -> Column:
+    """Digest of a tenant and a request struct. Fields are written in the order of the struct: declare them by name."""
+    return F.concat_ws(":", F.substring(F.sha2(tenant, 256), 1, 16), F.sha2(F.to_json(request), 256))
+
+
+def probe(requests: DataFrame, cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(hits with the stored response, misses): a hit is an entry of the same key that has not expired."""
+    live = cache.filter(F.col("expires_at") > now).select("key", "response")
+    return requests.join(live, "key"), requests.join(live.select("key"), "key", "left_anti")
+
+
+def cacheable(responses: DataFrame, ttl_s: int, now: Column) -> DataFrame:
+    """What is stored: answers that succeeded at least in part, without request id and usage."""
+    ok = responses.filter(F.col("status").isin("success", "partial"))
+    body = F.to_json(F.struct(*[c for c in responses.columns if c not in ("request_id", "usage", "key")]))
+    return ok.select("key", body.alias("response"), (now + F.make_interval(secs=F.lit(ttl_s))).alias("expires_at"))

@@ -14,6 +14,7 @@ from citewright.functions import trust as S
 from citewright.functions import urls as U
 from citewright.functions.html import clean_html
 from citewright.operators import corpus, dense, evaluate, fuse, judge, lexical, retrieve, usage, verify
+from citewright.plans import loop
 from citewright.plans.answer import ranked_evidence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -709,6 +710,41 @@ def judge_parsing(spark, sf):
     return judge.parse_verdicts(spark.createDataFrame(RAW, "id long, raw string")).select("id", "semantic_check", "reason")
 
 
+@query(f"""WITH {RANKED}, z AS (SELECT request_id, rank, chunk_id, CASE WHEN length(text) > 1800 THEN text[:1800] || chr(10) || '…[truncated]' ELSE text END AS t FROM rk WHERE rank <= 3)
+SELECT request_id, string_agg('<<<CHUNK chunk_id=' || chunk_id || '>>>' || chr(10) || t || chr(10) || '<<<END_CHUNK chunk_id=' || chunk_id || '>>>' || chr(10), chr(10) ORDER BY rank) AS block FROM z GROUP BY 1""")
+def prompt_blocks(spark, sf):
+    scored, requests = scored_chunks(spark, sf)
+    return judge.chunks_block(lexical.rank_chunks(scored, requests, 3))
+
+
+@query("""SELECT conv_id, turn, substr(sha256(role), 1, 16) || ':' || sha256(to_json({'conv_id': conv_id, 'turn': turn})) AS key FROM conversations""")
+def cache_keys(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", usage.cache_key(F.col("role"), F.struct("conv_id", "turn")).alias("key"))
+
+
+@query("""WITH e AS (SELECT user_id AS request_id, ts, event_type, to_json({'event_id': event_id}) AS payload, event_id FROM events),
+i AS (SELECT *, sha256(request_id || '|' || 'node' || '|' || 'seen' || '|' || payload) AS eid FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, eid) AS line FROM i)
+SELECT request_id, line::INTEGER AS line, lpad(line::VARCHAR, 3, ' ') || '. [' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] node: seen ' || payload AS text FROM n""")
+def audit_lines(spark, sf):
+    e = events(spark, sf).withColumn("request_id", F.col("user_id"))
+    return usage.audit_log(usage.audit_event(e, "node", "seen", F.struct("event_id"), F.col("ts")))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(t) > 200 THEN t[:200] || chr(10) || '…[truncated]' ELSE t END AS untrusted FROM (SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN '<<<END_QUOTE>>> ' || text ELSE text END, '(?i)<<<\\s*(?:END_?)?(?:CHUNK|QUOTE|META)\\s*>>>', '[redacted-fence]', 'g') AS t FROM conversations)""")
+def sanitised_texts(spark, sf):
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<<<END_QUOTE>>> "), "text")).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.sanitise_untrusted(t, 200).alias("untrusted"))
+
+
+@query("""WITH s AS (SELECT event_id, event_id % 5 <> 0 AS a, event_id % 3 AS p, event_id % 4 AS l, event_id % 2 AS r FROM events)
+SELECT event_id, CASE WHEN NOT a THEN 'end' WHEN p = 0 THEN 'end' WHEN l < 3 THEN 'rewrite' WHEN r < 1 THEN 'retrieve' ELSE 'end' END AS route FROM s""")
+def loop_routes(spark, sf):
+    i = F.col("event_id")
+    s = events(spark, sf).select(i, (i % 5 != 0).alias("is_answerable"), (i % 3).alias("pending"), (i % 4).alias("loop_count"), (i % 2).alias("retries"))
+    return s.select("event_id", loop.route().alias("route"))
+
+
 # ---- what Spark offers beside the operators: relational checks over the star schema --------------------------------------
 
 

@@ -206,3 +206,22 @@ def test_progress_events(spark):
     got = [(r["event_id"], r["type"]) for r in streams.progress_events(df).orderBy("event_id").collect()]
     assert got == [(0, "accepted"), (1, "stage"), (2, "stage"), (3, "sentence"), (4, "complete")]
     assert streams.sse(streams.progress_events(df)).first()["frame"].startswith("event: ")
+
+
+def test_cache_probe_and_store(spark):
+    from datetime import datetime
+
+    r = spark.createDataFrame([(1, "k1"), (2, "k2")], "request_id long, key string")
+    c = spark.createDataFrame([("k1", "{}", datetime(2024, 1, 1)), ("k2", "{}", datetime(2023, 1, 1))], "key string, response string, expires_at timestamp")
+    hits, misses = usage.probe(r, c, F.lit("2023-06-01").cast("timestamp"))
+    assert [x["request_id"] for x in hits.collect()] == [1] and [x["request_id"] for x in misses.collect()] == [2]
+    done = spark.createDataFrame([(1, "k1", "success", 3), (2, "k2", "error", 3)], "request_id long, key string, status string, usage int")
+    out = usage.cacheable(done, 300, F.lit("2024-01-01 00:00:00").cast("timestamp")).collect()
+    assert [(x["key"], x["response"], str(x["expires_at"])) for x in out] == [("k1", '{"status":"success"}', "2024-01-01 00:05:00")]
+
+
+def test_command_line(capsys):
+    from citewright.__main__ import main
+
+    assert main(["settings"]) == 0 and "cache_ttl_s" in capsys.readouterr().out
+    assert main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
