@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from citewright.llm.common import small_batches
 
-LONG, CACHE = 256, 300_000
+LONG, CACHE = 256, 150_000
 #: The white space and the pre-tokenising pattern of the vocabulary file.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{SPACE}\\p{{L}}\\p{{N}}]+")

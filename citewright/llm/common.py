@@ -40,7 +40,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "1m") -> None:
     """Bound what one Arrow batch holds, so that long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
@@ -50,8 +50,8 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
 
 
 def crc_bucket(doc_id: str, n: int) -> Column:
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+    """crc32 of the id as text (a null id: `null`), modulo n."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")) % n
 
 
 def ascii_lower(text: Column) -> Column:

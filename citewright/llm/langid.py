@@ -5,7 +5,7 @@ its places the longest known n-gram (GRAMS down to 1 characters, with word bound
 averaged, so that a word weighs as much as a known one. The language with the largest sum wins.
 
 Training counts words over a sample of labelled rows: of each language at most PER_LANG rows in expectation, picked by
-a hash of the id, so every size of table takes the same path; at most VOCABULARY words (the most frequent ones) enter the
+a hash of the id, so every size of table takes the same path; at most VOCABULARY words and GRAM_TABLE n-grams (the most frequent ones) enter the
 model, which is what the driver holds and broadcasts. Prediction reads whole texts.
 
 Defined cases: null text, or text without a letter: `und`, score 0; letters of which nothing is known: the first
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from citewright.llm.common import crc_bucket, small_batches
 
-PER_LANG, VOCABULARY, GRAMS, CACHE = 1500, 200_000, 5, 400_000
+PER_LANG, VOCABULARY, GRAMS, GRAM_TABLE, CACHE = 1500, 60_000, 5, 120_000, 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +45,20 @@ class LanguageModel:
         self.words = self._logs(words)
         self.grams = {}
         for table in grams[1:]:
-            self.grams |= self._logs(table)
+            known = self._logs(table)
+            if len(known) > GRAM_TABLE // GRAMS:
+                heavy = sorted(table, key=lambda g: (-table[g].sum(), g))[: GRAM_TABLE // GRAMS]
+                known = {g: known[g] for g in heavy}
+            self.grams |= known
+
+    def __getstate__(self) -> tuple:
+        """Names and one matrix: small on the wire and in a worker."""
+        pack = lambda t: ("\n".join(t), np.stack(list(t.values())) if t else np.zeros((0, len(self.langs)), dtype=np.float32))
+        return self.langs, pack(self.words), pack(self.grams)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.langs, *tables = state
+        self.words, self.grams = (dict(zip(names.split("\n"), rows)) if len(rows) else {} for names, rows in tables)
 
     @staticmethod
     def _grams(word: str) -> list[str]:
@@ -65,7 +78,7 @@ class LanguageModel:
         w, get = f"^{word}$", self.grams.get
         total, places = np.zeros(len(self.langs), dtype=np.float32), 0
         for i in range(len(w) - 1):
-            for n in range(min(GRAMS, len(w) - i), 0, -1):
+            for n in range(min(GRAMS, len(w) - i), 1 if i == 0 else 0, -1):  # a boundary alone tells nothing
                 v = get(w[i : i + n])
                 if v is not None:
                     total = total + v

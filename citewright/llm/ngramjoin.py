@@ -35,7 +35,7 @@ from citewright.llm.common import cut, release, small_batches
 from citewright.llm.components import components
 
 SHINGLE, GROWTH, FINE, DESIGNATED = 5, 1.5625, 200, 32
-SAMPLE_DOCS, HOT_LEAST, HOT_MOST, WORDS, SHARED_ROWS = 10_000, 4, 200_000, 400_000, 1_000_000
+SAMPLE_DOCS, HOT_LEAST, HOT_MOST, WORDS, SHARED_ROWS = 10_000, 4, 200_000, 250_000, 1_000_000
 #: Sets in a run that are compared pair by pair; more meet as a family, in blocks of so many elements.
 FEW, BLOCK = 12, 200_000
 #: Roles of a signature: indexed segment, probe for an equal one, probe for one with a deletion, own deletion probing, own deletion indexed.
