@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from citewright.llm.common import crc_bucket, small_batches
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, VOCABULARY = 4000, 8000, 150_000
-GAP, DECAY, LANDMARKS, ROUNDS, CACHE = 3, 0.6, 384, 8, 400_000
+GAP, DECAY, LANDMARKS, ROUNDS, CACHE = 3, 0.6, 384, 8, 250_000
 WINDOW, STRIDE, FEW = 24, 12, 4
 CLASSES = 64
 NOISE = re.compile(r"[\W_]+")
@@ -129,10 +129,19 @@ def nystrom(landmarks: list[str]) -> np.ndarray:
     return m, used
 
 
+def altered(words: list[str]) -> list[str]:
+    """Each word with one character inserted, at every place inside: what disguised insults look like."""
+    return [w[:i] + c + w[i:] for w in words for i in range(1, len(w)) for c in "x*"]
+
+
 def fit(positive: list[str], negative: list[str], weight: float = 1.0) -> ToxicModel:
-    """Squared-hinge machine in the Nyström space of landmarks taken from both sides, by Newton steps."""
+    """Squared-hinge machine in the Nyström space of landmarks taken from both sides, by Newton steps.
+
+    Altered forms of the positive words are examples too, but no landmarks.
+    """
     half = LANDMARKS // 2
     marks = [w[:WINDOW] for w in positive[:half] + negative[:half]]
+    positive = positive + altered([w[: WINDOW - 1] for w in positive])
     m, used = nystrom(marks)
     k = m @ m.T
     val, vec = np.linalg.eigh(k)
@@ -250,11 +259,12 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             rows = [r for r in rows if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["ws"])
 
-    # one row for each distinct set of suspects: copies of a text count once
-    sets = sample.mapInArrow(evidence, "ws array<string>").distinct()
+    # many suspects together are a text and its copies, which count once
+    sets = sample.mapInArrow(evidence, "ws array<string>").groupBy("ws").agg(F.count("*").alias("n")).collect()
+    texts = [r["ws"] for r in sets for _ in range(r["n"] if len(r["ws"]) <= FEW else 1)]
     # so many texts that chance gives no word of the vocabulary as many, all toxic
     least = max(4, math.ceil(0.7 * math.log(1000 * len(vocabulary)) / math.log((n1 + n0) / n1)))
-    positive = cover([r["ws"] for r in sets.collect()], {w: c for w, c, _ in vocabulary}, least)
+    positive = cover(texts, {w: c for w, c, _ in vocabulary}, least)
     if not positive:
         return None
     pool = [(w, c) for w, c, x in vocabulary if w not in suspects and c > 0]
