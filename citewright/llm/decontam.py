@@ -9,7 +9,8 @@ sketched shingle are hashed. Every candidate pair is then verified by the exact
 Only DataFrame functions are used: no Python runs on the executors.
 
 The sketches are broadcast, and the anchors become a hash set in the plan, while there are at most SMALL of them (checked by a
-count); beyond that every shingle of the documents is hashed and both sides are joined by a shuffle. Both ways give the same rows.
+count); beyond that every shingle of the documents is hashed and both sides are joined by a shuffle. Candidate pairs are broadcast to the documents
+while there are at most FEW_PAIRS. All ways give the same rows.
 
 Words are the runs of characters other than white space, in lower case; an item of fewer than SHINGLE words counts as
 one shingle. Defined cases: null or empty documents and items match nothing; repeated documents give one row for each distinct
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from citewright.llm.common import WORD_BREAK, cut
 
-SHINGLE, PERCENT, SMALL = 5, 80, 20_000
+SHINGLE, PERCENT, SMALL, FEW_PAIRS = 5, 80, 20_000, 500_000
 
 
 def lower_words(text: Column) -> Column:
@@ -90,8 +91,9 @@ def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: s
         return docs.select(F.col(key)).limit(0).crossJoin(items.select(F.col(item_key)).limit(0)).select(key, item_key, F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment"))
     # verification: only documents with a candidate are shingled in full
     pairs = cut(found.distinct())
-    wanted = pairs.groupBy("doc").agg(F.collect_list("item").alias("candidates"))  # at most one entry for each benchmark item
-    whole = base.join(wanted, "doc")
+    wanted = cut(pairs.groupBy("doc").agg(F.collect_list("item").alias("candidates")))  # at most one entry for each benchmark item
+    few = pairs.count() <= FEW_PAIRS
+    whole = base.join(F.broadcast(wanted) if few else wanted, "doc")
     ks = sorted(sizes)
     own = whole.select("doc", F.explode("candidates").alias("item"), F.create_map(*[x for k in ks for x in (F.lit(k), F.array_distinct(shingles(F.col("ws"), F.lit(k))))]).alias("by_k"))
     side = F.broadcast(full) if small else full

@@ -396,6 +396,7 @@ def test_wrapper_groups():
 @pytest.mark.parametrize("small", [20_000, 0])
 def test_contamination(spark, monkeypatch, small):
     monkeypatch.setattr(decontam, "SMALL", small)
+    monkeypatch.setattr(decontam, "FEW_PAIRS", small)
     items = [(i, prose(n)) for i, n in enumerate((3, 5, 8, 12, 17, 25, 31, 40, 58))] + [(50, None), (51, ""), (52, "one"), (53, prose(8)), (3, None)]
     rows = []
     for i in range(120):
