@@ -108,7 +108,9 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, *, key: str = "vec_id",
     small_batches(spark, rows=10_000)
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("lab"), F.col(vector).alias("v"))
     good = rows.filter(F.col("lab").isNotNull() & F.col("id").isNotNull()).filter(usable(F.col("v")))
-    groups = cut(good.groupBy("lab", "v").agg(F.min("id").alias("id"), F.count("*").alias("many")))
+    # equal vectors are told by 128 bits of hash, so that only one copy of each travels
+    good = good.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64("v", F.lit(7)))
+    groups = cut(good.groupBy("lab", "h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.first("v").alias("v")))
     turn = axes(groups)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9)
     kind = df.schema[label].dataType.simpleString()
@@ -124,7 +126,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, *, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), *[pa.array(cells[:, k]) for k in range(AXES)]], names=["lab", "v", "id", "many", "dim", *[f"c{k}" for k in range(AXES)]])
 
     cells = [f"c{k}" for k in range(AXES)]
-    placed = groups.mapInArrow(project, f"lab {kind}, v {rows.schema['v'].dataType.simpleString()}, id long, many long, dim int, " + ", ".join(f"{c} int" for c in cells))
+    placed = groups.select("lab", "v", "id", "many").mapInArrow(project, f"lab {kind}, v {rows.schema['v'].dataType.simpleString()}, id long, many long, dim int, " + ", ".join(f"{c} int" for c in cells))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(parts, "lab", "dim", *cells, "id").sortWithinPartitions("lab", "dim", *cells, "id")
 
@@ -210,8 +212,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, *, key: str = "vec_id",
     comp = components(found.filter("to is not null").select(F.col("id").alias("src"), F.col("to").alias("dst")))
     counts = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("n"))
     reps = groups.join(counts, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    reps = reps.select("lab", "v", F.col("many"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
-    linked = good.join(reps, ["lab", "v"]).select("id", (F.col("n") + F.col("many") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    reps = reps.select("lab", "h", "g", "many", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
+    linked = good.drop("v").join(reps, ["lab", "h", "g"]).select("id", (F.col("n") + F.col("many") - 1).alias("n_links"), F.col("component").alias("component_id"))
     bad = rows.filter(~(F.col("lab").isNotNull() & F.col("id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False)))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(bad).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
