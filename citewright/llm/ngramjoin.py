@@ -225,8 +225,14 @@ def leaders(run: list[tuple[int, int, int]]):
         at = end
 
 
+def unmet(run: list[tuple[int, int, int]], members: set[int]) -> bool:
+    """Whether a set of the run outside members may match one of them. Only askers can: every target of a probe is a member."""
+    targets = [(n, r) for n, sid, r in run if sid in members]
+    return any(sid not in members and n <= m and n * 5 >= m * 4 and (r & (PROBE | SHRUNK) and t & INDEX or r & GROW and t & DELETED) for n, sid, r in run for m, t in targets)
+
+
 def runs(batches):
-    """Sorted rows sig, size << 8 | roles, set, doc: yields kind 0 (leader, set), kind 1 (sig, set) of runs of three sets or more, kind 2 (doc, set, n)."""
+    """Sorted rows sig, size << 8 | roles, set, doc: yields kind 0 (leader, set), kind 1 (sig, set) of runs with more pairs than those, kind 2 (doc, set, n)."""
     kind: list[int] = []
     a: list = []
     b: list = []
@@ -247,7 +253,7 @@ def runs(batches):
             c.append(0)
             members.add(leader)
             members.add(sid)
-        if len(members) > 2:
+        if len(members) > 2 or members and len(run) > 2 and unmet(run, members):
             for n, sid, r in run:
                 kind.append(1)
                 a.append(sig)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,23 @@ def test_one_deletion_finds_what_probes_skip():
     assert set(taken) == {0, 3} and set(up) == {0}
 
 
+def test_runs_leave_no_pair_unmet():
+    """Every pair of a run that may match is a candidate, or its whole run goes to the later check."""
+    I, P, G, S, D = ngramjoin.INDEX, ngramjoin.PROBE, ngramjoin.GROW, ngramjoin.SHRUNK, ngramjoin.DELETED  # noqa: E741
+    draw = random.Random(3)
+    made = [[(134, 1, D | S), (134, 2, D | S), (135, 3, I)], [(120, 1, I | P), (134, 2, D | S), (135, 3, I)], [(134, 1, I | G), (134, 2, I | G), (135, 3, D)]]
+    made += [[(draw.randint(80, 120), sid, draw.choice((I, I | P, I | G, D, D | S))) for sid in range(draw.randint(2, 6))] for _ in range(500)]
+    for run in made:
+        run = sorted(run)
+        batch = pa.RecordBatch.from_arrays([pa.array([7] * len(run), pa.int64()), pa.array([n << 8 | r for n, _, r in run], pa.int64()), pa.array([sid for _, sid, _ in run], pa.int64()), pa.array([None] * len(run), pa.int64())], names=["sig", "packed", "sid", "doc"])
+        rows = [r for b in ngramjoin.runs([batch]) for r in b.to_pylist()]
+        pairs, later = {(r["a"], r["b"]) for r in rows if r["kind"] == 0}, {r["b"] for r in rows if r["kind"] == 1}
+        for n, p, r in run:
+            for m, q, t in run:
+                if p != q and n <= m and n * 5 >= m * 4 and (r & (P | S) and t & I or r & G and t & D):
+                    assert (min(p, q), max(p, q)) in pairs or {p, q} <= later, run
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------------------------
 
 
