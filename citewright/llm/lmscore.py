@@ -1,15 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
 The model is a backoff trigram model over words, with absolute discounting. Every training token has a unigram probability
-(c + 0.1) / (N + 0.1 * (V + 1)), all unseen ones share one as if they were one word more. Longer n-grams are those whose words are among the TOP most frequent
-ones, seen LEAST times or more: at most BIGRAMS and TRIGRAMS of them, the most frequent; what they leave of a history's
-probability goes to its backoff weight, so that the probabilities after each history sum to one.
+(c + 0.1) / (N + 0.1 * (V + 1)), all unseen ones share one as if they were one word more. Longer n-grams are all those seen LEAST times or more; what
+they leave of a history's probability goes to its backoff weight, so that the probabilities after each history sum to one.
 
 States are the histories that have continuations. An arc reads a word, adds its log-probability and leads to the longest history that ends with
 it; where there is none, the failure arc adds the backoff weight and leads to the next shorter history. One traversal from left to right scores a text.
 
-All counts cover all training texts and are combined before the shuffle. The TOP words and the n-grams kept are bounded numbers and are broadcast; the
-unigram table grows with the corpus and is never collected: tokens outside TOP are joined with it by a shuffle, by word.
+No table of the model is collected or broadcast; all grow with the corpus. Texts are packed into chunks. A chunk sends each of its distinct
+words and bigrams once, with its count in training texts, to the bucket of the n-gram's hash. The bucket adds up and answers, for each chunk, with the
+counts of words and of bigrams seen LEAST times or more; then trigrams, of which both bigrams must be among those, are counted alike. One chunk owns each n-gram and adds it to the sums of its history, which are
+dealt and answered in the same way. Then a chunk has every arc and failure weight that its texts can meet, and scores them. Messages are sorted
+hashes in compressed runs; a key stands once in the message of a chunk, however often the chunk has it. Words and n-grams are told apart by 63 bits of hash.
 
 Defined cases: a null text is an empty one, which has one token, the end; repeated rows are scored one by one and count as often as they
 stand there; a null id is the text `null` for the split; extra columns are ignored; an empty table gives an empty result; without training texts every
@@ -18,18 +20,22 @@ token is unseen (N = V = 0).
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewright.llm.common import cut, small_batches
+from citewright.llm.common import cut, release, small_batches
 
-TOP, LEAST, BIGRAMS, TRIGRAMS, DISCOUNT = 100_000, 3, 200_000, 100_000, 0.75
-END, BITS, HELD = b"", 20, 4 << 20
+LEAST, DISCOUNT = 3, 0.75
+END, BITS = b"", 20
+#: Words whose hashes a worker keeps at hand; steers cost alone.
+TOP = 250_000
+#: Characters of text in a chunk, and the number of buckets (by the leading bits of a hash).
+CHUNK, DEALT = 4 << 20, 11
+U = np.uint64
 
 
 def held_out(key: Column | str) -> Column:
@@ -42,81 +48,215 @@ def split(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """w, c: how often each token stands in the texts; the end is the empty word."""
-
-    def run(batches):
-        got: Counter = Counter()
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.int64())], names=["w", "c"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                got.update(split(t))
-                got[END] += 1
-            if len(got) > 1_000_000:
-                yield flush()
-                got.clear()
-        if got:
+class WordHash(dict):
+    def __missing__(self, w: bytes) -> int:
+        h = self[w] = xxhash.xxh3_64_intdigest(w) | 1
+        return h
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(31))) * U(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> U(32))
+
+
+def pack(batches):
+    """id, t, held: yields chunks of about CHUNK characters: their rows and, as sorted hashes and places among them, their tokens."""
+    part, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+    at = WordHash()
+
+    def flush():
+        table = pa.Table.from_batches(held)
+        flat, sizes = [], []
+        for t in table.column(1).to_pylist():
+            ws = split(t)
+            flat += [at[w] for w in ws]
+            flat.append(at[END])
+            sizes.append(len(ws) + 1)
+        if len(at) > TOP:
+            at.clear()
+        words, place = np.unique(np.array(flat, dtype=U), return_inverse=True)
+        table = table.drop_columns([table.column_names[1]]).append_column("size", pa.array(sizes, pa.int64()))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        first = squeeze(np.r_[words[:1], words[1:] - words[:-1]])
+        tokens = len(words).to_bytes(8, "little") + len(first).to_bytes(8, "little") + first + squeeze(place.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([part + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([tokens], pa.binary())], names=["chunk", "data", "tokens"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size >= CHUNK:
             yield flush()
-
-    return texts.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
-def gram_counts(texts: DataFrame, ids, pairs=None) -> DataFrame:
-    """g, c: counts of bigrams of known words or, with the sorted keys of the bigrams kept, of trigrams made of two of those."""
+            held, size, count = [], 0, count + 1
+    if held:
+        yield flush()
+
+
+def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, how often each stands in training texts, and the place of each given one."""
+    u, at = np.unique(keys, return_inverse=True)
+    return u, np.bincount(at, train, minlength=len(u)).astype(np.int64), at
+
+
+def back(x: np.ndarray, first) -> np.ndarray:
+    """Of each token the value of the one before it."""
+    return np.r_[np.full(min(1, len(x)), first, dtype=x.dtype), x[:-1]]
+
+
+class Chunk:
+    """Texts of a chunk: d: the text of each token; k1, k2: keys of the word and of the bigram that end there; words have odd keys."""
+
+    def __init__(self, data: bytes, tokens: bytes):
+        self.table = pa.ipc.open_stream(data).read_all()
+        self.sizes = self.table.column("size").to_numpy()
+        self.d = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        m, cut_ = (int.from_bytes(tokens[i : i + 8], "little") for i in (0, 8))
+        words = np.cumsum(loosen(tokens[16 : 16 + cut_], m, U), dtype=U)
+        self.k1 = words[loosen(tokens[16 + cut_ :], len(self.d), np.int64)]
+        self.place = np.arange(len(self.d)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.two = self.place >= 1  # a bigram ends here
+        self.k2 = mix(mix(back(self.k1, 0)) ^ self.k1 * U(0x9FB21C651E98DF25)) & ~U(1)
+        self.train = ~self.table.column(1).to_numpy().astype(bool)[self.d]
+
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of words and bigrams, and their counts in the chunk."""
+        keys, trained, at = distinct(np.r_[self.k1, self.k2[self.two]], np.r_[self.train, self.train[self.two]])
+        self.at1, self.at2 = at[: len(self.k1)], np.zeros(len(self.k1), dtype=np.int64)
+        self.at2[self.two] = at[len(self.k1) :]
+        return keys, trained
+
+    def long(self, values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of trigrams: those of two bigrams that the model keeps. values: of each key its count << 1 | whether the chunk owns it; 0 if it is not kept."""
+        self.short()
+        count, self.owned2 = (values >> 1).astype(np.float64), (values & 1).astype(bool)
+        self.c1, self.c2 = count[self.at1], np.where(self.two, count[self.at2], 0.0)
+        self.has2 = self.c2 >= least
+        self.three = np.flatnonzero((self.place >= 2) & self.has2 & back(self.has2, False))
+        k3 = mix(mix(self.k2[self.three - 1] + U(0x632BE59BD9B4E019)) ^ self.k1[self.three] * U(0xD6E8FEB86659FD93)) & ~U(1)
+        keys, trained, self.at3 = distinct(k3, self.train[self.three])
+        return keys, trained
+
+    def learn(self, values: np.ndarray, more: np.ndarray, n: int, v: int, least: int) -> None:
+        """more: values of the trigrams."""
+        self.long(values, least)
+        self.lp1 = np.log10((self.c1 + 0.1) / (n + 0.1 * (v + 1)))
+        self.p2 = np.where(self.has2, np.maximum(self.c2 - DISCOUNT, 1e-9) / np.maximum(back(self.c1, 1), 1), 1.0)
+        c3 = np.zeros(len(self.k1))
+        c3[self.three] = (more >> 1)[self.at3]
+        self.owned3 = (more & 1).astype(bool)
+        self.has3 = c3 >= least
+        self.p3 = np.where(self.has3, np.maximum(c3 - DISCOUNT, 1e-9) / np.maximum(back(self.c2, 1), 1), 1.0)
+        # tokens whose history, of one word or of two, may have continuations
+        self.h1 = np.flatnonzero(self.two & (back(self.c1, 0) >= least))
+        self.h2 = np.flatnonzero((self.place >= 2) & back(self.has2, False))
+        self.histories, self.at_history = np.unique(np.r_[self.k1[self.h1 - 1], self.k2[self.h2 - 1]], return_inverse=True)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history what the n-grams that the chunk owns take of its probability, and what the shorter history would give them."""
+        place = np.zeros(len(self.k1), dtype=np.int64)
+        out = [np.zeros(len(self.histories)), np.zeros(len(self.histories))]
+        parts = (
+            (self.h1, self.at_history[: len(self.h1)], np.flatnonzero(self.two), self.at2[self.two], self.owned2, self.has2, self.p2, 10.0**self.lp1),
+            (self.h2, self.at_history[len(self.h1) :], self.three, self.at3, self.owned3, self.has3, self.p3, self.p2),
+        )
+        for at, history, tokens, key_at, owned, has, p, low in parts:
+            place[at] = history
+            once = tokens[np.unique(key_at, return_index=True)[1]]  # each n-gram once
+            mine = once[owned[np.unique(key_at)] & has[once]]
+            for total, x in zip(out, (p, low)):
+                total += np.bincount(place[mine], x[mine], minlength=len(total))
+        return out[0], out[1]
+
+    def scores(self, weights: np.ndarray) -> list[np.ndarray]:
+        """Of each text: known tokens, log10 by unigrams, log10 by the automaton."""
+        weight = weights[self.at_history]
+        fail1, fail2 = np.zeros(len(self.k1)), np.zeros(len(self.k1))
+        fail1[self.h1], fail2[self.h2] = weight[: len(self.h1)], weight[len(self.h1) :]
+        shorter = np.where(self.has2, np.log10(self.p2), fail1 + self.lp1)
+        step = np.where(self.has3, np.log10(self.p3), fail2 + shorter)
+        total = lambda x: np.bincount(self.d, x, minlength=len(self.sizes))
+        return [total(self.c1 > 0).astype(np.int64), total(self.lp1), total(step)]
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """A column of 8-byte values, like bytes side by side, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def loosen(data: bytes, n: int, kind) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).reshape(n)
+
+
+def deal(chunk: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """The message of a chunk to each bucket: bucket, chunk, n, keys, x, y. keys are sorted."""
+    buckets, head = np.unique(keys >> U(64 - DEALT), return_index=True)
+    ends = np.r_[head[1:], len(keys)]
+    cols: list[list] = [[], [], []]
+    for lo, hi in zip(head.tolist(), ends.tolist()):
+        k = keys[lo:hi]
+        cols[0].append(squeeze(np.r_[k[:1], k[1:] - k[:-1]]))
+        for c, x in zip(cols[1:], values):
+            c.append(squeeze(x[lo:hi]))
+    m = len(head)
+    if len(values) < 2:
+        cols[2] = [None] * m
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([chunk] * m, pa.int64()), pa.array((ends - head).astype(np.int64)), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "chunk", "n", "keys", "x", "y"])
+
+
+MESSAGE = "bucket int, chunk long, n long, keys binary, x binary, y binary"
+ANSWER = "chunk long, bucket int, n long, x binary, tokens long, words long"
+
+
+def answering(reply):
+    """Rows of MESSAGE sorted by bucket: yields rows of ANSWER by reply(keys, rows), which gives totals and x of all keys in their order."""
+
+    def close(bucket, rows):
+        ns = [r[1] for r in rows]
+        keys = np.concatenate([np.cumsum(loosen(r[2], r[1], U), dtype=U) for r in rows])
+        tokens, words, x = reply(keys, rows)
+        ends = np.cumsum(ns).tolist()
+        made = [squeeze(x[e - n : e]) for e, n in zip(ends, ns)]
+        m = len(rows)
+        first = lambda x: pa.array([x] + [0] * (m - 1), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * m, pa.int32()), pa.array(ns, pa.int64()), pa.array(made, pa.binary()), first(tokens), first(words)], names=["chunk", "bucket", "n", "x", "tokens", "words"])
 
     def run(batches):
-        at = ids.value
-        kept = None if pairs is None else pairs.value
-        held, size = [], 0
+        bucket, rows = None, []
+        for b in batches:
+            for k, *r in zip(*(c.to_pylist() for c in b.columns)):
+                if k != bucket:
+                    if rows:
+                        yield close(bucket, rows)
+                    bucket, rows = k, []
+                rows.append(r)
+        if rows:
+            yield close(bucket, rows)
 
-        def flush():
-            g, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c.astype(np.int64))], names=["g", "c"])
+    return run
 
-        for b in batches:
-            flat = [-1]
-            for t in b.column(0).to_pylist():
-                flat += [at.get(w, -1) for w in split(t)]
-                flat += (at[END], -1)
-            x = np.array(flat, dtype=np.int64)
-            two = np.where((x[:-1] >= 0) & (x[1:] >= 0), x[:-1] << BITS | x[1:], -1)
-            if kept is None:
-                keys = two[two >= 0]
-            else:
-                ok = np.zeros(len(two), dtype=bool)
-                if len(kept):
-                    ok = kept[np.minimum(np.searchsorted(kept, two), len(kept) - 1)] == two
-                both = ok[:-1] & ok[1:]
-                keys = (two[:-1] << BITS | x[2:])[both]
-            held.append(keys)
-            size += len(keys)
-            if size > HELD:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
 
-    return texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def count_reply(least: int):
+    def reply(keys, rows):
+        u, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([loosen(r[3], r[1], np.int64) for r in rows])).astype(np.int64)
+        word = (u & U(1)).astype(bool)
+        value = np.where(word | (total >= least), total << 1, 0)[inverse]
+        value[first] |= value[first] > 0
+        return int(total[word].sum()), int((total[word] > 0).sum()), value
 
+    return reply
 
-def most_frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """The rows with the largest c, at most `most` of them; rows of one frequency stay or go together.
 
-    The bound on c comes from a histogram of c, of which counts over 1000 share buckets, so only a few thousand numbers reach the driver.
-    """
-    bucket = F.when(F.col("c") <= 1000, F.col("c").cast("double")).otherwise(1000 + F.floor(F.log2(F.col("c") / 1000.0) * 64))
-    kept = counts.filter(F.col("c") >= least).withColumn("bucket", bucket)
-    sizes = sorted(((r["bucket"], r["n"]) for r in kept.groupBy("bucket").agg(F.count("*").alias("n")).collect()), reverse=True)
-    bound, total = float("inf"), 0
-    for b, n in sizes:
-        total += n
-        if total > most:
-            break
-        bound = b
-    return kept.filter(F.col("bucket") >= bound).drop("bucket")
+def sum_reply(keys, rows):
+    _, inverse = np.unique(keys, return_inverse=True)
+    taken, given = (np.bincount(inverse, np.concatenate([loosen(r[c], r[1], np.float64) for r in rows])) for c in (3, 4))
+    weight = np.where(taken > 0, np.log10(np.maximum(1 - taken, 1e-9) / np.maximum(1 - given, 1e-9)), 0.0)
+    return 0, 0, weight[inverse]
 
 
 class Automaton:
@@ -182,64 +322,81 @@ class Automaton:
         return self
 
 
-def train(texts: DataFrame):
-    """texts: one column t. Returns the unigram table, N, V, the known words and what an Automaton is made of."""
-    sc = texts.sparkSession.sparkContext
-    unigrams = cut(word_counts(texts))
-    total = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"], total["v"]
-    top = most_frequent(unigrams, TOP).collect()
-    if not any(r["w"] == END for r in top):
-        top += unigrams.filter(F.octet_length("w") == 0).collect()
-    top.sort(key=lambda r: (-r["c"], bytes(r["w"])))
-    words = {bytes(r["w"]): i for i, r in enumerate(top)}
-    words.setdefault(END, len(words))
-    counts = np.array([r["c"] for r in top] + [0] * (len(words) - len(top)), dtype=np.float64)
-    unigram = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-    ids = sc.broadcast(words)
+def answers(messages: DataFrame, reply) -> DataFrame:
+    spark = messages.sparkSession
+    dealt = messages.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    got = cut(dealt.mapInArrow(answering(reply), ANSWER))
+    del dealt, messages  # their shuffle files go
+    release(spark)
+    return got
+
 
-    def kept(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = most_frequent(cut(grams.filter(F.col("c") >= LEAST)), most, LEAST).toPandas().sort_values("g")
-        return rows["g"].to_numpy(dtype=np.int64), rows["c"].to_numpy(dtype=np.float64)
+#: Answers: counts of words and bigrams, counts of trigrams, failure weights.
+KINDS = np.int64, np.int64, np.float64
 
-    two = kept(gram_counts(texts, ids), BIGRAMS)
-    three = kept(gram_counts(texts, ids, sc.broadcast(two[0])), TRIGRAMS)
-    return unigrams, n, v, ids, (counts, unigram, two, three)
+
+def gathered(batches):
+    """Rows chunk, step, bucket, n, x, y sorted by these: yields each chunk with the answers of steps 1 to 3."""
+    last, chunk, got = None, None, []
+
+    def whole():
+        return last, chunk, *(np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in zip(got, KINDS))
+
+    for b in batches:
+        for k, step, _, n, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            if step == 0:
+                if chunk:
+                    yield whole()
+                last, chunk, got = k, Chunk(x, y), ([], [], [])
+            else:
+                got[step - 1].append(loosen(x, n, KINDS[step - 1]))
+    if chunk:
+        yield whole()
 
 
 def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the rows that are not held out, score all: see the contract of the columns in the README."""
-    spark = df.sparkSession
+    spark, least = df.sparkSession, LEAST
     small_batches(spark)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out(key).alias("held"))
-    unigrams, n, v, ids, parts = train(rows.filter(~F.col("held")).select("t"))
-    shared = spark.sparkContext.broadcast(parts)
+    packed = cut(rows.mapInArrow(pack, "chunk long, data binary, tokens binary"))
+    parts = max(1, packed.count())
 
-    def run(batches):
-        auto, at = Automaton(*shared.value).ready(), ids.value
-        lp, seen = auto.unigram, shared.value[0] > 0
-        part, count, end = TaskContext.get().partitionId() << 40, 0, at[END]
+    def together(*steps):
+        """The chunks and the answers to them, side by side."""
+        out = packed.select("chunk", F.lit(0).alias("step"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n"), F.col("data").alias("x"), F.col("tokens").alias("y"))
+        for i, a in enumerate(steps, 1):
+            out = out.unionByName(a.select("chunk", F.lit(i).alias("step"), "bucket", "n", "x", F.lit(None).cast("binary").alias("y")))
+        return out.repartition(parts, "chunk").sortWithinPartitions("chunk", "step", "bucket")
+
+    def count(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for t in b.column(1).to_pylist():
-                ws = split(t)
-                x = [at.get(w, -1) for w in ws]
-                rest = Counter(w for w, i in zip(ws, x) if i < 0) if -1 in x else {}
-                x.append(end)
-                known = np.array(x)
-                known = known[known >= 0]
-                for c, value in zip(out, (part + count, len(x), int(seen[known].sum()), float(lp[known].sum()), auto.score(x), list(rest.items()))):
-                    c.append(value)
-                count += 1
-            rare = pa.array(out[5], pa.list_(pa.struct([("w", pa.binary()), ("c", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.float64()), rare], names=["id", "held", "row", "n_tokens", "n_known", "base", "score", "rare"])
-
-    done = cut(rows.select("id", "t", "held").mapInArrow(run, f"id {kind}, held boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<w binary, c long>>"))
-    rare = done.select("row", F.inline("rare")).withColumnRenamed("c", "k")
-    looked = rare.join(unigrams, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    p = F.log10((F.col("c") + F.lit(0.1)) / F.lit(n + 0.1 * (v + 1)))
-    sums = looked.groupBy("row").agg(F.sum(F.col("k") * p).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("found"))
-    out = done.drop("rare").join(sums, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(F.col("id").alias(key), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+            for chunk, data, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                yield deal(chunk, *Chunk(data, tokens).short())
+
+    counted = answers(packed.mapInArrow(count, MESSAGE), count_reply(least))
+    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
+    n, v = total["n"], total["v"]
+
+    def count_long(batches):
+        for chunk, c, values, *_ in gathered(batches):
+            yield deal(chunk, *c.long(values, least))
+
+    longer = answers(together(counted).mapInArrow(count_long, MESSAGE), count_reply(least))
+
+    def weigh(batches):
+        for chunk, c, values, more, *_ in gathered(batches):
+            c.learn(values, more, n, v, least)
+            yield deal(chunk, c.histories, *c.sums())
+
+    weighed = answers(together(counted, longer).mapInArrow(weigh, MESSAGE), sum_reply)
+
+    def score(batches):
+        for _, c, values, more, weights in gathered(batches):
+            c.learn(values, more, n, v, least)
+            known, base, whole = c.scores(weights)
+            table = pa.table([c.table.column(0), c.table.column(1), pa.array(c.sizes), pa.array(known), pa.array(np.full(len(known), n, dtype=np.int64)), pa.array(base), pa.array(whole)], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield from table.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return together(counted, longer, weighed).mapInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

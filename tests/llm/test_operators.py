@@ -163,6 +163,30 @@ def test_language_model(spark, monkeypatch):
     assert lmscore.score_documents(documents(spark, EMPTY)).count() == 0
 
 
+def test_model_keeps_every_frequent_ngram(spark, monkeypatch):
+    """Scores are those of the automaton over all n-grams seen LEAST times or more, also of words that are not among the most frequent."""
+    monkeypatch.setattr(lmscore, "TOP", 30)
+    rows = [(i, prose(random.randint(0, 60)), "x") for i in range(150)]
+    rare = [" ".join(f"rare{i}x{j}" for j in range(12)) for i in range(20)]
+    rows += [(1000 + 10 * i + k, t, "x") for i, t in enumerate(rare) for k in range(8)]  # groups of copies: all their n-grams are about as frequent
+    got = {r["doc_id"]: r["score"] for r in lmscore.score_documents(documents(spark, rows).repartition(5)).collect()}
+    texts = {d: t.encode().lower().split() + [b""] for d, t, _ in rows}
+    train = [t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10]
+    one = Counter(w for t in train for w in t)
+    ids, B = {w: i for i, w in enumerate(sorted(one))}, lmscore.BITS
+    two, three = Counter(), Counter()
+    for t in train:
+        x = [ids[w] for w in t]
+        two.update(a << B | b for a, b in zip(x, x[1:]))
+        three.update((a << B | b) << B | c for a, b, c in zip(x, x[1:], x[2:]))
+    arrays = lambda k: (np.array(sorted(g for g in k if k[g] >= 3), dtype=np.int64), np.array([float(k[g]) for g in sorted(k) if k[g] >= 3]))
+    counts = np.array([float(one[w]) for w in sorted(one)])
+    total = counts.sum() + 0.1 * (len(one) + 1)
+    auto = lmscore.Automaton(counts, np.log10((counts + 0.1) / total), arrays(two), arrays(three)).ready()
+    unseen = math.log10(0.1 / total)
+    assert all(math.isclose(got[d], auto.score([ids.get(w, -1) for w in t]) + unseen * sum(w not in ids for w in t), abs_tol=1e-6) for d, t in texts.items())
+
+
 def test_backoff_probabilities_sum_to_one():
     rng = np.random.RandomState(1)
     tokens = rng.zipf(1.5, 4000) % 25
