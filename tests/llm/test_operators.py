@@ -426,6 +426,20 @@ def test_pages(spark):
     assert htmlwrap.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [20_000, 0])
+def test_furniture_of_a_whole_host(spark, monkeypatch, shared):
+    monkeypatch.setattr(htmlwrap, "SHARED", shared)
+    monkeypatch.setattr(htmlwrap, "BUCKET", 10)
+    page = "<body><div><p>Site menu</p></div><div><h2>Head {i}</h2>{more}<p>Body of {i}</p></div></body>"
+    rows = [(i, f"http://copies.org/{i}", "<body><p>The same story</p><p>Its end</p></body>") for i in range(12)]
+    rows += [(100 + i, f"http://many.org/{i}", page.format(i=i, more="<p>Passage</p>" if i % 2 else "")) for i in range(60)]
+    rows += [(200, "http://many.org/empty", ""), (201, "http://many.org/other", "<body><h1>Other</h1></body>"), (202, "http://many.org/bare", "<body><div><p>Site menu</p></div></body>")]
+    got = {r["page_id"]: r["text"] for r in htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "The same story Its end" for i in range(12))  # copies are one page
+    assert all(got[100 + i] == f"Head {i} {'Passage ' if i % 2 else ''}Body of {i}" for i in range(60))
+    assert got[200] == "" and got[201] == "Other" and got[202] == "Site menu"
+
+
 def test_wrapper_groups():
     pages = [htmlwrap.tokens(f"<ul>{'<li>x%d</li>' * n % tuple(range(n))}</ul><p>same</p>{'<h2>opt</h2>' if n == 3 else ''}<p>text {n}</p>") for n in (2, 3, 4)]
     kinds = [n[0] for n in htmlwrap.infer(pages)]
