@@ -33,7 +33,7 @@ from citewright.llm.common import crc_bucket, small_batches
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, VOCABULARY = 4000, 8000, 150_000
 GAP, DECAY, LANDMARKS, ROUNDS, CACHE = 3, 0.6, 384, 8, 250_000
-WINDOW, STRIDE, FEW = 24, 12, 4
+WINDOW, STRIDE, FEW = 24, 2, 4
 CLASSES = 64
 NOISE = re.compile(r"[\W_]+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -64,7 +64,10 @@ def tokens(text: str) -> set[str]:
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of all words in one array, each between boundaries, and the word of each place; long words in overlapping windows."""
+    """Characters of all words in one array, each between boundaries, and the word of each place; long words in overlapping windows.
+
+    What is shorter than WINDOW, as all trained forms are, stands whole in some window.
+    """
     text, owner = [], []
     for i, w in enumerate(words):
         if len(w) <= WINDOW:

@@ -518,6 +518,15 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(documents(spark, EMPTY), none).count() == 0
 
 
+def test_windows_hold_trained_forms_whole():
+    for n in (25, 40, 61):
+        w = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        cls, part, _ = toxicity.codes([w])
+        windows = ["".join(chr(96 + c) for c in cls[part == p] if c) for p in range(part[-1] + 1)]
+        longest = toxicity.WINDOW - 1
+        assert all(any(w[i : i + longest] in x for x in windows) for i in range(n - longest + 1))
+
+
 def test_folded_weights_are_the_landmark_sum():
     m = toxicity.fit(["grobnik", "zwackel"], ["baba", "koko", "ritu", "molesi"])
     marks = ["grobnik", "zwackel", "baba", "koko", "ritu", "molesi"]
