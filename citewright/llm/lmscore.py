@@ -1,21 +1,23 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a backoff trigram model over words, with absolute discounting. Every training token has a unigram probability
-(c + 0.1) / (N + 0.1 * (V + 1)), all unseen ones share one as if they were one word more. Longer n-grams are all those seen LEAST times or more; what
-they leave of a history's probability goes to its backoff weight, so that the probabilities after each history sum to one.
-
-States are the histories that have continuations. An arc reads a word, adds its log-probability and leads to the longest history that ends with
-it; where there is none, the failure arc adds the backoff weight and leads to the next shorter history. One traversal from left to right scores a text.
-
-No table of the model is collected or broadcast; all grow with the corpus. Texts are packed into chunks. A chunk sends each of its distinct
-words and bigrams once, with its count in training texts, to the bucket of the n-gram's hash. The bucket adds up and answers, for each chunk, with the
-counts of words and of bigrams seen LEAST times or more; then trigrams, of which both bigrams must be among those, are counted alike. One chunk owns each n-gram and adds it to the sums of its history, which are
-dealt and answered in the same way. Then a chunk has every arc and failure weight that its texts can meet, and scores them. Messages are sorted
-hashes in compressed runs; a key stands once in the message of a chunk, however often the chunk has it. Words and n-grams are told apart by 63 bits of hash.
-
-Defined cases: a null text is an empty one, which has one token, the end; repeated rows are scored one by one and count as often as they
-stand there; a null id is the text `null` for the split; extra columns are ignored; an empty table gives an empty result; without training texts every
-token is unseen (N = V = 0).
+The model is a trigram model over words with hierarchical Dirichlet smoothing: a token has the unigram probability
+(c + 0.1) / (N + 0.1 * (V + 1)), all unseen ones share one as if they were one word more; after a history h of one or two words it has
+(c(h, w) + A * p(w | shorter h)) / (c(h) + A), where A is a fixed pseudo-count (AFTER_WORD, AFTER_PAIR). So the probabilities after each history sum to one, and
+nothing but counts is needed. Every n-gram of the training texts is in the model, those seen once included.
+
+States are the histories of training texts. An arc reads a word that follows its state there, adds the log-probability above and leads to the longest history
+that ends with the word. Where there is none, the failure arc adds log A / (c(h) + A) and leads to the next shorter history, down to the root, which
+knows all words. One traversal from left to right carries the state and adds up the arcs: Chunk.scores does it for all tokens of its texts at once,
+as the state before a token is the longest known history that ends there.
+
+No table of the model is collected or broadcast; it is as large as the corpus. Texts are packed into chunks. A chunk sends each of its distinct
+words, bigrams and trigrams once, with its count in training texts, to the bucket of the n-gram's hash. The bucket adds up and
+answers each chunk with the totals: the chunk then has every arc and failure weight that its texts can meet. Messages are sorted hashes in compressed
+runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Words and n-grams are told apart by 63 bits of hash.
+
+Defined cases: a null text is an empty one, which has one token, the end; very long texts are scored whole (a chunk holds at least one text, and
+its memory is a multiple of that text's); repeated rows are scored one by one and count as often as they stand there; a null id is the text `null` for the
+split; extra columns are ignored, whatever their names; an empty table gives an empty result; without training texts every token is unseen (N = V = 0).
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from citewright.llm.common import cut, release, small_batches
 
-LEAST, DISCOUNT = 3, 0.75
-END, BITS = b"", 20
+#: Pseudo-counts of the shorter history after one word and after two.
+AFTER_WORD, AFTER_PAIR = 5000.0, 5.0
+END = b""
 #: Words whose hashes a worker keeps at hand; steers cost alone.
 TOP = 250_000
-#: Characters of text in a chunk, and the number of buckets (by the leading bits of a hash).
-CHUNK, DEALT = 4 << 20, 11
+#: Characters of text in a chunk, keys that a bucket holds on average, and the most tasks that score chunks.
+CHUNK, KEYS, TASKS = 4 << 20, 1 << 20, 20_000
 U = np.uint64
 
 
@@ -60,8 +63,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """A column of 8-byte values, like bytes side by side, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def loosen(data: bytes, n: int, kind) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).reshape(n)
+
+
+def deltas(keys: np.ndarray) -> bytes:
+    """Sorted keys by their distances."""
+    return squeeze(np.r_[keys[:1], keys[1:] - keys[:-1]])
+
+
 def pack(batches):
-    """id, t, held: yields chunks of about CHUNK characters: their rows and, as sorted hashes and places among them, their tokens."""
+    """id, t, held: yields chunks of about CHUNK bytes: their rows, their tokens as sorted hashes and places among them, and the number of tokens."""
     part, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
     at = WordHash()
 
@@ -80,9 +98,9 @@ def pack(batches):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
-        first = squeeze(np.r_[words[:1], words[1:] - words[:-1]])
+        first = deltas(words)
         tokens = len(words).to_bytes(8, "little") + len(first).to_bytes(8, "little") + first + squeeze(place.astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([part + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([tokens], pa.binary())], names=["chunk", "data", "tokens"])
+        return pa.RecordBatch.from_arrays([pa.array([part + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([tokens], pa.binary()), pa.array([len(flat)], pa.int64())], names=["chunk", "data", "tokens", "m"])
 
     for b in batches:
         if not b.num_rows:
@@ -96,307 +114,132 @@ def pack(batches):
         yield flush()
 
 
-def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, how often each stands in training texts, and the place of each given one."""
-    u, at = np.unique(keys, return_inverse=True)
-    return u, np.bincount(at, train, minlength=len(u)).astype(np.int64), at
-
-
-def back(x: np.ndarray, first) -> np.ndarray:
-    """Of each token the value of the one before it."""
-    return np.r_[np.full(min(1, len(x)), first, dtype=x.dtype), x[:-1]]
-
-
 class Chunk:
-    """Texts of a chunk: d: the text of each token; k1, k2: keys of the word and of the bigram that end there; words have odd keys."""
+    """Texts of a chunk. d: the text of each token; two, three: whether a bigram, a trigram ends there; at: of each n-gram its place among the distinct keys."""
 
     def __init__(self, data: bytes, tokens: bytes):
         self.table = pa.ipc.open_stream(data).read_all()
         self.sizes = self.table.column("size").to_numpy()
         self.d = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        m, cut_ = (int.from_bytes(tokens[i : i + 8], "little") for i in (0, 8))
-        words = np.cumsum(loosen(tokens[16 : 16 + cut_], m, U), dtype=U)
-        self.k1 = words[loosen(tokens[16 + cut_ :], len(self.d), np.int64)]
-        self.place = np.arange(len(self.d)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.two = self.place >= 1  # a bigram ends here
-        self.k2 = mix(mix(back(self.k1, 0)) ^ self.k1 * U(0x9FB21C651E98DF25)) & ~U(1)
-        self.train = ~self.table.column(1).to_numpy().astype(bool)[self.d]
-
-    def short(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of words and bigrams, and their counts in the chunk."""
-        keys, trained, at = distinct(np.r_[self.k1, self.k2[self.two]], np.r_[self.train, self.train[self.two]])
-        self.at1, self.at2 = at[: len(self.k1)], np.zeros(len(self.k1), dtype=np.int64)
-        self.at2[self.two] = at[len(self.k1) :]
-        return keys, trained
-
-    def long(self, values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same of trigrams: those of two bigrams that the model keeps. values: of each key its count << 1 | whether the chunk owns it; 0 if it is not kept."""
-        self.short()
-        count, self.owned2 = (values >> 1).astype(np.float64), (values & 1).astype(bool)
-        self.c1, self.c2 = count[self.at1], np.where(self.two, count[self.at2], 0.0)
-        self.has2 = self.c2 >= least
-        self.three = np.flatnonzero((self.place >= 2) & self.has2 & back(self.has2, False))
-        k3 = mix(mix(self.k2[self.three - 1] + U(0x632BE59BD9B4E019)) ^ self.k1[self.three] * U(0xD6E8FEB86659FD93)) & ~U(1)
-        keys, trained, self.at3 = distinct(k3, self.train[self.three])
-        return keys, trained
-
-    def learn(self, values: np.ndarray, more: np.ndarray, n: int, v: int, least: int) -> None:
-        """more: values of the trigrams."""
-        self.long(values, least)
-        self.lp1 = np.log10((self.c1 + 0.1) / (n + 0.1 * (v + 1)))
-        self.p2 = np.where(self.has2, np.maximum(self.c2 - DISCOUNT, 1e-9) / np.maximum(back(self.c1, 1), 1), 1.0)
-        c3 = np.zeros(len(self.k1))
-        c3[self.three] = (more >> 1)[self.at3]
-        self.owned3 = (more & 1).astype(bool)
-        self.has3 = c3 >= least
-        self.p3 = np.where(self.has3, np.maximum(c3 - DISCOUNT, 1e-9) / np.maximum(back(self.c2, 1), 1), 1.0)
-        # tokens whose history, of one word or of two, may have continuations
-        self.h1 = np.flatnonzero(self.two & (back(self.c1, 0) >= least))
-        self.h2 = np.flatnonzero((self.place >= 2) & back(self.has2, False))
-        self.histories, self.at_history = np.unique(np.r_[self.k1[self.h1 - 1], self.k2[self.h2 - 1]], return_inverse=True)
-
-    def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each history what the n-grams that the chunk owns take of its probability, and what the shorter history would give them."""
-        place = np.zeros(len(self.k1), dtype=np.int64)
-        out = [np.zeros(len(self.histories)), np.zeros(len(self.histories))]
-        parts = (
-            (self.h1, self.at_history[: len(self.h1)], np.flatnonzero(self.two), self.at2[self.two], self.owned2, self.has2, self.p2, 10.0**self.lp1),
-            (self.h2, self.at_history[len(self.h1) :], self.three, self.at3, self.owned3, self.has3, self.p3, self.p2),
-        )
-        for at, history, tokens, key_at, owned, has, p, low in parts:
-            place[at] = history
-            once = tokens[np.unique(key_at, return_index=True)[1]]  # each n-gram once
-            mine = once[owned[np.unique(key_at)] & has[once]]
-            for total, x in zip(out, (p, low)):
-                total += np.bincount(place[mine], x[mine], minlength=len(total))
-        return out[0], out[1]
-
-    def scores(self, weights: np.ndarray) -> list[np.ndarray]:
-        """Of each text: known tokens, log10 by unigrams, log10 by the automaton."""
-        weight = weights[self.at_history]
-        fail1, fail2 = np.zeros(len(self.k1)), np.zeros(len(self.k1))
-        fail1[self.h1], fail2[self.h2] = weight[: len(self.h1)], weight[len(self.h1) :]
-        shorter = np.where(self.has2, np.log10(self.p2), fail1 + self.lp1)
-        step = np.where(self.has3, np.log10(self.p3), fail2 + shorter)
+        m, end = (int.from_bytes(tokens[i : i + 8], "little") for i in (0, 8))
+        words = np.cumsum(loosen(tokens[16 : 16 + end], m, U), dtype=U)
+        k1 = words[loosen(tokens[16 + end :], len(self.d), np.int64)]
+        place = np.arange(len(self.d)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.two, self.three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        # words have odd keys, longer n-grams even ones
+        k2 = mix(mix(k1[self.two - 1]) ^ k1[self.two] * U(0x9FB21C651E98DF25)) & ~U(1)
+        k3 = mix(mix(k1[self.three - 2] + U(0x632BE59BD9B4E019)) ^ mix(k1[self.three - 1]) * U(0x9FB21C651E98DF25) ^ k1[self.three] * U(0xD6E8FEB86659FD93)) & ~U(1)
+        self.keys, self.at = np.unique(np.concatenate([k1, k2, k3]), return_inverse=True)
+
+    def trained(self) -> np.ndarray:
+        """How often each key stands in training texts of the chunk."""
+        train = ~self.table.column(1).to_numpy().astype(bool)[self.d]
+        return np.bincount(self.at, np.concatenate([train, train[self.two], train[self.three]]), minlength=len(self.keys)).astype(np.int64)
+
+    def scores(self, totals: np.ndarray, n: int, v: int) -> list[np.ndarray]:
+        """totals: of each key in all training texts. Of each text: known tokens, log10 by unigrams, log10 by the automaton."""
+        count = totals.astype(np.float64)[self.at]
+        m, k = len(self.d), len(self.two)
+        c1, c2, c3 = count[:m], np.zeros(m), np.zeros(m)
+        c2[self.two], c3[self.three] = count[m : m + k], count[m + k :]
+        root = np.log10((c1 + 0.1) / (n + 0.1 * (v + 1)))
+        # the history of a text's first token, and of its second one beyond a word, is not known: count 0, where the failure arc weighs nothing
+        h1, h2 = np.zeros(m), np.zeros(m)
+        h1[self.two], h2[self.three] = c1[self.two - 1], c2[self.three - 1]
+        step = root
+        for history, c, a in ((h1, c2, AFTER_WORD), (h2, c3, AFTER_PAIR)):
+            step = np.where(c > 0, np.log10((c + a * 10.0**step) / (history + a)), np.log10(a / (history + a)) + step)
         total = lambda x: np.bincount(self.d, x, minlength=len(self.sizes))
-        return [total(self.c1 > 0).astype(np.int64), total(self.lp1), total(step)]
+        return [total(c1 > 0).astype(np.int64), total(root), total(step)]
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """A column of 8-byte values, like bytes side by side, compressed."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def loosen(data: bytes, n: int, kind) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).reshape(n)
-
-
-def deal(chunk: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """The message of a chunk to each bucket: bucket, chunk, n, keys, x, y. keys are sorted."""
-    buckets, head = np.unique(keys >> U(64 - DEALT), return_index=True)
-    ends = np.r_[head[1:], len(keys)]
-    cols: list[list] = [[], [], []]
-    for lo, hi in zip(head.tolist(), ends.tolist()):
-        k = keys[lo:hi]
-        cols[0].append(squeeze(np.r_[k[:1], k[1:] - k[:-1]]))
-        for c, x in zip(cols[1:], values):
-            c.append(squeeze(x[lo:hi]))
+def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The message of a chunk to each bucket: bucket, chunk, n, keys, counts. keys are sorted."""
+    buckets, head = np.unique(keys >> U(64 - bits), return_index=True)
+    ends = np.r_[head[1:], len(keys)].tolist()
+    head = head.tolist()
     m = len(head)
-    if len(values) < 2:
-        cols[2] = [None] * m
-    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([chunk] * m, pa.int64()), pa.array((ends - head).astype(np.int64)), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "chunk", "n", "keys", "x", "y"])
+    cols = [deltas(keys[lo:hi]) for lo, hi in zip(head, ends)], [squeeze(counts[lo:hi]) for lo, hi in zip(head, ends)]
+    n = pa.array([hi - lo for lo, hi in zip(head, ends)], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([chunk] * m, pa.int64()), n, *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "chunk", "n", "keys", "x"])
 
 
-MESSAGE = "bucket int, chunk long, n long, keys binary, x binary, y binary"
+MESSAGE = "bucket int, chunk long, n long, keys binary, x binary"
 ANSWER = "chunk long, bucket int, n long, x binary, tokens long, words long"
 
 
-def answering(reply):
-    """Rows of MESSAGE sorted by bucket: yields rows of ANSWER by reply(keys, rows), which gives totals and x of all keys in their order."""
+def answer(batches):
+    """Rows of MESSAGE sorted by bucket: yields rows of ANSWER with the totals of the keys, and once for each bucket its numbers of tokens and words."""
 
     def close(bucket, rows):
         ns = [r[1] for r in rows]
         keys = np.concatenate([np.cumsum(loosen(r[2], r[1], U), dtype=U) for r in rows])
-        tokens, words, x = reply(keys, rows)
-        ends = np.cumsum(ns).tolist()
-        made = [squeeze(x[e - n : e]) for e, n in zip(ends, ns)]
-        m = len(rows)
-        first = lambda x: pa.array([x] + [0] * (m - 1), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * m, pa.int32()), pa.array(ns, pa.int64()), pa.array(made, pa.binary()), first(tokens), first(words)], names=["chunk", "bucket", "n", "x", "tokens", "words"])
-
-    def run(batches):
-        bucket, rows = None, []
-        for b in batches:
-            for k, *r in zip(*(c.to_pylist() for c in b.columns)):
-                if k != bucket:
-                    if rows:
-                        yield close(bucket, rows)
-                    bucket, rows = k, []
-                rows.append(r)
-        if rows:
-            yield close(bucket, rows)
-
-    return run
-
-
-def count_reply(least: int):
-    def reply(keys, rows):
-        u, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        u, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, np.concatenate([loosen(r[3], r[1], np.int64) for r in rows])).astype(np.int64)
-        word = (u & U(1)).astype(bool)
-        value = np.where(word | (total >= least), total << 1, 0)[inverse]
-        value[first] |= value[first] > 0
-        return int(total[word].sum()), int((total[word] > 0).sum()), value
-
-    return reply
-
-
-def sum_reply(keys, rows):
-    _, inverse = np.unique(keys, return_inverse=True)
-    taken, given = (np.bincount(inverse, np.concatenate([loosen(r[c], r[1], np.float64) for r in rows])) for c in (3, 4))
-    weight = np.where(taken > 0, np.log10(np.maximum(1 - taken, 1e-9) / np.maximum(1 - given, 1e-9)), 0.0)
-    return 0, 0, weight[inverse]
-
-
-class Automaton:
-    """states: 0 is the root, then one-word histories, then two-word ones. arcs: state << BITS | word -> (log10 p, next state)."""
-
-    def __init__(self, counts: np.ndarray, unigram: np.ndarray, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray]):
-        """counts and log10 probability of the known words; keys and counts of bigrams and trigrams."""
-        self.unigram = unigram
-        mask = (1 << BITS) - 1
-        k2, c2 = two
-        k3, c3 = three
-        p2 = np.maximum(c2 - DISCOUNT, 1e-9) / counts[k2 >> BITS]
-        h1, s1 = np.unique(k2 >> BITS, return_inverse=True)
-        left1 = 1 - np.bincount(s1, p2, minlength=len(h1))
-        free1 = 1 - np.bincount(s1, 10.0 ** unigram[k2 & mask], minlength=len(h1))
-        bo1 = np.log10(np.maximum(left1, 1e-9) / np.maximum(free1, 1e-9))
-        at3 = np.searchsorted(k2, k3 >> BITS)
-        low3 = np.searchsorted(k2, k3 & ((1 << 2 * BITS) - 1))
-        p3 = np.maximum(c3 - DISCOUNT, 1e-9) / c2[at3] if len(k3) else np.zeros(0)
-        h2, s2 = np.unique(k3 >> BITS, return_inverse=True)
-        left2 = 1 - np.bincount(s2, p3, minlength=len(h2))
-        free2 = 1 - np.bincount(s2, p2[low3] if len(k3) else None, minlength=len(h2))
-        bo2 = np.log10(np.maximum(left2, 1e-9) / np.maximum(free2, 1e-9))
-        one = {int(h): i + 1 for i, h in enumerate(h1)}
-        pair = {int(h): i + 1 + len(h1) for i, h in enumerate(h2)}
-        self.start = [one.get(w, 0) for w in range(len(unigram))]  # after a word read at the root
-        self.backoff = [0.0, *bo1.tolist(), *bo2.tolist()]
-        self.fail = [0, *[0] * len(h1), *[one.get(int(h) & mask, 0) for h in h2]]
-        self.to_root = [0.0] * len(self.fail)  # the weights on the way to the root
-        for s in range(1, len(self.fail)):
-            self.to_root[s] = self.backoff[s] + self.to_root[self.fail[s]]
-        self.arcs: dict[int, tuple[float, int]] = {}
-        for k, p in zip(k2.tolist(), np.log10(p2).tolist()):
-            self.arcs[one[k >> BITS] << BITS | k & mask] = (p, pair.get(k) or self.start[k & mask])
-        for k, p in zip(k3.tolist(), np.log10(p3).tolist()):
-            self.arcs[pair[k >> BITS] << BITS | k & mask] = (p, pair.get(k & ((1 << 2 * BITS) - 1)) or self.start[k & mask])
-
-    def score(self, ids: list[int]) -> float:
-        """log10 probability of a text, without the unigram terms of its words outside the known ones (-1)."""
-        get, fail, backoff, unigram, start, to_root = self.arcs.get, self.fail, self.backoff, self.unigram_list, self.start, self.to_root
-        total, s = 0.0, 0
-        for w in ids:
-            if w < 0:
-                total += to_root[s]
-                s = 0
-                continue
-            while s:
-                arc = get(s << BITS | w)
-                if arc is not None:
-                    break
-                total += backoff[s]
-                s = fail[s]
-            else:
-                total += unigram[w]
-                s = start[w]
-                continue
-            total += arc[0]
-            s = arc[1]
-        return total
-
-    def ready(self) -> Automaton:
-        self.unigram_list = self.unigram.tolist()
-        return self
-
-
-def answers(messages: DataFrame, reply) -> DataFrame:
-    spark = messages.sparkSession
-    dealt = messages.repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    got = cut(dealt.mapInArrow(answering(reply), ANSWER))
-    del dealt, messages  # their shuffle files go
-    release(spark)
-    return got
-
+        words = total[(u & U(1)).astype(bool)]
+        x, ends = total[inverse], np.cumsum(ns).tolist()
+        made = [squeeze(x[e - n : e]) for e, n in zip(ends, ns)]
+        first = lambda x: pa.array([x] + [0] * (len(rows) - 1), pa.int64())
+        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(ns, pa.int64()), pa.array(made, pa.binary()), first(int(words.sum())), first(int((words > 0).sum()))]
+        return pa.RecordBatch.from_arrays(cols, names=["chunk", "bucket", "n", "x", "tokens", "words"])
 
-#: Answers: counts of words and bigrams, counts of trigrams, failure weights.
-KINDS = np.int64, np.int64, np.float64
+    bucket, rows = None, []
+    for b in batches:
+        for k, *r in zip(*(c.to_pylist() for c in b.columns)):
+            if k != bucket:
+                if rows:
+                    yield close(bucket, rows)
+                bucket, rows = k, []
+            rows.append(r)
+    if rows:
+        yield close(bucket, rows)
 
 
 def gathered(batches):
-    """Rows chunk, step, bucket, n, x, y sorted by these: yields each chunk with the answers of steps 1 to 3."""
-    last, chunk, got = None, None, []
-
-    def whole():
-        return last, chunk, *(np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in zip(got, KINDS))
-
+    """Rows chunk, step, bucket, n, x, y sorted by these: yields each chunk with the totals of its keys."""
+    chunk, got = None, []
     for b in batches:
-        for k, step, _, n, x, y in zip(*(c.to_pylist() for c in b.columns)):
+        for step, n, x, y in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5))):
             if step == 0:
                 if chunk:
-                    yield whole()
-                last, chunk, got = k, Chunk(x, y), ([], [], [])
+                    yield Chunk(*chunk), np.concatenate(got)
+                chunk, got = (x, y), []
             else:
-                got[step - 1].append(loosen(x, n, KINDS[step - 1]))
+                got.append(loosen(x, n, np.int64))
     if chunk:
-        yield whole()
+        yield Chunk(*chunk), np.concatenate(got)
 
 
 def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Learn from the rows that are not held out, score all: see the contract of the columns in the README."""
-    spark, least = df.sparkSession, LEAST
+    """Learn from the rows that are not held out, score all: key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    spark = df.sparkSession
     small_batches(spark)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out(key).alias("held"))
-    packed = cut(rows.mapInArrow(pack, "chunk long, data binary, tokens binary"))
-    parts = max(1, packed.count())
-
-    def together(*steps):
-        """The chunks and the answers to them, side by side."""
-        out = packed.select("chunk", F.lit(0).alias("step"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n"), F.col("data").alias("x"), F.col("tokens").alias("y"))
-        for i, a in enumerate(steps, 1):
-            out = out.unionByName(a.select("chunk", F.lit(i).alias("step"), "bucket", "n", "x", F.lit(None).cast("binary").alias("y")))
-        return out.repartition(parts, "chunk").sortWithinPartitions("chunk", "step", "bucket")
+    packed = cut(rows.mapInArrow(pack, "chunk long, data binary, tokens binary, m long"))
+    size = packed.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    bits = min(18, max(9, (2 * size["m"] // KEYS).bit_length()))
 
     def count(batches):
         for b in batches:
             for chunk, data, tokens in zip(*(c.to_pylist() for c in b.columns)):
-                yield deal(chunk, *Chunk(data, tokens).short())
+                c = Chunk(data, tokens)
+                yield deal(chunk, c.keys, c.trained(), bits)
 
-    counted = answers(packed.mapInArrow(count, MESSAGE), count_reply(least))
+    dealt = packed.select("chunk", "data", "tokens").mapInArrow(count, MESSAGE).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    counted = cut(dealt.mapInArrow(answer, ANSWER))
+    del dealt  # its shuffle files go
+    release(spark)
     total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
-
-    def count_long(batches):
-        for chunk, c, values, *_ in gathered(batches):
-            yield deal(chunk, *c.long(values, least))
-
-    longer = answers(together(counted).mapInArrow(count_long, MESSAGE), count_reply(least))
-
-    def weigh(batches):
-        for chunk, c, values, more, *_ in gathered(batches):
-            c.learn(values, more, n, v, least)
-            yield deal(chunk, c.histories, *c.sums())
-
-    weighed = answers(together(counted, longer).mapInArrow(weigh, MESSAGE), sum_reply)
+    chunks = packed.select("chunk", F.lit(0).alias("step"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n"), F.col("data").alias("x"), F.col("tokens").alias("y"))
+    both = chunks.unionByName(counted.select("chunk", F.lit(1).alias("step"), "bucket", "n", "x", F.lit(None).cast("binary").alias("y")))
+    both = both.repartition(max(1, min(TASKS, size["chunks"])), "chunk").sortWithinPartitions("chunk", "step", "bucket")
 
     def score(batches):
-        for _, c, values, more, weights in gathered(batches):
-            c.learn(values, more, n, v, least)
-            known, base, whole = c.scores(weights)
+        for c, totals in gathered(batches):
+            known, base, whole = c.scores(totals, n, v)
             table = pa.table([c.table.column(0), c.table.column(1), pa.array(c.sizes), pa.array(known), pa.array(np.full(len(known), n, dtype=np.int64)), pa.array(base), pa.array(whole)], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
             yield from table.combine_chunks().to_batches(max_chunksize=10_000)
 
-    return together(counted, longer, weighed).mapInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

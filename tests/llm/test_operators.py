@@ -146,7 +146,6 @@ def test_components(spark, monkeypatch):
 
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "TOP", 30)
-    monkeypatch.setattr(lmscore, "LEAST", 2)
     rows = [(i, prose(random.randint(0, 40)).title(), "x") for i in range(120)]
     rows += [(200, None, "x"), (201, "", "x"), (202, " \t\n\x0b\x0c\r ", "x"), (203, "É é\x1c\xa0x", "x"), (203, "É é\x1c\xa0x", "x"), (204, prose(30_000), "x"), (None, "ba ko", "x")]
     out = lmscore.score_documents(documents(spark, rows)).collect()
@@ -163,46 +162,44 @@ def test_language_model(spark, monkeypatch):
     assert lmscore.score_documents(documents(spark, EMPTY)).count() == 0
 
 
-def test_model_keeps_every_frequent_ngram(spark, monkeypatch):
-    """Scores are those of the automaton over all n-grams seen LEAST times or more, also of words that are not among the most frequent."""
+def smoothed(train):
+    """p(word, history) by brute force: the history as a tuple of at most two words; None is any unseen word."""
+    count = Counter(tuple(t[i : i + n]) for t in train for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    n, v = sum(len(t) for t in train), len({w for t in train for w in t})
+
+    def p(w, history):
+        if not history:
+            return (count[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        a = {1: lmscore.AFTER_WORD, 2: lmscore.AFTER_PAIR}[len(history)]
+        return (count[(*history, w)] + a * p(w, history[1:])) / (count[history] + a)
+
+    return p
+
+
+def test_model_equals_brute_force(spark, monkeypatch):
+    """Also of n-grams seen once, of texts with a held-out copy, and of groups of copies; chunks and buckets of a few texts."""
     monkeypatch.setattr(lmscore, "TOP", 30)
+    monkeypatch.setattr(lmscore, "CHUNK", 3000)
     rows = [(i, prose(random.randint(0, 60)), "x") for i in range(150)]
     rare = [" ".join(f"rare{i}x{j}" for j in range(12)) for i in range(20)]
-    rows += [(1000 + 10 * i + k, t, "x") for i, t in enumerate(rare) for k in range(8)]  # groups of copies: all their n-grams are about as frequent
+    rows += [(1000 + 10 * i + k, t, "x") for i, t in enumerate(rare) for k in range(i % 8)]
     got = {r["doc_id"]: r["score"] for r in lmscore.score_documents(documents(spark, rows).repartition(5)).collect()}
     texts = {d: t.encode().lower().split() + [b""] for d, t, _ in rows}
-    train = [t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10]
-    one = Counter(w for t in train for w in t)
-    ids, B = {w: i for i, w in enumerate(sorted(one))}, lmscore.BITS
-    two, three = Counter(), Counter()
-    for t in train:
-        x = [ids[w] for w in t]
-        two.update(a << B | b for a, b in zip(x, x[1:]))
-        three.update((a << B | b) << B | c for a, b, c in zip(x, x[1:], x[2:]))
-    arrays = lambda k: (np.array(sorted(g for g in k if k[g] >= 3), dtype=np.int64), np.array([float(k[g]) for g in sorted(k) if k[g] >= 3]))
-    counts = np.array([float(one[w]) for w in sorted(one)])
-    total = counts.sum() + 0.1 * (len(one) + 1)
-    auto = lmscore.Automaton(counts, np.log10((counts + 0.1) / total), arrays(two), arrays(three)).ready()
-    unseen = math.log10(0.1 / total)
-    assert all(math.isclose(got[d], auto.score([ids.get(w, -1) for w in t]) + unseen * sum(w not in ids for w in t), abs_tol=1e-6) for d, t in texts.items())
-
-
-def test_backoff_probabilities_sum_to_one():
-    rng = np.random.RandomState(1)
-    tokens = rng.zipf(1.5, 4000) % 25
-    uni = np.bincount(tokens, minlength=25).astype(float)
-    logp = np.log10((uni + 0.1) / (uni.sum() + 0.1 * 26))
-    two, three = Counter(zip(tokens, tokens[1:])), Counter(zip(tokens, tokens[1:], tokens[2:]))
-    B = lmscore.BITS
-    k2 = {int(a) << B | int(b): c for (a, b), c in two.items() if c >= 3}
-    k3 = {(int(a) << B | int(b)) << B | int(c): n for (a, b, c), n in three.items() if n >= 3 and int(a) << B | int(b) in k2 and int(b) << B | int(c) in k2}
-    arrays = lambda k: (np.array(sorted(k), dtype=np.int64), np.array([k[x] for x in sorted(k)], dtype=float))
-    auto = lmscore.Automaton(uni, logp, arrays(k2), arrays(k3)).ready()
-    rest = 1 - (10.0**logp).sum()
-    for history in ([], [1], [1, 2], [2, 1], [24, 3]):
-        base = auto.score(history)
-        total = sum(10 ** (auto.score([*history, w]) - base) for w in range(25)) + 10 ** (auto.score([*history, -1]) - base) * rest
-        assert math.isclose(total, 1, abs_tol=1e-6)
+    p = smoothed([t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10])
+    want = {d: sum(math.log10(p(w, tuple(t[max(0, i - 2) : i]))) for i, w in enumerate(t)) for d, t in texts.items()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], abs_tol=1e-6) for d in got)
+    # a text that stands twice in training is likelier than one that stands once
+    train = [d for d in texts if zlib.crc32(str(d).encode()) % 10]
+    once, twice = ([d for d in train if sum(texts[d] == texts[e] for e in train) == n and len(texts[d]) == 13 and texts[d][0][:4] == b"rare"] for n in (1, 2))
+    assert once and twice and max(got[d] for d in once) < min(got[d] for d in twice)
+
+
+def test_probabilities_after_a_history_sum_to_one():
+    random.seed(3)
+    train = [[str(min(9, int(random.paretovariate(1)))).encode() for _ in range(random.randint(0, 30))] + [b""] for _ in range(80)]
+    p, known = smoothed(train), {w for t in train for w in t}
+    for history in ((), (b"1",), (b"1", b"2"), (b"9", b"9"), (b"z", b"1"), (b"z",)):
+        assert math.isclose(sum(p(w, history) for w in [*known, None]), 1, abs_tol=1e-9)
 
 
 def test_model_beats_unigrams_on_held_out_texts(spark):
