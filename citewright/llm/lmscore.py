@@ -13,7 +13,8 @@ as the state before a token is the longest known history that ends there.
 No table of the model is collected or broadcast; it is as large as the corpus. Texts are packed into chunks. A chunk sends each of its distinct
 words, bigrams and trigrams once, with its count in training texts, to the bucket of the n-gram's hash. The bucket adds up and
 answers each chunk with the totals: the chunk then has every arc and failure weight that its texts can meet. Messages are sorted hashes in compressed
-runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Words and n-grams are told apart by 63 bits of hash.
+runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Words and n-grams are told apart by a hash with SPARE bits more than
+number all n-grams of the table (64 at most): an n-gram meets another one's key with a probability of 2 ** -SPARE or less.
 
 Defined cases: a null text is an empty one, which has one token, the end; very long texts are scored whole (a chunk holds at least one text, and
 its memory is a multiple of that text's); repeated rows are scored one by one and count as often as they stand there; a null id is the text `null` for the
@@ -36,8 +37,8 @@ AFTER_WORD, AFTER_PAIR = 5000.0, 5.0
 END = b""
 #: Words whose hashes a worker keeps at hand; steers cost alone.
 TOP = 250_000
-#: Characters of text in a chunk, keys that a bucket holds on average, and the most tasks that score chunks.
-CHUNK, KEYS, TASKS = 4 << 20, 1 << 20, 20_000
+#: Bytes of text in a chunk, keys that a bucket holds on average, the most tasks that score chunks, and bits of a key beyond those that number all n-grams.
+CHUNK, KEYS, TASKS, SPARE = 4 << 20, 1 << 20, 20_000, 24
 U = np.uint64
 
 
@@ -53,7 +54,7 @@ def split(text: str | None) -> list[bytes]:
 
 class WordHash(dict):
     def __missing__(self, w: bytes) -> int:
-        h = self[w] = xxhash.xxh3_64_intdigest(w) | 1
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
 
 
@@ -79,7 +80,7 @@ def deltas(keys: np.ndarray) -> bytes:
 
 
 def pack(batches):
-    """id, t, held: yields chunks of about CHUNK bytes: their rows, their tokens as sorted hashes and places among them, and the number of tokens."""
+    """id, t, held: yields chunks of about CHUNK bytes: their rows, their tokens as hashes and places among them, and the number of tokens."""
     part, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
     at = WordHash()
 
@@ -93,13 +94,17 @@ def pack(batches):
             sizes.append(len(ws) + 1)
         if len(at) > TOP:
             at.clear()
-        words, place = np.unique(np.array(flat, dtype=U), return_inverse=True)
+        words, place, often = np.unique(np.array(flat, dtype=U), return_inverse=True, return_counts=True)
+        order = np.lexsort((words, -often))  # frequent words have small numbers, which compress well
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[order] = np.arange(len(words))
+        words, place = words[order], rank[place]
         table = table.drop_columns([table.column_names[1]]).append_column("size", pa.array(sizes, pa.int64()))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
         first = deltas(words)
-        tokens = len(words).to_bytes(8, "little") + len(first).to_bytes(8, "little") + first + squeeze(place.astype(np.int64))
+        tokens = len(words).to_bytes(8, "little") + len(first).to_bytes(8, "little") + first + squeeze(place)
         return pa.RecordBatch.from_arrays([pa.array([part + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([tokens], pa.binary()), pa.array([len(flat)], pa.int64())], names=["chunk", "data", "tokens", "m"])
 
     for b in batches:
@@ -115,9 +120,9 @@ def pack(batches):
 
 
 class Chunk:
-    """Texts of a chunk. d: the text of each token; two, three: whether a bigram, a trigram ends there; at: of each n-gram its place among the distinct keys."""
+    """Texts of a chunk. d: the text of each token; two, three: the tokens where a bigram, a trigram ends; keys: distinct n-grams, `width` bits each; at: of each n-gram its place among them."""
 
-    def __init__(self, data: bytes, tokens: bytes):
+    def __init__(self, data: bytes, tokens: bytes, width: int):
         self.table = pa.ipc.open_stream(data).read_all()
         self.sizes = self.table.column("size").to_numpy()
         self.d = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -126,10 +131,11 @@ class Chunk:
         k1 = words[loosen(tokens[16 + end :], len(self.d), np.int64)]
         place = np.arange(len(self.d)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.two, self.three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-        # words have odd keys, longer n-grams even ones
-        k2 = mix(mix(k1[self.two - 1]) ^ k1[self.two] * U(0x9FB21C651E98DF25)) & ~U(1)
-        k3 = mix(mix(k1[self.three - 2] + U(0x632BE59BD9B4E019)) ^ mix(k1[self.three - 1]) * U(0x9FB21C651E98DF25) ^ k1[self.three] * U(0xD6E8FEB86659FD93)) & ~U(1)
-        self.keys, self.at = np.unique(np.concatenate([k1, k2, k3]), return_inverse=True)
+        k2 = mix(mix(k1[self.two - 1]) ^ k1[self.two] * U(0x9FB21C651E98DF25))
+        k3 = mix(mix(k1[self.three - 2] + U(0x632BE59BD9B4E019)) ^ mix(k1[self.three - 1]) * U(0x9FB21C651E98DF25) ^ k1[self.three] * U(0xD6E8FEB86659FD93))
+        keys = (np.concatenate([k1, k2, k3]) >> U(65 - width)) << U(1)
+        keys[: len(k1)] |= U(1)  # words have odd keys, longer n-grams even ones
+        self.keys, self.at = np.unique(keys, return_inverse=True)
 
     def trained(self) -> np.ndarray:
         """How often each key stands in training texts of the chunk."""
@@ -153,9 +159,9 @@ class Chunk:
         return [total(c1 > 0).astype(np.int64), total(root), total(step)]
 
 
-def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, shift: int) -> pa.RecordBatch:
     """The message of a chunk to each bucket: bucket, chunk, n, keys, counts. keys are sorted."""
-    buckets, head = np.unique(keys >> U(64 - bits), return_index=True)
+    buckets, head = np.unique(keys >> U(shift), return_index=True)
     ends = np.r_[head[1:], len(keys)].tolist()
     head = head.tolist()
     m = len(head)
@@ -195,19 +201,19 @@ def answer(batches):
         yield close(bucket, rows)
 
 
-def gathered(batches):
+def gathered(batches, width: int):
     """Rows chunk, step, bucket, n, x, y sorted by these: yields each chunk with the totals of its keys."""
     chunk, got = None, []
     for b in batches:
         for step, n, x, y in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5))):
             if step == 0:
                 if chunk:
-                    yield Chunk(*chunk), np.concatenate(got)
+                    yield Chunk(*chunk, width), np.concatenate(got)
                 chunk, got = (x, y), []
             else:
                 got.append(loosen(x, n, np.int64))
     if chunk:
-        yield Chunk(*chunk), np.concatenate(got)
+        yield Chunk(*chunk, width), np.concatenate(got)
 
 
 def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,12 +225,13 @@ def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
     packed = cut(rows.mapInArrow(pack, "chunk long, data binary, tokens binary, m long"))
     size = packed.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     bits = min(18, max(9, (2 * size["m"] // KEYS).bit_length()))
+    width = min(64, (3 * size["m"]).bit_length() + SPARE)
 
     def count(batches):
         for b in batches:
             for chunk, data, tokens in zip(*(c.to_pylist() for c in b.columns)):
-                c = Chunk(data, tokens)
-                yield deal(chunk, c.keys, c.trained(), bits)
+                c = Chunk(data, tokens, width)
+                yield deal(chunk, c.keys, c.trained(), width - bits)
 
     dealt = packed.select("chunk", "data", "tokens").mapInArrow(count, MESSAGE).repartition("bucket").sortWithinPartitions("bucket", "chunk")
     counted = cut(dealt.mapInArrow(answer, ANSWER))
@@ -237,7 +244,7 @@ def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
     both = both.repartition(max(1, min(TASKS, size["chunks"])), "chunk").sortWithinPartitions("chunk", "step", "bucket")
 
     def score(batches):
-        for c, totals in gathered(batches):
+        for c, totals in gathered(batches, width):
             known, base, whole = c.scores(totals, n, v)
             table = pa.table([c.table.column(0), c.table.column(1), pa.array(c.sizes), pa.array(known), pa.array(np.full(len(known), n, dtype=np.int64)), pa.array(base), pa.array(whole)], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
             yield from table.combine_chunks().to_batches(max_chunksize=10_000)
