@@ -38,12 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    Its cleaner acts when the driver collects garbage; references from Python end a moment after their objects do, hence the second pass.
+    Its cleaner acts, in its own thread, when the driver collects garbage; references from Python end a moment after their objects do, hence the second pass.
     """
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(1.0)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "1m") -> None:

@@ -38,7 +38,7 @@ END = b""
 #: Words whose hashes a worker keeps at hand; steers cost alone.
 TOP = 250_000
 #: Bytes of text in a chunk, keys that a bucket holds on average, the most tasks that score chunks, and bits of a key beyond those that number all n-grams.
-CHUNK, KEYS, TASKS, SPARE = 4 << 20, 1 << 20, 20_000, 24
+CHUNK, KEYS, TASKS, SPARE = 4 << 20, 1 << 20, 20_000, 20
 U = np.uint64
 
 
