@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -437,10 +438,57 @@ def test_furniture_of_a_whole_host(spark, monkeypatch, shared):
     assert got[200] == "" and got[201] == "Other" and got[202] == "Site menu"
 
 
+def keys_of(stream):
+    """The token string of a page, texts side by side as one."""
+    out = []
+    for t in stream:
+        k = t.key if t.key != "#" else f"#{t.inside:d}{t.ours:d}{t.weak:d}"
+        if (t.key != "#" or not t.text.isspace()) and not (t.key == "#" and out and out[-1] == k):
+            out.append(k)
+    return "".join(f"<{k}>" for k in out)
+
+
+def pattern_of(nodes):
+    """The regular expression that a wrapper stands for."""
+    return "".join(f"(?:{pattern_of(n[1])}){n[0]}" if n[0] in "+?" else re.escape(f"<{n[1]}>") for n in nodes)
+
+
+def test_wrappers_match_every_page_of_their_host():
+    """Brute force: as a regular expression the wrapper accepts each page that it was inferred from, and refuses another layout."""
+    rng = random.Random(4)
+    part = {
+        "menu": lambda: "<ul>" + "<li><a>x</a></li>" * rng.randint(0, 4) + "</ul>",
+        "text": lambda: "<p>" + rng.choice("abc") + "</p>",
+        "many": lambda: f"<p>{rng.random()}</p>" * rng.randint(0, 5),
+        "table": lambda: "<table>" + ("<tr>" + "<td>1</td>" * rng.randint(1, 3) + "</tr>") * rng.randint(0, 3) + "</table>",
+        "box": lambda: rng.choice(["", "<div class='q'><h2>t</h2>b</div>", "<div class='q'><h2>t</h2></div>"]),
+        "bare": lambda: rng.choice(["", "word", "<b>w</b> x<hr>"]),
+    }
+    for _ in range(150):
+        layout = rng.choices(sorted(part), k=rng.randint(1, 6))
+        pages = [htmlwrap.tokens("<body>" + "".join(part[k]() for k in layout if rng.random() < 0.9) + "</body>") for _ in range(rng.randint(3, 8))]
+        wrapper = htmlwrap.load(htmlwrap.dump(htmlwrap.infer(pages)))
+        assert all(re.fullmatch(pattern_of(wrapper), keys_of(p)) for p in pages)
+        assert not re.fullmatch(pattern_of(wrapper), keys_of(htmlwrap.tokens("<body><blockquote>z</blockquote></body>")))
+        for p in pages:  # every text of a page stands in a slot
+            assert set(htmlwrap.text_of(p, wrapper).split()) <= set(htmlwrap.text_of(p, None).split())
+
+
 def test_wrapper_groups():
     pages = [htmlwrap.tokens(f"<ul>{'<li>x%d</li>' * n % tuple(range(n))}</ul><p>same</p>{'<h2>opt</h2>' if n == 3 else ''}<p>text {n}</p>") for n in (2, 3, 4)]
-    kinds = [n[0] for n in htmlwrap.infer(pages)]
-    assert "+" in kinds and "?" in kinds and htmlwrap.constants(htmlwrap.infer(pages)) == {"same", "x0", "x1"}
+    wrapper = htmlwrap.infer(pages)
+    assert {"+", "?"} <= {n[0] for n in wrapper}
+    assert [htmlwrap.text_of(p, wrapper) for p in pages] == ["text 2", "x2 opt text 3", "x2 x3 text 4"]
+    assert htmlwrap.text_of(pages[0], None) == "x0 x1 same text 2"
+
+
+def test_boxes_inside_an_article():
+    """Names like header or discussion inside an article are text, unless the host's pages share it."""
+    page = '<article><div class="article-header"><h1>Headline {i}</h1></div><p>Body {i}</p><section class="discussion">We discuss {i}</section><p class="notice">notice {i}</p><div class="copyright">All rights</div><div class="comments">me too</div></article>'
+    pages = [htmlwrap.tokens(page.format(i=i)) for i in range(4)]
+    wrapper = htmlwrap.infer(pages)
+    assert [htmlwrap.text_of(p, wrapper) for p in pages] == [f"Headline {i} Body {i} We discuss {i}" for i in range(4)]
+    assert htmlwrap.text_of(pages[0], None) == "Headline 0 Body 0 We discuss 0 All rights"
 
 
 # ---- 9 -----------------------------------------------------------------------------------------------------------------
