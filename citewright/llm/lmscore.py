@@ -38,7 +38,7 @@ END = b""
 #: Words whose hashes a worker keeps at hand; steers cost alone.
 TOP = 250_000
 #: Bytes of text in a chunk, keys that a bucket holds on average, the most tasks that score chunks, and bits of a key beyond those that number all n-grams.
-CHUNK, KEYS, TASKS, SPARE = 4 << 20, 1 << 20, 20_000, 20
+CHUNK, KEYS, TASKS, SPARE = 3 << 20, 1 << 20, 20_000, 20
 U = np.uint64
 
 
@@ -119,13 +119,23 @@ def pack(batches):
         yield flush()
 
 
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each given one among them; np.unique in less memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
+    at = np.empty(len(keys), dtype=np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], at
+
+
 class Chunk:
     """Texts of a chunk. d: the text of each token; two, three: the tokens where a bigram, a trigram ends; keys: distinct n-grams, `width` bits each; at: of each n-gram its place among them."""
 
     def __init__(self, data: bytes, tokens: bytes, width: int):
         self.table = pa.ipc.open_stream(data).read_all()
         self.sizes = self.table.column("size").to_numpy()
-        self.d = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.d = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         m, end = (int.from_bytes(tokens[i : i + 8], "little") for i in (0, 8))
         words = np.cumsum(loosen(tokens[16 : 16 + end], m, U), dtype=U)
         k1 = words[loosen(tokens[16 + end :], len(self.d), np.int64)]
@@ -135,7 +145,7 @@ class Chunk:
         k3 = mix(mix(k1[self.three - 2] + U(0x632BE59BD9B4E019)) ^ mix(k1[self.three - 1]) * U(0x9FB21C651E98DF25) ^ k1[self.three] * U(0xD6E8FEB86659FD93))
         keys = (np.concatenate([k1, k2, k3]) >> U(65 - width)) << U(1)
         keys[: len(k1)] |= U(1)  # words have odd keys, longer n-grams even ones
-        self.keys, self.at = np.unique(keys, return_inverse=True)
+        self.keys, self.at = places(keys)
 
     def trained(self) -> np.ndarray:
         """How often each key stands in training texts of the chunk."""
@@ -144,10 +154,9 @@ class Chunk:
 
     def scores(self, totals: np.ndarray, n: int, v: int) -> list[np.ndarray]:
         """totals: of each key in all training texts. Of each text: known tokens, log10 by unigrams, log10 by the automaton."""
-        count = totals.astype(np.float64)[self.at]
         m, k = len(self.d), len(self.two)
-        c1, c2, c3 = count[:m], np.zeros(m), np.zeros(m)
-        c2[self.two], c3[self.three] = count[m : m + k], count[m + k :]
+        c1, c2, c3 = totals[self.at[:m]].astype(np.float64), np.zeros(m), np.zeros(m)
+        c2[self.two], c3[self.three] = totals[self.at[m : m + k]], totals[self.at[m + k :]]
         root = np.log10((c1 + 0.1) / (n + 0.1 * (v + 1)))
         # the history of a text's first token, and of its second one beyond a word, is not known: count 0, where the failure arc weighs nothing
         h1, h2 = np.zeros(m), np.zeros(m)
@@ -179,8 +188,7 @@ def answer(batches):
 
     def close(bucket, rows):
         ns = [r[1] for r in rows]
-        keys = np.concatenate([np.cumsum(loosen(r[2], r[1], U), dtype=U) for r in rows])
-        u, inverse = np.unique(keys, return_inverse=True)
+        u, inverse = places(np.concatenate([np.cumsum(loosen(r[2], r[1], U), dtype=U) for r in rows]))
         total = np.bincount(inverse, np.concatenate([loosen(r[3], r[1], np.int64) for r in rows])).astype(np.int64)
         words = total[(u & U(1)).astype(bool)]
         x, ends = total[inverse], np.cumsum(ns).tolist()
@@ -208,7 +216,8 @@ def gathered(batches, width: int):
         for step, n, x, y in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5))):
             if step == 0:
                 if chunk:
-                    yield Chunk(*chunk, width), np.concatenate(got)
+                    chunk, got = None, (Chunk(*chunk, width), np.concatenate(got))
+                    yield got
                 chunk, got = (x, y), []
             else:
                 got.append(loosen(x, n, np.int64))
@@ -231,7 +240,9 @@ def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
         for b in batches:
             for chunk, data, tokens in zip(*(c.to_pylist() for c in b.columns)):
                 c = Chunk(data, tokens, width)
-                yield deal(chunk, c.keys, c.trained(), width - bits)
+                keys, counts = c.keys, c.trained()
+                del c
+                yield deal(chunk, keys, counts, width - bits)
 
     dealt = packed.select("chunk", "data", "tokens").mapInArrow(count, MESSAGE).repartition("bucket").sortWithinPartitions("bucket", "chunk")
     counted = cut(dealt.mapInArrow(answer, ANSWER))
@@ -247,6 +258,7 @@ def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
         for c, totals in gathered(batches, width):
             known, base, whole = c.scores(totals, n, v)
             table = pa.table([c.table.column(0), c.table.column(1), pa.array(c.sizes), pa.array(known), pa.array(np.full(len(known), n, dtype=np.int64)), pa.array(base), pa.array(whole)], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            del c, totals  # before the next chunk comes
             yield from table.combine_chunks().to_batches(max_chunksize=10_000)
 
     return both.mapInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
