@@ -10,16 +10,18 @@ band below, and of every DESIGNATED-th segment also the neighbourhood of one del
 equal segments and one-deletion neighbourhoods; a segment costs what a sample of the texts says its rarest shingle occurs, so passages that
 many texts share are not probed while others suffice. The sample steers cost alone, never the result.
 
-Signatures meet by a shuffle and are read in sorted order, one size window at a time. Sets of a run are first paired with one leader (a star, not all pairs), candidates
-are verified on whole sets, and links give components. Then, wherever a run holds sets of different components, these are compared too: pair
-by pair in short runs; long ones are joined in blocks, once for all runs with the same leader. What is left unlinked is not similar: no
-pair is lost, and pairs inside a component are never enumerated. Texts with equal sets are one set throughout.
+Signatures meet by a shuffle and are read in sorted order, by size, askers before the sets that they may match. Of a run (the sets with one signature) the reader holds
+the askers that still reach the size in hand, as a queue of ever larger hashes (expected length: the logarithm of their number), and two rows: memory does not grow with the run.
+Each set that an asker of the run may match is paired with one of them (a star, not all pairs), candidates are verified on whole sets, and links give
+components. Then, wherever a run holds sets of different components, these are compared too: pair by pair in short runs; long ones are joined in
+blocks, once for all runs with the same leader. What is left unlinked is not similar: no pair is lost, and pairs inside a component are
+never enumerated. Texts with equal sets are one set throughout. A run of any length is read by one task, in a time linear in its rows (30 bytes each).
 
 Sets are identified by 64-bit hashes, as are shingles: two different ones meet with a probability of about (number of sets) ** 2 / 2 ** 65.
 
 Defined cases: texts without words (null, empty, only white space) have 0 shingles and stay alone; texts of fewer words than SHINGLE have one; repeated rows
-and equal texts form a component; of rows with a null id a component ignores the id; extra columns are ignored; an empty table gives
-an empty result.
+and equal texts form a component; rows with a null id link like others, but a component_id is never theirs unless the whole component has no id (then null); very long texts
+are joined whole; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ SHINGLE, GROWTH, FINE, DESIGNATED = 5, 1.5625, 200, 32
 SAMPLE_DOCS, HOT_LEAST, HOT_MOST, WORDS, SHARED_ROWS = 10_000, 4, 200_000, 250_000, 1_000_000
 #: Sets in a run that are compared pair by pair; more meet as a family, in blocks of so many elements.
 FEW, BLOCK = 12, 200_000
-#: Roles of a signature: indexed segment, probe for an equal one, probe for one with a deletion, own deletion probing, own deletion indexed.
-INDEX, PROBE, GROW, SHRUNK, DELETED = 1, 2, 4, 8, 16
+#: Roles of a signature: indexed segment, own deletion indexed; askers: probe for an equal segment, probe for one with a deletion, own deletion probing.
+INDEX, DELETED, PROBE, GROW, SHRUNK = 1, 2, 4, 8, 16
+#: A row holds size << 8 | LATE - roles: at one size askers sort first.
+LATE = 255
 U = np.uint64
 
 
@@ -177,7 +181,7 @@ def signatures(s: np.ndarray, cost: np.ndarray) -> list[tuple[np.ndarray, np.nda
 
 
 class Probes:
-    """Probing sets of at least 0.8 of the size in hand, and the one of them with the smallest hash."""
+    """Asking sets of at least 0.8 of the size in hand, and the one of them with the smallest hash."""
 
     def __init__(self):
         self.queue: list[tuple[int, int, int]] = []  # hashes grow: the first is the smallest
@@ -190,109 +194,112 @@ class Probes:
             q.pop()
         q.append((h, n, sid))
 
-    def best(self, n: int) -> tuple[int, int] | None:
+    def best(self, n: int) -> int | None:
         q = self.queue
         while self.head < len(q) and q[self.head][1] * 5 < n * 4:
             self.head += 1
-        return (q[self.head][0], q[self.head][2]) if self.head < len(q) else None
-
-
-def leaders(run: list[tuple[int, int, int]]):
-    """run: (n, set, roles) by size. Yields (leader, set) for each set that some probe of the run may match."""
-    if not any(r & (PROBE | SHRUNK | GROW) for _, _, r in run):
-        return
-    windows = {INDEX: (Probes(), PROBE | SHRUNK), DELETED: (Probes(), GROW)}
-    at = 0
-    while at < len(run):
-        end = at
-        while end < len(run) and run[end][0] == run[at][0]:
-            end += 1
-        level = run[at:end]
-        n = level[0][0]
-        for target, (window, asks) in windows.items():
-            near = sorted((sid * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, sid) for _, sid, r in level if r & asks)[:2]
-            first = window.best(n)
-            options = ([first] if first else []) + near
-            if options:
-                for _, sid, r in level:
-                    if r & target:
-                        best = min((o for o in options if o[1] != sid), default=None)
-                        if best:
-                            yield best[1], sid
-            for _, sid, r in level:
-                if r & asks:
-                    window.push(n, sid)
-        at = end
-
-
-def unmet(run: list[tuple[int, int, int]], members: set[int]) -> bool:
-    """Whether a set of the run outside members may match one of them. Only askers can: every target of a probe is a member."""
-    targets = [(n, r) for n, sid, r in run if sid in members]
-    return any(sid not in members and n <= m and n * 5 >= m * 4 and (r & (PROBE | SHRUNK) and t & INDEX or r & GROW and t & DELETED) for n, sid, r in run for m, t in targets)
+        if self.head > 1000:
+            del q[: self.head]
+            self.head = 0
+        return q[self.head][2] if self.head < len(q) else None
+
+
+class Run:
+    """One signature from its first asker on. pair(a, b) takes candidates, keep(sig, set, size << 8 | roles) all sets that ask or are asked for, if there are three or more."""
+
+    def __init__(self, sig: int, pair, keep):
+        self.sig, self.pair, self.keep = sig, pair, keep
+        self.windows = (INDEX, PROBE | SHRUNK, Probes()), (DELETED, GROW, Probes())
+        self.last = None
+        self.held: list[tuple[int, int]] = []  # rows of the first two sets
+        self.first: set[int] = set()
+
+    def add(self, n: int, sid: int, role: int) -> None:
+        if (n, sid, role) == self.last:
+            return
+        self.last = n, sid, role
+        met = role >= PROBE
+        for target, _, window in self.windows:
+            if role & target:
+                asker = window.best(n)
+                if asker is not None:
+                    met = True
+                    if asker != sid:
+                        self.pair(asker, sid)
+        if not met:
+            return
+        for _, asks, window in self.windows:
+            if role & asks:
+                window.push(n, sid)
+        if self.held is None:
+            self.keep(self.sig, sid, n << 8 | role)
+            return
+        self.first.add(sid)
+        self.held.append((sid, n << 8 | role))
+        if len(self.first) > 2:
+            for x, packed in self.held:
+                self.keep(self.sig, x, packed)
+            self.held = None
+
+    def close(self) -> None:
+        if self.held and len(self.first) == 2:
+            self.pair(*self.first)  # whichever asks
 
 
 def runs(batches):
-    """Sorted rows sig, size << 8 | roles, set, doc: yields kind 0 (leader, set), kind 1 (sig, set) of runs with more pairs than those, kind 2 (doc, set, n)."""
-    kind: list[int] = []
-    a: list = []
-    b: list = []
-    c: list = []
+    """Rows sig, size << 8 | LATE - roles, set, doc, sorted: yields kind 0 (pair of sets), kind 1 (sig, set, size << 8 | roles) of runs with three sets or more, kind 2 (doc, set, n)."""
+    out: list[list] = [[], [], [], []]
+
+    def put(*row):
+        for column, x in zip(out, row):
+            column.append(x)
 
     def flush():
-        got = pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["kind", "a", "b", "c"])
-        for x in (kind, a, b, c):
+        got = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int8(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "a", "b", "c"])
+        for x in out:
             x.clear()
         return got
 
-    def close(sig: int, run: list[tuple[int, int, int]]):
-        members = set()
-        for leader, sid in leaders(run):
-            kind.append(0)
-            a.append(min(leader, sid))
-            b.append(max(leader, sid))
-            c.append(0)
-            members.add(leader)
-            members.add(sid)
-        if len(members) > 2 or members and len(run) > 2 and unmet(run, members):
-            for n, sid, r in run:
-                kind.append(1)
-                a.append(sig)
-                b.append(sid)
-                c.append(n << 8 | r)
-
-    open_sig, open_run = None, []
+    def pair(a, b):
+        put(0, min(a, b), max(a, b), 0)
+
+    def keep(sig, sid, packed):
+        put(1, sig, sid, packed)
+
+    run = None
     for batch in batches:
         sig, packed, sid = (np.asarray(x) for x in batch.columns[:3])
-        n, role = packed >> 8, packed & 255
+        n, role = packed >> 8, LATE - (packed & 255)
         docs = role == 0
         if docs.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(int(docs.sum()), 2, dtype=np.int8)), batch.column(3).filter(pa.array(docs)), pa.array(sid[docs]), pa.array(n[docs])], names=["kind", "a", "b", "c"])
-            keep = ~docs
-            sig, n, sid, role = sig[keep], n[keep], sid[keep], role[keep]
+            kept = ~docs
+            sig, n, sid, role = sig[kept], n[kept], sid[kept], role[kept]
         if not len(sig):
             continue
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        head = np.flatnonzero(new)
-        size = np.diff(np.r_[head, len(sig)])
-        for k in np.flatnonzero((size > 1) | (np.arange(len(head)) == 0) | (np.arange(len(head)) == len(head) - 1)):
-            lo, hi = head[k], head[k] + size[k]
-            rows: dict[tuple[int, int], int] = {}
-            for x, y, z in zip(n[lo:hi].tolist(), sid[lo:hi].tolist(), role[lo:hi].tolist()):
-                rows[x, y] = rows.get((x, y), 0) | z
+        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        ends = np.r_[head[1:], len(sig)]
+        asking = role >= PROBE
+        live = np.logical_or.reduceat(asking, head) & (ends - head > 1)
+        live[-1] = live[0] = True  # may go on in another batch
+        for k in np.flatnonzero(live):
+            lo, hi = int(head[k]), int(ends[k])
             value = int(sig[lo])
-            if value == open_sig:
-                merged = {(x, y): z for x, y, z in open_run}
-                for xy, z in rows.items():
-                    merged[xy] = merged.get(xy, 0) | z
-                open_run = [(x, y, z) for (x, y), z in merged.items()]
-            else:
-                if len(open_run) > 1:
-                    close(open_sig, open_run)
-                open_sig, open_run = value, [(x, y, z) for (x, y), z in rows.items()]
-        if len(kind) > 200_000:
+            if run is None or run.sig != value:
+                ask = np.flatnonzero(asking[lo:hi])
+                if not len(ask):
+                    continue  # what comes before the first asker is asked for by no set
+                if run is not None:
+                    run.close()
+                run, lo = Run(value, pair, keep), lo + int(ask[0])
+            for at in range(lo, hi, 100_000):  # a run may fill a batch
+                part = slice(at, min(hi, at + 100_000))
+                for row in zip(n[part].tolist(), sid[part].tolist(), role[part].tolist()):
+                    run.add(*row)
+        if len(out[0]) > 200_000:
             yield flush()
-    if len(open_run) > 1:
-        close(open_sig, open_run)
+    if run is not None:
+        run.close()
     yield flush()
 
 
@@ -356,11 +363,11 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
                     role.append(r)
                     doc += [None] * len(value)
             if sig:
-                packed = np.concatenate(n).astype(np.int64) << 8 | np.concatenate(role)
+                packed = np.concatenate(n).astype(np.int64) << 8 | LATE - np.concatenate(role)
                 cols = [np.concatenate(sig).view(np.int64), packed, np.concatenate(sid).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(doc, pa.int64())], names=["sig", "packed", "sid", "doc"])
 
-    rows = docs.mapInArrow(sign, "sig long, packed long, sid long, doc long").repartition("sig").sortWithinPartitions("sig", "packed")
+    rows = docs.mapInArrow(sign, "sig long, packed long, sid long, doc long").repartition("sig").sortWithinPartitions("sig", "packed", "sid")
     small_batches(spark, rows=100_000)
     found = cut(rows.mapInArrow(runs, "kind byte, a long, b long, c long"))
     small_batches(spark)
@@ -393,8 +400,9 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int
 
 
 def sets_of(docs: DataFrame, members: DataFrame, needed: DataFrame) -> DataFrame:
-    """sid, s: the sets with the ids in needed (one column sid), made anew from their texts."""
-    ids = cut(members.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")).select("id").distinct())
+    """sid, s: the sets with the ids in needed (one column sid), made anew from their texts; a set may stand more than once."""
+    named = cut(members.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")))
+    ids = named.filter("id is not null").select("id").distinct()
     few = ids.count() <= SHARED_ROWS
     chosen = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -404,7 +412,13 @@ def sets_of(docs: DataFrame, members: DataFrame, needed: DataFrame) -> DataFrame
             got = [s for s in sets.of(b.column(0).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["sid", "s"])
 
-    return chosen.select("t").mapInArrow(build, "sid long, s array<long>")
+    made = lambda rows: rows.select("t").mapInArrow(build, "sid long, s array<long>")
+    nameless = named.filter("id is null").select("sid")
+    if nameless.isEmpty():
+        return made(chosen)
+    # sets that only rows without id have: all such rows are read
+    few = nameless.count() <= SHARED_ROWS
+    return made(chosen).unionByName(made(docs.filter("id is null")).join(F.broadcast(nameless) if few else nameless, "sid", "left_semi").dropDuplicates(["sid"]))
 
 
 def families(docs: DataFrame, members: DataFrame, large: DataFrame, percent: int) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -262,6 +263,9 @@ def near_copies():
     passage = prose(30)
     rows += [(i + k, passage + " " + prose(random.randint(5, 60)), "x") for k in range(40)]
     rows += [(3000, None, "x"), (3001, "", "x"), (3002, " \t ", "x"), (3003, "one", "x"), (3004, "ONE", "x"), (3005, "one two three four", "x"), (3006, "one two three four five", "x"), (3006, "one two three four five", "x"), (3007, "É one", "x"), (3008, "é one", "x"), (None, "one", "x")]
+    # a row without id links two others, which do not link
+    bridge = [f"bridge{i}" for i in range(60)]
+    rows += [(4000, " ".join(bridge[:54]), "x"), (None, " ".join(bridge), "x"), (4001, " ".join(bridge[6:]), "x"), (None, prose(40), "x"), (4002, prose(40), "x")]
     return rows
 
 
@@ -312,6 +316,43 @@ def test_one_deletion_finds_what_probes_skip():
     assert set(taken) == {0, 3} and set(up) == {0}
 
 
+def run_batches(run, size):
+    """Rows (n, set, roles) of one signature as the reader gets them."""
+    rows = sorted((n << 8 | ngramjoin.LATE - r, sid) for n, sid, r in run)
+    for at in range(0, len(rows), size):
+        part = rows[at : at + size]
+        yield pa.RecordBatch.from_arrays([pa.array([7] * len(part), pa.int64()), pa.array([p for p, _ in part], pa.int64()), pa.array([sid for _, sid in part], pa.int64()), pa.array([None] * len(part), pa.int64())], names=["sig", "packed", "sid", "doc"])
+
+
+def test_a_run_of_a_million_sets_takes_constant_memory():
+    rng = np.random.RandomState(1)
+
+    def batches(rows, asks):
+        n, sid = np.sort(rng.randint(80, 120, rows)), rng.randint(0, 2**62, rows)
+        role = np.where(rng.rand(rows) < asks, ngramjoin.INDEX | ngramjoin.PROBE, ngramjoin.INDEX)
+        packed = np.sort(n << 8 | ngramjoin.LATE - role)
+        for at in range(0, rows, 20_000):
+            k = slice(at, at + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid[k]), 7)), pa.array(packed[k]), pa.array(sid[k]), pa.array([None] * len(sid[k]), pa.int64())], names=["sig", "packed", "sid", "doc"])
+
+    def held(rows, asks):
+        ready = list(batches(rows, asks))
+        tracemalloc.start()
+        seen = [0, 0, 0]
+        for b in ngramjoin.runs(ready):
+            for k, c in Counter(b.column(0).to_pylist()).items():
+                seen[k] += c
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak / 1e6, seen
+
+    for asks in (0.0, 1e-5, 0.3):
+        peak, seen = held(1_000_000, asks)
+        assert peak < 60, (asks, peak)  # mostly the rows that wait to be written
+        assert (seen[0] > 900_000 and seen[1] > 900_000) if asks == 0.3 else seen[1] <= 1_000_000
+    assert held(1_000_000, 0.0)[1] == [0, 0, 0]
+
+
 def test_runs_leave_no_pair_unmet():
     """Every pair of a run that may match is a candidate, or its whole run goes to the later check."""
     I, P, G, S, D = ngramjoin.INDEX, ngramjoin.PROBE, ngramjoin.GROW, ngramjoin.SHRUNK, ngramjoin.DELETED  # noqa: E741
@@ -319,9 +360,7 @@ def test_runs_leave_no_pair_unmet():
     made = [[(134, 1, D | S), (134, 2, D | S), (135, 3, I)], [(120, 1, I | P), (134, 2, D | S), (135, 3, I)], [(134, 1, I | G), (134, 2, I | G), (135, 3, D)]]
     made += [[(draw.randint(80, 120), sid, draw.choice((I, I | P, I | G, D, D | S))) for sid in range(draw.randint(2, 6))] for _ in range(500)]
     for run in made:
-        run = sorted(run)
-        batch = pa.RecordBatch.from_arrays([pa.array([7] * len(run), pa.int64()), pa.array([n << 8 | r for n, _, r in run], pa.int64()), pa.array([sid for _, sid, _ in run], pa.int64()), pa.array([None] * len(run), pa.int64())], names=["sig", "packed", "sid", "doc"])
-        rows = [r for b in ngramjoin.runs([batch]) for r in b.to_pylist()]
+        rows = [r for b in ngramjoin.runs(run_batches(run, draw.randint(1, 4))) for r in b.to_pylist()]
         pairs, later = {(r["a"], r["b"]) for r in rows if r["kind"] == 0}, {r["b"] for r in rows if r["kind"] == 1}
         for n, p, r in run:
             for m, q, t in run:
