@@ -7,7 +7,8 @@ lie within eps of each other on every axis; candidates are found by an equi-join
 Inside a pair of segments the intervals are halved and joined recursively, skipping those whose boxes are farther apart than eps; what is left is compared
 by a matrix product in double precision.
 
-Equal vectors of one label are joined once, with their number. A pair of segments gives counts of links and a spanning forest of them,
+Equal vectors of one label, told by 128 bits of hash, are joined once, with their number. A segment travels once for each segment whose box lies within eps; segments are large,
+so that these are few, and the recursion finds what inside them is close. A pair of segments gives counts of links and a spanning forest of them,
 never all pairs; the forests meet in distributed connected components. Vectors of different length or of different or null labels never link, nor do
 null, zero, or non-finite ones (they are components of their own). Repeated rows are vectors of their own; rows that share a vec_id
 give one row each with equal results. Extra columns are ignored; an empty table gives an empty result.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from citewright.llm.common import cut, small_batches
 from citewright.llm.components import components, roots
 
-AXES, SEGMENT, LEAF = 6, 1024, 64
+AXES, SEGMENT, LEAF = 6, 8192, 128
 
 
 def usable(v) -> F.Column:
@@ -33,6 +34,11 @@ def usable(v) -> F.Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False)) & F.exists(d, lambda x: x != 0)
 
 
+def identity(v: F.Column) -> tuple[F.Column, F.Column]:
+    """128 bits that tell vectors apart: two hashes that run over the components from different seeds."""
+    return F.xxhash64(v), F.xxhash64(F.lit(7), v)
+
+
 def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """The principal axes (columns, leading first) of the unit vectors of each length."""
 
@@ -107,9 +113,9 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, *, key: str = "vec_id",
     spark = df.sparkSession
     small_batches(spark, rows=10_000)
     rows = df.select(F.col(key).alias("id"), F.col(label).alias("lab"), F.col(vector).alias("v"))
+    single = np.float32 if rows.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
     good = rows.filter(F.col("lab").isNotNull() & F.col("id").isNotNull()).filter(usable(F.col("v")))
-    # equal vectors are told by 128 bits of hash, so that only one copy of each travels
-    good = good.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64("v", F.lit(7)))
+    good = good.withColumns(dict(zip("hg", identity(F.col("v")))))  # only one copy of equal vectors travels
     groups = cut(good.groupBy("lab", "h", "g").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.first("v").alias("v")))
     turn = axes(groups)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9)
@@ -146,7 +152,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, *, key: str = "vec_id",
             count += 1
             ids, many = np.array([h[0] for h in held], dtype=np.int64), np.array([h[2] for h in held], dtype=np.int64)
             held = []
-            cols = [pa.array([seg], pa.int64()), pa.array([lab], lab_type), pa.array([dim], pa.int32()), pa.array([p.min(0).tolist()], pa.list_(pa.float64())), pa.array([p.max(0).tolist()], pa.list_(pa.float64())), pa.array([ids.tobytes()]), pa.array([many.tobytes()]), pa.array([x.tobytes()])]
+            cols = [pa.array([seg], pa.int64()), pa.array([lab], lab_type), pa.array([dim], pa.int32()), pa.array([p.min(0).tolist()], pa.list_(pa.float64())), pa.array([p.max(0).tolist()], pa.list_(pa.float64())), pa.array([ids.tobytes()]), pa.array([many.tobytes()]), pa.array([x.astype(single).tobytes()])]
             return pa.RecordBatch.from_arrays(cols, names=["seg", "lab", "dim", "lo", "hi", "ids", "many", "x"])
 
         for b in batches:
@@ -180,7 +186,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, *, key: str = "vec_id",
                 for i, m, x in ((i1, m1, x1), (i2, m2, x2)):
                     ids.append(np.frombuffer(i, dtype=np.int64))
                     many.append(np.frombuffer(m, dtype=np.int64))
-                    v = np.frombuffer(x).reshape(-1, dim)
+                    v = np.frombuffer(x, dtype=single).astype(np.float64).reshape(-1, dim)
                     unit.append(v / np.linalg.norm(v, axis=1, keepdims=True))
                     proj.append(unit[-1] @ turn[dim][:, : min(AXES, dim)])
                 gi, gj = [], []

@@ -122,6 +122,24 @@ def test_vectors(spark, monkeypatch):
     assert epsgrid.near_duplicates(df.limit(0), 0.98).count() == 0
 
 
+def test_vectors_with_clashing_hashes(spark, monkeypatch):
+    """One of the two hashes is the same for all: the other still tells vectors apart."""
+    rng = np.random.RandomState(9)
+    rows = [(i, rng.randn(8).round(1).tolist(), 1) for i in range(60)]
+    rows += [(100 + i, rows[i][1], 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(epsgrid.near_duplicates(df, 0.9).collect())
+    for k in range(2):
+        plain = epsgrid.identity
+        monkeypatch.setattr(epsgrid, "identity", lambda v, k=k, plain=plain: tuple(F.lit(0).cast("long") if i == k else x for i, x in enumerate(plain(v))))
+        assert sorted(epsgrid.near_duplicates(df, 0.9).collect()) == want
+        monkeypatch.undo()
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = ((x @ x.T) >= 0.9).sum(1) - 1
+    assert [r["n_links"] for r in want] == links.tolist()
+
+
 def test_components(spark, monkeypatch):
     links = [(random.randrange(200), random.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 80)] + [(7, 7), (None, 3)]
     parent = {}
