@@ -5,12 +5,15 @@ its places the longest known n-gram (GRAMS down to 1 characters, with word bound
 averaged, so that a word weighs as much as a known one. The language with the largest sum wins.
 
 Training counts words over a sample of labelled rows: of each language at most PER_LANG rows in expectation, picked by
-a hash of the id, so every size of table takes the same path; at most VOCABULARY words and GRAM_TABLE n-grams (the most frequent ones) enter the
-model, which is what the driver holds and broadcasts. Prediction reads whole texts.
+a hash of the id, so every size of table takes the same path. n-grams are counted over all words of the sample, by executors, each word with
+the root of its number. The model, which is what the driver holds and broadcasts, has WORDS / L words and GRAM_TABLE / L n-grams of each length for each of L
+languages, the most frequent ones: what a language gets does not depend on what others have. Prediction reads whole texts.
 
-Defined cases: null text, or text without a letter: `und`, score 0; letters of which nothing is known: the first
-learned language by name, score 1 / number of languages; ties: the first by name; repeated rows give repeated results;
-a row without a language teaches nothing; with nothing to learn from, every result is `und` with score 0.
+A word is a run of letters (Unicode category L) with their combining marks.
+
+Defined cases: null text, or text without a letter (digits, fractions, circled numbers): `und`, score 0; letters of which nothing is known: the first
+learned language by name, score 1 / number of languages; ties: the first by name; repeated rows give repeated results; very long texts are read whole;
+a row without a language teaches nothing; with nothing to learn from, every result is `und` with score 0; extra columns never enter, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,36 +23,45 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from citewright.llm.common import crc_bucket, cut, small_batches
+
+PER_LANG, WORDS, GRAMS, GRAM_TABLE, CACHE = 1500, 120_000, 5, 24_000, 250_000
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same for lower-cased text below U+0100, by the faster engine of the standard library.
+LATIN = re.compile("[a-zªµºß-öø-ÿ]+")
 
-from citewright.llm.common import crc_bucket, small_batches
 
-PER_LANG, VOCABULARY, GRAMS, GRAM_TABLE, CACHE = 1500, 60_000, 5, 120_000, 250_000
-LETTERS = re.compile(r"[^\W\d_]+")
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (LATIN if text.isascii() or max(text) < "\u0100" else LETTERS).findall(text)
+
+
+def grams_of(word: str) -> list[str]:
+    """Its n-grams, boundaries included."""
+    w = f"^{word}$"
+    return [w[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1)]
 
 
 class LanguageModel:
     """Log relative frequencies of words and n-grams: one row of `table` for each, one column for each language."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        self.langs = sorted({c[0] for c in counts})
+    def __init__(self, words: list[tuple[str, str, float]], grams: list[tuple[str, str, float]]):
+        """(language, word or n-gram, weight) of those that the model keeps."""
+        self.langs = sorted({c[0] for c in words})
         at = {x: i for i, x in enumerate(self.langs)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        for lang, word, n in counts:
-            words[word][at[lang]] += n
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(GRAMS + 1)]
-        for word, v in words.items():
-            for g in self._grams(word):
-                grams[len(g)][g] += np.sqrt(v)  # damped: common words must not decide alone what unseen words look like
-        self.words = self._logs(words)
-        self.grams = {}
-        for table in grams[1:]:
-            known = self._logs(table)
-            if len(known) > GRAM_TABLE // GRAMS:
-                heavy = sorted(table, key=lambda g: (-table[g].sum(), g))[: GRAM_TABLE // GRAMS]
-                known = {g: known[g] for g in heavy}
-            self.grams |= known
+        tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(GRAMS + 1)]
+        for lang, word, n in words:
+            tables[0][word][at[lang]] += n
+        for lang, gram, n in grams:
+            if lang in at:
+                tables[len(gram)][gram][at[lang]] += n
+        self.words, *rest = map(self._logs, tables)
+        self.grams = {g: v for table in rest for g, v in table.items()}
 
     def __getstate__(self) -> tuple:
         """Names and one matrix: small on the wire and in a worker."""
@@ -60,11 +72,6 @@ class LanguageModel:
         self.langs, *tables = state
         self.words, self.grams = (dict(zip(names.split("\n"), rows)) if len(rows) else {} for names, rows in tables)
 
-    @staticmethod
-    def _grams(word: str) -> list[str]:
-        w = f"^{word}$"
-        return [w[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1)]
-
     @staticmethod
     def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         if not table:
@@ -108,7 +115,7 @@ class Scorer(dict):
         langs = self.model.langs
         if len(self) > CACHE:
             self.clear()
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         n = np.array([len(w) for w in words], dtype=np.int64)
         if not langs or not n.any():
             return ["und"] * len(texts), [0.0] * len(texts)
@@ -129,7 +136,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel([])
+        return LanguageModel([], [])
     rate = F.create_map(*[F.lit(x) for lang_, n in sizes.items() for x in (lang_, min(1.0, per_lang / n))])
     draw = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(draw < F.element_at(rate, F.col("l"))).select("l", "t")
@@ -138,14 +145,29 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
         for b in batches:
             got: dict[str, Counter] = defaultdict(Counter)
             for l_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got[l_].update(LETTERS.findall(t.lower()))
+                got[l_].update(words_of(t))
             flat = [(l_, w, n) for l_, c in got.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int64())], names=["l", "w", "n"])
 
     small_batches(labelled.sparkSession)
     counts = sample.mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.length("w") <= 64).orderBy(F.desc("n"), "l", "w").limit(VOCABULARY)
-    return LanguageModel([(r["l"], r["w"], r["n"]) for r in top.collect()])
+    counts = cut(counts)
+
+    def spell(batches):
+        for b in batches:
+            got: dict[tuple[str, str], float] = defaultdict(float)
+            for l_, w, n in zip(*(c.to_pylist() for c in b.columns)):
+                for g in grams_of(w):
+                    got[l_, g] += n**0.5  # damped: common words must not decide alone what unseen words look like
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.float64())], names=["l", "w", "n"])
+
+    grams = counts.mapInArrow(spell, "l string, w string, n double").groupBy("l", "w").agg(F.round(F.sum("n"), 6).alias("n"))  # rounded: sums of doubles depend on their order
+
+    def heaviest(rows: DataFrame, most: int, *by) -> list[tuple[str, str, float]]:
+        ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("l", *by).orderBy(F.desc("n"), "w")))
+        return [(r["l"], r["w"], r["n"]) for r in ranked.filter(F.col("r") <= max(1, most // len(sizes))).select("l", "w", "n").collect()]
+
+    return LanguageModel(heaviest(counts, WORDS), heaviest(grams, GRAM_TABLE, F.length("w")))
 
 
 def identify(df: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from citewright.llm import bpe, components, decontam, epsgrid, htmlwrap, langid, lmscore, ngramjoin, sharding, toxicity, warc
@@ -66,6 +67,62 @@ def test_language(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out if r["doc_id"] is not None)
 
 
+@pytest.mark.parametrize("words,grams", [(120_000, 24_000), (60, 40)])
+def test_language_equals_brute_force(spark, monkeypatch, words, grams):
+    """The rule of the docstring in plain Python; three alphabets, combining marks, numerals that are no letters, words beyond the model."""
+    monkeypatch.setattr(langid, "WORDS", words)
+    monkeypatch.setattr(langid, "GRAM_TABLE", grams)
+    rng = random.Random(8)
+    alphabets = {"aa": ["ka", "lo", "mi", "é", "ß"], "bb": ["ka", "ru", "te", "n\u0303a", "ο"], "cc": ["世", "界", "語", "ka"]}
+    say = lambda lang: " ".join("".join(rng.choices(alphabets[lang], k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12)))
+    rows = [(i, say(lang), lang) for i, lang in enumerate(rng.choices(sorted(alphabets), k=150))]
+    rows += [(500, "½ ² Ⅳ ①", None), (501, "½ka²lo", None), (502, None, "aa"), (503, "qqq zzz", None), (504, "世" * 3000, "cc")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_documents(documents(spark, rows)).collect()}
+    letters = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    spell = lambda w: [f"^{w}$"[i : i + n] for n in range(1, 6) for i in range(len(w) + 3 - n)]
+    count = {lang: Counter() for lang in alphabets}
+    for d, t, lang in rows:
+        if lang and zlib.crc32(str(d).encode()) % 4 != 2:
+            count[lang].update(letters(t))
+    heaviest = lambda c, most: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: max(1, most // 3)])
+    tables = [{lang: heaviest(c, words) for lang, c in count.items()}]
+    for n in range(1, 6):
+        made = {lang: Counter() for lang in count}
+        for lang, c in count.items():
+            for w, k in c.items():
+                for g in spell(w):
+                    if len(g) == n:
+                        made[lang][g] += k**0.5
+        tables.append({lang: heaviest({g: round(x, 6) for g, x in c.items()}, grams) for lang, c in made.items()})
+
+    def logs(table, x):
+        known = set().union(*table.values())
+        if x not in known:
+            return None
+        p = [math.log((table[lang].get(x, 0) + 0.5) / (sum(table[lang].values()) + 0.5 * len(known))) for lang in sorted(table)]
+        return [max(v - max(p), -8) for v in p]
+
+    def evidence(w):
+        known = logs(tables[0], w)
+        if known:
+            return known
+        x, places = f"^{w}$", []
+        for i in range(len(x) - 1):
+            hits = [v for n in range(5, 1 if i == 0 else 0, -1) if i + n <= len(x) and (v := logs(tables[n], x[i : i + n]))]
+            places += hits[:1]
+        return [sum(v[k] for v in places) / max(1, len(places)) for k in range(3)]
+
+    for d, t, _ in rows:
+        ws = letters(t)
+        if not ws:
+            assert got[d] == ("und", 0.0)
+            continue
+        total = [sum(evidence(w)[k] for w in ws) for k in range(3)]
+        top = max(total)
+        assert got[d][0] in [lang for lang, x in zip(sorted(alphabets), total) if x >= top - 1e-3], d
+        assert math.isclose(got[d][1], 1 / sum(math.exp(x - top) for x in total), abs_tol=1e-3)
+
+
 def test_language_without_training(spark):
     assert langid.identify_documents(documents(spark, [(1, "a b", None)])).first()["lang_pred"] == "und"
     assert langid.identify_documents(documents(spark, EMPTY)).count() == 0
