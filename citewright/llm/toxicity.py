@@ -7,13 +7,19 @@ its features with the plain one. Landmarks are learned tokens; the Nyström map
 k(x, l) is a product of feature vectors, the sum over landmarks folds into one weight for each feature: scoring a token is
 a few look-ups, whatever the number of landmarks, with the same value.
 
-A sentence is as toxic as its worst token, and so is a text (multiple-instance learning: labels mark whole texts). Tokens that carry the label are
-found by a greedy cover of the toxic texts, so that hundreds of copies of one toxic text do not make its harmless words
-insults. Clean tokens that score high are added as negatives in ROUNDS passes. Platt scaling maps a text's margin to 0..1.
-
-Training uses a sample of labelled rows: SAMPLE_TOXIC and SAMPLE_CLEAN rows in expectation, picked by a hash of the id.
-
-Defined cases: null or empty text, or no token: the score of a text whose worst token is as clean as can be; labels that are null or not 0/1
+A labelled sentence (multiple-instance learning: labels mark whole texts) has the decision values of its tokens; its TOP largest ones, each of another token, are put
+together by two logistic layers that are trained on the labelled texts themselves, one over the largest value alone and one over all of them; the higher result counts. So
+one plain insult is enough, and several words that are each doubtful are, too. Tokens
+that carry the label are found by a greedy cover of the toxic texts, so that hundreds of copies of one toxic text do not make its harmless words
+insults. In GROW passes they are joined by words that the machine finds close to them and that toxic texts have far more often than clean ones: the other forms of
+a stem. Clean tokens that score high are added as negatives in ROUNDS passes.
+
+Training uses a sample of labelled rows: SAMPLE_TOXIC and SAMPLE_CLEAN rows in expectation, picked by a hash of the id, and of its tokens those that stand in three
+texts or more and have 64 characters or fewer, the VOCABULARY most frequent ones at most. Scoring reads all tokens of whole texts, long tokens in overlapping windows.
+Features are hashed from code points, so all scripts are told apart alike.
+
+Defined cases: null or empty text, or no token: the score of a text whose tokens all lie where no feature is known; very long texts are read whole; extra columns
+never enter, whatever their names; labels that are null or not 0/1
 teach nothing; a document labelled twice is toxic if any label is 1; repeated rows give repeated results; without labels of both
 kinds every score is 0.
 """
@@ -23,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +39,10 @@ from pyspark.sql import functions as F
 from citewright.llm.common import crc_bucket, small_batches
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, VOCABULARY = 4000, 8000, 150_000
-GAP, DECAY, LANDMARKS, ROUNDS, CACHE = 3, 0.6, 384, 8, 250_000
+GAP, DECAY, LANDMARKS, ROUNDS, NEAR, DOUBTFUL, CACHE = 3, 0.6, 384, 8, -0.6, 0.3, 250_000
 WINDOW, STRIDE, FEW = 24, 2, 4
-CLASSES = 64
+#: Largest decision values of a text that count, passes that add forms of a stem, and hashed features.
+TOP, GROW, FEATURES = 3, 3, 1 << 19
 NOISE = re.compile(r"[\W_]+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w(?!\w)")
@@ -77,25 +85,25 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for at in range(0, len(w) - WINDOW + STRIDE, STRIDE):
                 text.append(f"\0{w[at : at + WINDOW]}\0")
                 owner.append(i)
-    cp = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    cls = np.where((cp >= 97) & (cp <= 122), cp - 96, 27 + cp % (CLASSES - 27))
-    cls[cp == 0] = 0
+    cp = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     part = np.repeat(np.arange(len(text)), [len(t) for t in text])
-    return cls, part, np.array(owner, dtype=np.int64)
+    return cp, part, np.array(owner, dtype=np.int64)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each part of a word: (part, feature, weight) as flat arrays, and the word of each part. Weights have unit length for each part."""
-    cls, part, owner = codes(words)
+    cp, part, owner = codes(words)
+    first, second, third = (cp * np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
     ps, fs, vs = [], [], []
     for a, b in STEPS:
-        n = len(cls) - a - b
+        n = len(cp) - a - b
         if n <= 0:
             continue
         ok = part[:n] == part[a + b :]
         at = np.flatnonzero(ok)
         ps.append(part[at])
-        fs.append((cls[at] * CLASSES + cls[at + a]) * CLASSES + cls[at + a + b])
+        h = first[at] ^ (second[at + a] << np.uint32(7) | second[at + a] >> np.uint32(25)) ^ (third[at + a + b] << np.uint32(15) | third[at + a + b] >> np.uint32(17))
+        fs.append(((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(13)).astype(np.int64) % FEATURES)
         vs.append(np.full(len(at), DECAY ** (a + b + 1)))
     p, f, v = np.concatenate(ps), np.concatenate(fs), np.concatenate(vs)
     norm = np.sqrt(np.bincount(p, v * v, minlength=len(owner)))
@@ -103,10 +111,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class ToxicModel:
-    """weights: one for each feature; bias; and the map of a text's margin to a score."""
+    """weights: one for each feature; bias; and the logistic layers over the largest decision values of a text."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights, bias
+        self.layers: list[np.ndarray] = [np.array([1.0, 0.0])]  # weights and a constant
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Decision value of each word; of a long word the largest of its windows."""
@@ -119,8 +128,10 @@ class ToxicModel:
             np.maximum.at(out, owner + at, m)
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+    def score(self, top: np.ndarray) -> np.ndarray:
+        """top: one row of TOP decision values, largest first, for each text."""
+        z = np.max([top[:, : len(w) - 1] @ w[:-1] + w[-1] for w in self.layers], axis=0)
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
 def nystrom(landmarks: list[str]) -> np.ndarray:
@@ -137,20 +148,22 @@ def altered(words: list[str]) -> list[str]:
     return [w[:i] + c + w[i:] for w in words for i in range(1, len(w)) for c in "x*"]
 
 
-def fit(positive: list[str], negative: list[str], weight: float = 1.0) -> ToxicModel:
+def fit(positive: list[str], negative: list[str], forms_: list[str] = ()) -> ToxicModel:
     """Squared-hinge machine in the Nyström space of landmarks taken from both sides, by Newton steps.
 
-    Altered forms of the positive words are examples too, but no landmarks.
+    Altered forms of the positive words are examples too, but no landmarks. forms_: words that are insults less surely; they need to reach DOUBTFUL only.
     """
     half = LANDMARKS // 2
-    marks = [w[:WINDOW] for w in positive[:half] + negative[:half]]
+    marks = [w[:WINDOW] for w in (positive + list(forms_))[:half] + negative[:half]]
     positive = positive + altered([w[: WINDOW - 1] for w in positive])
+    goal = np.r_[np.ones(len(positive)), np.full(len(forms_), DOUBTFUL), np.ones(len(negative))]
+    positive += forms_
     m, used = nystrom(marks)
     k = m @ m.T
     val, vec = np.linalg.eigh(k)
     root = vec @ np.diag(np.where(val > 1e-6, 1 / np.sqrt(np.maximum(val, 1e-6)), 0)) @ vec.T
     both = [w[:WINDOW] for w in positive + negative]
-    col = np.full(CLASSES**3, -1)
+    col = np.full(FEATURES, -1)
     col[used] = np.arange(len(used))
     p, f, v, owner = features(both)
     keep = col[f] >= 0
@@ -160,17 +173,17 @@ def fit(positive: list[str], negative: list[str], weight: float = 1.0) -> ToxicM
             x[:, j] = np.bincount(p[keep], v[keep] * m[j][col[f[keep]]], minlength=len(both))
     phi = np.c_[x @ root, np.ones(len(both))]
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    c = np.where(y > 0, weight * max(1.0, (len(negative) / max(1, len(positive))) ** 0.5), 1.0)
+    c = np.where(y > 0, max(1.0, (len(negative) / max(1, len(positive))) ** 0.5), 1.0)
     u, reg = np.zeros(phi.shape[1]), np.r_[np.full(phi.shape[1] - 1, 0.05), 1e-4]
     for _ in range(50):
-        active = y * (phi @ u) < 1
+        active = y * (phi @ u) < goal
         a = phi[active] * c[active, None]
-        new = np.linalg.solve(phi[active].T @ a + np.diag(reg), a.T @ y[active])
+        new = np.linalg.solve(phi[active].T @ a + np.diag(reg), a.T @ (y * goal)[active])
         if np.allclose(new, u, atol=1e-8):
             break
         u = 0.5 * (u + new) if _ > 25 else new
     beta = root @ u[:-1]
-    weights = np.zeros(CLASSES**3)
+    weights = np.zeros(FEATURES, dtype=np.float32)
     weights[used] = beta @ m
     return ToxicModel(weights, float(u[-1]))
 
@@ -212,17 +225,24 @@ def cover(docs: list[list[str]], clean: dict[str, int], least: int) -> list[str]
     return out
 
 
-def platt(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the score, by Newton steps with smoothed targets."""
+def logistic(top: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights (none below 0) and constant of the layer, by Newton steps with smoothed targets."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     t = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x, w = np.c_[margin, np.ones(len(margin))], np.array([1.0, 0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - t) + 1e-3 * w)
-        w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-    return float(max(w[0], 1e-3)), float(w[1])
+    x, w = np.c_[top, np.ones(len(top))], np.r_[1.0, np.zeros(top.shape[1])]
+    free = np.ones(len(w), dtype=bool)
+    while True:
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + 1e-2 * np.eye(len(w))
+            step = np.zeros(len(w))
+            step[free] = np.linalg.solve(h[np.ix_(free, free)], (x.T @ (p - t) + 1e-2 * w)[free])
+            w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+        below = np.flatnonzero((w[:-1] < 0) & free[:-1])
+        if not len(below):
+            w[0] = max(w[0], 1e-3)
+            return w
+        free[below[0]], w[below[0]] = False, 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel | None:
@@ -275,35 +295,60 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     common = [w for w, _ in pool]
     spread = common[:: max(1, len(common) // 3000)]
     negative = list(dict.fromkeys(common[:1000] + spread))
-    model = fit(positive, negative)
-    for _ in range(ROUNDS):
-        m = model.margins(common)
-        worst = [common[i] for i in np.argsort(-m)[:400] if m[i] > -0.5]
-        fresh = [w for w in worst if w not in set(negative)]
+
+    stems: list[str] = []
+
+    def settle(negative: list[str]) -> tuple[ToxicModel, list[str]]:
+        """The machine, with the clean tokens added that it takes for insults."""
+        model = fit(positive, negative, stems)
+        for _ in range(ROUNDS):
+            m = model.margins(common)
+            known = set(negative)
+            fresh = [common[i] for i in np.argsort(-m, kind="stable")[:400] if m[i] > -0.5 and common[i] not in known]
+            if not fresh:
+                break
+            negative = fresh + negative  # also the first landmarks
+            model = fit(positive, negative, stems)
+        return model, negative
+
+    model, negative = settle(negative)
+    words = [w for w, _, _ in vocabulary]
+    often = {w: (x + 1) / (n1 + 1) / ((c + 1) / (n0 + 1)) for w, c, x in vocabulary if x >= 3}
+    for _ in range(GROW):
+        m = model.margins(words)
+        taken = {*positive, *stems}
+        fresh = [w for w, v in zip(words, m) if v > NEAR and w not in taken and often.get(w, 0) >= 8]
         if not fresh:
             break
-        negative = fresh + negative  # also the first landmarks
-        model = fit(positive, negative)
-    scored = sample.mapInArrow(_margins(spark.sparkContext.broadcast(model), 2), "k " + docs.schema[key].dataType.simpleString() + ", y int, margin double").select("y", "margin").toPandas()
-    model.slope, model.shift = platt(scored["margin"].to_numpy(), scored["y"].to_numpy())
+        stems += fresh
+        gone = set(fresh)
+        common = [w for w in common if w not in gone]
+        model, negative = settle([w for w in negative if w not in gone])
+    kind = f"k {docs.schema[key].dataType.simpleString()}, y int, " + ", ".join(f"m{i} double" for i in range(TOP))
+    scored = sample.mapInArrow(_margins(spark.sparkContext.broadcast(model), 2), kind).drop("k").toPandas()
+    top, toxic = scored[[f"m{i}" for i in range(TOP)]].to_numpy(), scored["y"].to_numpy()
+    model.layers = [logistic(top[:, :n], toxic) for n in (1, TOP)]
     return model
 
 
-def _margins(shared, where: int, keep: int | None = None):
-    """The first `keep` columns (all before `where`, if not given) and the margin of the worst token of the text at column `where`."""
+def _margins(shared, where: int, keep: int | None = None, score: bool = False):
+    """The first `keep` columns (all before `where`, if not given) and the TOP largest decision values, or the score, of the text at column `where`."""
     keep = where if keep is None else keep
 
     def run(batches):
         model, cache = shared.value, {}
-        floor = model.bias
         for b in batches:
             if len(cache) > CACHE:
                 cache = {}
             sets = [tokens(t) if t else set() for t in b.column(where).to_pylist()]
             new = list(set().union(*sets) - cache.keys()) if sets else []
             cache.update(zip(new, model.margins(new).tolist()))
-            got = [max((cache[w] for w in s), default=floor) for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(got, pa.float64())], names=[*[f"c{i}" for i in range(keep)], "margin"])
+            top = np.full((len(sets), TOP), float(model.bias))
+            for row, s in zip(top, sets):
+                got = nlargest(TOP, map(cache.__getitem__, s))
+                row[: len(got)] = got
+            out = {"score": model.score(top)} if score else {f"m{i}": top[:, i] for i in range(TOP)}
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *map(pa.array, out.values())], names=[*[f"c{i}" for i in range(keep)], *out])
 
     return run
 
@@ -316,10 +361,9 @@ def score(df: DataFrame, model: ToxicModel | None, *, key: str = "doc_id", text:
     small_batches(df.sparkSession)
     cols = keep if text in keep else [*keep, text]
     # columns go by place: the caller's names may clash with ours
-    schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", margin double"
-    run = _margins(df.sparkSession.sparkContext.broadcast(model), cols.index(text), len(keep))
-    z = F.greatest(F.least(F.lit(model.slope) * F.col("margin") + F.lit(model.shift), F.lit(40.0)), F.lit(-40.0))
-    return df.select(*cols).mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], (1.0 / (1.0 + F.exp(-z))).alias(name))
+    schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", score double"
+    run = _margins(df.sparkSession.sparkContext.broadcast(model), cols.index(text), len(keep), score=True)
+    return df.select(*cols).mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -680,18 +680,49 @@ def test_toxicity_without_labels(spark):
 def test_windows_hold_trained_forms_whole():
     for n in (25, 40, 61):
         w = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n))
-        cls, part, _ = toxicity.codes([w])
-        windows = ["".join(chr(96 + c) for c in cls[part == p] if c) for p in range(part[-1] + 1)]
+        cp, part, _ = toxicity.codes([w])
+        windows = ["".join(chr(c) for c in cp[part == p] if c) for p in range(part[-1] + 1)]
         longest = toxicity.WINDOW - 1
         assert all(any(w[i : i + longest] in x for x in windows) for i in range(n - longest + 1))
 
 
+def test_kernel_equals_brute_force():
+    """Features give the gap-weighted subsequence kernel of its definition; other scripts are told apart."""
+
+    def plain(w):
+        c, out = f"\0{w}\0", Counter()
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, len(c)):
+                    if k - i - 2 <= toxicity.GAP:
+                        out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def product(a, b):
+        return sum(v * b[x] for x, v in a.items())
+
+    words = ["grobnik", "grobxnik", "zwackel", "дурак", "дурень", "世界語言", "ab", "abab"]
+    m, _ = toxicity.nystrom(words)
+    for i, a in enumerate(map(plain, words)):
+        for j, b in enumerate(map(plain, words)):
+            # weights of a word are scaled before its equal features add up
+            norm = [math.sqrt(sum(toxicity.DECAY ** (2 * (x + y + 1)) for x, y in toxicity.STEPS for _ in range(max(0, len(w) + 2 - x - y)))) for w in (words[i], words[j])]
+            assert math.isclose(float(m[i] @ m[j]), product(a, b) / norm[0] / norm[1], abs_tol=1e-3), (words[i], words[j])
+
+
+def test_several_doubtful_words_are_toxic_together():
+    layer = toxicity.logistic(np.array([[1.0, -1, -1], [0.3, 0.2, -1], [0.25, -1, -1], [-1, -1, -1]] * 40), np.array([1, 1, 0, 0] * 40))
+    model = toxicity.ToxicModel(np.zeros(1), 0.0)
+    model.layers = [layer]
+    assert (model.score(np.array([[1.0, -1, -1], [0.3, 0.2, -1], [0.3, -1, -1]])) >= 0.3).tolist() == [True, True, False] and (layer[:-1] >= 0).all()
+
+
 def test_folded_weights_are_the_landmark_sum():
     m = toxicity.fit(["grobnik", "zwackel"], ["baba", "koko", "ritu", "molesi"])
     marks = ["grobnik", "zwackel", "baba", "koko", "ritu", "molesi"]
     dense, used = toxicity.nystrom(marks)
     p, f, v, owner = toxicity.features(["grobxnik"])
-    x = np.zeros(toxicity.CLASSES**3)
+    x = np.zeros(toxicity.FEATURES)
     np.add.at(x, f, v)
     k = dense @ x[used]
     val, vec = np.linalg.eigh(dense @ dense.T)
