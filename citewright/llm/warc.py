@@ -5,20 +5,24 @@ a page with a larger id has too becomes a revisit record that refers to that pag
 a first segment and continuation records. Spark's text writer puts the records into gzip files, with the two line ends that close a record
 as its line separator; the files go to the folder that all machines share.
 
-Reading: every archive is parsed on its own; segments are then grouped by the identifier of their origin record and ordered by
-number, their total length is checked against the last segment's, and the body is freed of its chunk framing.
+Reading: an archive (RECORDS records at most, none longer than a segment and its header) is decompressed and parsed as a stream, once; whole records are decoded on the spot.
+Segments are grouped by the identifier of their origin record and ordered by number, their total length is checked against the last
+segment's, and the body is freed of its chunk framing. Digests and lengths are those of decoded payloads; a revisit's are taken from the response that it refers to, which must have
+the digest that the revisit names.
 
 Defined cases: null html is an empty payload; a null url is `urn:page:<id>` in the archive; line ends in urls are percent-encoded; repeated rows
 are records of their own, and of rows that share the largest page id all are responses; of pages without id all are responses unless
-a page with an id has the payload; extra columns never enter; an empty table gives an archive without records. A broken record (wrong
-length, missing segment, bad chunk) stops the read with an error that names it.
+a page with an id has the payload; very long payloads become many segments and are put together in one pass; extra columns never enter; an empty table gives an archive without records. A broken record
+(wrong length, missing segment, bad chunk, revisit without response) stops the read with an error that names it.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from citewright.llm.common import cut, read, shared_dir, small_batches
 
-REVISIT_BYTES, SEGMENT, CHUNK, BROADCAST_ROWS = 1000, 65_536, 16_384, 100_000
+REVISIT_BYTES, SEGMENT, CHUNK, BROADCAST_ROWS, RECORDS = 1000, 65_536, 16_384, 100_000, 2000
 END = "\r\n\r\n"
 
 
@@ -94,21 +98,29 @@ def records(page: int | None, url: str | None, payload: bytes, digest: str, refe
     return out
 
 
-def parse(data: bytes):
-    """(type, headers in lower case, block) of every record of an uncompressed archive."""
+def parse(data: bytes | BinaryIO):
+    """(type, headers in lower case, block) of every record of an uncompressed archive, read as a stream."""
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
     at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    while True:
+        line = source.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
             raise ValueError(f"no record header at byte {at}")
-        lines = data[at:end].decode().split("\r\n")[1:]
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        head, size = {}, len(line)
+        while line := source.readline():
+            size += len(line)
+            if line == b"\r\n":
+                break
+            k, _, v = line.decode().partition(":")
+            head[k.lower()] = v.strip()
         n = int(head["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        block = source.read(n)
+        if len(block) != n or source.read(4) != b"\r\n\r\n":
             raise ValueError(f"record {head.get('warc-record-id')} has another length than it says")
         yield head["warc-type"], head, block
-        at = end + 8 + n
+        at += size + n + 4
 
 
 def payload_of(block: bytes) -> bytes:
@@ -144,69 +156,96 @@ def write(pages: DataFrame, path: str) -> None:
                 seen += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 COLUMNS = ["kind", "page", "url", "digest", "length", "refers"]
+SEGMENTS = "id string, number int, total long, " + ", ".join(f"{c} string" for c in COLUMNS) + ", block binary"
+DECODED = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+names_of = lambda schema: [c.split()[0] for c in schema.split(", ")]
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def batch_of(rows: list[tuple], schema: str) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], ARROW[c.split()[1]]) for i, c in enumerate(schema.split(", "))]
 
 
-def load(spark: SparkSession, path: str, segments: bool) -> DataFrame:
-    """The records of the archives under path: the segments of cut records, or the whole ones."""
-    schema = "id string, number int, total long, " + ", ".join(f"{c} string" for c in COLUMNS) + ", block binary"
+def decode(kind: str, page: str, url: str, digest: str, length: str, refers: str, block: bytes, texts: bool) -> tuple:
+    """A row of DECODED. Length and digest are of the payload; a revisit has none, so they are what it names."""
+    body = payload_of(block) if kind == "response" else None
+    size, sha = (int(length), digest) if body is None else (len(body), hashlib.sha1(body).hexdigest())
+    return int(page) if page else None, url, kind, int(refers) if refers else None, size, sha, body if texts else None
+
+
+def load(spark: SparkSession, path: str, texts: bool = False) -> DataFrame:
+    """The archives under path, read once: columns of DECODED for whole records (id is null) and of SEGMENTS, prefixed by s_, for segments."""
 
     def run(batches):
         for b in batches:
-            for content in b.column(0).to_pylist():
-                out: list[tuple] = []
-                size = 0
-                for kind, h, block in parse(gzip.decompress(content)):
-                    number = int(h.get("warc-segment-number", "0"))
-                    if (number > 0) != segments:
-                        continue
-                    own = h.get("warc-segment-origin-id") or h["warc-record-id"]
-                    total = h.get("warc-segment-total-length")
-                    out.append((own, number, None if total is None else int(total), kind, h.get("x-page-id"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"), h.get("x-payload-length"), h.get("x-refers-to-page"), block))
+            for content in b.column(0):
+                done, parts, size = [], [], 0
+                for kind, h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
+                    number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
+                    row = kind, h.get("x-page-id"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"), h.get("x-payload-length"), h.get("x-refers-to-page"), block
+                    if number is None:
+                        done.append(decode(*row, texts))
+                    else:
+                        parts.append((h.get("warc-segment-origin-id") or h["warc-record-id"], int(number), None if total is None else int(total), *row))
                     size += len(block)
                     if size > 4 << 20:
-                        yield _batch(out)
-                        out, size = [], 0
-                yield _batch(out)
+                        yield both(done, parts)
+                        done, parts, size = [], [], 0
+                yield both(done, parts)
 
-    def _batch(out):
-        types = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * len(COLUMNS), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["id", "number", "total", *COLUMNS, "block"])
+    def both(done, parts):
+        n, m = len(names_of(DECODED)), len(names_of(SEGMENTS))
+        cols = batch_of(done + [(None,) * n] * len(parts), DECODED) + batch_of([(None,) * m] * len(done) + parts, SEGMENTS)
+        return pa.RecordBatch.from_arrays(cols, names=names_of(DECODED) + [f"s_{c}" for c in names_of(SEGMENTS)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, DECODED + ", " + ", ".join(f"s_{c}" for c in SEGMENTS.split(", ")))
 
 
-def reassemble(parts: DataFrame) -> DataFrame:
-    """Put segments together: no group is larger than one record was."""
-    parts = parts.groupBy("id").agg(
+def reassemble(parts: DataFrame, texts: bool = False) -> DataFrame:
+    """Rows of SEGMENTS to rows of DECODED: no group is larger than one record was."""
+    groups = parts.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("s"), F.max("total").alias("total"),
         *[F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in COLUMNS],
     )
-    parts = parts.withColumn("block", F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"])))
-    complete = (F.col("s")[0]["number"] == 1) & (F.element_at("s", -1)["number"] == F.size("s")) & (F.octet_length("block") == F.col("total"))
-    broken = F.raise_error(F.concat(F.lit("segments of record "), F.col("id"), F.lit(" are not complete"))).cast("binary")
-    return parts.select(*COLUMNS, F.when(F.coalesce(complete, F.lit(False)), F.col("block")).otherwise(broken).alias("block"))
-
-
-def payloads(rows: DataFrame, *, texts: bool = False) -> DataFrame:
-    """Decode the blocks: page_id, url, record_type, refers_to, payload_bytes, payload_digest (and with texts the payload)."""
 
     def run(batches):
         for b in batches:
-            kind, page, _, digest, length, refers, block = (c.to_pylist() for c in b.columns)
-            body = [payload_of(x) if k == "response" else None for k, x in zip(kind, block)]
-            cols = [pa.array([int(p) if p else None for p in page], pa.int64()), b.column(2), b.column(0), pa.array([int(r) if r else None for r in refers], pa.int64())]
-            cols += [pa.array([int(n) if x is None else len(x) for n, x in zip(length, body)], pa.int64()), pa.array([d if x is None else hashlib.sha1(x).hexdigest() for d, x in zip(digest, body)], pa.string())]
-            if texts:
-                cols.append(pa.array(body, pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"][: len(cols)])
+            rows = []
+            for own, total, s, *head in zip(*(c.to_pylist() for c in b.columns)):
+                whole = b"".join([x["block"] for x in s])
+                if [x["number"] for x in s] != list(range(1, len(s) + 1)) or len(whole) != total:
+                    raise ValueError(f"segments of record {own} are not complete")
+                rows.append(decode(*head, whole, texts))
+            yield pa.RecordBatch.from_arrays(batch_of(rows, DECODED), names=names_of(DECODED))
+
+    return groups.select("id", "total", "s", *COLUMNS).mapInArrow(run, DECODED)
+
+
+def read_archives(spark: SparkSession, path: str, *, texts: bool = False) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest (and with texts the payload of responses) of every page in the archives under path."""
+    small_batches(spark, rows=500)
+    found = cut(load(spark, path, texts))
+    parts = found.filter("s_id is not null").select(*[F.col(f"s_{c}").alias(c) for c in names_of(SEGMENTS)])
+    got = resolve(found.filter("s_id is null").select(*names_of(DECODED)).unionByName(reassemble(parts, texts)))
+    return got if texts else got.drop("payload")
+
 
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if texts else "")
-    return rows.select(*COLUMNS, "block").mapInArrow(run, schema)
+def resolve(decoded: DataFrame) -> DataFrame:
+    """decoded, with digests and lengths of revisits taken from the responses that they refer to."""
+    revisits = decoded.filter("record_type = 'revisit'")
+    asked = revisits.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    origins = decoded.filter("record_type = 'response'").join(asked, ["page_id", "payload_digest"], "left_semi").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("bytes")).distinct()
+    origins = cut(origins)
+    few = origins.count() <= BROADCAST_ROWS
+    met = revisits.join(F.broadcast(origins) if few else origins, ["refers_to", "payload_digest"], "left")
+    missing = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")
+    met = met.withColumn("payload_bytes", F.coalesce("bytes", missing))
+    return decoded.filter("record_type != 'revisit'").unionByName(met.select(*decoded.columns))
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +253,7 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    got = payloads(load(spark, path, False).select(*COLUMNS, "block").unionByName(reassemble(load(spark, path, True))))
+    got = read_archives(spark, path)
     small_batches(spark, rows=500)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
