@@ -8,14 +8,15 @@ sketched shingle are hashed. Every candidate pair is then verified by the exact
 
 Only DataFrame functions are used: no Python runs on the executors.
 
-The sketches are broadcast, and the anchors become a hash set in the plan, while there are at most SMALL of them (checked by a
-count); beyond that every shingle of the documents is hashed and both sides are joined by a shuffle. Candidate pairs are broadcast to the documents
-while there are at most FEW_PAIRS. All ways give the same rows.
+Documents are read once for the search, whatever the lengths of items, and once more for verification. Up to SMALL sketched hashes (counted first) the anchors are a hash set in
+the plan. Up to BROADCAST of them (16 bytes each) all shingles of a document are hashed and looked up in the broadcast sketches, without a shuffle. Beyond that both
+sides are dealt by hash, the documents' after a filter by size band: a hash larger than the largest one that any sketch of its shingle length holds is dropped before
+the shuffle. Candidate pairs are broadcast to the documents while there are at most FEW_PAIRS. All ways give the same rows.
 
 Words are the runs of characters other than white space, in lower case; an item of fewer than SHINGLE words counts as
 one shingle. Defined cases: null or empty documents and items match nothing; repeated documents give one row for each distinct
-(document id, item id) pair, the best of its rows; extra columns never enter; empty tables give an empty result; the
-threshold is inclusive.
+(document id, item id) pair, the best of its rows by containment, then by size; very long documents are searched whole; extra columns never enter; empty tables
+give an empty result; the threshold is inclusive.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from citewright.llm.common import WORD_BREAK, cut
 
-SHINGLE, PERCENT, SMALL, FEW_PAIRS = 5, 80, 20_000, 500_000
+SHINGLE, PERCENT, SMALL, BROADCAST, FEW_PAIRS = 5, 80, 20_000, 2_000_000, 500_000
 
 
 def lower_words(text: Column) -> Column:
@@ -72,21 +73,28 @@ def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: s
     """
     full, keys = sketches(items, item_key, item_text)
     full, keys = cut(full), cut(keys.distinct())
-    sizes = {r["k"]: r["n"] for r in keys.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    small = sum(sizes.values()) <= SMALL
+    sizes = {r["k"]: r["n"] for r in keys.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
+    many = sum(sizes.values())
+    small = many <= SMALL
     base = docs.select(F.col(key).alias("doc"), lower_words(F.col(text)).alias("ws"))
     found = None
-    for k in sorted(sizes):
-        mine = keys.filter(F.col("k") == k).select("item", "h", "anchor")
-        if small:
-            anchors = sorted(r["anchor"] for r in mine.select("anchor").distinct().collect())
-            hashes = near_anchor(F.col("ws"), k, anchors)
-            mine = F.broadcast(mine.select("item", "h"))
-        else:
-            hashes = F.transform(shingles(F.col("ws"), F.lit(k)), lambda s: F.xxhash64(s))
-            mine = mine.select("item", "h")
-        hits = base.select("doc", F.explode(F.array_distinct(hashes)).alias("h")).join(mine, "h").select("doc", "item").distinct()
-        found = hits if found is None else found.unionByName(hits)
+    if sizes:
+        tops = {r["k"]: r["h"] for r in keys.groupBy("k").agg(F.max("h").alias("h")).collect()} if many > BROADCAST else {}
+
+        def probe(k: int) -> Column:
+            """The hashes of a document to look up among sketches of k-word shingles."""
+            if small:
+                hashes = near_anchor(F.col("ws"), k, sorted(r["anchor"] for r in keys.filter(F.col("k") == k).select("anchor").distinct().collect()))
+            else:
+                hashes = F.transform(shingles(F.col("ws"), F.lit(k)), lambda s: F.xxhash64(s))
+            if k in tops:
+                hashes = F.filter(hashes, lambda h: h <= tops[k])
+            return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
+
+        probes = [probe(k) for k in sorted(sizes)]
+        known = keys.select("item", "k", "h")
+        dealt = base.select("doc", F.explode(F.concat(*probes)).alias("p")).select("doc", "p.k", "p.h")
+        found = dealt.join(F.broadcast(known) if many <= BROADCAST else known, ["k", "h"]).select("doc", "item")
     if found is None:
         return docs.select(F.col(key)).limit(0).crossJoin(items.select(F.col(item_key)).limit(0)).select(key, item_key, F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment"))
     # verification: only documents with a candidate are shingled in full
@@ -98,7 +106,8 @@ def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: s
     own = whole.select("doc", F.explode("candidates").alias("item"), F.create_map(*[x for k in ks for x in (F.lit(k), F.array_distinct(shingles(F.col("ws"), F.lit(k))))]).alias("by_k"))
     side = F.broadcast(full) if small else full
     scored = own.join(side, "item").select("doc", "item", F.size("sh").alias("n_shingles"), F.size(F.array_intersect(F.element_at("by_k", F.col("k")), F.col("sh"))).alias("n_found"))
-    best = scored.filter(F.col("n_found") * 100 >= F.col("n_shingles") * PERCENT).groupBy("doc", "item").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    best = scored.filter(F.col("n_found") * 100 >= F.col("n_shingles") * PERCENT).groupBy("doc", "item").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), "n_shingles", "n_found")).alias("b"))
+    best = best.select("doc", "item", "b.n_shingles", "b.n_found")
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
