@@ -5,7 +5,7 @@ sorted pair keys by binary search, takes the lowest rank of each word, and merge
 without a mergeable pair leave the array. Words of more than LONG symbols go through a heap instead, whose cost
 grows as n log n. Words repeat, so a worker keeps the results of at most CACHE words; that changes no result.
 
-Defined cases: a null or empty text has no tokens (both digests are those of the empty string); repeated rows give
+Defined cases: a null or empty text has no tokens (both digests are those of the empty string); very long texts are encoded whole; repeated rows give
 repeated results; other columns of the input never enter; an empty table gives an empty result.
 """
 
@@ -16,6 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,8 @@ class WordBpe:
         order = order[first]
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
         self.none = np.int64(len(pairs))
-        self.cache: dict[str | int, tuple[int, str, str]] = {}
-        self.older: dict[str | int, tuple[int, str, str]] = {}
+        self.cache: dict[str | int, tuple[list[int], str]] = {}
+        self.older: dict[str | int, tuple[list[int], str]] = {}
 
     # ---- merging -------------------------------------------------------------------------------------------------
 
@@ -181,8 +182,8 @@ class WordBpe:
             at = m.end()
         return out + self.pieces(text[at:])
 
-    def known(self, units: set[str | int]) -> dict[str | int, tuple[int, str, str]]:
-        """Count, ids and names of each unit. What was not used since the cache last filled up is forgotten."""
+    def known(self, units: set[str | int]) -> dict[str | int, tuple[list[int], str]]:
+        """The ids of each unit, and they as text. What was not used since the cache last filled up is forgotten."""
         if len(self.cache) > CACHE:
             self.older, self.cache = self.cache, {}
         missing = units - self.cache.keys()
@@ -191,10 +192,10 @@ class WordBpe:
         new = [u for u in missing if u not in self.cache]
         words = [u for u in new if isinstance(u, str)]
         for w, ids in zip(words, self.merge(words)):
-            self.cache[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+            self.cache[w] = (ids, " ".join(map(str, ids)))
         for i in new:
             if isinstance(i, int):
-                self.cache[i] = (1, str(i), self.names[i])
+                self.cache[i] = ([i], str(i))
         return self.cache
 
     def encode(self, text: str) -> list[int]:
@@ -204,16 +205,20 @@ class WordBpe:
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file names no decoder: token names, joined by one space."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:  # ids outside the vocabulary are left out
+            return " ".join([self.names[i] for i in ids if i in self.names])
 
-    def digest(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Of each text: token count, ids and decoded text as strings."""
+    def digest(self, texts: list[str | None]) -> list[tuple[list[int], str, str]]:
+        """Of each text: its ids, they as text, and what they decode to."""
         split = [self.units(t) if t else [] for t in texts]
         get = self.known({u for us in split for u in us})
         out = []
         for us in split:
             hits = [get[u] for u in us]
-            out.append((sum(h[0] for h in hits), " ".join([h[1] for h in hits]), " ".join([h[2] for h in hits])))
+            ids = list(chain.from_iterable([h[0] for h in hits]))
+            out.append((ids, " ".join([h[1] for h in hits]), self.decode(ids)))
         return out
 
 
@@ -236,10 +241,10 @@ def encode_documents(df: DataFrame, vocabulary: str, *, key: str = "doc_id", tex
         bpe = WordBpe(spec.value)
         for b in batches:
             got = bpe.digest(b.column(1).to_pylist())
-            cols = [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([_sha(g[1]) for g in got]), pa.array([_sha(g[2]) for g in got])]
+            cols = [b.column(0), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([_sha(g[1]) for g in got]), pa.array([_sha(g[2]) for g in got])]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                cols += [pa.array([[int(x) for x in g[1].split()] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got])]
+                cols += [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got])]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
