@@ -9,7 +9,7 @@ A hash cannot split rows of equal key, nor a row larger than the limit. Buckets
 are cut by counting: the rows get running numbers and every shard takes as many as fit, at least one. So no shard exceeds the
 limit, but one that holds a single larger row.
 
-Defined cases: a null key hashes as the text `null`, a null or empty text has 0 bytes; repeated rows are placed one by one; an empty
+Defined cases: a null key hashes as the text `null`, a null or empty text has 0 bytes; a very long text is a shard of its own; repeated rows are placed one by one; an empty
 table gives an empty result; extra columns are ignored by `assign` and kept by `write`.
 """
 
@@ -72,6 +72,8 @@ def numbered(rows: DataFrame, limit: int, extra: list[str]) -> DataFrame:
 
 def assign(df: DataFrame, limit: int, *, key: str = "doc_id", text: str = "text", extra: list[str] | None = None) -> DataFrame:
     """key, n_bytes, depth and shard (`depth-bits`, with size and number where bits did not suffice) of every row, and the columns in extra."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
     extra = extra or []
     held = [f"x{i}" for i in range(len(extra))]  # names of the caller's columns may clash with ours
     rows = df.select(F.col(key).alias("k"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"), key_bits(F.col(key)).alias("h"), *[F.col(c).alias(x) for c, x in zip(extra, held)])

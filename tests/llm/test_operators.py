@@ -464,6 +464,8 @@ def test_shards_fit(spark):
             inside = sum(r["n_bytes"] for r in out if r["shard"].count("-") == 1 and r["depth"] >= d and int(r["shard"].split("-")[1]) >> (r["depth"] - d + 1) == p)
             assert inside + sum(r["n_bytes"] for r in out if r["shard"].count("-") > 1) > 1000
     assert sharding.assign(df.limit(0), 1000).count() == 0
+    with pytest.raises(ValueError):
+        sharding.assign(df, 0)
 
 
 def test_shards_are_written(spark, tmp_path):
@@ -491,13 +493,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want)
     path = str(tmp_path / "w")
     warc.write(df, path)
-    whole = warc.load(spark, path, False).select(*warc.COLUMNS, "block")
-    texts = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.payloads(whole.unionByName(warc.reassemble(warc.load(spark, path, True))), texts=True).collect() if r["payload"] is not None}
+    texts = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, path, texts=True).collect() if r["payload"] is not None}
     assert texts[7] == big and texts[9] == twice and texts[5] == ""
-    parts = warc.load(spark, path, True)
+    parts = warc.load(spark, path).filter("s_id is not null").select(*[F.col(f"s_{c}").alias(c) for c in warc.names_of(warc.SEGMENTS)])
     assert parts.count() > 2
     with pytest.raises(Exception, match="not complete"):
         warc.reassemble(parts.filter("number != 2")).collect()
+    whole = warc.load(spark, path).filter("s_id is null")
+    with pytest.raises(Exception, match="no response for the revisit of page"):
+        warc.resolve(whole.filter("record_type = 'revisit' or page_id != 9")).collect()
 
 
 def test_warc_of_nothing(spark, tmp_path):
@@ -608,9 +612,10 @@ def test_boxes_inside_an_article():
 # ---- 9 -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("small", [20_000, 0])
-def test_contamination(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,shared", [(20_000, 2_000_000), (0, 2_000_000), (0, 0)])
+def test_contamination(spark, monkeypatch, small, shared):
     monkeypatch.setattr(decontam, "SMALL", small)
+    monkeypatch.setattr(decontam, "BROADCAST", shared)
     monkeypatch.setattr(decontam, "FEW_PAIRS", small)
     items = [(i, prose(n)) for i, n in enumerate((3, 5, 8, 12, 17, 25, 31, 40, 58))] + [(50, None), (51, ""), (52, "one"), (53, prose(8)), (3, None)]
     rows = []
