@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm.common import cut, read, shared_dir, small_batches
+from citewright.llm.common import cut, read, remove, shared_dir, small_batches
 
 REVISIT_BYTES, SEGMENT, CHUNK, BROADCAST_ROWS, RECORDS = 1000, 65_536, 16_384, 100_000, 2000
 END = "\r\n\r\n"
@@ -253,7 +253,8 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    got = read_archives(spark, path)
+    got = read_archives(spark, path)  # what it read is materialised
+    remove(spark, path)
     small_batches(spark, rows=500)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -735,14 +735,15 @@ def test_folded_weights_are_the_landmark_sum():
     assert math.isclose(float(beta @ k) + m.bias, float(m.margins(["grobxnik"])[0]), abs_tol=1e-6)
 
 
-def test_entry_works_without_these_operators(tmp_path):
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_entry_works_without_these_operators(tmp_path, gone):
     import os
     import shutil
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e, json; print(json.dumps([len(e.queries()), 'pipeline' in e.queries()]))"], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120)
     n, pipeline = json.loads(said.stdout.strip().splitlines()[-1])
     assert n > 50 and not pipeline

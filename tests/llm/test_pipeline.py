@@ -103,6 +103,32 @@ def test_each_group_keeps_one(spark, corpus):
     assert sorted(map(repr, got)) == ["1", "3", "4", "None"]
 
 
+def test_stages_take_long_texts_and_clashing_names(spark, corpus):
+    """Very long texts, and columns with the names that stages use themselves."""
+    folder, rows, kinds, items = corpus
+    long = prose(40_000)
+    odd = [(800, long + " grobnik", "xx"), (801, long, "xx"), (802, long + " " + items[2][1] + " " + prose(10), "xx"), (803, "7 " * 50_000, "xx"), (804, None, None), (805, "", None)]
+    docs = spark.createDataFrame([r[:3] for r in rows] + odd, "doc_id long, text string, lang string")
+    names = ("toxicity", "language", "sure", "row", "score", "margin", "c0", "sid", "component_id", "k", "t")
+    docs = docs.selectExpr("*", *[f"cast(doc_id as string) as {n}" for n in names])
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).checkpoint()
+        assert docs.columns == ["doc_id", "text", "lang", *names]
+        assert all(r[n] == str(r["doc_id"]) for r in docs.filter("doc_id >= 800").collect() for n in names)
+        left[name] = {r["doc_id"] for r in docs.collect() if r["doc_id"] in range(800, 806)}
+    assert left == {"toxicity": {801, 802, 803, 804, 805}, "language": {801, 802}, "near_duplicates": {801}, "decontamination": {801}}
+
+
+def test_rows_of_one_id_leave_one_that_storage_does_not_decide(spark):
+    rows = [(1, "a b c d e f", x) for x in "qwertyuiop"] + [(None, "a b c d e f", x) for x in "zy"] + [(2, None, "k"), (2, "other words", "j")]
+    for parts in (1, 4, 9):
+        random.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got = sorted(map(repr, map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())))
+        assert got == ["(1, 'a b c d e f', 'e')", "(2, None, 'k')", "(None, 'a b c d e f', 'y')", "(None, 'a b c d e f', 'z')"]
+
+
 def test_held_out_rows_teach_nothing(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     for f in (langid.held_out, toxicity.held_out):
