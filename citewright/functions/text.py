@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 MIN_CHUNK, MAX_CHUNK, OVERLAP = 40, 1500, 1
 MARK, HOLD = "\u001e", "\u001f"
@@ -59,42 +60,66 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: strip(F.translate(s, HOLD, " "))), lambda s: s != "")
 
 
-def windows(parts: Column) -> Column:
-    """Sentences packed into windows of up to MAX_CHUNK characters; each next window begins with the last sentence of the one before."""
-    texts = "array<string>"
-    zero = F.struct(F.array().cast(texts).alias("done"), F.array().cast(texts).alias("open"), F.lit(0).alias("n"))
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PARAGRAPH = re.compile(r"\n\s*\n", re.A)
+_HELD = re.compile(f"\\b({ABBREVIATIONS})\\.\\s", re.A)
+_STOP = re.compile(r"(?<=[.!?])\s+|\n+", re.A)
 
-    def add(acc: Column, sentence: Column) -> Column:
-        s = F.substring(sentence, 1, MAX_CHUNK)
-        full = (F.size(acc["open"]) > 0) & (acc["n"] + F.length(s) + 1 > MAX_CHUNK)
-        last = F.slice(acc["open"], -OVERLAP, OVERLAP)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(last, F.array(s))).otherwise(F.concat(acc["open"], F.array(s))).alias("open"),
-            F.when(full, F.length(F.array_join(last, " ")) + F.length(s) + 2).otherwise(acc["n"] + F.length(s) + 1).alias("n"),
-        )
 
-    return F.aggregate(parts, zero, add, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"]))
+def sentence_list(text: str) -> list[str]:
+    """sentences() of a string."""
+    parts = _STOP.split(_HELD.sub(rf"\1.{HOLD}", text))
+    return [s for p in parts if (s := p.replace(HOLD, " ").strip(WHITE))]
 
 
-def chunks(text: Column) -> Column:
-    """Paragraphs of MIN_CHUNK characters or more; longer ones than MAX_CHUNK in sentence windows."""
+def window_list(parts: list[str]) -> list[str]:
+    """Sentences packed into windows of up to MAX_CHUNK characters; each next window begins with the last sentence of the one before."""
+    done, held, n = [], [], 0
+    for s in parts:
+        s = s[:MAX_CHUNK]
+        if held and n + len(s) + 1 > MAX_CHUNK:
+            done.append(" ".join(held))
+            held = held[-OVERLAP:]
+            n = len(" ".join(held)) + 1
+        held.append(s)
+        n += len(s) + 1
+    return done + [" ".join(held)] if held else done
+
+
+def chunk_list(text: str | None) -> list[str] | None:
+    """Paragraphs of MIN_CHUNK characters or more; longer ones than MAX_CHUNK in sentence windows, or by length where there is no sentence."""
+    if text is None:
+        return None
+    out = []
+    for p in _PARAGRAPH.split(text):
+        p = p.strip(WHITE)
+        if len(p) <= MAX_CHUNK:
+            out.append(p)
+        else:
+            ss = sentence_list(p)
+            out += window_list(ss) if ss else [p[at : at + MAX_CHUNK].strip(WHITE) for at in range(0, len(p), MAX_CHUNK)]
+    return [c for c in out if len(c) >= MIN_CHUNK]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _chunks(s: pd.Series) -> pd.Series:
+    return s.map(chunk_list)
 
-    def one(p: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / MAX_CHUNK).cast("int")), lambda i: strip(F.substring(p, i * MAX_CHUNK + 1, F.lit(MAX_CHUNK))))
-        long = F.when(F.size(sentences(p)) > 0, windows(sentences(p))).otherwise(cut)
-        return F.when(F.length(p) < MIN_CHUNK, F.array().cast("array<string>")).when(F.length(p) <= MAX_CHUNK, F.array(p)).otherwise(long)
 
-    paragraphs = F.transform(F.split(text, "\\n\\s*\\n"), strip)
-    return F.filter(F.flatten(F.transform(paragraphs, one)), lambda c: F.length(c) >= MIN_CHUNK)
+def chunks(text: Column) -> Column:
+    """chunk_list of a column: packing is a loop with state, which an Arrow function does once a text; explode its result straight away."""
+    return _chunks(text)
 
 
 def chunk_label(i: Column) -> Column:
-    """A, B, .. Z, AA, .. ZZ, AAA, .. (bijective base 26 of i + 1)."""
+    """A, B, .. Z, AA, .. ZZ, AAA, .. (bijective base 26 of i + 1), up to seven letters, which number all places of an int."""
     letter = lambda x: F.chr((F.pmod(x, F.lit(26)) + 65).cast("int"))
-    second = F.floor(i / 26) - 1
-    third = F.floor(second / 26) - 1
-    return F.concat(F.when(third >= 0, letter(third)).otherwise(""), F.when(second >= 0, letter(second)).otherwise(""), letter(i))
+    at, out = i.cast("long"), None
+    for _ in range(7):
+        one = F.when(at >= 0, letter(at)).otherwise("")
+        out = one if out is None else F.concat(one, out)
+        at = F.floor(at / 26) - 1
+    return out
 
 
 def tokens(text: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citewright.functions.text import tokens
+from citewright.operators.frames import materialise, numbered
 
-K1, B, UNKNOWN_IDF = 1.2, 0.75, 1.0
+K1, B, UNKNOWN_IDF, BROADCAST_TERMS = 1.2, 0.75, 1.0, 1_000_000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", group: list[str] | None = None) -> DataFrame:
@@ -49,32 +50,59 @@ def term_score(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.greatest(avgdl, F.lit(1.0))))
 
 
-def bm25_corpus(docs: DataFrame, queries: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
-    """Scores of all texts with a term of the query: qkey, key, relevance_score in 0..1.
+def asked_postings(docs: DataFrame, terms: DataFrame, key: str, group: list[str] | None = None, text: str = "text") -> DataFrame:
+    """postings() of the terms that are asked for (in the same group): others leave before the shuffle, against the distinct terms while those are few (counted)."""
+    group = group or []
+    wanted = terms.select(*group, "term").distinct()
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    t = docs.select(*group, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts")).select(*group, key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return t.join(F.broadcast(wanted) if few else wanted, [*group, "term"], "left_semi").groupBy(*group, key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
-    Terms of queries meet the postings by term; a broadcast of the distinct terms would save a shuffle where queries are few, which
-    Spark decides by their size.
-    """
-    post, stats = postings(docs, key), corpus_stats(docs, key)
-    terms = query_terms(queries, qkey)
+
+def bm25_corpus(docs: DataFrame, queries: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
+    """Scores of all texts with a term of the query: qkey, key, relevance_score in 0..1. See full_ranks for texts without one."""
+    stats = corpus_stats(docs, key)
+    terms = materialise(query_terms(queries, qkey))
+    post = materialise(asked_postings(docs, terms, key))
     df = document_frequencies(post, stats)
     known = terms.join(df.select("term", "idf"), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(UNKNOWN_IDF)))
     best = known.groupBy(qkey).agg(F.sum("idf").alias("most"))
-    hits = post.join(known, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    hits = post.join(known, "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
     score = hits.groupBy(qkey, key).agg(F.sum(F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("s"))
     return score.join(best, qkey).select(qkey, key, F.round(F.least(F.lit(1.0), F.col("s") / F.col("most")), 4).alias("relevance_score"))
 
 
+def full_ranks(run: DataFrame, docs: DataFrame, asked: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
+    """Ranks of the asked (qkey, key) pairs in the full ranking, in which every document has a place: those in run (qkey, key, rank, 1 to its number of rows) come
+    first, the rest after them in the order of key. The rest is never listed: its places follow from counts."""
+    place = numbered(docs.select(key), key, name="p")
+    asked = materialise(asked.select(qkey, key).distinct().join(place, key))
+    ranked = materialise(run.select(qkey, key, "rank"))
+    found = asked.join(ranked, [qkey, key], "left")
+    missing = found.filter("rank is null").select(qkey, key, "p")
+    need = missing.select(qkey).distinct()
+    # documents of the run up to a missing one's place: both are put in order by query, and a running sum counts
+    marks = ranked.join(need, qkey, "left_semi").join(place, key).select(qkey, F.col(key).alias("k"), "p", F.lit(1).alias("hit")).unionByName(missing.select(qkey, F.col(key).alias("k"), "p", F.lit(0).alias("hit")))
+    counted = marks.withColumn("before", F.sum("hit").over(Window.partitionBy(qkey).orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).filter("hit = 0")
+    total = ranked.groupBy(qkey).agg(F.count("*").alias("m"))
+    after = counted.join(total, qkey, "left").select(qkey, F.col("k").alias(key), (F.coalesce("m", F.lit(0)) + F.col("p") - F.col("before")).cast("int").alias("rank"))
+    return found.filter("rank is not null").select(qkey, key, "rank").unionByName(after)
+
+
 def top(scored: DataFrame, k: int, by: str, score: str, tie: str, name: str = "rank") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(score), tie)
     return scored.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
 def bm25_request(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Relevance of each chunk to its own request, with the statistics of the request's chunks. Chunks without a hit score 0."""
+    """Relevance of each chunk to its own request, with the statistics of the request's chunks. Chunks without a hit score 0.
+
+    chunks is read three times: give a materialised frame where it is dear.
+    """
     g = ["request_id"]
-    post, stats = postings(chunks, "chunk_id", "text", g), corpus_stats(chunks, "chunk_id", "text", g)
-    terms = query_terms(requests, "request_id", "query")
+    stats = corpus_stats(chunks, "chunk_id", "text", g)
+    terms = materialise(query_terms(requests, "request_id", "query"))
+    post = materialise(asked_postings(chunks, terms, "chunk_id", g))
     df = document_frequencies(post, stats, g)
     known = terms.join(df.select("request_id", "term", "idf"), ["request_id", "term"], "left").withColumn("idf", F.coalesce("idf", F.lit(UNKNOWN_IDF)))
     best = known.groupBy("request_id").agg(F.sum("idf").alias("most"))
@@ -95,7 +123,9 @@ def rank_chunks(chunks: DataFrame, requests: DataFrame, k: int = 10, wr: float =
 
 
 def answerable(requests: DataFrame, ranked: DataFrame, floor: float = 0.15) -> DataFrame:
-    """request_id, best_score, reason: why no answer is tried (null: one is)."""
+    """request_id, best_score, reason: why no answer is tried (null: one is). Chunks that were not ranked (no ranking_score) are tried if there are any."""
+    if "ranking_score" not in ranked.columns:
+        ranked = ranked.withColumn("ranking_score", F.lit(None).cast("double"))
     best = ranked.groupBy("request_id").agg(F.max("ranking_score").alias("best_score"), F.count("*").alias("n"))
     reason = F.when(F.coalesce("n", F.lit(0)) == 0, "no_chunks").when(F.col("best_score") < floor, "low_relevance")
     return requests.select("request_id").join(best, "request_id", "left").select("request_id", "best_score", reason.alias("reason"))

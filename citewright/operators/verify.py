@@ -15,13 +15,13 @@ LABELS = {1: "authoritative", 2: "multi_source", 3: "model_assisted", 4: "misrep
 WEIGHTS = {1: 100, 2: 85, 3: 60, 4: 20, 5: 0, 6: 40}
 
 
-def mechanical(norm_quote: Column, norm_chunk: Column) -> tuple[Column, Column]:
+def mechanical(norm_quote: Column, norm_chunk: Column, chunk_id: Column) -> tuple[Column, Column]:
     """(status, reason) of a quote against the text that it claims to come from, both normalised."""
     n = F.when(norm_quote == "", 0).otherwise(F.size(F.split(norm_quote, " ")))
     short = (n < MIN_TOKENS) & (F.length(norm_quote) < MIN_CHARS)
     too_short = F.format_string(f"Quote is too short after normalization (%d tokens < {MIN_TOKENS} required and %d chars < {MIN_CHARS} required).", n, F.length(norm_quote))
     reason = (
-        F.when(norm_chunk.isNull(), "Cited chunk does not exist.")
+        F.when(norm_chunk.isNull(), F.concat(F.lit("Chunk "), chunk_id, F.lit(" not found in indexed_chunks.")))
         .when(F.coalesce(norm_quote, F.lit("")) == "", "Quote is empty after normalization.")
         .when(short, too_short)
         .when(~norm_chunk.contains(norm_quote), "Normalized quote not found in the chunk.")
@@ -37,24 +37,37 @@ def check_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     keys = citations.select("request_id", "chunk_id").distinct()
     cited = chunks.join(keys, ["request_id", "chunk_id"], "left_semi").select("request_id", "chunk_id", "source_url", "title", "domain", F.col("text").alias("chunk_text"), normalise_quote(F.col("text")).alias("norm_chunk"))
     rows = citations.withColumn("norm_quote", normalise_quote(F.coalesce(F.col("quote"), F.lit("")))).join(cited, ["request_id", "chunk_id"], "left")
-    status, reason = mechanical(F.col("norm_quote"), F.col("norm_chunk"))
+    status, reason = mechanical(F.col("norm_quote"), F.col("norm_chunk"), F.col("chunk_id"))
     return rows.withColumn("mechanical_check", status).withColumn("failure_reason", reason).withColumn("tier", F.when(F.col("mechanical_check") == "passed", 3).otherwise(5)).drop("norm_chunk")
 
 
+def audit_proof() -> Column:
+    """The evidence of a citation's text check, from the columns of check_citations: of a passed one the quote and its tokens, of a failed one the tier, the reason, and both forms of the quote."""
+    quote, norm = F.coalesce("quote", F.lit("")), F.col("norm_quote")
+    ok = F.col("mechanical_check") == "passed"
+    tokens = F.when(norm == "", 0).otherwise(F.size(F.split(norm, " ")))
+    fail = lambda c: F.when(~ok, c)
+    return F.struct(
+        F.lit("mechanical_verification").alias("check"), F.col("mechanical_check").alias("status"), fail(F.lit(5)).alias("tier"), fail(F.lit(LABELS[5])).alias("tier_label"), F.col("chunk_id"),
+        fail(F.col("failure_reason")).alias("failure_reason"), fail(quote).alias("raw_quote"), norm.alias("norm_quote"), F.when(ok, tokens).alias("norm_quote_tokens"),
+        fail(F.substring(norm, 1, 200)).alias("norm_quote_snippet"), F.lit("full_chunk").alias("verification_scope"),
+    )
+
+
 def judge_verdicts(checked: DataFrame, verdicts: DataFrame | None, sets: DomainSets) -> DataFrame:
     """Tiers after the judge: verdicts has request_id, citation_id, semantic_check (passed, failed or error), reason.
 
     Only citations that passed the text check count; no verdicts at all means that judging is off.
     """
     if verdicts is None:
-        off = F.when(F.col("mechanical_check") == "passed", F.lit("Semantic verification disabled."))
+        off = F.when(F.col("mechanical_check") == "passed", F.lit("Semantic verification disabled by server policy."))
         return checked.withColumn("semantic_check", F.lit("skipped")).withColumn("failure_reason", F.coalesce("failure_reason", off))
     v = verdicts.select("request_id", "citation_id", F.col("semantic_check").alias("v"), F.col("reason").alias("why"))
     j = checked.join(v, ["request_id", "citation_id"], "left")
     ok = F.col("mechanical_check") == "passed"
     tier = F.when(~ok, 5).when(F.col("v") == "passed", F.when(primary(F.coalesce("domain", F.lit("")), sets), 1).otherwise(3)).when(F.col("v") == "failed", 4).otherwise(3)
     check = F.when(~ok, "skipped").when(F.col("v").isin("passed", "failed"), F.col("v")).otherwise("skipped")
-    why = F.when(~ok, F.col("failure_reason")).when(F.col("v") == "passed", None).when(F.col("v") == "failed", F.coalesce("why", F.lit("Semantic mismatch."))).otherwise(F.concat(F.lit("Semantic verification unavailable: "), F.coalesce("why", F.lit("no verdict"))))
+    why = F.when(~ok, F.col("failure_reason")).when(F.col("v") == "passed", None).when(F.col("v") == "failed", F.coalesce("why", F.lit("Semantic mismatch."))).otherwise(F.concat(F.lit("Semantic check unavailable: "), F.coalesce("why", F.lit("no verdict"))))
     return j.withColumn("tier", tier).withColumn("semantic_check", check).withColumn("failure_reason", why).drop("v", "why")
 
 
@@ -101,11 +114,12 @@ def first_by_domain(citations: DataFrame) -> DataFrame:
 
 
 def corroborate(sentences: DataFrame, citations: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Tier 2 stands only if the judge finds that the sources agree. verdicts: request_id, sentence_id, corroborated (null: error), reasoning."""
+    """Tier 2 stands only if the judge finds that the sources agree. verdicts: request_id, sentence_id, corroborated (null: no answer, reasoning then names the error), reasoning."""
     n = first_by_domain(citations).groupBy("request_id", "sentence_id").agg(F.count("*").alias("sources"))
     s = sentences.join(n, ["request_id", "sentence_id"], "left").join(verdicts.select("request_id", "sentence_id", "corroborated", "reasoning"), ["request_id", "sentence_id"], "left")
     down = (F.col("tier") == 2) & (F.coalesce("sources", F.lit(0)) >= 2) & ~F.coalesce("corroborated", F.lit(False))
-    why = F.when(F.col("corroborated").isNull(), "Corroboration check unavailable.").otherwise(F.concat(F.lit("Sources do not corroborate: "), F.coalesce("reasoning", F.lit(""))))
+    unknown = F.concat(F.lit("Corroboration unavailable: "), F.coalesce("reasoning", F.lit("no verdict")))
+    why = F.when(F.col("corroborated").isNull(), unknown).otherwise("Sources cover different aspects of the claim but do not independently corroborate it.")
     s = s.withColumn("failure_reason", F.when(down, why).otherwise(F.col("failure_reason"))).withColumn("tier", F.when(down, 3).otherwise(F.col("tier")))
     return s.withColumn("tier_label", label(F.col("tier"))).select(*sentences.columns)
 
@@ -124,12 +138,32 @@ def confidence(requests: DataFrame, sentences: DataFrame) -> DataFrame:
     return out.select("request_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), *zero, score.alias("overall_score"), status.alias("status"))
 
 
-def respond(requests: DataFrame, sentences: DataFrame, citations: DataFrame) -> DataFrame:
-    """One nested row for each request: status, confidence, sentences in order with their citations in order."""
+def respond(requests: DataFrame, sentences: DataFrame, citations: DataFrame, *, stats: DataFrame | None = None, usage: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """One nested row for each request: status, confidence, sentences in order with their citations in order, pipeline_stats, usage, error_message.
+
+    stats: request_id, chunks_retrieved, chunks_ranked, loop_count, retrieval_retry_count; usage: request_id, usage; errors: request_id of requests that failed: they
+    have status error, a score of 0, no sentences, and a message that says nothing of the cause.
+    """
     c = citations.groupBy("request_id", "sentence_id").agg(F.array_sort(F.collect_list(F.struct("cit_ord", "citation_id", "chunk_id", "quote", "tier", "mechanical_check", "semantic_check", "failure_reason", F.when(F.col("source_url").isNotNull(), F.struct("source_url", "title", "domain")).alias("source")))).alias("citations"))
     s = sentences.join(c, ["request_id", "sentence_id"], "left")
-    nested = s.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "text", "tier", "tier_label", "mechanical_check", "semantic_check", "failure_reason", "citations"))).alias("final_response"))
-    return confidence(requests, sentences).join(nested, "request_id", "left")
+    order = [F.col("sent_ord")] if "sent_ord" in s.columns else []  # a draft's own order, else that of the ids
+    nested = s.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*order, "sentence_id", "text", "tier", "tier_label", "mechanical_check", "semantic_check", "failure_reason", "citations"))).alias("final_response"))
+    out = confidence(requests, sentences).join(nested, "request_id", "left")
+    answerable = requests.select("request_id", F.coalesce("is_answerable", F.lit(True)).alias("is_answerable"))
+    out = out.join(answerable, "request_id")
+    failed = F.lit(False)
+    if errors is not None:
+        out = out.join(errors.select("request_id").distinct().withColumn("failed", F.lit(True)), "request_id", "left")
+        failed = F.coalesce("failed", F.lit(False))
+    parts = F.struct("chunks_retrieved", "chunks_ranked", "loop_count", "retrieval_retry_count").alias("pipeline_stats")
+    if stats is not None:
+        out = out.join(stats.select("request_id", parts), "request_id", "left")
+    if usage is not None:
+        out = out.join(usage.select("request_id", "usage"), "request_id", "left")
+    counts = [F.when(failed, 0).otherwise(F.col(c)).alias(c) for c in ("n_sentences", *[f"tier_{t}_claims" for t in LABELS])]
+    message = F.when(failed, F.concat(F.lit("Internal pipeline error — see server logs for request "), F.col("request_id").cast("string"), F.lit(".")))
+    more = [c for c in ("pipeline_stats", "usage") if c in out.columns]
+    return out.select("request_id", F.when(failed, "error").otherwise(F.col("status")).alias("status"), (F.col("is_answerable") & ~failed).alias("is_answerable"), *counts, F.when(failed, 0.0).otherwise(F.col("overall_score")).alias("overall_score"), F.when(~failed, F.col("final_response")).alias("final_response"), message.alias("error_message"), *more)
 
 
 def valid_drafts(sentences: DataFrame, citations: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from citewright.functions import trust as S
 from citewright.functions import urls as U
 from citewright.functions.html import clean_html
 from citewright.operators import corpus, dense, evaluate, fuse, judge, lexical, retrieve, usage, verify
+from citewright.operators.frames import numbered
 from citewright.plans import loop
-from citewright.plans.answer import ranked_evidence
+from citewright.plans.answer import Models, answer, ranked_evidence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,7 +145,9 @@ def request_chunks(spark, sf):
     return chunks, requests
 
 
-PER_REQUEST = f"""{REQUESTS},
+def per_request(chunks: str, source: str) -> str:
+    """CTEs over ck(request_id, chunk_id, text, domain, ..): relevance and quality, in ql. chunks: the CTE of ck; source: the score of a domain."""
+    return f"""{chunks},
 ct AS (SELECT request_id, chunk_id, {tok('text')} AS ts FROM ck),
 st AS (SELECT request_id, count(*) AS n, avg(len(ts)) AS avgdl FROM ct GROUP BY 1),
 p AS (SELECT request_id, chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT request_id, chunk_id, len(ts) AS dl, unnest(ts) AS term FROM ct) GROUP BY ALL),
@@ -154,12 +157,16 @@ kn AS (SELECT request_id, term, coalesce(idf, 1.0::DOUBLE) AS idf FROM qt LEFT J
 mx AS (SELECT request_id, sum(idf) AS most FROM kn GROUP BY 1),
 sc AS (SELECT request_id, chunk_id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1)))) AS s FROM p JOIN kn USING (request_id, term) JOIN st USING (request_id) GROUP BY 1, 2),
 rel AS (SELECT ck.*, CASE WHEN s IS NULL THEN 0.0 ELSE round(least(1.0, s / most), 4) END::DOUBLE AS relevance_score FROM ck LEFT JOIN (sc JOIN mx USING (request_id)) USING (request_id, chunk_id)),
-qs AS (SELECT *, CASE WHEN domain = 'src0.org' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS source_quality_score, CASE WHEN length({strip('text')}) = 0 THEN 0.0 ELSE round(least(1.0, CASE WHEN length({strip('text')}) < 40 THEN 0.1::DOUBLE ELSE least(1.0, 0.2::DOUBLE + (length({strip('text')}) - 40) * 0.8::DOUBLE / 460) END + least(0.3::DOUBLE, len(regexp_extract_all(text, '(?i)[0-9]+\\.?[0-9]*\\s*%|[0-9]{{4}}|(?:fig(?:ure)?|table)\\s*[0-9]|https?://')) * 0.1::DOUBLE)), 4) END::DOUBLE AS chunk_quality_score FROM rel),
+qs AS (SELECT *, {source} AS source_quality_score, CASE WHEN length({strip('text')}) = 0 THEN 0.0 ELSE round(least(1.0, CASE WHEN length({strip('text')}) < 40 THEN 0.1::DOUBLE ELSE least(1.0, 0.2::DOUBLE + (length({strip('text')}) - 40) * 0.8::DOUBLE / 460) END + least(0.3::DOUBLE, len(regexp_extract_all(text, '(?i)[0-9]+\\.?[0-9]*\\s*%|[0-9]{{4}}|(?:fig(?:ure)?|table)\\s*[0-9]|https?://')) * 0.1::DOUBLE)), 4) END::DOUBLE AS chunk_quality_score FROM rel),
 ql AS (SELECT *, round(0.4::DOUBLE * source_quality_score + 0.6::DOUBLE * chunk_quality_score, 4) AS quality_score FROM qs)
 """
-RANKED = PER_REQUEST + """,
+
+
+PER_REQUEST = per_request(REQUESTS, "CASE WHEN domain = 'src0.org' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END")
+BLEND = """,
 rr AS (SELECT *, round(0.6::DOUBLE * relevance_score + 0.4::DOUBLE * quality_score, 4) AS ranking_score FROM ql WHERE quality_score >= 0.2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ranking_score DESC, chunk_id)::INTEGER AS rank FROM rr)"""
+RANKED = PER_REQUEST + BLEND
 TRUST = Policy(authoritative_domains=("src0.org",))
 
 
@@ -221,15 +228,16 @@ def l2_normalize(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"), F.round(dense.l2_normalise(F.col("embedding"))[0], 6).alias("first"))
 
 
-@query(f"""WITH {KNN}, f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS fused_score FROM (SELECT query_id, vec_id, rank AS r FROM kn WHERE rank <= 50 UNION ALL SELECT query_id, vec_id, rank_b FROM kn WHERE rank_b <= 50) GROUP BY 1, 2)
+@query(f"""WITH {KNN}, f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS fused_score FROM (SELECT query_id, vec_id, rank AS r FROM kn UNION ALL SELECT query_id, vec_id, rank_b FROM kn) GROUP BY 1, 2)
 SELECT query_id, vec_id, fused_score, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, vec_id)::INTEGER AS rank FROM f""")
 def rrf_fuse(spark, sf):
+    """Both full rankings of every query of the stated set."""
     e, q = knn_queries(spark, sf)
-    a = dense.knn(e.select("vec_id", "embedding"), q, 50)
-    near = e.select("vec_id", "embedding").join(F.broadcast(q), F.size("embedding") == F.size("query_embedding"))  # a fixed fiftieth of a stated query set
+    pairs = dense.scored(e.select("vec_id", "embedding"), q)
     gap = F.abs(F.col("query_embedding")[0].cast("double") - F.col("embedding")[0].cast("double"))
-    b = near.select("query_id", "vec_id", gap.alias("g")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("g", "vec_id"))).filter("rank <= 50")
-    return fuse.fuse_rankings(a, b, "query_id", "vec_id")
+    by = Window.partitionBy("query_id")
+    ranks = pairs.select("query_id", "vec_id", F.row_number().over(by.orderBy(F.desc("score"), "vec_id")).alias("ra"), F.row_number().over(by.orderBy(gap, "vec_id")).alias("rb"))
+    return fuse.fuse_rankings(ranks.select("query_id", "vec_id", F.col("ra").alias("rank")), ranks.select("query_id", "vec_id", F.col("rb").alias("rank")), "query_id", "vec_id")
 
 
 @query(f"""WITH {RANKED}, h AS (SELECT *, round(((hash_no % 1000) / 1000.0)::DOUBLE, 4) AS dense_score FROM (SELECT *, (doc_id * 7919) % 1000 AS hash_no FROM rk WHERE rank <= 10)),
@@ -340,38 +348,62 @@ def normalize_quote(spark, sf):
 
 
 def results(spark, sf):
-    """Pages as the results of seven requests with two searches each, and every page once more under another spelling of its URL."""
-    p = table(spark, sf, "pages").select(F.pmod("page_id", F.lit(7)).alias("request_id"), F.pmod(F.floor(F.col("page_id") / 7), F.lit(2)).cast("int").alias("query_ord"), F.col("page_id").cast("int").alias("result_ord"), "url", F.col("html").alias("content"), F.lit(None).cast("string").alias("title"), F.when(F.col("page_id") % 3 == 0, "snippet").otherwise("raw").alias("content_mode"))
+    """Pages as the results of as many requests as there are benchmark items, with two searches each, and every page once more under another spelling of its URL."""
+    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
+    i = F.col("page_id")
+    p = table(spark, sf, "pages").crossJoin(F.broadcast(n))  # one row
+    p = p.select(F.pmod(i, "n").alias("request_id"), F.pmod(F.floor(i / F.col("n")), F.lit(2)).cast("int").alias("query_ord"), i.cast("int").alias("result_ord"), "url", F.col("html").alias("content"), F.lit(None).cast("string").alias("title"), F.when(i % 3 == 0, "snippet").otherwise("raw").alias("content_mode"))
     again = p.withColumn("query_ord", F.lit(2)).withColumn("url", F.concat(F.upper("url"), F.lit("/")))
     return p.unionByName(again)
 
 
 RESULTS = f"""
-p0 AS (SELECT page_id % 7 AS request_id, ((page_id // 7) % 2)::INTEGER AS query_ord, page_id::INTEGER AS result_ord, url, html, CASE WHEN page_id % 3 = 0 THEN 'snippet' ELSE 'raw' END AS content_mode FROM pages),
+nb AS (SELECT count(*) AS nb FROM benchmark),
+p0 AS (SELECT page_id % nb AS request_id, ((page_id // nb) % 2)::INTEGER AS query_ord, page_id::INTEGER AS result_ord, url, html, CASE WHEN page_id % 3 = 0 THEN 'snippet' ELSE 'raw' END AS content_mode FROM pages, nb),
 r AS (SELECT * FROM p0 UNION ALL SELECT request_id, 2, result_ord, upper(url) || '/', html, content_mode FROM p0),
 c AS (SELECT *, {DOMAIN} AS domain, regexp_replace(lower(url), '/+$', '') AS norm_url FROM r),
 b AS (SELECT *, CASE WHEN domain = 'example.net' OR ends_with(domain, '.example.net') THEN 'banned' END AS f FROM c),
 o AS (SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN row_number() OVER (PARTITION BY request_id, norm_url, f ORDER BY query_ord, result_ord) > 1 THEN 'duplicate' END AS g FROM b),
 fates AS (SELECT *, CASE WHEN g IS NOT NULL THEN g WHEN {fragment('html')} = '' THEN 'empty' ELSE 'kept' END AS fate FROM o)
 """
-BANNED = Policy(banned_domains=("example.net",), max_chunks_per_request=60)
+BANNED = Policy(banned_domains=("example.net",))
+#: The cap of requests that are stopped early.
+CAPPED = Policy(banned_domains=("example.net",), max_chunks_per_request=7)
+PIECES = f"""{RESULTS},
+docs AS (SELECT request_id, query_ord, result_ord, url, domain, content_mode, {fragment('html')} AS clean, row_number() OVER (PARTITION BY request_id ORDER BY query_ord, result_ord) AS doc_index FROM fates WHERE fate = 'kept'),
+dk AS (SELECT request_id * 1000000 + doc_index AS k, * FROM docs),
+{chunk_sql('dk', 'k', 'clean')},
+cc AS (SELECT dk.request_id, dk.query_ord, dk.result_ord, dk.url, dk.domain, dk.doc_index, ch.chunk_index, ch.text, row_number() OVER (PARTITION BY dk.request_id, substr(sha256(ch.text), 1, 16) ORDER BY doc_index, chunk_index) AS nth FROM ch JOIN dk USING (k)),
+pd AS (SELECT request_id, doc_index, any_value(query_ord) AS q, any_value(result_ord) AS r, count(*) AS n, count(*) FILTER (nth = 1) AS fresh FROM cc GROUP BY 1, 2),
+pb AS (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY request_id ORDER BY doc_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pd)"""
+CHUNKED = f"SELECT request_id, 'doc_' || doc_index || '_chunk_' || {label_sql('chunk_index')} AS chunk_id, url AS source_url, domain, doc_index::INTEGER AS doc_index, chunk_index, text FROM cc JOIN pb USING (request_id, doc_index) WHERE nth = 1 AND before < "
+
+
+@query(f"""WITH {PIECES},
+st AS (SELECT request_id, min((q, r)) AS stop FROM pb WHERE before + fresh >= 7 GROUP BY 1),
+se AS (SELECT f.* FROM fates f LEFT JOIN st USING (request_id) WHERE stop IS NULL OR (query_ord, result_ord) <= stop),
+fq AS (SELECT item_id AS request_id, count(*) AS failed FROM benchmark LEFT JOIN st ON item_id = request_id WHERE item_id % 4 = 0 AND (stop IS NULL OR 1 < stop[1]) GROUP BY 1),
+co AS (SELECT request_id, count(*) AS total_search_results, count(*) FILTER (fate = 'banned') AS banned_filtered, count(*) FILTER (fate = 'duplicate') AS duplicate_urls_skipped, count(*) FILTER (fate = 'kept' AND content_mode = 'snippet') AS snippet_only_docs FROM se GROUP BY 1),
+cn AS (SELECT request_id, sum(n - fresh)::BIGINT AS dup, sum(fresh)::BIGINT AS total FROM pb WHERE before < 7 GROUP BY 1)
+SELECT request_id, coalesce(total_search_results, 0) AS total_search_results, coalesce(failed, 0) AS failed_queries, coalesce(banned_filtered, 0) AS banned_filtered, 0::BIGINT AS unsafe_urls_filtered, coalesce(duplicate_urls_skipped, 0) AS duplicate_urls_skipped, coalesce(dup, 0) AS duplicate_chunks_skipped, coalesce(total, 0) AS total_chunks, coalesce(snippet_only_docs, 0) AS snippet_only_docs
+FROM (co LEFT JOIN cn USING (request_id)) FULL JOIN fq USING (request_id)""")
+def retriever_counters(spark, sf):
+    """With a cap that stops most requests early; the second search of every fourth request failed."""
+    failed = table(spark, sf, "benchmark").filter("item_id % 4 = 0").select(F.col("item_id").alias("request_id"), F.lit(1).alias("query_ord"))
+    return retrieve.counted(results(spark, sf), CAPPED, failed=failed)[1]
 
 
-@query(f"WITH {RESULTS} SELECT request_id, count(*) AS n_results, 0::BIGINT AS n_unsafe, count(*) FILTER (fate = 'banned') AS n_banned, count(*) FILTER (fate = 'duplicate') AS n_duplicate, count(*) FILTER (fate = 'empty') AS n_empty, count(*) FILTER (fate = 'kept') AS n_kept, count(*) FILTER (fate = 'kept' AND content_mode = 'snippet') AS n_snippet FROM fates GROUP BY 1")
-def retriever_counters(spark, sf):
-    return retrieve.counters(retrieve.classify(results(spark, sf), BANNED))
+COLUMNS = ["request_id", "chunk_id", "source_url", "domain", "doc_index", "chunk_index", "text"]
 
 
-@query(f"""WITH {RESULTS},
-docs AS (SELECT request_id, url, domain, {fragment('html')} AS clean, row_number() OVER (PARTITION BY request_id ORDER BY query_ord, result_ord) AS doc_index FROM fates WHERE fate = 'kept'),
-dk AS (SELECT request_id * 1000000 + doc_index AS k, * FROM docs),
-{chunk_sql('dk', 'k', 'clean')},
-cc AS (SELECT dk.request_id, dk.url, dk.domain, dk.doc_index, ch.chunk_index, ch.text, row_number() OVER (PARTITION BY dk.request_id, substr(sha256(ch.text), 1, 16) ORDER BY doc_index, chunk_index) AS nth FROM ch JOIN dk USING (k)),
-un AS (SELECT * FROM cc WHERE nth = 1),
-pd AS (SELECT request_id, doc_index, coalesce(sum(count(*)) OVER (PARTITION BY request_id ORDER BY doc_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM un GROUP BY 1, 2)
-SELECT request_id, 'doc_' || doc_index || '_chunk_' || {label_sql('chunk_index')} AS chunk_id, url AS source_url, domain, doc_index::INTEGER AS doc_index, chunk_index, text FROM un JOIN pd USING (request_id, doc_index) WHERE before < 60""")
+@query(f"WITH {PIECES} {CHUNKED} {BANNED.max_chunks_per_request}")
 def retriever_pipeline(spark, sf):
-    return retrieve.retrieve(results(spark, sf), BANNED).select("request_id", "chunk_id", "source_url", "domain", "doc_index", "chunk_index", "text")
+    return retrieve.retrieve(results(spark, sf), BANNED).select(*COLUMNS)
+
+
+@query(f"WITH {PIECES} {CHUNKED} {CAPPED.max_chunks_per_request}")
+def chunk_cap(spark, sf):
+    return retrieve.retrieve(results(spark, sf), CAPPED).select(*COLUMNS)
 
 
 @query("SELECT url, length(content)::INTEGER AS n, backend_ord FROM (SELECT url, html AS content, 0 AS backend_ord FROM pages UNION ALL SELECT 'https://corpus.local/doc/' || doc_id || '#chunk-0', text, 1 FROM documents)")
@@ -388,11 +420,11 @@ cit AS (SELECT doc_id // 12 AS request_id, doc_id // 3 AS sentence_id, (doc_id %
   CASE WHEN doc_id % 11 = 0 THEN 'short' WHEN doc_id % 7 = 0 THEN 'no text says anything like this at all' WHEN doc_id % 13 = 0 THEN '...' ELSE substr(text, 1, 80) END AS quote, text, source || CASE WHEN doc_id % 2 = 0 THEN '.org' ELSE '.com' END AS domain FROM documents),
 nrm AS (SELECT *, {NORM.format(x='quote')} AS nq, CASE WHEN chunk_id <> 'doc_0_chunk_Z' THEN {NORM.format(x='text')} END AS nc, CASE WHEN chunk_id <> 'doc_0_chunk_Z' THEN domain END AS dom FROM cit),
 tk AS (SELECT *, CASE WHEN nq = '' THEN 0 ELSE len(string_split(nq, ' ')) END AS nt FROM nrm),
-mech AS (SELECT *, CASE WHEN nc IS NULL THEN 'Cited chunk does not exist.' WHEN nq = '' THEN 'Quote is empty after normalization.' WHEN nt < 4 AND length(nq) < 12 THEN 'Quote is too short after normalization (' || nt || ' tokens < 4 required and ' || length(nq) || ' chars < 12 required).' WHEN NOT contains(nc, nq) THEN 'Normalized quote not found in the chunk.' END AS why FROM tk),
+mech AS (SELECT *, CASE WHEN nc IS NULL THEN 'Chunk ' || chunk_id || ' not found in indexed_chunks.' WHEN nq = '' THEN 'Quote is empty after normalization.' WHEN nt < 4 AND length(nq) < 12 THEN 'Quote is too short after normalization (' || nt || ' tokens < 4 required and ' || length(nq) || ' chars < 12 required).' WHEN NOT contains(nc, nq) THEN 'Normalized quote not found in the chunk.' END AS why FROM tk),
 jud AS (SELECT m.*, CASE WHEN l.quality = 1 THEN 'passed' WHEN l.toxic = 1 THEN 'error' WHEN l.quality = 0 THEN 'failed' END AS v FROM mech m LEFT JOIN labels l USING (doc_id)),
 ver AS (SELECT *, (CASE WHEN why IS NOT NULL THEN 5 WHEN v = 'passed' THEN CASE WHEN dom = 'src0.org' THEN 1 ELSE 3 END WHEN v = 'failed' THEN 4 ELSE 3 END)::INTEGER AS tier,
   CASE WHEN why IS NOT NULL THEN 'skipped' WHEN v IN ('passed', 'failed') THEN v ELSE 'skipped' END AS semantic_check,
-  CASE WHEN why IS NOT NULL THEN why WHEN v = 'passed' THEN NULL WHEN v = 'failed' THEN 'claim and text differ' ELSE 'Semantic verification unavailable: ' || CASE WHEN v = 'error' THEN 'no answer' ELSE 'no verdict' END END AS reason FROM jud),
+  CASE WHEN why IS NOT NULL THEN why WHEN v = 'passed' THEN NULL WHEN v = 'failed' THEN 'claim and text differ' ELSE 'Semantic check unavailable: ' || CASE WHEN v = 'error' THEN 'no answer' ELSE 'no verdict' END END AS reason FROM jud),
 sen AS (SELECT DISTINCT request_id, sentence_id FROM cit)
 """
 
@@ -457,7 +489,7 @@ def sentence_rollup(spark, sf):
 @query(f"""WITH {ROLLED}, src AS (SELECT request_id, sentence_id, count(DISTINCT dom) AS n FROM ver WHERE dom IS NOT NULL GROUP BY 1, 2),
 z AS (SELECT r.*, sentence_id % 3 AS m, coalesce(n, 0) AS n FROM rol r LEFT JOIN src USING (request_id, sentence_id)),
 y AS (SELECT *, (tier = 2 AND n >= 2 AND m <> 0) AS down FROM z)
-SELECT request_id, sentence_id, (CASE WHEN down THEN 3 ELSE tier END)::INTEGER AS tier, CASE WHEN down THEN CASE WHEN m = 2 THEN 'Corroboration check unavailable.' ELSE 'Sources do not corroborate: they differ' END ELSE CASE tier WHEN 5 THEN w5 WHEN 4 THEN w4 WHEN 3 THEN w END END AS failure_reason FROM y""")
+SELECT request_id, sentence_id, (CASE WHEN down THEN 3 ELSE tier END)::INTEGER AS tier, CASE WHEN down THEN CASE WHEN m = 2 THEN 'Corroboration unavailable: they differ' ELSE 'Sources cover different aspects of the claim but do not independently corroborate it.' END ELSE CASE tier WHEN 5 THEN w5 WHEN 4 THEN w4 WHEN 3 THEN w END END AS failure_reason FROM y""")
 def corroboration_gate(spark, sf):
     s, v = rolled(spark, sf)
     m = F.col("sentence_id") % 3
@@ -485,20 +517,62 @@ def answer_status(spark, sf):
     return answers(spark, sf).select("request_id", "status")
 
 
-@query()
+@query(f"""WITH {CITED} SELECT citation_id, CASE WHEN why IS NULL THEN 'passed' ELSE 'failed' END AS status, CASE WHEN why IS NOT NULL THEN 5 END::INTEGER AS tier, CASE WHEN why IS NOT NULL THEN 'hallucinated' END AS tier_label, why AS failure_reason,
+CASE WHEN why IS NOT NULL THEN quote END AS raw_quote, nq AS norm_quote, CASE WHEN why IS NULL THEN nt END::INTEGER AS norm_quote_tokens, CASE WHEN why IS NOT NULL THEN nq[:200] END AS norm_quote_snippet FROM mech""")
+def mechanical_proof(spark, sf):
+    p = verify.check_citations(*citations(spark, sf)).select("citation_id", verify.audit_proof().alias("p"))
+    return p.select("citation_id", *[f"p.{c}" for c in ("status", "tier", "tier_label", "failure_reason", "raw_quote", "norm_quote", "norm_quote_tokens", "norm_quote_snippet")])
+
+
+@query(f"""WITH {ROLLED}, cj AS (SELECT request_id, sentence_id, string_agg(citation_id || ':' || tier, ' ' ORDER BY cit_ord) AS cs FROM ver GROUP BY 1, 2),
+o AS (SELECT request_id, string_agg(sentence_id || ':' || tier || '(' || cs || ')', ' ' ORDER BY sentence_id) AS body, count(*) AS n, bool_or(tier >= 4) AS faulty FROM rol JOIN cj USING (request_id, sentence_id) GROUP BY 1)
+SELECT request_id, CASE WHEN request_id % 10 = 0 THEN 'error' WHEN faulty THEN 'partial' ELSE 'success' END AS status, CASE WHEN request_id % 10 <> 0 THEN body END AS body, CASE WHEN request_id % 10 = 0 THEN 'Internal pipeline error — see server logs for request ' || request_id || '.' END AS error_message, CASE WHEN request_id % 10 = 0 THEN 0 ELSE n END::BIGINT AS n_sentences, 3::INTEGER AS loop_count FROM o""")
 def response_assembly(spark, sf):
+    """Nested responses, flattened to text for comparison; every tenth request failed."""
     s, v = rolled(spark, sf)
     requests = s.select("request_id").distinct().withColumn("is_answerable", F.lit(True))
-    return verify.respond(requests, s.withColumn("text", F.lit("")), v)
+    stats = requests.select("request_id", F.lit(9).alias("chunks_retrieved"), F.lit(5).alias("chunks_ranked"), F.lit(3).alias("loop_count"), F.lit(1).alias("retrieval_retry_count"))
+    r = verify.respond(requests, s.withColumn("text", F.lit("")), v, stats=stats, errors=requests.filter("request_id % 10 = 0"))
+    cites = lambda x: F.array_join(F.transform(x["citations"], lambda c: F.concat(c["citation_id"], F.lit(":"), c["tier"].cast("string"))), " ")
+    body = F.array_join(F.transform("final_response", lambda x: F.concat(x["sentence_id"].cast("string"), F.lit(":"), x["tier"].cast("string"), F.lit("("), cites(x), F.lit(")"))), " ")
+    return r.select("request_id", "status", body.alias("body"), "error_message", F.col("n_sentences").cast("long").alias("n_sentences"), "pipeline_stats.loop_count")
 
 
-@query()
+ASKING = Policy(banned_domains=("example.net",), authoritative_domains=("example.org",))
+EVIDENCE = per_request(
+    f"{PIECES}, ck AS (SELECT request_id, 'doc_' || doc_index || '_chunk_' || {label_sql('chunk_index')} AS chunk_id, text, domain, doc_index, chunk_index FROM cc JOIN pb USING (request_id, doc_index) WHERE nth = 1 AND before < {ASKING.max_chunks_per_request})",
+    "CASE WHEN domain = 'example.org' THEN 0.9 WHEN ends_with(domain, '.example.org') THEN 0.85 ELSE 0.5 END::DOUBLE",
+) + BLEND
+
+
+def asked(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
+
+
+@query(f"WITH {EVIDENCE} SELECT request_id, chunk_id, quality_score, relevance_score, ranking_score, rank FROM rk WHERE rank <= 10")
+def ranked_evidence_of_pages(spark, sf):
+    """From pages to ranked evidence: benchmark items ask, pages answer."""
+    return ranked_evidence(asked(spark, sf), results(spark, sf), ASKING)[2].select("request_id", "chunk_id", "quality_score", "relevance_score", "ranking_score", "rank")
+
+
+@query(f"""WITH {EVIDENCE},
+se AS (SELECT request_id, count(*) AS retrieved FROM ck GROUP BY 1),
+bs AS (SELECT request_id, max(ranking_score) AS best, least(10, count(*)) AS ranked FROM rk WHERE rank <= 10 GROUP BY 1),
+two AS (SELECT request_id, domain, {NORM.format(x='text[:60]')} AS nq, {NORM.format(x='text')} AS nc, length(text) AS n FROM rk WHERE rank <= 2),
+ok AS (SELECT request_id, count(*) AS sentences, count(*) FILTER (domain = 'example.org' OR ends_with(domain, '.example.org')) AS one,
+  bool_and(nq <> '' AND contains(nc, nq) AND (len(string_split(nq, ' ')) >= 4 OR length(nq) >= 12) AND n % 5 <> 0) AS fine FROM two GROUP BY 1),
+a AS (SELECT item_id AS request_id, length(b.text) AS l, coalesce(retrieved, 0) AS retrieved, coalesce(ranked, 0) AS ranked, best, sentences, one, fine FROM benchmark b LEFT JOIN se ON item_id = se.request_id LEFT JOIN bs ON item_id = bs.request_id LEFT JOIN ok ON item_id = ok.request_id),
+f AS (SELECT *, CASE WHEN best IS NULL OR best < 0.15 THEN 'gate' WHEN l % 11 = 0 THEN 'no' WHEN NOT fine OR l % 7 = 0 THEN 'exhausted' WHEN l % 3 = 0 THEN 'second' ELSE 'first' END AS way FROM a)
+SELECT request_id, CASE WHEN way IN ('first', 'second') THEN 'success' ELSE 'unanswerable' END AS status, CASE WHEN way IN ('first', 'second') THEN sentences ELSE 0 END::BIGINT AS n_sentences, CASE WHEN way IN ('first', 'second') THEN one ELSE 0 END::BIGINT AS tier_1_claims,
+CASE WHEN way IN ('first', 'second') THEN floor(((one * 100 + (sentences - one) * 60) * 200 + sentences) / (sentences * 2))::DOUBLE / 10000 ELSE 0.0 END::DOUBLE AS overall_score, CASE WHEN way = 'second' THEN 2 ELSE 1 END::INTEGER AS loop_count, CASE WHEN way = 'exhausted' THEN 1 ELSE 0 END::INTEGER AS retries,
+retrieved AS chunks_retrieved, ranked AS chunks_ranked, CASE way WHEN 'gate' THEN 0 WHEN 'exhausted' THEN 3 WHEN 'second' THEN 2 ELSE 1 END::BIGINT AS drafts FROM f""")
 def verified_answer(spark, sf):
-    """From pages to ranked evidence, end to end: benchmark items ask, pages answer."""
-    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
-    r = table(spark, sf, "pages").crossJoin(F.broadcast(n)).select(F.pmod("page_id", "n").alias("request_id"), F.lit(0).alias("query_ord"), F.col("page_id").cast("int").alias("result_ord"), "url", F.col("html").alias("content"), F.lit(None).cast("string").alias("title"), F.lit("raw").alias("content_mode"))
-    requests = table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
-    return ranked_evidence(requests, r)[2].select("request_id", "chunk_id", "source_url", "quality_score", "relevance_score", "ranking_score", "rank")
+    """The whole answer: search, rank, draft, check, judge, rewrite, search again, respond; by scripted models (see QuoteSynthesiser and LengthJudge)."""
+    found = results(spark, sf)
+    search = lambda q: found.join(q.select("request_id").distinct(), "request_id", "left_semi")
+    r, _, _ = answer(asked(spark, sf), search, Models(judge.QuoteSynthesiser(), judge.LengthJudge()), ASKING)
+    drafts = F.coalesce(F.element_at("usage.by_model", "synthesiser")["calls"], F.lit(0)).cast("long")
+    return r.select("request_id", "status", F.col("n_sentences").cast("long").alias("n_sentences"), F.col("tier_1_claims").cast("long").alias("tier_1_claims"), "overall_score", F.col("pipeline_stats.loop_count").alias("loop_count"), F.col("pipeline_stats.retrieval_retry_count").alias("retries"), "pipeline_stats.chunks_retrieved", "pipeline_stats.chunks_ranked", drafts.alias("drafts"))
 
 
 # ---- usage, metrics, audit ---------------------------------------------------------------------------------------------
@@ -585,17 +659,19 @@ def cache_probe(spark, sf):
 
 
 def stored(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id % 2 = 0")
-    return d.select("doc_id", "text", F.col("lang").alias("embedding_model"), F.lit("2024-01-01").alias("created_at"))
+    return table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("embedding_model"), F.lit("2024-01-01").alias("created_at"))
 
 
-@query("SELECT doc_id, length(text)::INTEGER AS n, created_at FROM (SELECT doc_id, text, '2024-01-01' AS created_at FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, text || 'x', '2024-02-01' FROM documents WHERE doc_id % 3 = 0)")
+@query("""SELECT doc_id, length(text)::INTEGER AS n, created_at FROM (SELECT doc_id, text, '2024-01-01' AS created_at FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, text || 'x', '2024-02-01' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT -1 - doc_id, text || 'x', '2024-02-01' FROM documents WHERE doc_id % 3 = 1)""")
 def upsert_document(spark, sf):
-    new = table(spark, sf, "documents").filter("doc_id % 3 = 0").select("doc_id", F.concat("text", F.lit("x")).alias("text"), F.col("lang").alias("embedding_model"), F.lit("2024-02-01").alias("created_at"))
+    """All documents are stored; a third comes again with another text, and as many are new."""
+    i = F.col("doc_id")
+    new = table(spark, sf, "documents").filter(i % 3 != 2).select(F.when(i % 3 == 0, i).otherwise(-1 - i).alias("doc_id"), F.concat("text", F.lit("x")).alias("text"), F.col("lang").alias("embedding_model"), F.lit("2024-02-01").alias("created_at"))
     return corpus.upsert(stored(spark, sf), new).select("doc_id", F.length("text").alias("n"), "created_at")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0")
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 <> 0")
 def delete_document(spark, sf):
     gone = table(spark, sf, "documents").filter("doc_id % 5 = 0").select("doc_id")
     return corpus.delete(stored(spark, sf), gone).select("doc_id")
@@ -621,19 +697,14 @@ def ingest_rejects(spark, sf):
 
 @query("SELECT doc_id, source, row_number() OVER (ORDER BY source DESC, doc_id)::INTEGER AS pos FROM documents")
 def list_documents(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.col("source").alias("created_at"))
-    # the position, from a global sort: ranks inside ranges of the key plus the sizes of the ranges before
-    ordered = corpus.listing(d).select("doc_id", "source")
-    base = ordered.select("source").groupBy("source").count()
-    before = base.alias("a").join(base.alias("b"), F.col("b.source") > F.col("a.source"), "left").groupBy(F.col("a.source").alias("source")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return d.withColumn("i", F.row_number().over(w)).join(before, "source").select("doc_id", "source", (F.col("before") + F.col("i")).cast("int").alias("pos"))
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return numbered(d, F.desc("source"), "doc_id").withColumn("pos", F.col("pos").cast("int"))
 
 
 # ---- evaluation --------------------------------------------------------------------------------------------------------
 
 QRELS = "qr AS (SELECT DISTINCT doc_id % (SELECT count(*) FROM benchmark) AS item_id, doc_id FROM labels WHERE quality = 1)"
-METRICS = f"""{BM25}, {QRELS}, top AS (SELECT item_id, doc_id, rank FROM rk WHERE rank <= 200),
+METRICS = f"""{BM25}, {QRELS}, top AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY relevance_score DESC NULLS LAST, doc_id)::INTEGER AS rank FROM (SELECT item_id, doc_id FROM benchmark, documents) LEFT JOIN rs USING (item_id, doc_id)),
 nr AS (SELECT item_id, count(*) AS n_relevant FROM qr GROUP BY 1),
 hit AS (SELECT item_id, rank FROM top JOIN qr USING (item_id, doc_id)),
 ag AS (SELECT item_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 20) AS h20, sum(1.0::DOUBLE / log2(rank + 1.0::DOUBLE)) FILTER (rank <= 10) AS dcg, min(rank) AS first FROM hit GROUP BY 1),
@@ -641,10 +712,15 @@ me AS (SELECT item_id AS query_id, n_relevant, coalesce(h1, 0) / n_relevant::DOU
 
 
 def ir(spark, sf):
-    run = lexical.top(bm25_run(spark, sf), 200, "item_id", "relevance_score", "doc_id").withColumnRenamed("item_id", "query_id")
+    """(run, qrels): the run has the ranks of the relevant documents in the full ranking, in which all documents have a place."""
     n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
     qrels = table(spark, sf, "labels").filter("quality = 1").crossJoin(F.broadcast(n)).select(F.pmod("doc_id", "n").alias("query_id"), "doc_id").distinct()
-    return run, qrels
+    return lexical.full_ranks(ranking(spark, sf), table(spark, sf, "documents"), qrels), qrels
+
+
+def ranking(spark, sf):
+    w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "doc_id")
+    return bm25_run(spark, sf).withColumnRenamed("item_id", "query_id").withColumn("rank", F.row_number().over(w))
 
 
 @query(f"WITH {METRICS} SELECT query_id, n_relevant, round(recall_1, 6) AS recall_1, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10, round(recall_20, 6) AS recall_20, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr FROM me")
@@ -668,7 +744,7 @@ def regression_gate(spark, sf):
 
 @query(f"WITH {BM25}, t AS (SELECT item_id, doc_id // 4 AS doc, min(rank) AS best FROM rk WHERE rank <= 200 GROUP BY 1, 2) SELECT item_id AS query_id, doc, row_number() OVER (PARTITION BY item_id ORDER BY best, doc)::INTEGER AS rank FROM t")
 def chunk_to_doc(spark, sf):
-    return evaluate.collapse(ir(spark, sf)[0], F.floor(F.col("doc_id") / 4))
+    return evaluate.collapse(ranking(spark, sf), F.floor(F.col("doc_id") / 4))
 
 
 @query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 10 = 0) AS errors, count(*) FILTER (doc_id % 10 <> 0 AND toxic = 1 AND quality = 0) AS tp, count(*) FILTER (doc_id % 10 <> 0 AND toxic <> 1 AND quality = 0) AS fp, count(*) FILTER (doc_id % 10 <> 0 AND toxic = 1 AND quality <> 0) AS fn, count(*) FILTER (doc_id % 10 <> 0 AND toxic <> 1 AND quality <> 0) AS tn FROM labels),

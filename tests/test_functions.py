@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citewright.config import Policy, Settings, split_list
+from citewright.functions import text as T
 from citewright.functions import html as H
 from citewright.functions import register, text, trust, urls
 from citewright.operators import judge
@@ -124,13 +125,73 @@ def test_corroboration_needs_a_boolean(spark):
 
 def test_ask_turns_errors_into_rows(spark):
     class Fails:
-        def __call__(self, prompts):
-            if "bad" in prompts[0]:
+        def __call__(self, prompts, temperature=0.0):
+            if any("bad" in p for p in prompts):
                 raise TimeoutError("late")
-            return ["ok"]
-
-    got = {r["id"]: (r["raw"], r["error"]) for r in judge.ask(spark.createDataFrame([(1, "good"), (2, "bad")], "id int, q string"), F.col("q"), Fails(), ["id"]).collect()}
-    assert got == {1: ("ok", None), 2: (None, "TimeoutError: late")}
+            return [("ok", len(p), 2) for p in prompts]
+
+    rows = spark.createDataFrame([(i, "bad" if i == 7 else "good") for i in range(40)], "id int, q string")
+    got = {r["id"]: r for r in judge.ask(rows, F.col("q"), Fails(), ["id"]).collect()}
+    assert (got[7]["raw"], got[7]["error"]) == (None, "TimeoutError") and len(got) == 40
+    assert all((r["raw"], r["error"], r["calls"], r["prompt_tokens"], r["completion_tokens"]) == ("ok", None, 1, 4, 2) for i, r in got.items() if i != 7)
+
+
+def test_ask_complains_once_about_a_bad_answer(spark):
+    class Learns:
+        def __call__(self, prompts, temperature=0.0):
+            return ["fine" if "It is invalid: not fine" in p and temperature > 0 and "never" not in p else "oops" for p in prompts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "never")], "id int, q string")
+    got = {r["id"]: (r["raw"], r["error"], r["calls"]) for r in judge.ask(rows, F.col("q"), Learns(), ["id"], check=lambda a: None if a == "fine" else "not fine").collect()}
+    assert got == {1: ("fine", None, 2), 2: ("oops", "invalid: not fine", 2)}
+
+
+@pytest.mark.parametrize(
+    "raw,why",
+    [
+        ('{"is_answerable": false}', None),
+        ('<think>{"x": 1}</think>```json\n{"is_answerable": true, "sentences": [{"sentence_id": "s", "text": "t", "is_cited": false, "citations": []}]}\n```', None),
+        ("none", "no JSON object"),
+        ('{"is_answerable": "true"}', "is_answerable must be a boolean"),
+        ('{"is_answerable": true, "sentences": []}', "no sentences"),
+        ('{"is_answerable": true, "sentences": [{"sentence_id": "s", "text": "t", "is_cited": true, "citations": []}]}', "sentence s: is_cited and citations disagree"),
+        ('{"is_answerable": true, "sentences": [{"sentence_id": "s", "text": "t", "is_cited": true, "citations": [{"citation_id": "c", "chunk_id": "doc_1_chunk_A", "exact_source_quote": "q"}, {"citation_id": "c", "chunk_id": "doc_1_chunk_A", "exact_source_quote": "q"}]}]}', "citation_id c is not unique"),
+        ('{"is_answerable": true, "sentences": [{"sentence_id": "s", "text": "t", "is_cited": true, "citations": [{"citation_id": "c", "chunk_id": "page 1", "exact_source_quote": "q"}]}]}', "citation c: chunk_id or quote is malformed"),
+        ('{"is_answerable": true, "sentences": [{"sentence_id": "s"}]}', "a sentence needs sentence_id, text, is_cited and citations"),
+    ],
+)
+def test_draft_rules(raw, why):
+    assert judge.draft_error(raw) == why
+
+
+def test_first_object():
+    assert judge.first_object('so {"a": "}{"} and {"b": 1}') == '{"a": "}{"}'
+    assert judge.first_object("{broken {}") is None and judge.first_object("") is None and judge.first_object('{"a":1}' + " " * 300_000) is None
+
+
+def test_chunks_equal_the_rule_of_columns(spark):
+    """The Arrow function against sentences() as columns, and windows by their definition."""
+    import random
+
+    rng = random.Random(2)
+    words = ["Dr.", "word", "e.g.", "no!", "what?", "end.", "é\u00a0x", "\u2003", "a" * 1600, "x"]
+    texts = ["", None, "\n\n \n", "a" * 39, "a" * 40, "b " * 2000] + [" ".join(rng.choices(words, weights=[9, 40, 5, 5, 5, 9, 3, 3, 1, 9], k=rng.randint(1, 900))).replace("x x", rng.choice(["x\nx", "x\n\nx", "x \n \t\nx"])) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", "t", T.chunks(F.col("t")).alias("c"), T.sentences(F.coalesce("t", F.lit(""))).alias("s")).collect()
+    for r in rows:
+        if r["t"] is None:
+            assert r["c"] is None
+            continue
+        assert r["s"] == T.sentence_list(r["t"])
+        assert all(40 <= len(c) <= 3001 for c in r["c"]) and r["c"] == T.chunk_list(r["t"])
+    assert T.window_list(["a" * 700, "b" * 700, "c" * 700]) == ["a" * 700 + " " + "b" * 700, "b" * 700 + " " + "c" * 700]
+    assert T.chunk_list("b" * 4000) == ["b" * 1500]  # one sentence, cut
+
+
+def test_labels_of_large_places(spark):
+    want = {0: "A", 25: "Z", 26: "AA", 701: "ZZ", 702: "AAA", 18277: "ZZZ", 18278: "AAAA", 475253: "ZZZZ", 475254: "AAAAA"}
+    df = spark.createDataFrame([(i,) for i in want], "i int")
+    assert {r["i"]: r["l"] for r in df.select("i", T.chunk_label(F.col("i")).alias("l")).collect()} == want
 
 
 def test_sql_functions(spark):

@@ -19,8 +19,9 @@ LONG = "This sentence has more than forty characters in it, {}."
 def test_url_and_chunk_dedup_keep_the_first(spark):
     rows = [(1, 0, 0, "https://a.org/X/", "", None, "raw"), (1, 0, 1, "https://A.org/x", LONG.format(1), None, "raw"), (1, 0, 2, "https://b.org", LONG.format(2), None, "raw"), (1, 1, 0, "https://c.org", LONG.format(2), None, "snippet"), (1, 1, 1, "http://localhost/", LONG.format(3), None, "raw"), (1, 1, 2, "https://sub.bad.org", LONG.format(4), None, "raw"), (1, 1, 3, "https://d.org", LONG.format(2) + "\n\n" + LONG.format(5), None, "raw")]
     fates = retrieve.classify(spark.createDataFrame(rows, RESULT), Policy(banned_domains=("BAD.org",)))
+    parts = retrieve.pieces(fates)
     assert {(r["url"], r["fate"]) for r in fates.collect()} == {("https://a.org/X/", "empty"), ("https://A.org/x", "duplicate"), ("https://b.org", "kept"), ("https://c.org", "kept"), ("http://localhost/", "unsafe"), ("https://sub.bad.org", "banned"), ("https://d.org", "kept")}
-    got = {r["chunk_id"] for r in retrieve.number_and_chunk(fates, Policy()).collect()}
+    got = {r["chunk_id"] for r in retrieve.number(parts, retrieve.by_page(parts), Policy()).collect()}
     assert got == {"doc_1_chunk_A", "doc_3_chunk_B"}  # document 2 took a number, label A of document 3 is a repetition
     seen = spark.createDataFrame([(1, "https://b.org")], "request_id long, norm_url string")
     assert retrieve.classify(spark.createDataFrame(rows, RESULT), Policy(), seen).filter("url = 'https://b.org'").first()["fate"] == "duplicate"
@@ -32,6 +33,61 @@ def test_cap_takes_whole_documents(spark):
     assert got.count() == 6
 
 
+def test_counters_stop_where_the_cap_stops(spark):
+    """Brute force: results are taken one by one until the number of chunks reaches the cap."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for q in range(4):
+        for i in range(8):
+            url = rng.choice(["https://a.org/%d" % rng.randint(0, 12), "http://localhost/", "https://bad.org/x", "https://b.org/%d" % rng.randint(0, 9)])
+            text = rng.choice(["", "short", "\n\n".join(LONG.format(rng.randint(0, 15)) for _ in range(rng.randint(1, 3)))])
+            rows.append((1, q, i, url, text, None, rng.choice(["raw", "snippet"])))
+    failed = spark.createDataFrame([(1, 0), (1, 2), (1, 9), (2, 0)], "request_id long, query_ord int")
+    for cap in (1, 4, 9, 1000):
+        n = dict.fromkeys(["total_search_results", "failed_queries", "banned_filtered", "unsafe_urls_filtered", "duplicate_urls_skipped", "duplicate_chunks_skipped", "total_chunks", "snippet_only_docs"], 0)
+        urls, hashes, stop = set(), set(), None
+        for _, q, i, url, text, _, mode in rows:
+            n["total_search_results"] += 1
+            if "localhost" in url:
+                n["unsafe_urls_filtered"] += 1
+            elif "bad.org" in url:
+                n["banned_filtered"] += 1
+            elif url in urls:
+                n["duplicate_urls_skipped"] += 1
+            else:
+                urls.add(url)
+                n["snippet_only_docs"] += bool(text) and mode == "snippet"
+                for c in text.split("\n\n"):
+                    if len(c) >= 40:
+                        n["duplicate_chunks_skipped"] += c in hashes
+                        hashes.add(c)
+                n["total_chunks"] = len(hashes)
+                if len(text) >= 40 and len(hashes) >= cap:
+                    stop = q
+                    break
+        n["failed_queries"] = sum(stop is None or q < stop for q in (0, 2, 9))
+        chunks, got = retrieve.counted(spark.createDataFrame(rows, RESULT), Policy(banned_domains=("bad.org",), max_chunks_per_request=cap), failed=failed)
+        got = {r["request_id"]: r.asDict() for r in got.collect()}
+        assert got[1] == {"request_id": 1, **n} and chunks.count() == n["total_chunks"]
+        assert got[2]["failed_queries"] == 1 and got[2]["total_search_results"] == 0
+
+
+def test_backends(spark):
+    one = lambda: spark.createDataFrame([("u", 1)], "url string, n int")
+
+    def broken():
+        raise OSError("down")
+
+    frame, errors = retrieve.isolated(broken, one, one)
+    assert frame.count() == 2 and errors == ["OSError: down"] and retrieve.isolated(broken)[0] is None
+    assert retrieve.choose_backends("both", None, one) == [one] and retrieve.choose_backends("both", broken, one) == [broken, one] and retrieve.choose_backends("web", one) == [one]
+    for bad in (("web", None, one), ("corpus", one, None), ("both", one, None), ("other", one, one)):
+        with pytest.raises(ValueError):
+            retrieve.choose_backends(*bad)
+
+
 def test_pick_content(spark):
     df = spark.createDataFrame([(" page ", "s"), (" ", "s"), (None, None)], "r string, s string")
     assert [tuple(x[0]) for x in df.select(retrieve.pick_content(F.col("r"), F.col("s"), True, 3)).collect()] == [("pag", "raw"), ("s", "snippet"), ("", "snippet")]
@@ -55,10 +111,44 @@ def test_fusion(spark):
     assert got[1, 1] == ("doc_2_chunk_A", "hybrid") and got[2, 1] == ("only", "bm25") and got[3, 1] == ("b", "bm25")
 
 
+def test_knn_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dense, "QUERIES", 7)
+    rng = np.random.RandomState(2)
+    rows = [(i, rng.randint(-2, 3, 3 if i % 3 else 4).astype(float).tolist(), "m%d" % (i % 2)) for i in range(200)] + [(900, None, "m0")]
+    queries = [(i, rng.randint(-2, 3, 3 if i % 2 else 4).astype(float).tolist(), "m%d" % (i % 2)) for i in range(20)] + [(99, None, "m0")]
+    c = spark.createDataFrame(rows, "vec_id long, embedding array<double>, model string").repartition(5)
+    q = spark.createDataFrame(queries, "query_id long, query_embedding array<double>, model string")
+    for part in (None, "model"):
+        want = set()
+        for i, v, m in queries[:-1]:
+            near = sorted((-float(np.dot(v, w)), k) for k, w, n in rows[:-1] if len(v) == len(w) and (part is None or m == n))[:4]
+            want |= {(i, k, rank, -s) for rank, (s, k) in enumerate(near, 1)}
+        assert {(r["query_id"], r["vec_id"], r["rank"], r["score"]) for r in dense.knn(c, q, 4, partition=part).collect()} == want
+
+
+def test_full_ranks_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i * 3,) for i in range(50)], "doc_id long").repartition(4)
+    run, want, asked = [], set(), []
+    for q in range(5):
+        hits = rng.sample(range(50), rng.randint(0, 20))
+        run += [(q, d * 3, n) for n, d in enumerate(hits, 1)]
+        order = hits + [d for d in range(50) if d not in hits]
+        picked = rng.sample(range(50), 12)
+        asked += [(q, d * 3) for d in picked]
+        want |= {(q, d * 3, order.index(d) + 1) for d in picked}
+    got = lexical.full_ranks(spark.createDataFrame(run, "query_id int, doc_id long, rank int"), docs, spark.createDataFrame(asked, "query_id int, doc_id long"))
+    assert {tuple(r) for r in got.select("query_id", "doc_id", "rank").collect()} == want
+
+
 def test_knn_edges(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None)], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query_embedding array<float>")
-    assert [(r["vec_id"], r["rank"]) for r in dense.knn(c, q, 5).collect()] == [(1, 1), (2, 2)]
+    assert sorted((r["vec_id"], r["rank"]) for r in dense.knn(c, q, 5).collect()) == [(1, 1), (2, 2)]
     assert dense.knn(c, q, 0).count() == 0
     packed = c.filter("vec_id = 1").select(dense.unpack(dense.pack("embedding")).alias("v")).first()
     assert packed["v"] == [1.0, 0.0]
