@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citewright.functions import text as T
 from citewright.operators.dense import embed, l2_normalise
+from citewright.operators.frames import materialise
 
 MAX_CHUNKS = 2000
 
@@ -23,7 +25,7 @@ def chunk_documents(docs: DataFrame, max_chunks: int = MAX_CHUNKS) -> tuple[Data
     """Documents (doc_id, text, title, source) -> (chunks, rejects with a reason)."""
     d = docs.withColumn("pieces", T.chunks(F.coalesce(F.col("text"), F.lit(""))))
     bad = F.when(T.strip(F.coalesce(F.col("text"), F.lit(""))) == "", "no_text").when(F.size("pieces") == 0, "no_chunks").when(F.size("pieces") > max_chunks, "too_many_chunks")
-    d = d.withColumn("reason", bad)
+    d = materialise(d.withColumn("reason", bad))  # chunks and rejects come of one pass
     good = d.filter("reason is null").select("doc_id", F.posexplode("pieces").alias("chunk_index", "text"))
     return good.select(F.concat_ws("::", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "text"), d.filter("reason is not null").select("doc_id", "reason")
 
@@ -31,7 +33,7 @@ def chunk_documents(docs: DataFrame, max_chunks: int = MAX_CHUNKS) -> tuple[Data
 def ingest(docs: DataFrame, model: str, embedder=None, created_at: str = "1970-01-01T00:00:00Z", max_chunks: int = MAX_CHUNKS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, chunks, rejects) of what is to be added."""
     chunks, rejects = chunk_documents(docs, max_chunks)
-    chunks = embed(chunks, "text", "embedding", embedder).withColumn("embedding", l2_normalise(F.col("embedding")).cast("array<float>")).withColumn("dim", F.size("embedding"))
+    chunks = embed(materialise(chunks), "text", "embedding", embedder).withColumn("embedding", l2_normalise(F.col("embedding")).cast("array<float>")).withColumn("dim", F.size("embedding"))
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
     sums = chunks.groupBy("doc_id").agg(ordered.alias("o"), F.count("*").cast("int").alias("chunk_count"), F.sum(F.length("text")).cast("int").alias("char_count"))
     made = sums.select("doc_id", digest(F.transform("o", lambda x: x["text"])).alias("content_sha"), "chunk_count", "char_count")
@@ -63,8 +65,9 @@ class Store:
     The pointer is the newest folder with a _SUCCESS file, so an unfinished write is never read.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
+        """keep: snapshots that stay, for readers that are still at an older one."""
+        self.spark, self.root, self.keep = spark, root, keep
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -82,16 +85,35 @@ class Store:
         return at and (self.spark.read.parquet(f"{at}/documents"), self.spark.read.parquet(f"{at}/chunks"))
 
     def _write(self, documents: DataFrame, chunks: DataFrame) -> None:
+        """The next snapshot. Its number is taken by creating a file that must not exist, so of two writers that read the same snapshot one fails and none overwrites the other."""
+        fs, path = self._fs()
         at = self.current()
         n = int(at.rsplit("/", 1)[1].split("-")[0]) + 1 if at else 0
+        fs.mkdirs(path)
+        lock = self.spark._jvm.org.apache.hadoop.fs.Path(path, f"_{n:08d}.lock")
+        try:
+            fs.create(lock, False).close()
+        except Exception as e:
+            raise RuntimeError(f"another writer is at snapshot {n} of {self.root}") from e
         out = f"{self.root}/{n:08d}-{uuid.uuid4().hex[:8]}"
-        documents.write.parquet(f"{out}/documents")
-        chunks.write.partitionBy("embedding_model").parquet(f"{out}/chunks")  # a search reads one model's folder
+        try:
+            documents.write.parquet(f"{out}/documents")
+            chunks.write.partitionBy("embedding_model").parquet(f"{out}/chunks")  # a search reads one model's folder
+        except Exception:
+            fs.delete(lock, False)  # the number is free again
+            raise
+        old = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+        for name in old[: -self.keep]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
 
     def add(self, documents: DataFrame, chunks: DataFrame) -> None:
-        chunks = chunks.join(documents.select("doc_id", "embedding_model"), "doc_id")
-        if chunks.filter("size(embedding) = 0 or embedding is null").limit(1).count():
-            raise ValueError("every chunk needs a vector")
+        """Documents with their chunks (at least one each, all vectors of one length that is not 0) replace what is stored under their ids."""
+        chunks = materialise(chunks.join(documents.select("doc_id", "embedding_model"), "doc_id"))
+        bad = chunks.groupBy("doc_id").agg(F.min(F.coalesce(F.size("embedding"), F.lit(0))).alias("lo"), F.max(F.size("embedding")).alias("hi")).filter("lo < 1 or lo != hi")
+        if not bad.isEmpty():
+            raise ValueError("every chunk of a document needs a vector, all of one length")
+        if not documents.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").isEmpty():
+            raise ValueError("every document needs a chunk")
         now = self.tables()
         self._write(upsert(now[0], documents) if now else documents, upsert(now[1].select(chunks.columns), chunks) if now else chunks)
 
@@ -116,16 +138,31 @@ def ring(events: DataFrame, keep: int, order: list[Column], key: str | None = No
 
 
 def cache_state(events: DataFrame, ttl_s: int, key: str = "key", ts: str = "ts") -> DataFrame:
-    """What each look-up in a cache finds whose hits do not renew the expiry: adds hit and the time of the entry it meets.
+    """What each look-up in a cache finds whose hits do not renew the expiry: key, ts, hit, stored (the time of the entry it meets).
 
-    A miss at t stores an entry that serves look-ups before t + ttl. Within a key the look-ups are folded in order.
+    A miss at t stores an entry that serves look-ups before t + ttl. The look-ups of a key are read in order, with one time as state, however many they are.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(ts)).alias("times"))
-    zero = F.struct(F.lit(None).cast("timestamp").alias("at"), F.expr("cast(array() as array<struct<ts:timestamp,hit:boolean,stored:timestamp>>)").alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        hit = acc["at"].isNotNull() & (F.unix_micros(t) - F.unix_micros(acc["at"]) < ttl_s * 1_000_000)
-        at = F.when(hit, acc["at"]).otherwise(t)
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(t.alias("ts"), hit.alias("hit"), at.alias("stored")))).alias("out"))
-
-    return rows.select(key, F.inline(F.aggregate(F.col("times").cast("array<timestamp>"), zero, step, lambda a: a["out"])))
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.filter(F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).repartition("k").sortWithinPartitions("k", "t")
+
+    def fold(batches):
+        at = None
+        last: tuple = ()
+        for b in batches:
+            hit, stored = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if (k,) != last:
+                    last, at = (k,), None
+                fresh = at is not None and t - at < ttl_s * 1_000_000
+                at = at if fresh else t
+                hit.append(fresh)
+                stored.append(at)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_()), pa.array(stored, pa.int64())], names=["k", "t", "hit", "s"])
+
+    got = rows.mapInArrow(fold, f"k {kind}, t long, hit boolean, s long")
+    return got.select(F.col("k").alias(key), F.timestamp_micros("t").alias("ts"), "hit", F.timestamp_micros("s").alias("stored"))
+
+
+def evict(cache: DataFrame, most: int = 256, used: str = "used_at") -> DataFrame:
+    """The `most` entries of a cache that were used last."""
+    return ring(cache, most, [F.desc(used), F.asc("key")])

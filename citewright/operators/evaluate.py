@@ -93,7 +93,7 @@ def load_claims(spark: SparkSession, root: str, split: str = "dev", paraphrases:
     claims = spark.read.schema(kind).json(f"{root}/claims_{split}.jsonl").filter("size(evidence) > 0")
     queries = claims.select(F.col("id").cast("string").alias("query_id"), F.col("claim").alias("query"))
     if paraphrases:
-        p = spark.read.schema("claim_id string, paraphrase string").json(paraphrases).withColumn("line", F.monotonically_increasing_id())
+        p = spark.read.schema("claim_id string, paraphrase string").json(paraphrases).withColumn("line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))  # files and their blocks in order, rows as they stand in them
         queries = queries.drop("query").join(p.groupBy(F.col("claim_id").alias("query_id")).agg(F.max_by("paraphrase", "line").alias("query")), "query_id")
     return corpus, queries, claims.select(F.col("id").cast("string").alias("query_id"), F.explode(F.map_keys("evidence")).alias("doc_id"))
 
@@ -108,7 +108,17 @@ def load_triples(spark: SparkSession, root: str, split: str = "dev") -> DataFram
     return e.select(F.concat_ws(":", "id", "doc_id").alias("example_id"), "claim", quote.alias("quote"), F.array_join("abstract", " ").alias("chunk"), F.col("e.label").alias("label")).filter("quote != ''")
 
 
+GOLDEN = (
+    "id string, comment string, query string, search_results array<struct<url: string, content: string, title: string, content_mode: string>>, app_config struct<banned_domains: array<string>, authoritative_domains: array<string>, low_quality_domains: array<string>, expertise_level: string>, "
+    "pipeline_config struct<stages: struct<max_rewrite_loops: int, max_retrieval_retries: int, max_ranked_chunks: int, semantic_verification: boolean>>, expect struct<answerable: boolean, status_in: array<string>, max_tier5: int, max_tier1: int, min_overall_score: double>, broken string"
+)
+
+
 def load_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Golden cases; each needs an id, a query and results."""
-    kind = "id string, comment string, query string, search_results array<struct<url: string, content: string, title: string, content_mode: string>>, app_config struct<banned_domains: array<string>, expertise_level: string>, expect struct<answerable: boolean, status_in: array<string>, max_tier5: int, max_tier1: int, min_overall_score: double>"
-    return spark.read.schema(kind).json(path).filter("id is not null and query is not null and search_results is not null")
+    """Golden cases; one without id, query, search results or expectations is an error that names what it lacks, not a case less. Blank lines are skipped."""
+    rows = spark.read.schema(GOLDEN).option("columnNameOfCorruptRecord", "broken").json(path)
+    lacks = F.when(F.col("broken").isNotNull(), F.lit("is no JSON object"))
+    for name in ("id", "query", "search_results", "expect"):
+        lacks = F.coalesce(lacks, F.when(F.col(name).isNull(), F.lit(f"lacks {name}")))
+    fine = F.when(lacks.isNotNull(), F.raise_error(F.concat(F.lit("golden case "), F.coalesce("id", F.lit("?")), F.lit(" "), lacks)).cast("string")).otherwise(F.col("id"))
+    return rows.withColumn("id", fine).drop("broken")

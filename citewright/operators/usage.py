@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,3 +91,134 @@ def cacheable(responses: DataFrame, ttl_s: int, now: Column) -> DataFrame:
     ok = responses.filter(F.col("status").isin("success", "partial"))
     body = F.to_json(F.struct(*[c for c in responses.columns if c not in ("request_id", "usage", "key")]))
     return ok.select("key", body.alias("response"), (now + F.make_interval(secs=F.lit(ttl_s))).alias("expires_at"))
+
+
+# ---- metrics of answers ------------------------------------------------------------------------------------------------
+
+
+def metric_counters(responses: DataFrame, sentences: DataFrame, citations: DataFrame, calls: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """metric, labels (JSON), value: requests by status, tiers given, citations that no judge could check, tier-5 sentences of requests that used up their loops, tokens and
+    cost by model, cache hits and misses.
+
+    responses: request_id, status, and loops_exhausted if known; sentences and citations: with tier, citations also failure_reason; calls: model, prompt_tokens,
+    completion_tokens, cost; cache: hit.
+    """
+    one = lambda name, labels, value: (F.lit(name).alias("metric"), labels.alias("labels"), value.cast("double").alias("value"))
+    none = F.lit("{}")
+    parts = [
+        responses.groupBy("status").agg(F.count("*").alias("n")).select(*one("requests_by_status", F.to_json(F.struct("status")), F.col("n"))),
+        sentences.groupBy("tier").agg(F.count("*").alias("n")).select(*one("tier_assignments", F.to_json(F.struct("tier")), F.col("n"))),
+        citations.agg(F.count_if(F.coalesce("failure_reason", F.lit("")).startswith("Semantic check unavailable")).alias("n")).select(*one("semantic_degradations", none, F.col("n"))),
+    ]
+    if "loops_exhausted" in responses.columns:
+        left = sentences.filter("tier = 5").join(responses.filter("loops_exhausted").select("request_id"), "request_id", "left_semi")
+        parts.append(left.agg(F.count("*").alias("n")).select(*one("loop_exhausted_tier5", none, F.col("n"))))
+    if calls is not None:
+        g = calls.groupBy("model").agg(F.sum("prompt_tokens").alias("prompt"), F.sum("completion_tokens").alias("completion"), F.sum("cost").alias("cost"))
+        for kind in ("prompt", "completion"):
+            parts.append(g.select(*one("llm_tokens", F.to_json(F.struct("model", F.lit(kind).alias("kind"))), F.col(kind))))
+        parts.append(g.select(*one("llm_cost_usd", F.to_json(F.struct("model")), F.col("cost"))))
+    if cache is not None:
+        g = cache.agg(F.count_if("hit").alias("h"), F.count_if(~F.col("hit")).alias("m"))
+        parts += [g.select(*one("cache_hits", none, F.col("h"))), g.select(*one("cache_misses", none, F.col("m")))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def dashboard(requests: DataFrame, minutes: int = 5) -> DataFrame:
+    """window_start, requests a second, share of cache hits among look-ups, failed requests a minute, median and 95th percentile of seconds, by windows.
+
+    requests: ts, seconds, hit (null: no look-up), failed. Quantiles are exact within a window; for very many rows a window use approx_percentile.
+    """
+    g = requests.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("h"), F.count("hit").alias("looked"), F.count_if("failed").alias("f"), F.percentile("seconds", 0.5).alias("p50"), F.percentile("seconds", 0.95).alias("p95")
+    )
+    return g.select(F.col("w.start").alias("window_start"), (F.col("n") / (60.0 * minutes)).alias("per_second"), F.try_divide("h", "looked").alias("cache_hit_ratio"), (F.col("f") / float(minutes)).alias("failed_per_minute"), "p50", "p95")
+
+
+# ---- audit trails --------------------------------------------------------------------------------------------------------
+
+
+def audit_trail(counters: DataFrame, citations: DataFrame, responses: DataFrame, ts: Column) -> DataFrame:
+    """The events of answered requests, in the stages that gave them: what retrieval took and left, the proof of each quote, each citation's verdict, each sentence that claims
+    nothing, how the request ended, and what it cost."""
+    verdict = F.struct("citation_id", "chunk_id", "tier", "mechanical_check", "semantic_check", "failure_reason")
+    events = [
+        audit_event(counters, "retriever", "retriever_complete", F.struct(*[c for c in counters.columns if c != "request_id"]), ts),
+        audit_event(citations, "verification", "mechanical_result", F.struct("citation_id", "audit_proof"), ts),
+        audit_event(citations.filter("source_url is null"), "verification", "mechanical_chunk_not_found", F.struct("citation_id", "chunk_id"), ts),
+        audit_event(citations, "semantic", "semantic_citation_result", verdict, ts),
+        audit_event(citations.filter("failure_reason like 'Semantic check unavailable%'"), "semantic", "semantic_check_error", F.struct("citation_id", "chunk_id", "failure_reason"), ts),
+        audit_event(citations.filter("failure_reason like 'Semantic verification disabled%'"), "semantic", "semantic_skipped_disabled", F.struct("citation_id", "chunk_id"), ts),
+        audit_event(responses.select("request_id", F.explode("final_response").alias("s")).filter("s.citations is null"), "semantic", "semantic_transition_sentence", F.struct(F.col("s.sentence_id").alias("sentence_id")), ts),
+        audit_event(responses.filter("status = 'unanswerable'"), "synthesizer", "synthesizer_unanswerable", F.struct("pipeline_stats"), ts),
+        audit_event(responses.filter("status = 'error'"), "synthesizer", "synthesizer_api_error", F.struct("error_message"), ts),
+        audit_event(responses, "verification", "verification_complete", F.struct("status", "n_sentences", "overall_score", "pipeline_stats"), ts),
+        usage_event(responses, ts),
+    ]
+    out = events[0]
+    for e in events[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def usage_event(responses: DataFrame, ts: Column) -> DataFrame:
+    """The last event of a request that called a model: what it used. Its id is made of the request's, so it stands once."""
+    rows = responses.filter("usage is not null")
+    e = audit_event(rows, "engine", "usage_summary", F.struct("usage.*"), ts)
+    return e.withColumn("event_id", F.concat(F.col("request_id").cast("string"), F.lit("-usage")))
+
+
+def keep_events(events: DataFrame, path: str) -> None:
+    """Add audit events to the Parquet files under path, by day; an event that is there already (a repeated run) is not added again."""
+    spark = events.sparkSession
+    days = events.withColumn("day", F.to_date("timestamp_utc"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        days = days.join(spark.read.parquet(path).select("event_id", "day"), ["event_id", "day"], "left_anti")
+    days.write.mode("append").partitionBy("day").parquet(path)
+
+
+class Timer:
+    """Wall-clock seconds of stages: `with timer("ranker"): ...` around what runs a stage; frame() has a row for each run, for histogram()."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, float]] = []
+
+    @contextmanager
+    def __call__(self, node: str):
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.rows.append((node, time.monotonic() - began))
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, "node string, seconds double")
+
+
+@contextmanager
+def tagged(spark, request: str, stage: str):
+    """Jobs inside carry the request and the stage in their description and tags, so that logs and the UI can be read by request, and one request's jobs be cancelled."""
+    sc = spark.sparkContext
+    tag = f"request-{request}"
+    sc.addJobTag(tag)
+    sc.setJobDescription(f"{stage} of request {request}")
+    try:
+        yield tag
+    finally:
+        sc.removeJobTag(tag)
+        sc.setJobDescription(None)
+
+
+def describe(settings, documents: DataFrame | None = None, chunks: DataFrame | None = None) -> list[tuple[str, str]]:
+    """What an installation is set to, without secrets, and how large its corpus is."""
+    rows = [(name, value) for name, value, _ in settings.describe()]
+    if documents is not None:
+        from citewright.operators.corpus import stats
+
+        s = stats(documents, chunks).first()
+        rows += [("corpus.documents", str(s["documents"])), ("corpus.chunks", str(s["chunks"])), ("corpus.embedding_models", ", ".join(s["embedding_models"]))]
+    return rows

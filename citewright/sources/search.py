@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -92,3 +94,36 @@ def corpus_results(chunks: DataFrame, queries: DataFrame, k: int = 5, embedder=N
     q = embed(queries.filter(F.trim(F.coalesce("query", F.lit(""))) != ""), "query", "query_embedding", embedder, prefix).withColumn("query_id", F.struct("request_id", "query_ord"))
     hits = knn(chunks, q.select("query_id", "query_embedding"), k, key="chunk_id").join(chunks.select("chunk_id", "doc_id", "chunk_index", "text"), "chunk_id")
     return hits.select("query_id.request_id", "query_id.query_ord", F.col("rank").alias("result_ord"), chunk_url(F.col("doc_id").cast("string"), F.col("chunk_index")).alias("url"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"), F.lit("raw").alias("content_mode"))
+
+
+def web_results(queries: DataFrame, fetch: Callable[[str, int], list[dict]], *, max_results: int = 5, full_pages: bool = True, cap: int = 200_000, attempts: int = 3, pool: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Results of a web search behind a function: fetch(query, max_results) gives rows with url, title, content (a snippet) and raw_content (the page, may be blank).
+
+    Queries (request_id, query_ord, query) are asked on the executors, `pool` at a time in each task. A search that fails is tried again after 1, 2, 4 seconds; if it fails for
+    good it is one row with its error, and others go on. A page is taken where it is wanted and not blank, its first `cap` characters, else the snippet.
+    """
+    kind = queries.schema["request_id"].dataType.simpleString()
+
+    def one(query: str) -> tuple[list[dict], str | None]:
+        for n in range(attempts):
+            try:
+                return fetch(query, max_results)[:max_results], None
+            except Exception as e:  # becomes a row
+                if n == attempts - 1:
+                    return [], f"{type(e).__name__}: {e}"
+                sleep(min(4.0, 2.0**n))
+        return [], None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(pool) as ex:
+            for f in frames:
+                rows = []
+                for (request, order), (found, error) in zip(f[["request_id", "query_ord"]].itertuples(index=False), ex.map(one, f["query"])):
+                    if error:
+                        rows.append((request, order, None, None, None, None, None, error))
+                    for i, r in enumerate(found):
+                        page = (r.get("raw_content") or "").strip() if full_pages else ""
+                        rows.append((request, order, i, r.get("url") or "", page[:cap] or r.get("content") or "", r.get("title") or "", "raw" if page else "snippet", None))
+                yield pd.DataFrame(rows, columns=["request_id", "query_ord", "result_ord", "url", "content", "title", "content_mode", "error"])
+
+    return queries.select("request_id", "query_ord", "query").mapInPandas(run, f"request_id {kind}, query_ord int, result_ord int, url string, content string, title string, content_mode string, error string")

@@ -61,20 +61,66 @@ def ttl_cache(events: DataFrame, ttl_s: int, key: str) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, ts timestamp, hit boolean", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def keep_last(sink: Callable[[DataFrame, int], None], keep: int):
-    """A foreachBatch function for a bounded audit ring: hands each batch's newest rows on."""
+def keep_last(path: str, keep: int, key: str | None = None):
+    """A foreachBatch function for a bounded audit ring under path: the newest `keep` rows of the whole stream (with a key, of each key's newest row).
+
+    Each epoch writes a snapshot of at most `keep` rows beside the one before; a repeated epoch replaces its own. last_kept() reads the newest.
+    """
+    from citewright.operators.corpus import ring
 
     def write(batch: DataFrame, epoch: int) -> None:
-        sink(batch.orderBy(F.desc("ts")).limit(keep), epoch)
+        spark = batch.sparkSession
+        before = last_kept(spark, path, epoch)
+        rows = batch if before is None else before.unionByName(batch)
+        ring(rows, keep, [F.desc("ts")], key).write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
+        fs, root = _fs(spark, path)
+        for old in sorted(s.getPath().getName() for s in fs.listStatus(root))[:-2]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, old), True)
 
     return write
 
 
+def _fs(spark, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def last_kept(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows that keep_last() kept last (of an epoch below `before`)."""
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        return None
+    done = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    done = [n for n in done if before is None or int(n.split("=")[1]) < before]
+    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+
+
+def progress_writer(sink: Callable[[DataFrame, int], None]):
+    """A foreachBatch function that hands the frames of a batch of answers on, those of a request in order."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        sink(sse(progress_events(batch)).orderBy("request_id", "event_id"), epoch)
+
+    return write
+
+
+def run_until(query, cancelled: Callable[[], bool], every_s: float = 1.0) -> bool:
+    """Wait for a streaming query, and stop it as soon as cancelled() says so, as when the reader of its frames has gone. Returns whether it was stopped."""
+    while not query.awaitTermination(every_s):
+        if cancelled():
+            query.stop()
+            return True
+    return False
+
+
 def progress_events(answers: DataFrame) -> DataFrame:
-    """Ordered progress frames of answered requests: accepted, stages, sentences, complete. answers: request_id, stages, sentences, status."""
+    """Ordered progress frames of answered requests: accepted, stages, loops, sentences, complete or error. answers: request_id, stages, sentences, status, and if requests
+    may loop, loops (array of what each further pass was: rewrite or retrieve)."""
+    loops = F.col("loops") if "loops" in answers.columns else F.array().cast("array<string>")
     frames = F.concat(
         F.array(F.struct(F.lit("accepted").alias("type"), F.to_json(F.struct("request_id")).alias("data"))),
         F.transform("stages", lambda s: F.struct(F.lit("stage").alias("type"), F.to_json(F.struct(s.alias("stage"))).alias("data"))),
+        F.transform(F.coalesce(loops, F.array().cast("array<string>")), lambda s, i: F.struct(F.lit("loop").alias("type"), F.to_json(F.struct((i + 1).alias("loop"), s.alias("kind"))).alias("data"))),
         F.transform("sentences", lambda s: F.struct(F.lit("sentence").alias("type"), F.to_json(F.struct(s.alias("sentence"))).alias("data"))),
         F.array(F.struct(F.when(F.col("status") == "error", "error").otherwise("complete").alias("type"), F.to_json(F.struct("status")).alias("data"))),
     )
