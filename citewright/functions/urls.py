@@ -56,30 +56,45 @@ NOT_PUBLIC = [("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0",
 IPV4 = "^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use() names it: as columns are expressions, each mention would else be a copy of it in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def url_safety(url: Column) -> Column:
     """ok, or why a URL must not be read: only http(s) with public hosts pass."""
-    scheme = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), SCHEME, 1))
+    raw = F.coalesce(url, F.lit(""))
     h = host(url)
-    octet = F.split(h, "\\.")
-    number = F.when(h.rlike(IPV4), octet[0].cast("long") * 16777216 + octet[1].cast("long") * 65536 + octet[2].cast("long") * 256 + octet[3].cast("long"))
-    inner = F.lit(False)
-    for first, bits in NOT_PUBLIC:
-        low = int(ipaddress.ip_address(first))
-        inner = inner | number.between(low, low + 2 ** (32 - bits) - 1)
-    literal = h.contains(":")
-    six = _ipv6_public(F.when(literal, h))
-    return (
-        F.when(F.coalesce(url, F.lit("")) == "", "empty_url")
-        .when(~scheme.isin("http", "https"), F.concat(F.lit("disallowed_scheme:"), F.when(scheme == "", "none").otherwise(scheme)))
-        .when(h == "", "empty_host")
-        .when(h.isin("localhost", "localhost.localdomain"), "localhost")
-        .when(number.isNotNull() & inner, F.concat(F.lit("non_global_ip:"), h))
-        .when(number.isNotNull(), "ok")
-        .when(literal & (six == F.lit(False)), F.concat(F.lit("non_global_ip:"), h))
-        .when(literal & (six == F.lit(True)), "ok")
-        .when(~h.contains("."), "bare_hostname")
-        .otherwise("ok")
-    )
+    facts = F.struct(F.lower(F.regexp_extract(raw, SCHEME, 1)).alias("scheme"), h.alias("host"), _ipv6_public(F.when(h.contains(":"), h)).alias("six"))
+
+    def number(h: Column) -> Column:
+        return F.when(h.rlike(IPV4), once(F.split(h, "\\."), lambda o: o[0].cast("long") * 16777216 + o[1].cast("long") * 65536 + o[2].cast("long") * 256 + o[3].cast("long")))
+
+    def inner(n: Column) -> Column:
+        hit = F.lit(False)
+        for first, bits in NOT_PUBLIC:
+            low = int(ipaddress.ip_address(first))
+            hit = hit | n.between(low, low + 2 ** (32 - bits) - 1)
+        return hit
+
+    def decide(x: Column) -> Column:
+        h, scheme = x["host"], x["scheme"]
+        literal = h.contains(":")
+        by_name = (
+            F.when(literal & (x["six"] == F.lit(False)), F.concat(F.lit("non_global_ip:"), h))
+            .when(literal & (x["six"] == F.lit(True)), "ok")
+            .when(~h.contains("."), "bare_hostname")
+            .otherwise("ok")
+        )
+        by_number = once(number(h), lambda n: F.when(n.isNull(), by_name).when(inner(n), F.concat(F.lit("non_global_ip:"), h)).otherwise("ok"))
+        return (
+            F.when(~scheme.isin("http", "https"), F.concat(F.lit("disallowed_scheme:"), F.when(scheme == "", "none").otherwise(scheme)))
+            .when(h == "", "empty_host")
+            .when(h.isin("localhost", "localhost.localdomain"), "localhost")
+            .otherwise(by_number)
+        )
+
+    return F.when(raw == "", "empty_url").otherwise(once(facts, decide))
 
 
 @F.pandas_udf(StringType())

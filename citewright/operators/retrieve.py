@@ -35,8 +35,9 @@ def classify(results: DataFrame, policy: Policy, seen: DataFrame | None = None,
 
     The first of equal URLs wins, among results that are safe and not banned; a page without text still uses up its URL.
     """
-    r = results.withColumn("domain", U.domain(F.col("url"))).withColumn("norm_url", U.normal_form(F.col("url")))
-    r = r.withColumn("safety", U.url_safety(F.col("url")))
+    # a generator, so that what it gives is worked out once and not copied into every filter and window below
+    facts = F.struct(U.domain(F.col("url")).alias("domain"), U.normal_form(F.col("url")).alias("norm_url"), U.url_safety(F.col("url")).alias("safety"))
+    r = results.select(*[c for c in results.columns if c not in ("domain", "norm_url", "safety")], F.inline(F.array(facts)))
     r = r.withColumn("fate", F.when(F.col("safety") != "ok", "unsafe").when(U.banned(F.col("domain"), list(policy.banned_domains)), "banned"))
     open_ = r.filter("fate is null")
     first = Window.partitionBy("request_id", "norm_url").orderBy(*ORDER)
