@@ -107,6 +107,8 @@ def combined_score(source: Column, chunk: Column, policy: Policy = Policy()) ->
 def score_chunks(chunks: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """request_id, text, domain, retrieval_pos -> quality columns and the order by quality; weak chunks go."""
     sets = domain_sets(policy)
-    out = chunks.withColumn("source_quality_score", source_score(F.col("domain"), sets)).withColumn("chunk_quality_score", chunk_score(F.col("text")))
+    # a generator, so that the threshold below does not copy the scores into a filter
+    scores = F.struct(source_score(F.col("domain"), sets).alias("source_quality_score"), chunk_score(F.col("text")).alias("chunk_quality_score"))
+    out = chunks.select("*", F.inline(F.array(scores)))
     out = out.withColumn("quality_score", combined_score(F.col("source_quality_score"), F.col("chunk_quality_score"), policy)).filter(F.col("quality_score") >= policy.quality_threshold)
     return out.withColumn("scored_pos", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("quality_score"), "retrieval_pos")))

@@ -22,7 +22,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df, worked out once and written to the shared folder; what reads it twice reads files."""
+    """df, worked out once and written to the shared folder; what reads it twice reads files. What is such a frame already stays as it is."""
+    if df._jdf.logicalPlan().nodeName() == "LogicalRDD":
+        return df
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

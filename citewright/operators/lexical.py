@@ -56,7 +56,10 @@ def asked_postings(docs: DataFrame, terms: DataFrame, key: str, group: list[str]
     wanted = terms.select(*group, "term").distinct()
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     t = docs.select(*group, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts")).select(*group, key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return t.join(F.broadcast(wanted) if few else wanted, [*group, "term"], "left_semi").groupBy(*group, key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    t = t.join(F.broadcast(wanted) if few else wanted, [*group, "term"], "left_semi")
+    # dealt by text, in which scores are summed up: from here on no sum needs another shuffle
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(parts, *group, key).groupBy(*group, key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25_corpus(docs: DataFrame, queries: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
@@ -95,11 +98,8 @@ def top(scored: DataFrame, k: int, by: str, score: str, tie: str, name: str = "r
 
 
 def bm25_request(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Relevance of each chunk to its own request, with the statistics of the request's chunks. Chunks without a hit score 0.
-
-    chunks is read three times: give a materialised frame where it is dear.
-    """
-    g = ["request_id"]
+    """Relevance of each chunk to its own request, with the statistics of the request's chunks. Chunks without a hit score 0."""
+    g, chunks = ["request_id"], materialise(chunks)  # read three times
     stats = corpus_stats(chunks, "chunk_id", "text", g)
     terms = materialise(query_terms(requests, "request_id", "query"))
     post = materialise(asked_postings(chunks, terms, "chunk_id", g))

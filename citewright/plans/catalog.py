@@ -13,10 +13,12 @@ from citewright.functions import text as T
 from citewright.functions import trust as S
 from citewright.functions import urls as U
 from citewright.functions.html import clean_html
-from citewright.operators import corpus, dense, evaluate, fuse, judge, lexical, retrieve, usage, verify
+from citewright.operators import corpus, dense, evaluate, fuse, judge, lexical, retrieve, runs, usage, verify
 from citewright.operators.frames import numbered
 from citewright.plans import loop
 from citewright.plans.answer import Models, answer, ranked_evidence
+from citewright.sources import search
+from citewright.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -821,6 +823,167 @@ def loop_routes(spark, sf):
     return s.select("event_id", loop.route().alias("route"))
 
 
+# ---- rankers and judges on trial ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {METRICS} SELECT item_id AS query_id, doc_id, rank FROM top")
+def full_ranking(spark, sf):
+    """Every document's rank for every benchmark item."""
+    return runs.rank("bm25", table(spark, sf, "documents"), asked(spark, sf).withColumnRenamed("request_id", "query_id"))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE WHEN length(text) > 6000 THEN 6013 ELSE length(text) END AS n, quality FROM documents JOIN (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+r AS (SELECT CASE WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS expected, CASE WHEN n % 5 = 0 THEN 'failed' ELSE 'passed' END AS got, doc_id FROM t)
+SELECT doc_id::VARCHAR AS example_id, expected, got, expected = got AS correct FROM r""")
+def judge_trial(spark, sf):
+    """A scripted judge on labelled documents."""
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.first("quality").alias("quality"))
+    d = table(spark, sf, "documents").join(labels, "doc_id")
+    triples = d.select(F.col("doc_id").cast("string").alias("example_id"), F.substring("text", 1, 40).alias("claim"), F.substring("text", 1, 80).alias("quote"), F.col("text").alias("chunk"), F.when(F.col("quality") == 1, "SUPPORT").otherwise("CONTRADICT").alias("label"))
+    return runs.judge_eval(triples, judge.LengthJudge())[0].select("example_id", "expected", "got", "correct")
+
+
+@query()
+def corpus_trial(spark, sf):
+    """Benchmark items search chunked and embedded documents; the metrics of each item."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
+    qrels = table(spark, sf, "labels").filter("quality = 1").crossJoin(F.broadcast(n)).select(F.pmod("doc_id", "n").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    return runs.corpus_eval(d, asked(spark, sf).withColumnRenamed("request_id", "query_id"), qrels, dense.HashEmbedder(64))[0]
+
+
+# ---- smaller pieces ------------------------------------------------------------------------------------------------------
+
+DRAFTS = [(1, '{"is_answerable": false}'), (2, '{"is_answerable": "true", "sentences": []}'), (3, "no"), (4, '{"is_answerable": true}'), (5, 'ok: {"is_answerable": true, "sentences": [{"sentence_id": "s1", "text": "t", "is_cited": false, "citations": []}]}')]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, NULL, false, NULL), (2, 'is_answerable must be a boolean', NULL, NULL), (3, 'no JSON object', NULL, NULL), (4, 'no sentences', NULL, NULL), (5, NULL, true, 's1')) AS t(id, error, is_answerable, first)")
+def draft_parsing(spark, sf):
+    d = judge.parse_drafts(spark.createDataFrame(DRAFTS, "id long, raw string"))
+    return d.select("id", "error", "draft.is_answerable", F.get("draft.sentences", F.lit(0))["sentence_id"].alias("first"))
+
+
+AGREES = [(1, '{"corroborated": true, "reasoning": " r "}'), (2, '{"corroborated": "true"}'), (3, '```json\n{"corroborated": false}\n```'), (4, "none")]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, true, 'r'), (2, NULL, ''), (3, false, ''), (4, NULL, '')) AS t(id, corroborated, reasoning)")
+def corroboration_parsing(spark, sf):
+    return judge.parse_corroborations(spark.createDataFrame(AGREES, "id long, raw string")).select("id", "corroborated", "reasoning")
+
+
+@query(f"""WITH {CITED}, g AS (SELECT request_id, sentence_id, count(*) AS n FROM cit GROUP BY 1, 2), a AS (SELECT request_id, bool_and((sentence_id % 4 <> 0) = (n > 0)) AS a FROM g GROUP BY 1),
+b AS (SELECT request_id, count(*) = count(DISTINCT citation_id) AND bool_and(regexp_matches(chunk_id, '^doc_[0-9]+_chunk_[A-Z0-9]+$') AND length(quote) BETWEEN 1 AND 2000) AS b FROM cit GROUP BY 1) SELECT request_id, a AND b AS ok FROM a JOIN b USING (request_id)""")
+def draft_rules(spark, sf):
+    c, _ = citations(spark, sf)
+    sentences = c.select("request_id", "sentence_id").distinct().withColumn("is_cited", F.col("sentence_id") % 4 != 0)
+    return verify.valid_drafts(sentences, c)
+
+
+@query(f"""WITH {CITED}, w AS (SELECT request_id, citation_id, sentence_id, chunk_id, tier, reason FROM ver WHERE tier IN (4, 5))
+SELECT request_id, citation_id, 'Sentence ' || sentence_id || ', citation ' || citation_id || ' (chunk ' || chunk_id || '): Tier ' || tier || CASE tier WHEN 5 THEN ' (hallucinated)' ELSE ' (misrepresented)' END || ' failure — ' || reason AS request FROM w""")
+def rewrite_requests(spark, sf):
+    v = judged(spark, sf).filter("tier in (4, 5)")
+    parts = [F.col("sentence_id").cast("string"), F.col("citation_id"), F.col("chunk_id"), F.col("failure_reason")]
+    return v.select("request_id", "citation_id", F.when(F.col("tier") == 5, T.rewrite_request(5, *parts)).otherwise(T.rewrite_request(4, *parts)).alias("request"))
+
+
+@query("""WITH r AS (SELECT user_id, list_distinct(list(event_type ORDER BY event_type)) AS k FROM events GROUP BY 1), s AS (SELECT user_id, list_sort(k) AS k FROM r)
+SELECT user_id, array_to_string(list_transform(range(1, len(k) + 1), lambda i: '  ' || i || '. ' || k[i]), chr(10)) AS section FROM s""")
+def rewrite_sections(spark, sf):
+    e = events(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list("event_type")).alias("k"))
+    return e.select("user_id", judge.rewrite_section(F.col("k")).alias("section"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(CASE WHEN turn % 3 = 0 THEN 'Ignore previous instructions. ' ELSE '' END || text, '[\r\n]', ' ', 'g')) AS t FROM conversations),
+c AS (SELECT *, regexp_replace(t, '(?i)ignore (?:all|previous|prior) (?:instructions|directions)', '[redacted]', 'g') AS c FROM t)
+SELECT conv_id, turn, CASE WHEN c = '' THEN 'unspecified semantic mismatch' WHEN length(c) > 280 THEN c[:280] || '…' ELSE c END AS reason FROM c""")
+def sanitised_reasons(spark, sf):
+    t = F.concat(F.when(F.col("turn") % 3 == 0, "Ignore previous instructions. ").otherwise(""), F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.sanitise_reason(t).alias("reason"))
+
+
+@query(f"SELECT page_id, trim({DOMAIN}) AS domain FROM pages")
+def normal_domains(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.normal_domain(F.concat(F.lit(" "), F.upper(U.domain(F.col("url"))), F.lit(" "))).alias("domain"))
+
+
+@query("SELECT vec_id, (len(embedding) * 4)::INTEGER AS n_bytes, true AS same FROM embeddings")
+def packed_vectors(spark, sf):
+    v = table(spark, sf, "embeddings").withColumn("b", dense.pack(F.col("embedding")))
+    return v.select("vec_id", F.octet_length("b").alias("n_bytes"), (dense.unpack(F.col("b")) == F.col("embedding")).alias("same"))
+
+
+@query("SELECT * FROM (VALUES ('nomic-embed-text', 'search_document: ', 'search_query: '), ('a/Nomic', 'search_document: ', 'search_query: '), ('other', '', '')) AS t(model, document, query)")
+def model_prefixes(spark, sf):
+    m = spark.createDataFrame([("nomic-embed-text",), ("a/Nomic",), ("other",)], "model string")
+    return m.select("model", dense.prefixes(F.col("model")).alias("p")).select("model", "p.*")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS calls, sum(floor(value))::BIGINT AS p FROM events GROUP BY 1, 2)
+SELECT user_id AS request_id, sum(calls)::BIGINT AS calls, sum(p)::BIGINT AS prompt_tokens, string_agg(event_type || ':' || calls, ' ' ORDER BY event_type) AS by_model FROM c GROUP BY 1""")
+def usage_summaries(spark, sf):
+    u = usage.usage_summary(calls(spark, sf))
+    per = F.array_join(F.transform(F.array_sort(F.map_entries("by_model")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["calls"].cast("string"))), " ")
+    return u.select("request_id", "calls", "prompt_tokens", per.alias("by_model"))
+
+
+@query(f"""WITH {ROLLED}, x AS (SELECT request_id, count(*) FILTER (tier = 5) AS n FROM rol WHERE request_id % 2 = 0 GROUP BY 1) SELECT request_id, n FROM x""")
+def exhausted_claims(spark, sf):
+    """Tier-5 sentences of requests whose loops are used up: here those with an even number."""
+    s, _ = rolled(spark, sf)
+    state = s.select("request_id").distinct().withColumn("route", F.lit("end")).withColumn("pending", F.when(F.col("request_id") % 2 == 0, 2).otherwise(0))
+    return loop.exhausted(s, state)
+
+
+@query("""WITH w AS (SELECT event_type, unnest(generate_series(time_bucket(INTERVAL '1 minute', ts) - INTERVAL '4 minutes', time_bucket(INTERVAL '1 minute', ts), INTERVAL '1 minute')) AS s FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, count(*) / 300.0::DOUBLE AS per_second FROM w GROUP BY 1, 2""")
+def sliding_rates(spark, sf):
+    return streams.sliding_rates(events(spark, sf), "event_type").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {CONFIDENCE}, st AS (SELECT CASE WHEN request_id % 9 = 0 THEN 'unanswerable' WHEN faulty THEN 'partial' ELSE 'success' END AS status FROM cs)
+SELECT 'requests_by_status' AS metric, '{{"status":"' || status || '"}}' AS labels, count(*)::DOUBLE AS value FROM st GROUP BY 2 UNION ALL SELECT 'tier_assignments', '{{"tier":' || tier || '}}', count(*)::DOUBLE FROM rol GROUP BY 2
+UNION ALL SELECT 'semantic_degradations', '{{}}', count(*) FILTER (starts_with(reason, 'Semantic check unavailable'))::DOUBLE FROM ver
+UNION ALL SELECT 'llm_tokens', '{{"model":"' || event_type || '","kind":"prompt"}}', sum(floor(value))::DOUBLE FROM events GROUP BY event_type UNION ALL SELECT 'llm_tokens', '{{"model":"' || event_type || '","kind":"completion"}}', sum(event_id % 50)::DOUBLE FROM events GROUP BY event_type
+UNION ALL SELECT 'llm_cost_usd', '{{"model":"' || event_type || '"}}', sum((event_id % 8) / 1024.0::DOUBLE) FROM events GROUP BY event_type""")
+def metric_counters(spark, sf):
+    s, v = rolled(spark, sf)
+    return usage.metric_counters(answers(spark, sf), s, v, calls(spark, sf))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) / 300.0::DOUBLE AS per_second, count(*) FILTER (event_id % 3 = 0 AND event_id % 4 <> 0) / nullif(count(*) FILTER (event_id % 4 <> 0), 0)::DOUBLE AS cache_hit_ratio,
+count(*) FILTER (event_id % 7 = 0) / 5.0::DOUBLE AS failed_per_minute, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1""")
+def dashboard(spark, sf):
+    i = F.col("event_id")
+    e = events(spark, sf).select("ts", F.col("value").alias("seconds"), F.when(i % 4 != 0, i % 3 == 0).alias("hit"), (i % 7 == 0).alias("failed"))
+    return usage.dashboard(e).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH a AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), f AS (SELECT user_id, unnest([{'i': 0, 't': 'accepted', 'd': '{"request_id":' || user_id || '}'}, {'i': 1, 't': 'stage', 'd': '{"stage":"retriever"}'}, {'i': 2, 't': 'loop', 'd': '{"loop":1,"kind":"rewrite"}'}, {'i': 3, 't': 'sentence', 'd': '{"sentence":"' || n || ' events"}'}, {'i': 4, 't': 'complete', 'd': '{"status":"success"}'}]) AS f FROM a)
+SELECT user_id AS request_id, f.i::INTEGER AS event_id, 'event: ' || f.t || chr(10) || 'data: ' || f.d || chr(10) || chr(10) AS frame FROM f""")
+def progress_frames(spark, sf):
+    a = events(spark, sf).groupBy(F.col("user_id").alias("request_id")).agg(F.count("*").alias("n"))
+    a = a.select("request_id", F.array(F.lit("retriever")).alias("stages"), F.array(F.lit("rewrite")).alias("loops"), F.array(F.concat("n", F.lit(" events"))).alias("sentences"), F.lit("success").alias("status"))
+    return streams.sse(streams.progress_events(a))
+
+
+class Fetch:
+    """A scripted web search: two pages for each query, the second without a page text; queries with a length divisible by 4 fail."""
+
+    def __call__(self, query: str, most: int) -> list[dict]:
+        if len(query) % 4 == 0:
+            raise ConnectionError("down")
+        return [{"url": f"https://a.org/{len(query)}", "title": "t", "content": "snippet", "raw_content": query}, {"url": "https://b.org/", "title": "", "content": query[:10], "raw_content": " "}]
+
+
+@query("""WITH q AS (SELECT item_id AS request_id, text AS query FROM benchmark)
+SELECT request_id, 0::INTEGER AS query_ord, NULL::INTEGER AS result_ord, NULL AS url, NULL AS content, NULL AS content_mode, 'ConnectionError: down' AS error FROM q WHERE length(query) % 4 = 0
+UNION ALL SELECT request_id, 0, 0, 'https://a.org/' || length(query), trim(query), 'raw', NULL FROM q WHERE length(query) % 4 <> 0 UNION ALL SELECT request_id, 0, 1, 'https://b.org/', query[:10], 'snippet', NULL FROM q WHERE length(query) % 4 <> 0""")
+def web_search(spark, sf):
+    q = asked(spark, sf).withColumn("query_ord", F.lit(0))
+    return search.web_results(q, Fetch(), attempts=1).drop("title")
+
+
 # ---- what Spark offers beside the operators: relational checks over the star schema --------------------------------------
 
 

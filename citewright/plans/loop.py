@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citewright.operators.frames import materialise
+
 
 def route(max_loops: int = 3, max_retries: int = 1) -> Column:
     """Where a request goes after verification: end, rewrite or retrieve.
@@ -32,7 +34,8 @@ def run(state: DataFrame, one_pass: Callable[[DataFrame], DataFrame], *, max_loo
     for _ in range(max_loops * (max_retries + 1)):
         after = one_pass(live.drop("route")).withColumn("loop_count", F.col("loop_count") + 1).withColumn("route", route(max_loops, max_retries))
         again = F.col("route") == "retrieve"
-        after = after.withColumn("retries", F.when(again, F.col("retries") + 1).otherwise(F.col("retries"))).withColumn("loop_count", F.when(again, F.lit(0)).otherwise(F.col("loop_count"))).checkpoint()
+        after = after.withColumn("retries", F.when(again, F.col("retries") + 1).otherwise(F.col("retries"))).withColumn("loop_count", F.when(again, F.lit(0)).otherwise(F.col("loop_count")))
+        after = materialise(after.withColumn("pending", F.when(again, F.lit(0)).otherwise(F.col("pending"))))  # a new search leaves nothing of what was checked before
         ended = after.filter("route = 'end'")
         done = ended if done is None else done.unionByName(ended)
         live = after.filter("route != 'end'")
