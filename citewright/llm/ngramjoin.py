@@ -282,6 +282,16 @@ def runs(batches):
         asking = role >= PROBE
         live = np.logical_or.reduceat(asking, head) & (ends - head > 1)
         live[-1] = live[0] = True  # may go on in another batch
+        # most runs hold two rows: these are told all at once
+        two = np.flatnonzero(live[1:-1] & (ends - head == 2)[1:-1]) + 1
+        if len(two):
+            live[two] = False
+            x, y = head[two], head[two] + 1
+            meets = lambda a, b: (role[a] & (PROBE | SHRUNK) > 0) & (role[b] & INDEX > 0) | (role[a] & GROW > 0) & (role[b] & DELETED > 0)
+            hit = (sid[x] != sid[y]) & (n[y] * 4 <= n[x] * 5) & (meets(x, y) | (n[x] == n[y]) & meets(y, x))
+            a, b = sid[x[hit]], sid[y[hit]]
+            zero = np.zeros(len(a), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int8)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(zero)], names=["kind", "a", "b", "c"])
         for k in np.flatnonzero(live):
             lo, hi = int(head[k]), int(ends[k])
             value = int(sig[lo])

@@ -399,6 +399,28 @@ def run_batches(run, size):
         yield pa.RecordBatch.from_arrays([pa.array([7] * len(part), pa.int64()), pa.array([p for p, _ in part], pa.int64()), pa.array([sid for _, sid in part], pa.int64()), pa.array([None] * len(part), pa.int64())], names=["sig", "packed", "sid", "doc"])
 
 
+@pytest.mark.parametrize("size", [3, 50, 100_000])
+def test_runs_of_many_signatures(size):
+    """Brute force over runs side by side, cut into batches anywhere: what may match is a candidate or goes to the later check, and candidates of two-row runs may match."""
+    I, P, G, S, D = ngramjoin.INDEX, ngramjoin.PROBE, ngramjoin.GROW, ngramjoin.SHRUNK, ngramjoin.DELETED  # noqa: E741
+    draw, rows = random.Random(5), []
+    for sig in range(2000):
+        rows += [(sig, draw.randint(90, 120), draw.randint(1, 4), draw.choice((I, I | P, I | G, D, D | S))) for _ in range(draw.choice((1, 2, 2, 2, 3, 5)))]
+    order = sorted((sig, n << 8 | ngramjoin.LATE - r, sid) for sig, n, sid, r in rows)
+    batches = (pa.RecordBatch.from_arrays([pa.array([x[i] for x in order[at : at + size]], pa.int64()) for i in range(3)] + [pa.array([None] * len(order[at : at + size]), pa.int64())], names=["sig", "packed", "sid", "doc"]) for at in range(0, len(order), size))
+    got = [r for b in ngramjoin.runs(batches) for r in b.to_pylist()]
+    pairs, later = {(r["a"], r["b"]) for r in got if r["kind"] == 0}, {(r["a"], r["b"]) for r in got if r["kind"] == 1}
+    assert all(a < b for a, b in pairs)
+    by = {}
+    for sig, n, sid, r in rows:
+        by.setdefault(sig, []).append((n, sid, r))
+    for sig, run in by.items():
+        for n, p, r in run:
+            for m, q, t in run:
+                if p != q and n <= m and n * 5 >= m * 4 and (r & (P | S) and t & I or r & G and t & D):
+                    assert (min(p, q), max(p, q)) in pairs or {(sig, p), (sig, q)} <= later, run
+
+
 def test_a_run_of_a_million_sets_takes_constant_memory():
     rng = np.random.RandomState(1)
 
