@@ -24,10 +24,11 @@ def route(max_loops: int = 3, max_retries: int = 1) -> Column:
     )
 
 
-def run(state: DataFrame, one_pass: Callable[[DataFrame], DataFrame], *, max_loops: int = 3, max_retries: int = 1) -> DataFrame:
+def run(state: DataFrame, one_pass: Callable[[DataFrame], DataFrame], *, max_loops: int = 3, max_retries: int = 1, reset: dict[str, Column] | None = None) -> DataFrame:
     """state: request_id, is_answerable, pending, loop_count, retries and whatever one_pass needs; it returns rows with the same columns.
 
     Each pass is written to the checkpoint folder, so a pass is worked out once and survives lost executors. Requests that are done leave the loop.
+    reset: columns that start anew when a request searches again, and what with, so that nothing stale of its checks is left.
     """
     done = None
     live = state.withColumn("route", F.lit("rewrite"))
@@ -35,7 +36,7 @@ def run(state: DataFrame, one_pass: Callable[[DataFrame], DataFrame], *, max_loo
         after = one_pass(live.drop("route")).withColumn("loop_count", F.col("loop_count") + 1).withColumn("route", route(max_loops, max_retries))
         again = F.col("route") == "retrieve"
         after = after.withColumn("retries", F.when(again, F.col("retries") + 1).otherwise(F.col("retries"))).withColumn("loop_count", F.when(again, F.lit(0)).otherwise(F.col("loop_count")))
-        after = materialise(after.withColumn("pending", F.when(again, F.lit(0)).otherwise(F.col("pending"))))  # a new search leaves nothing of what was checked before
+        after = materialise(after.withColumns({c: F.when(again, x).otherwise(F.col(c)) for c, x in (reset or {}).items()}))
         ended = after.filter("route = 'end'")
         done = ended if done is None else done.unionByName(ended)
         live = after.filter("route != 'end'")

@@ -235,6 +235,8 @@ def test_loop_makes_one_rewrite_fewer_than_passes(spark):
     got = {r["request_id"]: r["passes"] for r in loop.run(state, one_pass, max_loops=3, max_retries=0).collect()}
     assert got == {1: 3, 2: 2, 3: 1}
     assert {r["request_id"]: r["passes"] for r in loop.run(state, one_pass, max_loops=3, max_retries=1).collect()}[1] == 6
+    # what is reset when request 1 searches again is gone, and its next pass ends it
+    assert {r["request_id"]: r["passes"] for r in loop.run(state, one_pass, max_loops=3, max_retries=1, reset={"pending": F.lit(0)}).collect()}[1] == 4
 
 
 def test_search_source_isolates_failures(spark):
