@@ -48,3 +48,23 @@ def test_sample_is_fixed(spark):
     one, two = ([r["q"] for r in evaluate.sample(q.repartition(n), "q", 10, 3).collect()] for n in (1, 7))
     assert sorted(one) == sorted(two) and len(one) == 10 and evaluate.sample(q, "q", 0).count() == 100
     assert sorted(r["q"] for r in evaluate.sample(q, "q", 10, 4).collect()) != sorted(one)
+
+
+def test_retrieval_from_the_command_line(spark, tmp_path, capsys):
+    """The five small documents and their questions; one question has no word in common with any document."""
+    from citewright.__main__ import main
+
+    docs = [("d1", "solar panels turn sunlight into power"), ("d2", "wind turbines turn moving air into power"), ("d3", "cats sleep most of the day"), ("d4", "dogs guard the house at night"), ("d5", "power lines carry power to the house")]
+    asked = [("q1", "solar power", "d1"), ("q2", "moving air", "d2"), ("q3", "cats sleep", "d3"), ("q5", "zzz", "d5")]
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text("".join(json.dumps({"_id": d, "title": "", "text": t}) + "\n" for d, t in docs))
+    (tmp_path / "queries.jsonl").write_text("".join(json.dumps({"_id": q, "text": t}) + "\n" for q, t, _ in asked))
+    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\n" + "".join(f"{q}\t{d}\t1\n" for q, _, d in asked))
+    (tmp_path / "ok.json").write_text(json.dumps([{"metric": "rr", "floor": 0.8}]))
+    (tmp_path / "high.json").write_text(json.dumps([{"metric": "rr", "floor": 0.9}]))
+    assert main(["retrieval", str(tmp_path), "--baseline", str(tmp_path / "ok.json"), "--out", str(tmp_path / "out")]) == 0
+    assert main(["retrieval", str(tmp_path), "--baseline", str(tmp_path / "high.json")]) == 1
+    assert spark.read.json(str(tmp_path / "out" / "summary")).first()["summary"]["rr"] == 0.8  # three firsts and, without a hit, the fifth of five
+    (tmp_path / "cases.jsonl").write_text(json.dumps({"id": "a", "query": "tower", "search_results": [], "expect": {"answerable": True}}) + "\n")
+    assert main(["golden", str(tmp_path / "cases.jsonl")]) == 1 and main(["golden", str(tmp_path / "cases.jsonl"), "--floor", "0"]) == 0
+    assert "validate_pass_rate 0.0" in capsys.readouterr().out
