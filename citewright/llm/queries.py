@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import decontam, ngramjoin, sharding, warc
+from citewright.llm import decontam, ngramjoin, resample, sharding, warc
 from citewright.llm.common import read
 
 
@@ -74,6 +74,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from citewright.llm.piece import encode_documents
+
+    return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citewright.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -85,10 +103,14 @@ QUERIES = {
     "op2_epsilon_grid": op2_epsilon_grid,
     "op10_toxicity": op10_toxicity,
     "op4_bpe": op4_bpe,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 ORACLES: dict[str, str] = {
     "op5_ngram_jaccard": ngramjoin.SQL,
     "op6_sharding": sharding.SQL.format(limit=SHARD_BYTES),
     "op7_warc": warc.SQL,
     "op9_decontamination": decontam.SQL,
+    "op13_resampling": resample.SQL,
 }
