@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """df with the place of each row in the order, from 1. Rows are dealt by ranges and numbered inside them; only the ranges' sizes are summed in one task."""
     kept = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -36,3 +43,11 @@ def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each task
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return kept.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_part", "_i", "_before")
+
+
+def ranked_within(df: DataFrame, by: str, *order, name: str = "rank") -> DataFrame:
+    """df with each row's place in the order among the rows of its group, from 1. No group is one task: rows are numbered over all groups by ranges, and each group's first number is taken off."""
+    rows = materialise(numbered(df, by, *order, name="_at"))
+    first = rows.groupBy(by).agg(F.min("_at").alias("_first"))
+    same = F.col("_g").eqNullSafe(F.col(by))
+    return rows.join(first.withColumnRenamed(by, "_g"), same).withColumn(name, (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_first", "_g")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citewright.functions.text import tokens
-from citewright.operators.frames import materialise, numbered
+from citewright.operators.frames import materialise, numbered, ranked_within
 
 K1, B, UNKNOWN_IDF, BROADCAST_TERMS = 1.2, 0.75, 1.0, 1_000_000
 
@@ -77,16 +77,18 @@ def bm25_corpus(docs: DataFrame, queries: DataFrame, key: str = "doc_id", qkey:
 
 def full_ranks(run: DataFrame, docs: DataFrame, asked: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
     """Ranks of the asked (qkey, key) pairs in the full ranking, in which every document has a place: those in run (qkey, key, rank, 1 to its number of rows) come
-    first, the rest after them in the order of key. The rest is never listed: its places follow from counts."""
+    first, the rest after them in the order of key. The rest is never listed: its places follow from counts, taken in ranges of (query, place), so no query is one task."""
     place = numbered(docs.select(key), key, name="p")
     asked = materialise(asked.select(qkey, key).distinct().join(place, key))
     ranked = materialise(run.select(qkey, key, "rank"))
     found = asked.join(ranked, [qkey, key], "left")
     missing = found.filter("rank is null").select(qkey, key, "p")
     need = missing.select(qkey).distinct()
-    # documents of the run up to a missing one's place: both are put in order by query, and a running sum counts
-    marks = ranked.join(need, qkey, "left_semi").join(place, key).select(qkey, F.col(key).alias("k"), "p", F.lit(1).alias("hit")).unionByName(missing.select(qkey, F.col(key).alias("k"), "p", F.lit(0).alias("hit")))
-    counted = marks.withColumn("before", F.sum("hit").over(Window.partitionBy(qkey).orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).filter("hit = 0")
+    # hits of the run up to a missing one's place: its number among both, less its number among the missing
+    mine = missing.select(qkey, F.col(key).alias("k"), "p")
+    marks = ranked.join(need, qkey, "left_semi").join(place, key).select(qkey, F.col(key).alias("k"), "p", F.lit(1).alias("hit")).unionByName(mine.withColumn("hit", F.lit(0)))
+    both = ranked_within(marks, qkey, "p", "hit", name="both").filter("hit = 0").select(qkey, "k", "p", "both")
+    counted = both.join(ranked_within(mine, qkey, "p", name="own").select(qkey, "k", "own"), [qkey, "k"]).withColumn("before", F.col("both") - F.col("own"))
     total = ranked.groupBy(qkey).agg(F.count("*").alias("m"))
     after = counted.join(total, qkey, "left").select(qkey, F.col("k").alias(key), (F.coalesce("m", F.lit(0)) + F.col("p") - F.col("before")).cast("int").alias("rank"))
     return found.filter("rank is not null").select(qkey, key, "rank").unionByName(after)

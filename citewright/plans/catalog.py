@@ -13,8 +13,8 @@ from citewright.functions import text as T
 from citewright.functions import trust as S
 from citewright.functions import urls as U
 from citewright.functions.html import clean_html
-from citewright.operators import corpus, dense, evaluate, fuse, judge, lexical, retrieve, runs, usage, verify
-from citewright.operators.frames import numbered
+from citewright.operators import corpus, dense, evaluate, fuse, index, judge, lexical, ranks, retrieve, runs, usage, verify, vindex
+from citewright.operators.frames import numbered, ranked_within, scratch
 from citewright.plans import loop
 from citewright.plans.answer import Models, answer, ranked_evidence
 from citewright.sources import search
@@ -135,6 +135,17 @@ def bm25_topk(spark, sf):
     return lexical.top(bm25_run(spark, sf), 5, "item_id", "relevance_score", "doc_id")
 
 
+def item_queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(f"WITH {BM25} SELECT item_id, doc_id, relevance_score, rank FROM rk WHERE rank <= 10")
+def indexed_topk(spark, sf):
+    """The same ranking from stored postings, whose blocks are skipped by their bounds."""
+    made = index.build(table(spark, sf, "documents"), scratch(spark, "postings"))
+    return made.search(item_queries(spark, sf), 10)[0].withColumnRenamed("query_id", "item_id")
+
+
 REQUESTS = "rq AS (SELECT count(*) AS n_items FROM benchmark), ck AS (SELECT doc_id % n_items AS request_id, 'doc_' || (doc_id + 1) || '_chunk_A' AS chunk_id, doc_id, text, source || '.org' AS domain FROM documents, rq)"
 
 
@@ -252,6 +263,23 @@ def hybrid_fusion(spark, sf):
     return fuse.fuse_request(ranked).select("request_id", "chunk_id", "fused_score", "fused_rank", "ranking_mode")
 
 
+@query(f"WITH {KNN} SELECT query_id, vec_id, round(s, 6) AS score, rank FROM kn WHERE rank <= 3")
+def indexed_knn(spark, sf):
+    """Exact neighbours from stored vectors, where the triangle inequality skips cells and rows."""
+    e, q = knn_queries(spark, sf)
+    made = vindex.build(e, scratch(spark, "vectors"))
+    return made.search(q, 3)[0].select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), kq AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS relevant, round(list_dot_product(q.e, v.e), 9) AS s FROM v q, v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM kq) SELECT query_id, vec_id, rank FROM r WHERE relevant""")
+def dense_ranks(spark, sf):
+    """Where the vectors with a query's label stand among all vectors, by counting those before them."""
+    e, q = knn_queries(spark, sf)
+    same = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select("vec_id", "label"), "label")
+    return ranks.dense_ranks(e.select("vec_id", "embedding"), q, same.select("query_id", "vec_id"), key="vec_id").select("query_id", "vec_id", "rank")
+
+
 # ---- URLs, trust, text -------------------------------------------------------------------------------------------------
 
 
@@ -713,16 +741,33 @@ ag AS (SELECT item_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank
 me AS (SELECT item_id AS query_id, n_relevant, coalesce(h1, 0) / n_relevant::DOUBLE AS recall_1, coalesce(h5, 0) / n_relevant::DOUBLE AS recall_5, coalesce(h10, 0) / n_relevant::DOUBLE AS recall_10, coalesce(h20, 0) / n_relevant::DOUBLE AS recall_20, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))) AS ndcg, coalesce(1.0::DOUBLE / first, 0.0) AS rr FROM nr LEFT JOIN ag USING (item_id))"""
 
 
+def relevant(spark, sf):
+    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
+    return table(spark, sf, "labels").filter("quality = 1").crossJoin(F.broadcast(n)).select(F.pmod("doc_id", "n").alias("query_id"), "doc_id").distinct()  # one row
+
+
 def ir(spark, sf):
     """(run, qrels): the run has the ranks of the relevant documents in the full ranking, in which all documents have a place."""
-    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
-    qrels = table(spark, sf, "labels").filter("quality = 1").crossJoin(F.broadcast(n)).select(F.pmod("doc_id", "n").alias("query_id"), "doc_id").distinct()
+    qrels = relevant(spark, sf)
     return lexical.full_ranks(ranking(spark, sf), table(spark, sf, "documents"), qrels), qrels
 
 
 def ranking(spark, sf):
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "doc_id")
-    return bm25_run(spark, sf).withColumnRenamed("item_id", "query_id").withColumn("rank", F.row_number().over(w))
+    return ranked_within(bm25_run(spark, sf).withColumnRenamed("item_id", "query_id"), "query_id", F.desc("relevance_score"), "doc_id")
+
+
+@query(f"""WITH dv AS (SELECT d.doc_id, d.text, v.embedding::DOUBLE[] AS e FROM documents d JOIN embeddings v ON d.doc_id = v.vec_id), iv AS (SELECT b.item_id, v.embedding::DOUBLE[] AS qe FROM benchmark b JOIN embeddings v ON b.item_id = v.vec_id), {BM25.replace('FROM documents', 'FROM dv')},
+al AS (SELECT iv.item_id, dv.doc_id, row_number() OVER (PARTITION BY iv.item_id ORDER BY relevance_score DESC NULLS LAST, dv.doc_id) AS ra, row_number() OVER (PARTITION BY iv.item_id ORDER BY round(list_dot_product(qe, e), 9) DESC, dv.doc_id) AS rb FROM iv CROSS JOIN dv LEFT JOIN rs ON rs.item_id = iv.item_id AND rs.doc_id = dv.doc_id),
+fu AS (SELECT item_id, doc_id, round(1.0::DOUBLE / (60 + ra) + 1.0::DOUBLE / (60 + rb), 9) AS fused_score FROM al), fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fused_score DESC, doc_id)::INTEGER AS rank FROM fu),
+{QRELS} SELECT item_id AS query_id, doc_id, fused_score, rank FROM fr JOIN qr USING (item_id, doc_id)""")
+def hybrid_ranks(spark, sf):
+    """Where relevant documents stand when BM25 and vectors are fused over all documents that have a vector; a document and an item have the vector of their number."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(v, "doc_id")
+    queries = item_queries(spark, sf).join(v.withColumnsRenamed({"doc_id": "query_id", "embedding": "query_embedding"}), "query_id")
+    made = index.build(docs.select("doc_id", "text"), scratch(spark, "postings"))
+    qrels = relevant(spark, sf).join(queries.select("query_id"), "query_id", "left_semi")
+    return ranks.fused_ranks(ranks.LexicalArm(made, queries.select("query_id", "query")), ranks.DenseArm(docs.select("doc_id", "embedding"), queries.select("query_id", "query_embedding")), qrels)
 
 
 @query(f"WITH {METRICS} SELECT query_id, n_relevant, round(recall_1, 6) AS recall_1, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10, round(recall_20, 6) AS recall_20, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr FROM me")
