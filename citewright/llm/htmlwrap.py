@@ -7,8 +7,10 @@ group of its shape, and what only one side has becomes an optional group. So a w
 A page's text is read through the slots. The page is aligned with the wrapper of its host in the same way, whereby the wrapper grows by what only this page has;
 then each text of the page stands in a slot. What a slot is, markup and the host's pages tell together: slots inside the article (or main element) are content,
 those in menus, headers, footers, sidebars, notices, adverts, forms and comments are not. Names like `header` or `discussion` on a box inside an article prove
-nothing: its slot is furniture only if the host's pages hold the same text there. On pages without an article the slots outside declared furniture are content, but for
-texts that the host's pages have in common there. Common are texts on MIN_PAGES sampled pages or more and on SHARE of them. A page that would lose all its text keeps it.
+nothing: its slot is furniture only if the host's pages hold the same text there, and neither does a name like `share-price`, of which only a part is telling. On pages without an article the slots outside
+declared furniture are content, but for texts that the host's pages have in common there. Common are texts on MIN_PAGES sampled pages or more and on SHARE of them, where sampled pages that are near
+copies (ALIKE of their five-word shingles) count once. A common text goes only with its whole box: if the innermost div, section or other box around it also holds a text of the page's own,
+it is a sentence that articles share and stays. A page that would lose more than LOSS of its text keeps all of it. A form around MOST_OF_PAGE or more of a page's text is no furniture.
 
 Wrappers are inferred from SAMPLE distinct pages of a host at most, those with the smallest hashes, so every host is one small task, pages with equal html count
 once, and the choice does not depend on how pages are stored. All pages are read through them whole. Hosts with fewer than MIN_PAGES distinct pages have a wrapper for each
@@ -36,6 +38,7 @@ from pyspark.sql.window import Window
 from citewright.llm.common import cut, small_batches
 
 SAMPLE, MIN_PAGES, SHARE, BUCKET, SHARED, MOST = 12, 3, 0.75, 500, 20_000, 32 << 20
+ALIKE, LOSS, MOST_OF_PAGE = 0.8, 0.75, 0.5
 #: Longest run of tokens that folds into a repeated group, nodes of a wrapper that an alignment looks ahead, and wrappers that a worker holds parsed.
 PERIOD, LOOK, PARSED = 16, 64, 1000
 
@@ -43,13 +46,16 @@ PERIOD, LOOK, PARSED = 16, 64, 1000
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object canvas audio video".split())
-FURNITURE = frozenset("nav footer aside form button select option datalist input label fieldset dialog menu head noscript".split())
+FURNITURE = frozenset("nav footer aside button select option datalist input label fieldset dialog menu head noscript".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article main section div body html table ul ol dl td th nav aside footer header form blockquote".split())
+BOXES = frozenset("html body div section article main aside nav header footer form dialog details center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class and id that name furniture wherever they stand; those that do outside articles; parts of words.
 NAMES = frozenset("ad ads adv adbox adslot adunit menu nav topnav subnav footer cookie cookies gdpr consent notice notices popup modal newsletter subscribe signup social share sharing related recommended recommendations comment comments disqus reply replies respond form pagination pager breadcrumb breadcrumbs promo promotion sponsor sponsored paywall".split())
 WEAK = frozenset("header banner side notification notifications alert overlay discussion search login toolbar widget widgets copyright legal skip skiplink masthead tags".split())
+#: Words that say nothing of their own beside a telling one.
+PLAIN = frozenset("box block list section wrap wrapper container area bar button buttons link links post posts article articles item items story stories widget inner content left right top bottom row col column panel module group icons icon count site page main body title heading header text message unit slot".split())
 PARTS = re.compile("sidebar|cookie|commentlist|advert|footer|navbar|navigation|breadcrumb|newsletter|sponsor|popup|pagination|dropdown")
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -58,12 +64,12 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 
 
 class Token:
-    """A tag or a text. `ours`: not declared to be furniture; `weak`: in a box inside the article whose name may mean furniture; `inside`: in an article."""
+    """A tag or a text. `ours`: not declared to be furniture; `weak`: in a box inside the article whose name may mean furniture; `inside`: in an article; `box`: the number of the innermost box around it; `form`: that of the outermost form around it, -1 without one."""
 
-    __slots__ = ("inside", "key", "ours", "text", "weak")
+    __slots__ = ("box", "form", "inside", "key", "ours", "text", "weak")
 
-    def __init__(self, key: str, text: str | None, ours: bool, weak: bool, inside: bool):
-        self.key, self.text, self.ours, self.weak, self.inside = key, text, ours, weak, inside
+    def __init__(self, key: str, text: str | None, ours: bool, weak: bool, inside: bool, box: int = 0, form: int = -1):
+        self.key, self.text, self.ours, self.weak, self.inside, self.box, self.form = key, text, ours, weak, inside, box, form
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -83,25 +89,34 @@ def furniture(tag: str, at: dict[str, str], in_article: bool) -> int:
     names = f"{at.get('class', '')} {at.get('id', '')}".lower()
     if names == " ":
         return 0
+    telling = lambda w: w in NAMES or PARTS.search(w)
     words = WORD.findall(names)
-    if PARTS.search(names) or any(w in NAMES for w in words):
-        return 2
-    return (1 if in_article else 2) if any(w in WEAK for w in words) else 0
+    if in_article:
+        doubt = 0
+        for name in names.split():
+            ws = [w for w in WORD.findall(name) if not w.isdigit()]
+            if any(map(telling, ws)):
+                if all(telling(w) or w in WEAK or w in PLAIN for w in ws):
+                    return 2
+                doubt = 1
+        return 1 if doubt or any(w in WEAK for w in words) else 0
+    return 2 if PARTS.search(names) or any(w in NAMES or w in WEAK for w in words) else 0
 
 
 def tokens(html: str) -> list[Token]:
     """The stream of a page. Texts are the pieces between tags as written, with references decoded."""
     out: list[Token] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, what it made of its content, whether it opened an article
+    stack: list[tuple[str, int, bool, int, int]] = []  # tag, what it made of its content, whether it opened an article; the box and the form around it
     off = weak = inside = 0  # open furniture and open weak boxes since the innermost article; open articles
     saved: list[tuple[int, bool]] = []
     hidden = False  # the article itself stands in furniture
+    box, boxes, form, forms = 0, 0, -1, 0
     at, end = 0, len(html)
 
     def close(n: int) -> None:
-        nonlocal off, weak, inside, hidden
+        nonlocal off, weak, inside, hidden, box, form
         while len(stack) > n:
-            _, chrome, article = stack.pop()
+            _, chrome, article, box, form = stack.pop()
             off -= chrome == 2
             weak -= chrome == 1
             if article:
@@ -111,7 +126,7 @@ def tokens(html: str) -> list[Token]:
     def text(piece: str) -> None:
         piece = unescape(piece)
         if piece:
-            out.append(Token("#", piece, off == 0 and not hidden, weak > 0, inside > 0))
+            out.append(Token("#", piece, off == 0 and not hidden, weak > 0, inside > 0, box, form))
 
     def mark(key: str) -> None:
         out.append(Token(key, None, off == 0, weak > 0, inside > 0))
@@ -153,18 +168,34 @@ def tokens(html: str) -> list[Token]:
             mark(tag + ("." + values["class"] if "class" in values else ""))
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
-        if article and not inside and chrome < 2:
+        opens = article and not inside and chrome < 2
+        stack.append((tag, 0 if opens else chrome, opens, box, form))
+        if opens:
             saved.append((off, hidden))
             hidden = off > 0
             off = 0
             inside += 1
-            stack.append((tag, 0, True))
+            form = -1
         else:
-            stack.append((tag, chrome, False))
             off += chrome == 2
             weak += chrome == 1
+        if tag in BOXES:
+            boxes += 1
+            box = boxes
+        if tag == "form" and form < 0:
+            form, forms = forms, forms + 1
     if at < end:
         text(html[at:])
+    if forms:
+        held, whole = [0] * forms, 0
+        for t in out:
+            if t.text and t.ours:
+                whole += (n := len(t.text.strip()))
+                if t.form >= 0:
+                    held[t.form] += n
+        for t in out:
+            if t.form >= 0 and held[t.form] < MOST_OF_PAGE * whole:
+                t.ours = False
     return out
 
 
@@ -319,8 +350,25 @@ def repeat(a, ka, i: int, b, kb, j: int, meet):
     return None
 
 
+def shingles(stream: list[Token]) -> set[int]:
+    """Hashes of the five-word runs of a page's texts outside declared furniture (of all of them as one, if they have fewer words)."""
+    ws = " ".join([t.text for t in stream if t.text and t.ours]).split()
+    return {hash(tuple(ws[i : i + 5])) for i in range(max(1, len(ws) - 4))}
+
+
+def different(pages: list[list[Token]]) -> list[list[Token]]:
+    """Pages of which no two are near copies: the first of each kind."""
+    kept: list[tuple[list[Token], set[int]]] = []
+    for p in pages:
+        mine = shingles(p)
+        if all(len(mine & other) < ALIKE * len(mine | other) for _, other in kept):
+            kept.append((p, mine))
+    return [p for p, _ in kept]
+
+
 def infer(pages: list[list[Token]]) -> list[list] | None:
-    """The wrapper of a host, or none if there are too few pages to tell what repeats."""
+    """The wrapper of a host, or none if there are too few different pages to tell what repeats."""
+    pages = different(pages)
     if len(pages) < MIN_PAGES:
         return None
     wrapper = fold(pages[0], 0)
@@ -377,15 +425,18 @@ def text_of(stream: list[Token], wrapper: list[list] | None) -> str:
 
     def content(i: int) -> bool:
         t = stream[i]
-        if lost:
-            return t.inside
-        if not t.ours or articles and not t.inside:
-            return False
-        return not (t.weak or not articles) or digest(t.text) not in slot_of[i].common
+        return t.inside if lost else t.ours and (t.inside or not articles)
 
     kept = {i for i in slot_of if content(i)}
+    if not lost:
+        common = {i for i in kept if (stream[i].weak or not articles) and digest(stream[i].text) in slot_of[i].common}
+        own = {stream[i].box for i in kept - common}
+        gone = {i for i in common if stream[i].box not in own}
+        length = lambda some: sum(len(stream[i].text.strip()) for i in some)
+        if length(gone) <= LOSS * length(kept):
+            kept -= gone
     if not kept:
-        kept = {i for i in slot_of if stream[i].ours}  # all it has is what its host's pages share
+        kept = {i for i in slot_of if stream[i].ours}
     blocks, run = [], []
     for i, t in enumerate(stream):
         if t.key == "#":
