@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql.window import Window
 from citewright.functions import text as T
 from citewright.operators.dense import embed, l2_normalise
 from citewright.operators.frames import materialise
+from citewright.operators.snapshots import Snapshots
 
 MAX_CHUNKS = 2000
 
@@ -21,16 +20,17 @@ def digest(texts: Column) -> Column:
     return F.sha2(F.concat(F.array_join(texts, "\0"), F.lit("\0")), 256)
 
 
-def chunk_documents(docs: DataFrame, max_chunks: int = MAX_CHUNKS) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text, title, source) -> (chunks, rejects with a reason)."""
+def chunk_documents(docs: DataFrame, max_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text, title, source) -> (chunks, rejects with a reason). max_chunks: a document keeps its first ones (a service's limit is MAX_CHUNKS); none: all."""
     d = docs.withColumn("pieces", T.chunks(F.coalesce(F.col("text"), F.lit(""))))
-    bad = F.when(T.strip(F.coalesce(F.col("text"), F.lit(""))) == "", "no_text").when(F.size("pieces") == 0, "no_chunks").when(F.size("pieces") > max_chunks, "too_many_chunks")
+    bad = F.when(T.strip(F.coalesce(F.col("text"), F.lit(""))) == "", "no_text").when(F.size("pieces") == 0, "no_chunks")
     d = materialise(d.withColumn("reason", bad))  # chunks and rejects come of one pass
-    good = d.filter("reason is null").select("doc_id", F.posexplode("pieces").alias("chunk_index", "text"))
+    kept = F.slice("pieces", 1, max_chunks) if max_chunks is not None else F.col("pieces")
+    good = d.filter("reason is null").select("doc_id", F.posexplode(kept).alias("chunk_index", "text"))
     return good.select(F.concat_ws("::", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "text"), d.filter("reason is not null").select("doc_id", "reason")
 
 
-def ingest(docs: DataFrame, model: str, embedder=None, created_at: str = "1970-01-01T00:00:00Z", max_chunks: int = MAX_CHUNKS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(docs: DataFrame, model: str, embedder=None, created_at: str = "1970-01-01T00:00:00Z", max_chunks: int | None = MAX_CHUNKS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, chunks, rejects) of what is to be added."""
     chunks, rejects = chunk_documents(docs, max_chunks)
     chunks = embed(materialise(chunks), "text", "embedding", embedder).withColumn("embedding", l2_normalise(F.col("embedding")).cast("array<float>")).withColumn("dim", F.size("embedding"))
@@ -60,51 +60,26 @@ def listing(documents: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Snapshots under a folder: every change writes a new one and moves the pointer; readers keep what they opened.
-
-    The pointer is the newest folder with a _SUCCESS file, so an unfinished write is never read.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
-        """keep: snapshots that stay, for readers that are still at an older one."""
-        self.spark, self.root, self.keep = spark, root, keep
+    """The corpus under a folder: every change is a new snapshot; readers keep what they opened."""
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3, lease_s: float = 6 * 3600):
+        self.spark, self.snapshots = spark, Snapshots(spark, root, keep, lease_s)
 
     def current(self) -> str | None:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return None
-        done = [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "chunks/_SUCCESS"))]
-        return max(done, default=None)
+        return self.snapshots.current()
+
+    def _at(self, folder: str | None) -> tuple[DataFrame, DataFrame] | None:
+        return (self.spark.read.parquet(f"{folder}/documents"), self.spark.read.parquet(f"{folder}/chunks")) if folder else None
 
     def tables(self) -> tuple[DataFrame, DataFrame] | None:
-        at = self.current()
-        return at and (self.spark.read.parquet(f"{at}/documents"), self.spark.read.parquet(f"{at}/chunks"))
-
-    def _write(self, documents: DataFrame, chunks: DataFrame) -> None:
-        """The next snapshot. Its number is taken by creating a file that must not exist, so of two writers that read the same snapshot one fails and none overwrites the other."""
-        fs, path = self._fs()
-        at = self.current()
-        n = int(at.rsplit("/", 1)[1].split("-")[0]) + 1 if at else 0
-        fs.mkdirs(path)
-        lock = self.spark._jvm.org.apache.hadoop.fs.Path(path, f"_{n:08d}.lock")
-        try:
-            fs.create(lock, False).close()
-        except Exception as e:
-            raise RuntimeError(f"another writer is at snapshot {n} of {self.root}") from e
-        out = f"{self.root}/{n:08d}-{uuid.uuid4().hex[:8]}"
-        try:
-            documents.write.parquet(f"{out}/documents")
+        return self._at(self.current())
+
+    def _write(self, out: str, documents: DataFrame, chunks: DataFrame) -> None:
+        documents.write.parquet(f"{out}/documents")
+        if chunks.isEmpty():  # without a folder for any model there would be no schema to read
+            chunks.coalesce(1).write.parquet(f"{out}/chunks")
+        else:
             chunks.write.partitionBy("embedding_model").parquet(f"{out}/chunks")  # a search reads one model's folder
-        except Exception:
-            fs.delete(lock, False)  # the number is free again
-            raise
-        old = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
-        for name in old[: -self.keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
 
     def add(self, documents: DataFrame, chunks: DataFrame) -> None:
         """Documents with their chunks (at least one each, all vectors of one length that is not 0) replace what is stored under their ids."""
@@ -114,14 +89,17 @@ class Store:
             raise ValueError("every chunk of a document needs a vector, all of one length")
         if not documents.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").isEmpty():
             raise ValueError("every document needs a chunk")
-        now = self.tables()
-        self._write(upsert(now[0], documents) if now else documents, upsert(now[1].select(chunks.columns), chunks) if now else chunks)
+        with self.snapshots.writer() as (at, out):
+            now = self._at(at)
+            self._write(out, upsert(now[0], documents) if now else documents, upsert(now[1].select(chunks.columns), chunks) if now else chunks)
 
     def remove(self, ids: DataFrame) -> bool:
         now = self.tables()
         if not now or not now[0].join(ids.select("doc_id"), "doc_id", "left_semi").limit(1).count():
             return False
-        self._write(delete(now[0], ids), delete(now[1], ids))
+        with self.snapshots.writer() as (at, out):
+            now = self._at(at)
+            self._write(out, delete(now[0], ids), delete(now[1], ids))
         return True
 
 

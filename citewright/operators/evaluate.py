@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citewright.operators.frames import materialise, numbered
+
 
 def ir_metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20), depth: int = 10, qkey: str = "query_id", key: str = "doc_id") -> DataFrame:
     """One row for each query of qrels: recall at each k, nDCG at depth (binary), reciprocal rank. run: qkey, key, rank."""
@@ -61,6 +65,25 @@ def sample(queries: DataFrame, key: str, limit: int, seed: int = 13) -> DataFram
     return queries if limit <= 0 else queries.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(limit)
 
 
+#: Queries that a seeded shuffle takes; the shuffle itself, of that many numbers, is the driver's.
+SHUFFLED = 1_000_000
+
+
+def shuffled(queries: DataFrame, *order, limit: int = 0, seed: int = 13) -> DataFrame:
+    """queries with `pos`, their place (from 0) in the list that Python's generator of this seed makes of them when it shuffles them in the given order; the first `limit` of it (0: all).
+
+    The same seed gives the same sample as an evaluation that shuffles a list. A shuffle depends on the number of rows alone, so only places are drawn, and rows are joined to them.
+    """
+    placed = materialise(numbered(queries, *order, name="_n"))
+    n = placed.count()
+    if n > SHUFFLED:
+        raise ValueError(f"a seeded shuffle takes at most {SHUFFLED} queries; use sample for more")
+    places = list(range(n))
+    random.Random(seed).shuffle(places)
+    drawn = [(p + 1, i) for i, p in enumerate(places[:limit] if limit > 0 else places)]
+    return placed.join(queries.sparkSession.createDataFrame(drawn, "_n long, pos long"), "_n").drop("_n")
+
+
 def expectations(cases: DataFrame) -> DataFrame:
     """cases: id, expected fields and observed ones -> id, failures (empty: passed). A null expectation is none."""
     checks = F.array_compact(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-import re
+import random
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,23 +119,44 @@ def corpus_eval(docs: DataFrame, queries: DataFrame, qrels: DataFrame, embedder:
     return metrics, evaluate.summary(metrics), documents.count()
 
 
-class Patient:
-    """A model that waits when the service behind another one throttles: up to `retries` times, as long as the service says or twice as long each time, `cap` seconds at most."""
+@dataclass(frozen=True)
+class RetryPolicy:
+    """When a call that failed is made again. `delays`: seconds before each further attempt, so there are as many; each is stretched by up to `jitter` of itself, so that the tasks of a stage
+    do not come back together. Errors say by their attributes what they are: one whose `status_code` or `status` is in `again`, or that is a TimeoutError or ConnectionError, is worth another attempt; its
+    `retry_after` (seconds) counts where it asks for more than the delay, up to `longest`."""
 
-    def __init__(self, model, retries: int = 4, cap: float = 40.0, sleep: Callable[[float], None] = time.sleep):
-        self.model, self.retries, self.cap, self.sleep = model, retries, cap, sleep
+    delays: tuple[float, ...] = (0.5, 2.0, 8.0)
+    jitter: float = 0.25
+    longest: float = 60.0
+    again: frozenset[int] = frozenset({408, 425, 429, 500, 502, 503, 504})
+
+    def pause(self, error: Exception, attempt: int, chance: Callable[[], float] = random.random) -> float | None:
+        """Seconds to wait after the attempt (from 0) that failed; none: give up."""
+        passing = isinstance(error, (TimeoutError, ConnectionError)) or any(getattr(error, name, None) in self.again for name in ("status_code", "status"))
+        if not passing or attempt >= len(self.delays):
+            return None
+        asked = getattr(error, "retry_after", None)
+        own = self.delays[attempt] * (1 + self.jitter * chance())
+        return min(self.longest, max(own, float(asked))) if isinstance(asked, (int, float)) else own
+
+
+class Retrying:
+    """A model behind a retry policy."""
+
+    def __init__(self, model, policy: RetryPolicy = RetryPolicy(), sleep: Callable[[float], None] = time.sleep):
+        self.model, self.policy, self.sleep = model, policy, sleep
 
     def __call__(self, prompts: list[str], temperature: float = 0.0) -> list:
-        for n in range(self.retries + 1):
+        attempt = 0
+        while True:
             try:
                 return self.model(prompts, temperature)
-            except Exception as e:
-                said = str(e)
-                if n == self.retries or not ("ratelimit" in type(e).__name__.lower() or "429" in said):
+            except Exception as error:
+                wait = self.policy.pause(error, attempt)
+                if wait is None:
                     raise
-                told = re.search(r'"retry_after_seconds"\s*:\s*([0-9.]+)', said)
-                self.sleep(min(float(told[1]) + 1 if told else 2.0**n, self.cap))
-        raise AssertionError("not reached")
+            self.sleep(wait)
+            attempt += 1
 
 
 def judge_eval(triples: DataFrame, model) -> tuple[DataFrame, DataFrame]:

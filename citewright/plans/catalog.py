@@ -311,12 +311,15 @@ def banned_domains(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.banned(U.domain(F.col("url")), ["Example.net"]).alias("banned"))
 
 
-GOV = "www.nih.gov nih.gov.evil.com gov.io fakegov.com gov.uk www.gov.uk notgov.uk who.int army.mil bund.de x.bund.de gouv.fr impots.gouv.fr gov canada.ca evilcanada.ca gob.mx".split()
+#: Put behind the hosts of the pages in turn: government domains and what only looks like one.
+ENDINGS = ["", ".gov", ".gov.evil.com", ".gov.io", "fakegov.com", ".gov.uk", "notgov.uk", ".int", ".army.mil", ".bund.de", ".gouv.fr", "evilcanada.ca", ".canada.ca", ".gob.mx"]
 
 
-@query(f"WITH g AS (SELECT unnest({GOV}) AS domain) SELECT domain, (regexp_matches(domain, '\\.(gov|mil|int)$') OR domain IN ({', '.join(repr(x) for x in S.GOVERNMENT_SECOND)}) OR regexp_matches(domain, '\\.({'|'.join(x.replace('.', chr(92) + '.') for x in S.GOVERNMENT_SECOND)})$')) AS government FROM g")
+@query(f"WITH g AS (SELECT page_id, {DOMAIN} || ({ENDINGS})[(page_id % {len(ENDINGS)} + 1)::INTEGER] AS domain FROM pages) SELECT page_id, domain, (regexp_matches(domain, '\\.(gov|mil|int)$') OR domain IN ({', '.join(repr(x) for x in S.GOVERNMENT_SECOND)}) OR regexp_matches(domain, '\\.({'|'.join(x.replace('.', chr(92) + '.') for x in S.GOVERNMENT_SECOND)})$')) AS government FROM g")
 def government_domains(spark, sf):
-    return spark.createDataFrame([(d,) for d in GOV], "domain string").select("domain", S.government(F.col("domain")).alias("government"))
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    hosts = table(spark, sf, "pages").select("page_id", F.concat(U.domain(F.col("url")), ending).alias("domain"))
+    return hosts.select("page_id", "domain", S.government(F.col("domain")).alias("government"))
 
 
 @query(f"SELECT page_id, CASE WHEN d = 'ththre.example.com' THEN 0.9 WHEN d = 'therin.example.net' THEN 0.3 WHEN d = 'example.org' OR ends_with(d, '.example.org') THEN 0.85 WHEN d = 'example.net' OR ends_with(d, '.example.net') THEN 0.3 ELSE 0.5 END::DOUBLE AS source_score FROM (SELECT page_id, {DOMAIN} AS d FROM pages)")
@@ -356,9 +359,9 @@ def chunk_windows(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_index", "text"))
 
 
-@query(f"SELECT i::BIGINT AS i, {label_sql('i')} AS label FROM range(0, 2000) AS t(i)")
+@query(f"SELECT doc_id, {label_sql('(n_chars % 18000)')} AS label FROM documents")
 def chunk_labels(spark, sf):
-    return spark.range(2000).select(F.col("id").alias("i"), T.chunk_label(F.col("id")).alias("label"))
+    return table(spark, sf, "documents").select("doc_id", T.chunk_label(F.col("n_chars") % 18000).alias("label"))
 
 
 @query("""WITH u AS (SELECT conv_id, turn, text, trim(lower(text)) AS l FROM conversations WHERE role = 'user'),
@@ -822,15 +825,22 @@ def golden_expectations(spark, sf):
     return evaluate.expectations(e).select("id", F.array_join("failures", ",").alias("failures"))
 
 
-RAW = [
-    (1, '{"semantic_check": "passed"}'), (2, '<think>hm</think>```json\n{"semantic_check": "failed", "failure_reason": "x"}\n```'), (3, 'Sure! {"semantic_check": "failed", "failure_reason": "a } in text"} ok'),
-    (4, '{"semantic_check": "failed"}'), (5, '{"semantic_check": "passed", "tier": 1}'), (6, "no json"), (7, '{"semantic_check": "maybe"}'),
+def answers(spark, sf, shapes: list[str]) -> DataFrame:
+    """What models might say of the documents: id, raw, in the given shapes in turn. `@` in a shape is the document's source and number."""
+    said = F.element_at(F.array(*map(F.lit, shapes)), (F.col("doc_id") % len(shapes) + 1).cast("int"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.replace(said, F.lit("@"), F.concat_ws(" ", "source", F.col("doc_id").cast("string"))).alias("raw"))
+
+
+ABOUT = "source || ' ' || doc_id"
+VERDICTS = [
+    '{"semantic_check": "passed"}', '<think>hm {"semantic_check": "passed"}</think>```json\n{"semantic_check": "failed", "failure_reason": "@"}\n```', 'Sure! {"semantic_check": "failed", "failure_reason": "a } in @"} ok',
+    '{"semantic_check": "failed"}', '{"semantic_check": "passed", "tier": 1}', "no json of @", '{"semantic_check": "maybe"}',
 ]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'passed', NULL), (2, 'failed', 'x'), (3, 'failed', 'a } in text'), (4, 'error', 'invalid verdict'), (5, 'error', 'invalid verdict'), (6, 'error', 'invalid verdict'), (7, 'error', 'invalid verdict')) AS t(id, semantic_check, reason)")
+@query(f"SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' ELSE 'error' END AS semantic_check, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN {ABOUT} WHEN 2 THEN 'a }} in ' || {ABOUT} ELSE 'invalid verdict' END AS reason FROM documents")
 def judge_parsing(spark, sf):
-    return judge.parse_verdicts(spark.createDataFrame(RAW, "id long, raw string")).select("id", "semantic_check", "reason")
+    return judge.parse_verdicts(answers(spark, sf, VERDICTS)).select("id", "semantic_check", "reason")
 
 
 @query(f"""WITH {RANKED}, z AS (SELECT request_id, rank, chunk_id, CASE WHEN length(text) > 1800 THEN text[:1800] || chr(10) || '…[truncated]' ELSE text END AS t FROM rk WHERE rank <= 3)
@@ -899,21 +909,21 @@ def corpus_trial(spark, sf):
 
 # ---- smaller pieces ------------------------------------------------------------------------------------------------------
 
-DRAFTS = [(1, '{"is_answerable": false}'), (2, '{"is_answerable": "true", "sentences": []}'), (3, "no"), (4, '{"is_answerable": true}'), (5, 'ok: {"is_answerable": true, "sentences": [{"sentence_id": "s1", "text": "t", "is_cited": false, "citations": []}]}')]
+DRAFTS = ['{"is_answerable": false}', '{"is_answerable": "true", "sentences": []}', "no @", '{"is_answerable": true}', 'ok: {"is_answerable": true, "sentences": [{"sentence_id": "@", "text": "t", "is_cited": false, "citations": []}]}']
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, NULL, false, NULL), (2, 'is_answerable must be a boolean', NULL, NULL), (3, 'no JSON object', NULL, NULL), (4, 'no sentences', NULL, NULL), (5, NULL, true, 's1')) AS t(id, error, is_answerable, first)")
+@query(f"SELECT doc_id AS id, CASE doc_id % 5 WHEN 1 THEN 'is_answerable must be a boolean' WHEN 2 THEN 'no JSON object' WHEN 3 THEN 'no sentences' END AS error, CASE doc_id % 5 WHEN 0 THEN false WHEN 4 THEN true END AS is_answerable, CASE WHEN doc_id % 5 = 4 THEN {ABOUT} END AS first FROM documents")
 def draft_parsing(spark, sf):
-    d = judge.parse_drafts(spark.createDataFrame(DRAFTS, "id long, raw string"))
+    d = judge.parse_drafts(answers(spark, sf, DRAFTS))
     return d.select("id", "error", "draft.is_answerable", F.get("draft.sentences", F.lit(0))["sentence_id"].alias("first"))
 
 
-AGREES = [(1, '{"corroborated": true, "reasoning": " r "}'), (2, '{"corroborated": "true"}'), (3, '```json\n{"corroborated": false}\n```'), (4, "none")]
+AGREES = ['{"corroborated": true, "reasoning": " @ "}', '{"corroborated": "true"}', '```json\n{"corroborated": false}\n```', "none of @"]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, true, 'r'), (2, NULL, ''), (3, false, ''), (4, NULL, '')) AS t(id, corroborated, reasoning)")
+@query(f"SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN true WHEN 2 THEN false END AS corroborated, CASE WHEN doc_id % 4 = 0 THEN {ABOUT} ELSE '' END AS reasoning FROM documents")
 def corroboration_parsing(spark, sf):
-    return judge.parse_corroborations(spark.createDataFrame(AGREES, "id long, raw string")).select("id", "corroborated", "reasoning")
+    return judge.parse_corroborations(answers(spark, sf, AGREES)).select("id", "corroborated", "reasoning")
 
 
 @query(f"""WITH {CITED}, g AS (SELECT request_id, sentence_id, count(*) AS n FROM cit GROUP BY 1, 2), a AS (SELECT request_id, bool_and((sentence_id % 4 <> 0) = (n > 0)) AS a FROM g GROUP BY 1),
@@ -952,16 +962,21 @@ def normal_domains(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.normal_domain(F.concat(F.lit(" "), F.upper(U.domain(F.col("url"))), F.lit(" "))).alias("domain"))
 
 
-@query("SELECT vec_id, (len(embedding) * 4)::INTEGER AS n_bytes, true AS same FROM embeddings")
+@query("SELECT vec_id, (len(embedding) * 4)::INTEGER AS n_bytes, true AS same, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
 def packed_vectors(spark, sf):
-    v = table(spark, sf, "embeddings").withColumn("b", dense.pack(F.col("embedding")))
-    return v.select("vec_id", F.octet_length("b").alias("n_bytes"), (dense.unpack(F.col("b")) == F.col("embedding")).alias("same"))
+    v = table(spark, sf, "embeddings").withColumn("b", dense.pack(F.col("embedding"))).withColumn("u", dense.unpack(F.col("b")).cast("array<double>"))
+    total = F.aggregate("u", F.lit(0.0), lambda s, x: s + x)
+    return v.select("vec_id", F.octet_length("b").alias("n_bytes"), (F.col("u") == F.col("embedding").cast("array<double>")).alias("same"), F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(total, 6).alias("total"))
+
+
+MODELS = ["nomic-embed-text", "a/Nomic", "other"]
 
 
-@query("SELECT * FROM (VALUES ('nomic-embed-text', 'search_document: ', 'search_query: '), ('a/Nomic', 'search_document: ', 'search_query: '), ('other', '', '')) AS t(model, document, query)")
+@query(f"SELECT doc_id, source || '/' || ({MODELS})[(doc_id % 3 + 1)::INTEGER] AS model, CASE WHEN doc_id % 3 < 2 THEN 'search_document: ' ELSE '' END AS document, CASE WHEN doc_id % 3 < 2 THEN 'search_query: ' ELSE '' END AS query FROM documents")
 def model_prefixes(spark, sf):
-    m = spark.createDataFrame([("nomic-embed-text",), ("a/Nomic",), ("other",)], "model string")
-    return m.select("model", dense.prefixes(F.col("model")).alias("p")).select("model", "p.*")
+    name = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("doc_id") % 3 + 1).cast("int"))
+    m = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", name).alias("model"))
+    return m.select("doc_id", "model", dense.prefixes(F.col("model")).alias("p")).select("doc_id", "model", "p.*")
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS calls, sum(floor(value))::BIGINT AS p FROM events GROUP BY 1, 2)

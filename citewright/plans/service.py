@@ -15,6 +15,7 @@ from citewright.operators import usage as U
 from citewright.operators.corpus import Store, evict, ring
 from citewright.operators.frames import materialise
 from citewright.operators.retrieve import choose_backends, isolated
+from citewright.operators.snapshots import Snapshots
 from citewright.plans.answer import Models, answer
 
 STORED = "key string, response string, expires_at timestamp, used_at timestamp"
@@ -69,10 +70,11 @@ class Service:
         return queries.select("request_id", "query_ord", *none, F.lit("; ".join(errors)).alias("error"))
 
     def entries(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.cache or "/")
-        if not self.cache or not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(self.cache)
+        at = self.cache and self._snapshots().current()
+        return self.spark.read.parquet(f"{at}/entries") if at else None
+
+    def _snapshots(self) -> Snapshots:
+        return Snapshots(self.spark, self.cache, lease_s=600)
 
     def run(self, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
         """(responses, refused): requests: request_id, tenant, query, ts. refused are those above their tenant's rate; of equal questions of a tenant one is answered.
@@ -100,12 +102,16 @@ class Service:
             out = out.unionByName(hits.select("request_id", F.lit(True).alias("cached"), F.col("response").alias("body")))
         out = materialise(out)
         if self.cache:
-            fresh = U.cacheable(keyed, self.settings.cache_ttl_s, now).withColumn("used_at", now)
-            if known is not None:
-                used = hits.select("key").distinct().withColumn("hit", F.lit(True))
-                old = known.filter(F.col("expires_at") > now).join(fresh.select("key"), "key", "left_anti").join(used, "key", "left")
-                fresh = fresh.unionByName(old.withColumn("used_at", F.when(F.col("hit"), now).otherwise(F.col("used_at"))).drop("hit"))
-            materialise(evict(fresh, self.settings.cache_size)).write.mode("overwrite").parquet(self.cache)
+            fresh = materialise(U.cacheable(keyed, self.settings.cache_ttl_s, now).withColumn("used_at", now))
+            # merged with what is there now, which another run may have added to since this one looked
+            with self._snapshots().writer(wait_s=60) as (at, to):
+                if at:
+                    there = self.spark.read.parquet(f"{at}/entries").filter(F.col("expires_at") > now).join(fresh.select("key"), "key", "left_anti")
+                    if hits is not None:
+                        used = hits.select("key").distinct().withColumn("hit", F.lit(True))
+                        there = there.join(used, "key", "left").withColumn("used_at", F.when(F.col("hit"), F.greatest(now, "used_at")).otherwise(F.col("used_at"))).drop("hit")
+                    fresh = fresh.unionByName(there)
+                evict(fresh, self.settings.cache_size).write.parquet(f"{to}/entries")
         if self.audit and self.settings.audit_retention:
             U.keep_events(U.audit_trail(counters, citations, responses, now), self.audit)
         return out, refused

@@ -68,3 +68,17 @@ def test_retrieval_from_the_command_line(spark, tmp_path, capsys):
     (tmp_path / "cases.jsonl").write_text(json.dumps({"id": "a", "query": "tower", "search_results": [], "expect": {"answerable": True}}) + "\n")
     assert main(["golden", str(tmp_path / "cases.jsonl")]) == 1 and main(["golden", str(tmp_path / "cases.jsonl"), "--floor", "0"]) == 0
     assert "validate_pass_rate 0.0" in capsys.readouterr().out
+
+
+def test_a_seeded_shuffle_is_that_of_a_list(spark):
+    import random
+
+    names = [f"q{i:03d}" for i in range(60)]
+    q = spark.createDataFrame([(n, len(n)) for n in names], "q string, pos_ int")
+    for seed in (13, 7):
+        want = list(names)
+        random.Random(seed).shuffle(want)
+        for parts in (1, 6):
+            got = evaluate.shuffled(q.repartition(parts), "q", limit=25, seed=seed).orderBy("pos").collect()
+            assert [(r["q"], r["pos"]) for r in got] == [(n, i) for i, n in enumerate(want[:25])]
+    assert evaluate.shuffled(q, "q").count() == 60 and evaluate.shuffled(q.limit(0), "q", limit=3).count() == 0

@@ -57,28 +57,35 @@ def test_corpus_evaluation(spark):
     assert n == 5 and metrics.count() == 2 and summary.first()["recall_1"] == 1.0 and summary.first()["rr"] == 1.0
 
 
+class Refusal(Exception):
+    def __init__(self, **about):
+        self.__dict__ |= about
+
+
 class Throttled:
     """Refuses twice, then answers."""
 
-    def __init__(self, said):
-        self.said, self.left = said, 2
+    def __init__(self, error):
+        self.error, self.left = error, 2
 
     def __call__(self, prompts, temperature=0.0):
         if self.left:
             self.left -= 1
-            raise RuntimeError(self.said)
+            raise self.error
         return ["ok"] * len(prompts)
 
 
-def test_patience():
+def test_calls_are_made_again_as_the_policy_says():
     slept = []
-    assert runs.Patient(Throttled("HTTP 429"), sleep=slept.append)(["a"]) == ["ok"] and slept == [1.0, 2.0]
-    slept.clear()
-    assert runs.Patient(Throttled('429 {"retry_after_seconds": 90}'), sleep=slept.append)(["a"]) == ["ok"] and slept == [40.0, 40.0]
-    with pytest.raises(RuntimeError):
-        runs.Patient(Throttled("broken"), sleep=slept.append)(["a"])
-    with pytest.raises(RuntimeError):
-        runs.Patient(Throttled("429"), retries=1, sleep=slept.append)(["a"])
+    calm = runs.RetryPolicy(delays=(1.0, 3.0), jitter=0.0)
+    for error in (Refusal(status_code=429), Refusal(status=503), TimeoutError(), ConnectionResetError()):
+        assert runs.Retrying(Throttled(error), calm, slept.append)(["a"]) == ["ok"] and slept == [1.0, 3.0]
+        slept.clear()
+    assert runs.Retrying(Throttled(Refusal(status_code=429, retry_after=90)), calm, slept.append)(["a"]) == ["ok"] and slept == [60.0, 60.0]
+    for error, policy in ((RuntimeError("429"), calm), (Refusal(status_code=400), calm), (Refusal(status_code=429), runs.RetryPolicy(delays=(1.0,)))):
+        with pytest.raises(type(error)):
+            runs.Retrying(Throttled(error), policy, slept.append)(["a"])
+    assert runs.RetryPolicy(delays=(4.0,), jitter=0.5).pause(TimeoutError(), 0, lambda: 1.0) == 6.0
 
 
 def test_judge_evaluation(spark):
