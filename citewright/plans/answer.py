@@ -137,9 +137,11 @@ def one_pass(live: DataFrame, indexed: DataFrame, scored: DataFrame, ranked: Dat
 FAULT = ("sentence_id", "citation_id", "chunk_id", "failure_reason")
 
 
-def answer(requests: DataFrame, search: Callable[[DataFrame], DataFrame], models: Models, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def answer(requests: DataFrame, search: Callable[[DataFrame], DataFrame], models: Models, policy: Policy = Policy(), progress: Callable[..., None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(responses, citations with their proofs, retrieval counters).
 
+    progress (streaming.progress.Frames) is told of each step when it is done: progress(type, rows of request_id and what there is to tell, names of columns that order a request's rows).
+
     requests: request_id, query, and level if readers differ. search: from rows request_id, query_ord, query to results (request_id, query_ord, result_ord, url, content,
     title, content_mode); it may give rows with an `error` column for searches that failed. A request whose drafting fails ends with status error; others go on.
     """
@@ -153,6 +155,8 @@ def answer(requests: DataFrame, search: Callable[[DataFrame], DataFrame], models
     counts: list[DataFrame] = []
     sizes: list[DataFrame] = []
     fresh = True
+    tell = progress or (lambda *args: None)
+    tell("accepted", live.select("request_id", "query"))
     for _ in range(policy.max_rewrite_loops * (policy.max_retrieval_retries + 1)):
         if fresh:
             found = materialise(search(searches(live)))
@@ -169,12 +173,19 @@ def answer(requests: DataFrame, search: Callable[[DataFrame], DataFrame], models
             last = indexed.groupBy("request_id").agg((F.max("doc_index") + 1).alias("next_doc"))
             numbers = materialise(last if numbers is None else numbers.unionByName(last).groupBy("request_id").agg(F.max("next_doc").alias("next_doc")))
             sizes.append(indexed.groupBy("request_id").agg(F.count("*").alias("chunks_retrieved")).join(ranked.groupBy("request_id").agg(F.count("*").alias("chunks_ranked")), "request_id", "left"))
+            tell("stage", live.select("request_id").join(sizes[-1], "request_id", "left").select("request_id", F.lit("retrieved").alias("stage"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks_retrieved", "chunks_ranked")]))
         state, sentences, citations, used = one_pass(live, indexed, scored, ranked, models, policy)
         calls.append(used)
         state = materialise(state.withColumn("route", F.when(F.col("error").isNotNull(), "end").otherwise(route(policy.max_rewrite_loops, policy.max_retrieval_retries))))
         ended = state.filter("route = 'end'").select("request_id")
         mine = lambda df, ids=ended: materialise(df.join(ids, "request_id", "left_semi"))
         done.append((state.filter("route = 'end'"), mine(sentences), mine(citations)))
+        if progress:
+            tell("stage", state.select("request_id", F.lit("verified").alias("stage"), "pending"))
+            tell("sentence", done[-1][1].select("request_id", "sentence_id", "sent_ord", "text", "tier"), "sent_ord")
+            tell("loop", state.filter("route != 'end'").select("request_id", F.col("route").alias("kind"), F.col("loop_count").alias("loop"), "retries"))
+            tell("error", state.filter("route = 'end' and error is not null").select("request_id", "error"))
+            tell("complete", state.filter("route = 'end' and error is null").select("request_id", "is_answerable"))
         again = state.filter("route = 'retrieve'")
         # rewriting goes on with the chunks at hand; once no request rewrites, those that wait search anew, with nothing left of what was checked before
         rewriting = state.filter("route = 'rewrite'").drop("route")
