@@ -657,6 +657,14 @@ def latency_quantiles(spark, sf):
     return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
+@query("SELECT event_type, count(*) AS n, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def sketched_quantiles(spark, sf):
+    """Quantiles of each type of event from merged sketches of hours; exact while a type has no more values than a sketch holds."""
+    hours = usage.quantile_sketches(events(spark, sf), "value", ["event_type", F.window("ts", "1 hour").alias("hour")])
+    q = usage.sketched_quantiles(usage.merged_sketches(hours, ["event_type"]), ["event_type"])
+    return q.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
 @query("SELECT user_id, strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, greatest(count(*) - 1, 0)::BIGINT AS n_limited FROM events GROUP BY 1, 2")
 def rate_limit(spark, sf):
     return usage.rate_limit(events(spark, sf), 1, "user_id").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).withColumn("n_limited", F.col("n_limited").cast("long"))
@@ -825,7 +833,7 @@ def golden_expectations(spark, sf):
     return evaluate.expectations(e).select("id", F.array_join("failures", ",").alias("failures"))
 
 
-def answers(spark, sf, shapes: list[str]) -> DataFrame:
+def model_answers(spark, sf, shapes: list[str]) -> DataFrame:
     """What models might say of the documents: id, raw, in the given shapes in turn. `@` in a shape is the document's source and number."""
     said = F.element_at(F.array(*map(F.lit, shapes)), (F.col("doc_id") % len(shapes) + 1).cast("int"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.replace(said, F.lit("@"), F.concat_ws(" ", "source", F.col("doc_id").cast("string"))).alias("raw"))
@@ -840,7 +848,7 @@ VERDICTS = [
 
 @query(f"SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' ELSE 'error' END AS semantic_check, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN {ABOUT} WHEN 2 THEN 'a }} in ' || {ABOUT} ELSE 'invalid verdict' END AS reason FROM documents")
 def judge_parsing(spark, sf):
-    return judge.parse_verdicts(answers(spark, sf, VERDICTS)).select("id", "semantic_check", "reason")
+    return judge.parse_verdicts(model_answers(spark, sf, VERDICTS)).select("id", "semantic_check", "reason")
 
 
 @query(f"""WITH {RANKED}, z AS (SELECT request_id, rank, chunk_id, CASE WHEN length(text) > 1800 THEN text[:1800] || chr(10) || '…[truncated]' ELSE text END AS t FROM rk WHERE rank <= 3)
@@ -914,7 +922,7 @@ DRAFTS = ['{"is_answerable": false}', '{"is_answerable": "true", "sentences": []
 
 @query(f"SELECT doc_id AS id, CASE doc_id % 5 WHEN 1 THEN 'is_answerable must be a boolean' WHEN 2 THEN 'no JSON object' WHEN 3 THEN 'no sentences' END AS error, CASE doc_id % 5 WHEN 0 THEN false WHEN 4 THEN true END AS is_answerable, CASE WHEN doc_id % 5 = 4 THEN {ABOUT} END AS first FROM documents")
 def draft_parsing(spark, sf):
-    d = judge.parse_drafts(answers(spark, sf, DRAFTS))
+    d = judge.parse_drafts(model_answers(spark, sf, DRAFTS))
     return d.select("id", "error", "draft.is_answerable", F.get("draft.sentences", F.lit(0))["sentence_id"].alias("first"))
 
 
@@ -923,7 +931,7 @@ AGREES = ['{"corroborated": true, "reasoning": " @ "}', '{"corroborated": "true"
 
 @query(f"SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN true WHEN 2 THEN false END AS corroborated, CASE WHEN doc_id % 4 = 0 THEN {ABOUT} ELSE '' END AS reasoning FROM documents")
 def corroboration_parsing(spark, sf):
-    return judge.parse_corroborations(answers(spark, sf, AGREES)).select("id", "corroborated", "reasoning")
+    return judge.parse_corroborations(model_answers(spark, sf, AGREES)).select("id", "corroborated", "reasoning")
 
 
 @query(f"""WITH {CITED}, g AS (SELECT request_id, sentence_id, count(*) AS n FROM cit GROUP BY 1, 2), a AS (SELECT request_id, bool_and((sentence_id % 4 <> 0) = (n > 0)) AS a FROM g GROUP BY 1),
