@@ -11,10 +11,11 @@ Only DataFrame functions are used: no Python runs on the executors.
 Documents are read once for the search, whatever the lengths of items, and once more for verification. Up to SMALL sketched hashes (counted first) the anchors are a hash set in
 the plan. Up to BROADCAST of them (16 bytes each) all shingles of a document are hashed and looked up in the broadcast sketches, without a shuffle. Beyond that both
 sides are dealt by hash, the documents' after a filter by size band: a hash larger than the largest one that any sketch of its shingle length holds is dropped before
-the shuffle. Candidate pairs are broadcast to the documents while there are at most FEW_PAIRS. All ways give the same rows.
+the shuffle. The ids of candidate documents are broadcast while there are at most FEW_PAIRS pairs. A candidate document is shingled once, however many items it may hold: its shingles that stand in any item meet those
+of its candidates in an equi-join, whose rows are counted. All ways give the same rows.
 
 Words are the runs of characters other than white space, in lower case; an item of fewer than SHINGLE words counts as
-one shingle. Defined cases: null or empty documents and items match nothing; repeated documents give one row for each distinct
+one shingle. Defined cases: null or empty documents and items match nothing, nor do rows with a null id on either side; repeated documents give one row for each distinct
 (document id, item id) pair, the best of its rows by containment, then by size; very long documents are searched whole; extra columns never enter; empty tables
 give an empty result; the threshold is inclusive.
 """
@@ -97,15 +98,25 @@ def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: s
         found = dealt.join(F.broadcast(known) if many <= BROADCAST else known, ["k", "h"]).select("doc", "item")
     if found is None:
         return docs.select(F.col(key)).limit(0).crossJoin(items.select(F.col(item_key)).limit(0)).select(key, item_key, F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment"))
-    # verification: only documents with a candidate are shingled in full
+    # verification: each document with a candidate is shingled once, and only those of its shingles that some item has go on
     pairs = cut(found.distinct())
-    wanted = cut(pairs.groupBy("doc").agg(F.collect_list("item").alias("candidates")))  # at most one entry for each benchmark item
     few = pairs.count() <= FEW_PAIRS
-    whole = base.join(F.broadcast(wanted) if few else wanted, "doc")
-    ks = sorted(sizes)
-    own = whole.select("doc", F.explode("candidates").alias("item"), F.create_map(*[x for k in ks for x in (F.lit(k), F.array_distinct(shingles(F.col("ws"), F.lit(k))))]).alias("by_k"))
-    side = F.broadcast(full) if small else full
-    scored = own.join(side, "item").select("doc", "item", F.size("sh").alias("n_shingles"), F.size(F.array_intersect(F.element_at("by_k", F.col("k")), F.col("sh"))).alias("n_found"))
+    doc_ids = pairs.select("doc").distinct()
+    whole = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(doc_ids) if few else doc_ids, "doc", "left_semi")
+    # rows that share an id are told apart by their texts
+    own = whole.select("doc", F.sha2("t", 256).alias("row"), lower_words(F.col("t")).alias("ws"))
+
+    def of_length(k: int) -> Column:
+        return F.transform(F.array_distinct(shingles(F.col("ws"), F.lit(k))), lambda s: F.struct(F.lit(k).alias("k"), s.alias("s")))
+
+    each = F.concat(*map(of_length, sorted(sizes)))
+    parts = cut(full.select("item", "k", F.explode("sh").alias("s")))
+    known = parts.select("k", "s").distinct()
+    known = F.broadcast(known) if parts.count() <= SMALL else known
+    mine = own.select("doc", "row", F.explode(each).alias("p")).select("doc", "row", "p.k", "p.s").join(known, ["k", "s"], "left_semi").distinct()
+    wanted = pairs.join(parts, "item")
+    scored = mine.join(wanted, ["doc", "k", "s"]).groupBy("doc", "row", "item").agg(F.count("*").cast("int").alias("n_found"))
+    scored = scored.join(full.select("item", F.size("sh").alias("n_shingles")), "item")
     best = scored.filter(F.col("n_found") * 100 >= F.col("n_shingles") * PERCENT).groupBy("doc", "item").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), "n_shingles", "n_found")).alias("b"))
     best = best.select("doc", "item", "b.n_shingles", "b.n_found")
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))

@@ -723,6 +723,17 @@ def test_contamination(spark, monkeypatch, small, shared):
     assert found.count() == len(want)
 
 
+def test_a_document_is_shingled_once_for_all_its_items(spark):
+    """One document that holds a thousand items: its shingles are built below the join with them."""
+    texts = [" ".join(f"i{n}w{k}" for k in range(8)) for n in range(1000)]
+    docs = spark.createDataFrame([(1, " filler ".join(texts)), (1, texts[0]), (2, texts[3]), (None, texts[4])], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[5])], "item_id long, text string")
+    out = decontam.contained(docs, items)
+    assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == [(1, n) for n in range(1000)] + [(2, 3)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_intersect" not in plan
+
+
 def test_contamination_runs_no_python(spark, sf):
     plan = llm.QUERIES["op9_decontamination"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
