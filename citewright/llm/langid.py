@@ -7,7 +7,7 @@ averaged, so that a word weighs as much as a known one. The language with the la
 Training counts words over a sample of labelled rows: of each language at most PER_LANG rows in expectation, picked by
 a hash of the id, so every size of table takes the same path. n-grams are counted over all words of the sample, by executors, each word with
 the root of its number. The model, which is what the driver holds and broadcasts, has WORDS / L words and GRAM_TABLE / L n-grams of each length for each of L
-languages, the most frequent ones: what a language gets does not depend on what others have. Prediction reads whole texts.
+languages, the most frequent ones: the more languages there are, the fewer each has. Prediction reads whole texts.
 
 A word is a run of letters (Unicode category L) with their combining marks.
 

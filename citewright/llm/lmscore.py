@@ -7,14 +7,15 @@ nothing but counts is needed. Every n-gram of the training texts is in the model
 
 States are the histories of training texts. An arc reads a word that follows its state there, adds the log-probability above and leads to the longest history
 that ends with the word. Where there is none, the failure arc adds log A / (c(h) + A) and leads to the next shorter history, down to the root, which
-knows all words. One traversal from left to right carries the state and adds up the arcs: Chunk.scores does it for all tokens of its texts at once,
-as the state before a token is the longest known history that ends there.
+knows all words. A traversal from left to right carries the state and adds up the arcs. As the state before a token is the longest known history that ends there, whatever came before,
+Chunk.scores takes the step of every token of its texts at once, in closed form over the arrays of counts, instead of carrying the state from token to token; the sums are the same.
 
 No table of the model is collected or broadcast; it is as large as the corpus. Texts are packed into chunks. A chunk sends each of its distinct
 words, bigrams and trigrams once, with its count in training texts, to the bucket of the n-gram's hash. The bucket adds up and
 answers each chunk with the totals: the chunk then has every arc and failure weight that its texts can meet. Messages are sorted hashes in compressed
-runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Words and n-grams are told apart by a hash with SPARE bits more than
-number all n-grams of the table (64 at most): an n-gram meets another one's key with a probability of 2 ** -SPARE or less.
+runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Inside a chunk words are told apart by their bytes, between chunks by 128 bits of hash, whatever the size of the
+table: what is counted of words (N, V, the unigram score) has no collisions. Bigrams and trigrams are told apart by a hash with SPARE bits more than number all n-grams of the table
+(64 at most): one meets another one's key with a probability of 2 ** -SPARE or less, which moves the score of a text with it a little.
 
 Defined cases: a null text is an empty one, which has one token, the end; very long texts are scored whole (a chunk holds at least one text, and
 its memory is a multiple of that text's); repeated rows are scored one by one and count as often as they stand there; a null id is the text `null` for the
@@ -23,6 +24,8 @@ split; extra columns are ignored, whatever their names; an empty table gives an
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,8 +56,10 @@ def split(text: str | None) -> list[bytes]:
 
 
 class WordHash(dict):
-    def __missing__(self, w: bytes) -> int:
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+    """word -> 16 bytes of hash."""
+
+    def __missing__(self, w: bytes) -> bytes:
+        h = self[w] = xxhash.xxh3_128_digest(w)
         return h
 
 
@@ -87,24 +92,28 @@ def pack(batches):
     def flush():
         table = pa.Table.from_batches(held)
         flat, sizes = [], []
+        number: defaultdict[bytes, int] = defaultdict()  # the words of the chunk in the order in which they come
+        number.default_factory = number.__len__
         for t in table.column(1).to_pylist():
             ws = split(t)
-            flat += [at[w] for w in ws]
-            flat.append(at[END])
+            flat += [number[w] for w in ws]
+            flat.append(number[END])
             sizes.append(len(ws) + 1)
+        words = np.frombuffer(b"".join([at[w] for w in number]), dtype="<u8").reshape(-1, 2)
         if len(at) > TOP:
             at.clear()
-        words, place, often = np.unique(np.array(flat, dtype=U), return_inverse=True, return_counts=True)
-        order = np.lexsort((words, -often))  # frequent words have small numbers, which compress well
+        place = np.array(flat, dtype=np.int64)
+        often = np.bincount(place, minlength=len(words))
+        order = np.lexsort((words[:, 1], words[:, 0], -often))  # frequent words have small numbers, which compress well
         rank = np.empty(len(words), dtype=np.int64)
         rank[order] = np.arange(len(words))
-        words, place = words[order], rank[place]
+        words, place = np.ascontiguousarray(words[order]), rank[place]
         table = table.drop_columns([table.column_names[1]]).append_column("size", pa.array(sizes, pa.int64()))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
-        first = deltas(words)
-        tokens = len(words).to_bytes(8, "little") + len(first).to_bytes(8, "little") + first + squeeze(place)
+        first = words.tobytes()
+        tokens = len(words).to_bytes(8, "little") + first + squeeze(place)
         return pa.RecordBatch.from_arrays([pa.array([part + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([tokens], pa.binary()), pa.array([len(flat)], pa.int64())], names=["chunk", "data", "tokens", "m"])
 
     for b in batches:
@@ -130,30 +139,36 @@ def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """Texts of a chunk. d: the text of each token; two, three: the tokens where a bigram, a trigram ends; keys: distinct n-grams, `width` bits each; at: of each n-gram its place among them."""
+    """Texts of a chunk. d: the text of each token; two, three: the tokens where a bigram, a trigram ends; words: the hashes of its words in order, two columns; keys: its bigrams and trigrams, `width` bits each;
+    at: of each token its place among the words, then of each n-gram the number of words and its place among the keys."""
 
     def __init__(self, data: bytes, tokens: bytes, width: int):
         self.table = pa.ipc.open_stream(data).read_all()
         self.sizes = self.table.column("size").to_numpy()
         self.d = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        m, end = (int.from_bytes(tokens[i : i + 8], "little") for i in (0, 8))
-        words = np.cumsum(loosen(tokens[16 : 16 + end], m, U), dtype=U)
-        k1 = words[loosen(tokens[16 + end :], len(self.d), np.int64)]
+        m = int.from_bytes(tokens[:8], "little")
+        words = np.frombuffer(tokens[8 : 8 + 16 * m], dtype="<u8").reshape(m, 2)
+        token = loosen(tokens[8 + 16 * m :], len(self.d), np.int64)
+        k1 = words[:, 0][token]
         place = np.arange(len(self.d)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.two, self.three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
         k2 = mix(mix(k1[self.two - 1]) ^ k1[self.two] * U(0x9FB21C651E98DF25))
         k3 = mix(mix(k1[self.three - 2] + U(0x632BE59BD9B4E019)) ^ mix(k1[self.three - 1]) * U(0x9FB21C651E98DF25) ^ k1[self.three] * U(0xD6E8FEB86659FD93))
-        keys = (np.concatenate([k1, k2, k3]) >> U(65 - width)) << U(1)
-        keys[: len(k1)] |= U(1)  # words have odd keys, longer n-grams even ones
-        self.keys, self.at = places(keys)
+        del k1
+        self.keys, at = places(np.concatenate([k2, k3]) >> U(64 - width))
+        order = np.lexsort((words[:, 1], words[:, 0]))
+        rank = np.empty(m, dtype=np.int32)
+        rank[order] = np.arange(m, dtype=np.int32)
+        self.words = words[order]
+        self.at = np.concatenate([rank[token], at + np.int32(m)])
 
     def trained(self) -> np.ndarray:
-        """How often each key stands in training texts of the chunk."""
+        """How often each word and then each key stands in training texts of the chunk."""
         train = ~self.table.column(1).to_numpy().astype(bool)[self.d]
-        return np.bincount(self.at, np.concatenate([train, train[self.two], train[self.three]]), minlength=len(self.keys)).astype(np.int64)
+        return np.bincount(self.at, np.concatenate([train, train[self.two], train[self.three]]), minlength=len(self.words) + len(self.keys)).astype(np.int64)
 
     def scores(self, totals: np.ndarray, n: int, v: int) -> list[np.ndarray]:
-        """totals: of each key in all training texts. Of each text: known tokens, log10 by unigrams, log10 by the automaton."""
+        """totals: of each word and then each key in all training texts. Of each text: known tokens, log10 by unigrams, log10 by the automaton."""
         m, k = len(self.d), len(self.two)
         c1, c2, c3 = totals[self.at[:m]].astype(np.float64), np.zeros(m), np.zeros(m)
         c2[self.two], c3[self.three] = totals[self.at[m : m + k]], totals[self.at[m + k :]]
@@ -168,29 +183,38 @@ class Chunk:
         return [total(c1 > 0).astype(np.int64), total(root), total(step)]
 
 
-def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, shift: int) -> pa.RecordBatch:
-    """The message of a chunk to each bucket: bucket, chunk, n, keys, counts. keys are sorted."""
+def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, shift: int, base: int = 0, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """The message of a chunk to each bucket: bucket, chunk, n, keys, x (counts), y (the second halves of the words' hashes). keys are sorted; their buckets are numbered from base."""
     buckets, head = np.unique(keys >> U(shift), return_index=True)
     ends = np.r_[head[1:], len(keys)].tolist()
     head = head.tolist()
     m = len(head)
-    cols = [deltas(keys[lo:hi]) for lo, hi in zip(head, ends)], [squeeze(counts[lo:hi]) for lo, hi in zip(head, ends)]
+    cut_ = lambda make, x: pa.array([make(x[lo:hi]) for lo, hi in zip(head, ends)], pa.binary())
     n = pa.array([hi - lo for lo, hi in zip(head, ends)], pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([chunk] * m, pa.int64()), n, *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "chunk", "n", "keys", "x"])
+    rest = cut_(lambda x: x.tobytes(), more) if more is not None else pa.nulls(m, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32) + np.int32(base)), pa.array([chunk] * m, pa.int64()), n, cut_(deltas, keys), cut_(squeeze, counts), rest], names=["bucket", "chunk", "n", "keys", "x", "y"])
 
 
-MESSAGE = "bucket int, chunk long, n long, keys binary, x binary"
+MESSAGE = "bucket int, chunk long, n long, keys binary, x binary, y binary"
 ANSWER = "chunk long, bucket int, n long, x binary, tokens long, words long"
 
 
 def answer(batches):
-    """Rows of MESSAGE sorted by bucket: yields rows of ANSWER with the totals of the keys, and once for each bucket its numbers of tokens and words."""
+    """Rows of MESSAGE sorted by bucket: yields rows of ANSWER with the totals of the keys, and once for each bucket of words its numbers of tokens and words."""
 
     def close(bucket, rows):
         ns = [r[1] for r in rows]
-        u, inverse = places(np.concatenate([np.cumsum(loosen(r[2], r[1], U), dtype=U) for r in rows]))
+        keys = np.concatenate([np.cumsum(loosen(r[2], r[1], U), dtype=U) for r in rows])
+        of_words = rows[0][4] is not None
+        if of_words:
+            order = np.lexsort((more := np.concatenate([np.frombuffer(r[4], dtype="<u8") for r in rows]), keys))
+            a, b = keys[order], more[order]
+            inverse = np.empty(len(keys), dtype=np.int32)
+            inverse[order] = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])], dtype=np.int32) - 1
+        else:
+            _, inverse = places(keys)
         total = np.bincount(inverse, np.concatenate([loosen(r[3], r[1], np.int64) for r in rows])).astype(np.int64)
-        words = total[(u & U(1)).astype(bool)]
+        words = total if of_words else total[:0]
         x, ends = total[inverse], np.cumsum(ns).tolist()
         made = [squeeze(x[e - n : e]) for e, n in zip(ends, ns)]
         first = lambda x: pa.array([x] + [0] * (len(rows) - 1), pa.int64())
@@ -234,15 +258,19 @@ def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
     packed = cut(rows.mapInArrow(pack, "chunk long, data binary, tokens binary, m long"))
     size = packed.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     bits = min(18, max(9, (2 * size["m"] // KEYS).bit_length()))
+    of_words = max(4, bits - 3)  # words are fewer than n-grams
     width = min(64, (3 * size["m"]).bit_length() + SPARE)
 
     def count(batches):
         for b in batches:
             for chunk, data, tokens in zip(*(c.to_pylist() for c in b.columns)):
                 c = Chunk(data, tokens, width)
-                keys, counts = c.keys, c.trained()
+                words, keys, counts = c.words, c.keys, c.trained()
                 del c
-                yield deal(chunk, keys, counts, width - bits)
+                # buckets of words come first, as words do among a chunk's totals
+                yield deal(chunk, words[:, 0], counts[: len(words)], 64 - of_words, 0, np.ascontiguousarray(words[:, 1]))
+                if len(keys):
+                    yield deal(chunk, keys, counts[len(words) :], width - bits, 1 << of_words)
 
     dealt = packed.select("chunk", "data", "tokens").mapInArrow(count, MESSAGE).repartition("bucket").sortWithinPartitions("bucket", "chunk")
     counted = cut(dealt.mapInArrow(answer, ANSWER))

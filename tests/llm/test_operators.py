@@ -271,6 +271,20 @@ def test_model_equals_brute_force(spark, monkeypatch):
     assert once and twice and max(got[d] for d in once) < min(got[d] for d in twice)
 
 
+def test_words_are_told_apart_whatever_hashes_n_grams_have(spark, monkeypatch):
+    """With n-gram keys of a few bits, what is counted of words stays exact."""
+    monkeypatch.setattr(lmscore, "CHUNK", 3000)
+    rows = [(i, " ".join(f"w{random.randrange(2000)}" for _ in range(random.randint(0, 60))), "x") for i in range(150)]
+    df = documents(spark, rows).repartition(3)
+    told = lambda: {r["doc_id"]: (r["n_known"], r["train_tokens"], round(r["base_score"], 9)) for r in lmscore.score_documents(df).collect()}
+    scores = lambda: sorted(round(r["score"], 6) for r in lmscore.score_documents(df).collect())
+    want, plain = told(), scores()
+    monkeypatch.setattr(lmscore, "SPARE", -4)
+    assert told() == want and scores() != plain
+    counts = Counter(w for d, t, _ in rows if zlib.crc32(str(d).encode()) % 10 for w in t.encode().split() + [b""])
+    assert all(want[d][:2] == (sum(counts[w] > 0 for w in t.encode().split() + [b""]), sum(counts.values())) for d, t, _ in rows)
+
+
 def test_probabilities_after_a_history_sum_to_one():
     random.seed(3)
     train = [[str(min(9, int(random.paretovariate(1)))).encode() for _ in range(random.randint(0, 30))] + [b""] for _ in range(80)]
