@@ -13,8 +13,8 @@ Chunk.scores takes the step of every token of its texts at once, in closed form
 No table of the model is collected or broadcast; it is as large as the corpus. Texts are packed into chunks. A chunk sends each of its distinct
 words, bigrams and trigrams once, with its count in training texts, to the bucket of the n-gram's hash. The bucket adds up and
 answers each chunk with the totals: the chunk then has every arc and failure weight that its texts can meet. Messages are sorted hashes in compressed
-runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Inside a chunk words are told apart by their bytes, between chunks by 128 bits of hash, whatever the size of the
-table: what is counted of words (N, V, the unigram score) has no collisions. Bigrams and trigrams are told apart by a hash with SPARE bits more than number all n-grams of the table
+runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Inside a chunk words are told apart by their bytes, between chunks by 80 bits of hash, whatever the size of the
+table: of ten billion different words two meet with a probability of 4 in 100,000, so what is counted of words (N, V, the unigram score) is exact. Bigrams and trigrams are told apart by a hash with SPARE bits more than number all n-grams of the table
 (64 at most): one meets another one's key with a probability of 2 ** -SPARE or less, which moves the score of a text with it a little.
 
 Defined cases: a null text is an empty one, which has one token, the end; very long texts are scored whole (a chunk holds at least one text, and
@@ -43,6 +43,8 @@ TOP = 250_000
 #: Bytes of text in a chunk, keys that a bucket holds on average, the most tasks that score chunks, and bits of a key beyond those that number all n-grams.
 CHUNK, KEYS, TASKS, SPARE = 3 << 20, 1 << 20, 20_000, 20
 U = np.uint64
+#: A word's hash: 80 bits, of which n-grams are made of the first 64.
+WORD = np.dtype([("lo", "<u8"), ("hi", "<u2")])
 
 
 def held_out(key: Column | str) -> Column:
@@ -56,10 +58,10 @@ def split(text: str | None) -> list[bytes]:
 
 
 class WordHash(dict):
-    """word -> 16 bytes of hash."""
+    """word -> its hash, as the bytes of a WORD."""
 
     def __missing__(self, w: bytes) -> bytes:
-        h = self[w] = xxhash.xxh3_128_digest(w)
+        h = self[w] = xxhash.xxh3_128_digest(w)[: WORD.itemsize]
         return h
 
 
@@ -99,12 +101,12 @@ def pack(batches):
             flat += [number[w] for w in ws]
             flat.append(number[END])
             sizes.append(len(ws) + 1)
-        words = np.frombuffer(b"".join([at[w] for w in number]), dtype="<u8").reshape(-1, 2)
+        words = np.frombuffer(b"".join([at[w] for w in number]), dtype=WORD)
         if len(at) > TOP:
             at.clear()
         place = np.array(flat, dtype=np.int64)
         often = np.bincount(place, minlength=len(words))
-        order = np.lexsort((words[:, 1], words[:, 0], -often))  # frequent words have small numbers, which compress well
+        order = np.lexsort((words["hi"], words["lo"], -often))  # frequent words have small numbers, which compress well
         rank = np.empty(len(words), dtype=np.int64)
         rank[order] = np.arange(len(words))
         words, place = np.ascontiguousarray(words[order]), rank[place]
@@ -139,7 +141,7 @@ def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """Texts of a chunk. d: the text of each token; two, three: the tokens where a bigram, a trigram ends; words: the hashes of its words in order, two columns; keys: its bigrams and trigrams, `width` bits each;
+    """Texts of a chunk. d: the text of each token; two, three: the tokens where a bigram, a trigram ends; words: the hashes of its words in order; keys: its bigrams and trigrams, `width` bits each;
     at: of each token its place among the words, then of each n-gram the number of words and its place among the keys."""
 
     def __init__(self, data: bytes, tokens: bytes, width: int):
@@ -147,16 +149,16 @@ class Chunk:
         self.sizes = self.table.column("size").to_numpy()
         self.d = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         m = int.from_bytes(tokens[:8], "little")
-        words = np.frombuffer(tokens[8 : 8 + 16 * m], dtype="<u8").reshape(m, 2)
-        token = loosen(tokens[8 + 16 * m :], len(self.d), np.int64)
-        k1 = words[:, 0][token]
+        words = np.frombuffer(tokens[8 : 8 + WORD.itemsize * m], dtype=WORD)
+        token = loosen(tokens[8 + WORD.itemsize * m :], len(self.d), np.int64)
+        k1 = words["lo"][token]
         place = np.arange(len(self.d)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.two, self.three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
         k2 = mix(mix(k1[self.two - 1]) ^ k1[self.two] * U(0x9FB21C651E98DF25))
         k3 = mix(mix(k1[self.three - 2] + U(0x632BE59BD9B4E019)) ^ mix(k1[self.three - 1]) * U(0x9FB21C651E98DF25) ^ k1[self.three] * U(0xD6E8FEB86659FD93))
         del k1
         self.keys, at = places(np.concatenate([k2, k3]) >> U(64 - width))
-        order = np.lexsort((words[:, 1], words[:, 0]))
+        order = np.lexsort((words["hi"], words["lo"]))
         rank = np.empty(m, dtype=np.int32)
         rank[order] = np.arange(m, dtype=np.int32)
         self.words = words[order]
@@ -184,7 +186,7 @@ class Chunk:
 
 
 def deal(chunk: int, keys: np.ndarray, counts: np.ndarray, shift: int, base: int = 0, more: np.ndarray | None = None) -> pa.RecordBatch:
-    """The message of a chunk to each bucket: bucket, chunk, n, keys, x (counts), y (the second halves of the words' hashes). keys are sorted; their buckets are numbered from base."""
+    """The message of a chunk to each bucket: bucket, chunk, n, keys, x (counts), y (the rest of the words' hashes). keys are sorted; their buckets are numbered from base."""
     buckets, head = np.unique(keys >> U(shift), return_index=True)
     ends = np.r_[head[1:], len(keys)].tolist()
     head = head.tolist()
@@ -207,7 +209,7 @@ def answer(batches):
         keys = np.concatenate([np.cumsum(loosen(r[2], r[1], U), dtype=U) for r in rows])
         of_words = rows[0][4] is not None
         if of_words:
-            order = np.lexsort((more := np.concatenate([np.frombuffer(r[4], dtype="<u8") for r in rows]), keys))
+            order = np.lexsort((more := np.concatenate([np.frombuffer(r[4], dtype="<u2") for r in rows]), keys))
             a, b = keys[order], more[order]
             inverse = np.empty(len(keys), dtype=np.int32)
             inverse[order] = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])], dtype=np.int32) - 1
@@ -268,7 +270,7 @@ def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
                 words, keys, counts = c.words, c.keys, c.trained()
                 del c
                 # buckets of words come first, as words do among a chunk's totals
-                yield deal(chunk, words[:, 0], counts[: len(words)], 64 - of_words, 0, np.ascontiguousarray(words[:, 1]))
+                yield deal(chunk, np.ascontiguousarray(words["lo"]), counts[: len(words)], 64 - of_words, 0, words["hi"])
                 if len(keys):
                     yield deal(chunk, keys, counts[len(words) :], width - bits, 1 << of_words)
 
