@@ -14,8 +14,9 @@ No table of the model is collected or broadcast; it is as large as the corpus. T
 words, bigrams and trigrams once, with its count in training texts, to the bucket of the n-gram's hash. The bucket adds up and
 answers each chunk with the totals: the chunk then has every arc and failure weight that its texts can meet. Messages are sorted hashes in compressed
 runs. The number of buckets follows the number of tokens, so that one holds about KEYS of them. Inside a chunk words are told apart by their bytes, between chunks by 80 bits of hash, whatever the size of the
-table: of ten billion different words two meet with a probability of 4 in 100,000, so what is counted of words (N, V, the unigram score) is exact. Bigrams and trigrams are told apart by a hash with SPARE bits more than number all n-grams of the table
-(64 at most): one meets another one's key with a probability of 2 ** -SPARE or less, which moves the score of a text with it a little.
+table: of ten billion different words two meet with a probability of 4 in 100,000, so what is counted of words (N, V, the unigram score) is exact. Bigrams and trigrams are told apart by WIDTH = 64 bits,
+at any size: ten billion of them make about three pairs that count as one, which moves the scores of the texts with them a little. Messages go out in ROUNDS parts of the key range, one after
+the other, so that the files of one part are gone before the next ones come.
 
 Defined cases: a null text is an empty one, which has one token, the end; very long texts are scored whole (a chunk holds at least one text, and
 its memory is a multiple of that text's); repeated rows are scored one by one and count as often as they stand there; a null id is the text `null` for the
@@ -40,8 +41,8 @@ AFTER_WORD, AFTER_PAIR = 5000.0, 5.0
 END = b""
 #: Words whose hashes a worker keeps at hand; steers cost alone.
 TOP = 250_000
-#: Bytes of text in a chunk, keys that a bucket holds on average, the most tasks that score chunks, and bits of a key beyond those that number all n-grams.
-CHUNK, KEYS, TASKS, SPARE = 3 << 20, 1 << 20, 20_000, 20
+#: Bytes of text in a chunk, keys that a bucket holds on average, the most tasks that score chunks, bits of an n-gram's key, and parts in which messages go out.
+CHUNK, KEYS, TASKS, WIDTH, ROUNDS = 3 << 20, 1 << 20, 20_000, 64, 2
 U = np.uint64
 #: A word's hash: 80 bits, of which n-grams are made of the first 64.
 WORD = np.dtype([("lo", "<u8"), ("hi", "<u2")])
@@ -261,23 +262,31 @@ def score_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
     size = packed.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     bits = min(18, max(9, (2 * size["m"] // KEYS).bit_length()))
     of_words = max(4, bits - 3)  # words are fewer than n-grams
-    width = min(64, (3 * size["m"]).bit_length() + SPARE)
-
-    def count(batches):
-        for b in batches:
-            for chunk, data, tokens in zip(*(c.to_pylist() for c in b.columns)):
-                c = Chunk(data, tokens, width)
-                words, keys, counts = c.words, c.keys, c.trained()
-                del c
-                # buckets of words come first, as words do among a chunk's totals
-                yield deal(chunk, np.ascontiguousarray(words["lo"]), counts[: len(words)], 64 - of_words, 0, words["hi"])
-                if len(keys):
-                    yield deal(chunk, keys, counts[len(words) :], width - bits, 1 << of_words)
-
-    dealt = packed.select("chunk", "data", "tokens").mapInArrow(count, MESSAGE).repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    counted = cut(dealt.mapInArrow(answer, ANSWER))
-    del dealt  # its shuffle files go
-    release(spark)
+    width = WIDTH
+
+    def counter(part: int):
+        def count(batches):
+            for b in batches:
+                for chunk, data, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                    c = Chunk(data, tokens, width)
+                    words, keys, counts = c.words, c.keys, c.trained()
+                    del c
+                    if part == 0:  # buckets of words come first, as words do among a chunk's totals
+                        yield deal(chunk, np.ascontiguousarray(words["lo"]), counts[: len(words)], 64 - of_words, 0, words["hi"])
+                    edges = [r * (1 << bits) // ROUNDS for r in (part, part + 1)]
+                    lo, hi = np.searchsorted(keys >> U(width - bits), np.array(edges, dtype=U))
+                    if hi > lo:
+                        yield deal(chunk, keys[lo:hi], counts[len(words) + lo : len(words) + hi], width - bits, 1 << of_words)
+
+        return count
+
+    counted = None
+    for part in range(ROUNDS):
+        dealt = packed.select("chunk", "data", "tokens").mapInArrow(counter(part), MESSAGE).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+        answers = cut(dealt.mapInArrow(answer, ANSWER))
+        counted = answers if counted is None else counted.unionByName(answers)
+        del dealt  # its shuffle files go
+        release(spark)
     total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
     chunks = packed.select("chunk", F.lit(0).alias("step"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n"), F.col("data").alias("x"), F.col("tokens").alias("y"))

@@ -279,7 +279,7 @@ def test_words_are_told_apart_whatever_hashes_n_grams_have(spark, monkeypatch):
     told = lambda: {r["doc_id"]: (r["n_known"], r["train_tokens"], round(r["base_score"], 9)) for r in lmscore.score_documents(df).collect()}
     scores = lambda: sorted(round(r["score"], 6) for r in lmscore.score_documents(df).collect())
     want, plain = told(), scores()
-    monkeypatch.setattr(lmscore, "SPARE", -4)
+    monkeypatch.setattr(lmscore, "WIDTH", 12)
     assert told() == want and scores() != plain
     counts = Counter(w for d, t, _ in rows if zlib.crc32(str(d).encode()) % 10 for w in t.encode().split() + [b""])
     assert all(want[d][:2] == (sum(counts[w] > 0 for w in t.encode().split() + [b""]), sum(counts.values())) for d, t, _ in rows)
