@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citewright.functions.text import tokens
-from citewright.operators.frames import materialise, numbered, ranked_within
+from citewright.operators.frames import materialise, numbered, ranked_within, stored
 
 K1, B, UNKNOWN_IDF, BROADCAST_TERMS = 1.2, 0.75, 1.0, 1_000_000
 
@@ -50,46 +50,86 @@ def term_score(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.greatest(avgdl, F.lit(1.0))))
 
 
-def asked_postings(docs: DataFrame, terms: DataFrame, key: str, group: list[str] | None = None, text: str = "text") -> DataFrame:
-    """postings() of the terms that are asked for (in the same group): others leave before the shuffle, against the distinct terms while those are few (counted)."""
-    group = group or []
+def _asked_tokens(docs: DataFrame, terms: DataFrame, key: str, group: list[str], text: str, ends: bool = False) -> DataFrame:
+    """group.., key, dl, term of each place of a text where a term stands that is asked for (in the same group): others leave in the task that reads them, against the distinct terms while those are few (counted).
+
+    ends: every text has one row with a null term besides."""
     wanted = terms.select(*group, "term").distinct()
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    t = docs.select(*group, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts")).select(*group, key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    t = t.join(F.broadcast(wanted) if few else wanted, [*group, "term"], "left_semi")
+    t = docs.select(*group, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    t = t.select(*group, key, F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit(None).cast("string"))) if ends else F.col("ts")).alias("term"))
+    wanted = F.broadcast(wanted) if few else wanted
+    if not ends:
+        return t.join(wanted, [*group, "term"], "left_semi")
+    return t.join(wanted.withColumn("_asked", F.lit(True)), [*group, "term"], "left").filter("_asked or term is null").drop("_asked")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def asked_postings(docs: DataFrame, terms: DataFrame, key: str, group: list[str] | None = None, text: str = "text") -> DataFrame:
+    """postings() of the terms that are asked for (in the same group)."""
+    group = group or []
+    t = _asked_tokens(docs, terms, key, group, text)
     # dealt by text, in which scores are summed up: from here on no sum needs another shuffle
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return t.repartition(parts, *group, key).groupBy(*group, key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    return t.repartition(_partitions(docs), *group, key).groupBy(*group, key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25_corpus(docs: DataFrame, queries: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
-    """Scores of all texts with a term of the query: qkey, key, relevance_score in 0..1. See full_ranks for texts without one."""
-    stats = corpus_stats(docs, key)
+    """Scores of all texts with a term of the query: qkey, key, relevance_score in 0..1. See full_ranks for texts without one.
+
+    Postings of the terms asked for are counted before they move, and written once by columns; dealt by text they meet the queries' terms by broadcast while those are few (counted), so no hit moves to be summed.
+    """
     terms = materialise(query_terms(queries, qkey))
-    post = materialise(asked_postings(docs, terms, key))
+    tokens_ = _asked_tokens(docs, terms, key, [], "text", ends=True)  # texts are read once: their ends tell how many there are, and how long
+    rows = stored(tokens_.groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("all")))
+    stats = materialise(rows.filter("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum("all") / F.sum("tf")).alias("avgdl")))
+    post = rows.filter("term is not null").drop("all")
     df = document_frequencies(post, stats)
-    known = terms.join(df.select("term", "idf"), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(UNKNOWN_IDF)))
+    known = materialise(terms.join(df.select("term", "idf"), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(UNKNOWN_IDF))))
     best = known.groupBy(qkey).agg(F.sum("idf").alias("most"))
-    hits = post.join(known, "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    few = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    near = F.broadcast if few else lambda side: side
+    hits = post.repartition(_partitions(docs), key).join(near(known), "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
     score = hits.groupBy(qkey, key).agg(F.sum(F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("s"))
-    return score.join(best, qkey).select(qkey, key, F.round(F.least(F.lit(1.0), F.col("s") / F.col("most")), 4).alias("relevance_score"))
+    return score.join(near(best), qkey).select(qkey, key, F.round(F.least(F.lit(1.0), F.col("s") / F.col("most")), 4).alias("relevance_score"))
+
 
+def asked_ranks(scored: DataFrame, docs: DataFrame, asked: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
+    """Ranks of the asked (qkey, key) pairs in the full ranking of docs. scored: the hits of all queries (qkey, key, relevance_score), of which equal ones stand in the order of key.
 
-def full_ranks(run: DataFrame, docs: DataFrame, asked: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
+    Hits are written once and dealt once by ranges of (query, score), with a mark on the asked ones; where an asked document has no hit, once more by (query, key).
+    """
+    asked = materialise(asked.select(qkey, key).distinct())
+    hits = stored(scored.select(qkey, key, "relevance_score"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    mark = asked.withColumn("mark", F.lit(True))
+    marked = hits.join(F.broadcast(mark) if few else mark, [qkey, key], "left")
+    ranked = ranked_within(marked, qkey, F.desc("relevance_score"), key).filter("mark").select(qkey, key, "rank")
+    return full_ranks(hits, docs, asked, key, qkey, ranked)
+
+
+def full_ranks(run: DataFrame, docs: DataFrame, asked: DataFrame, key: str = "doc_id", qkey: str = "query_id", ranked: DataFrame | None = None) -> DataFrame:
     """Ranks of the asked (qkey, key) pairs in the full ranking, in which every document has a place: those in run (qkey, key, rank, 1 to its number of rows) come
-    first, the rest after them in the order of key. The rest is never listed: its places follow from counts, taken in ranges of (query, place), so no query is one task."""
+    first, the rest after them in the order of key. The rest is never listed: its places follow from counts, taken in ranges of (query, key), so no query is one task.
+
+    ranked: the asked rows of run with their rank, where those are known; run then needs no rank."""
     place = numbered(docs.select(key), key, name="p")
     asked = materialise(asked.select(qkey, key).distinct().join(place, key))
-    ranked = materialise(run.select(qkey, key, "rank"))
-    found = asked.join(ranked, [qkey, key], "left")
+    if ranked is None:
+        run = ranked = materialise(run.select(qkey, key, "rank"))
+    found = materialise(asked.join(ranked, [qkey, key], "left"))
     missing = found.filter("rank is null").select(qkey, key, "p")
-    need = missing.select(qkey).distinct()
-    # hits of the run up to a missing one's place: its number among both, less its number among the missing
+    need = materialise(missing.select(qkey).distinct())
+    if need.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        need = F.broadcast(need)
+    # hits of the run up to a missing one's key: its number among both, less its number among the missing
     mine = missing.select(qkey, F.col(key).alias("k"), "p")
-    marks = ranked.join(need, qkey, "left_semi").join(place, key).select(qkey, F.col(key).alias("k"), "p", F.lit(1).alias("hit")).unionByName(mine.withColumn("hit", F.lit(0)))
-    both = ranked_within(marks, qkey, "p", "hit", name="both").filter("hit = 0").select(qkey, "k", "p", "both")
-    counted = both.join(ranked_within(mine, qkey, "p", name="own").select(qkey, "k", "own"), [qkey, "k"]).withColumn("before", F.col("both") - F.col("own"))
-    total = ranked.groupBy(qkey).agg(F.count("*").alias("m"))
+    marks = run.join(need, qkey, "left_semi").select(qkey, F.col(key).alias("k"), F.lit(None).cast("long").alias("p")).unionByName(mine)
+    both = ranked_within(marks, qkey, "k", F.col("p").isNotNull(), name="both").filter("p is not null").select(qkey, "k", "p", "both")
+    counted = both.join(ranked_within(mine, qkey, "k", name="own").select(qkey, "k", "own"), [qkey, "k"]).withColumn("before", F.col("both") - F.col("own"))
+    total = run.groupBy(qkey).agg(F.count("*").alias("m"))
     after = counted.join(total, qkey, "left").select(qkey, F.col("k").alias(key), (F.coalesce("m", F.lit(0)) + F.col("p") - F.col("before")).cast("int").alias("rank"))
     return found.filter("rank is not null").select(qkey, key, "rank").unionByName(after)
 
