@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citewright.operators.frames import ranked_within
+
 
 def fuse_request(chunks: DataFrame, k: int = 60) -> DataFrame:
     """Ranked chunks with ranking_score, dense_score and pos (the order they came in) -> fused_score and fused_rank.
@@ -26,4 +28,4 @@ def fuse_rankings(a: DataFrame, b: DataFrame, by: str, key: str, k: int = 60) ->
     """Two rankings by, key, rank -> by, key, fused_score, rank. A row that only one ranking has counts there."""
     rows = a.select(by, key, "rank").unionByName(b.select(by, key, "rank"))
     fused = rows.groupBy(by, key).agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 9).alias("fused_score"))
-    return fused.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("fused_score"), key)))
+    return ranked_within(fused, by, F.desc("fused_score"), key)  # no ranking is one task

@@ -10,12 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from citewright.config import Policy
 from citewright.operators import corpus as C
 from citewright.operators import dense, evaluate, fuse, judge, lexical
-from citewright.operators.frames import materialise, numbered
+from citewright.operators.frames import materialise, numbered, ranked_within
 
 DEPTH = 200
 
@@ -32,8 +31,7 @@ def rank(method: str, docs: DataFrame, queries: DataFrame, embedder: Callable |
         raise ValueError(f"unknown ranking method {method!r}")
     if method != "bm25" and embedder is None:
         raise ValueError(f"ranking by {method} needs an embedder")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    order = lambda rows: rows.withColumn("rank", F.row_number().over(by)).select("query_id", "doc_id", "rank")
+    order = lambda rows: ranked_within(rows.select("query_id", "doc_id", "score"), "query_id", F.desc("score"), "doc_id").select("query_id", "doc_id", "rank")
     if queries.limit(dense.QUERIES + 1).count() > dense.QUERIES:
         raise ValueError(f"a full ranking takes at most {dense.QUERIES} queries")
     arms = []

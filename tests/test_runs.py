@@ -287,3 +287,15 @@ def test_progress_frames_and_stopping(spark, tmp_path):
     query = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
     assert streams.run_until(query, lambda: True, 0.2) and not query.isActive
     assert not streams.run_until(query, lambda: True)
+
+
+@pytest.mark.parametrize("method", ["bm25", "dense", "hybrid"])
+def test_no_full_ranking_is_sorted_by_one_task(spark, method):
+    docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 3)}") for i in range(12)], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "alpha beta"), (1, "gamma")], "query_id long, query string")
+    ranked = runs.rank(method, docs, queries, dense.HashEmbedder(8))
+    assert "row_number" not in ranked._jdf.queryExecution().executedPlan().toString()
+    rows = ranked.collect()
+    assert sorted((r["query_id"], r["rank"]) for r in rows) == [(q, i + 1) for q in range(2) for i in range(12)]
+    if method == "bm25":
+        assert [r["doc_id"] for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"]))][12:] == list(range(12))
