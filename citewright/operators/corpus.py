@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from citewright.functions import text as T
 from citewright.operators.dense import embed, l2_normalise
-from citewright.operators.frames import materialise
+from citewright.operators.frames import materialise, small_batches
 from citewright.operators.snapshots import Snapshots
 
 MAX_CHUNKS = 2000
@@ -22,6 +22,7 @@ def digest(texts: Column) -> Column:
 
 def chunk_documents(docs: DataFrame, max_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, text, title, source) -> (chunks, rejects with a reason). max_chunks: a document keeps its first ones (a service's limit is MAX_CHUNKS); none: all."""
+    small_batches(docs.sparkSession)
     d = docs.withColumn("pieces", T.chunks(F.coalesce(F.col("text"), F.lit(""))))
     bad = F.when(T.strip(F.coalesce(F.col("text"), F.lit(""))) == "", "no_text").when(F.size("pieces") == 0, "no_chunks")
     d = materialise(d.withColumn("reason", bad))  # chunks and rejects come of one pass

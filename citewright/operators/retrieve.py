@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from citewright.config import Policy
 from citewright.functions import text as T
 from citewright.functions import urls as U
-from citewright.operators.frames import materialise
+from citewright.operators.frames import materialise, small_batches
 
 ORDER = ["query_ord", "result_ord"]
 
@@ -35,6 +35,7 @@ def classify(results: DataFrame, policy: Policy, seen: DataFrame | None = None,
 
     The first of equal URLs wins, among results that are safe and not banned; a page without text still uses up its URL.
     """
+    small_batches(results.sparkSession)  # pages go through Python
     # a generator, so that what it gives is worked out once and not copied into every filter and window below
     facts = F.struct(U.domain(F.col("url")).alias("domain"), U.normal_form(F.col("url")).alias("norm_url"), U.url_safety(F.col("url")).alias("safety"))
     r = results.select(*[c for c in results.columns if c not in ("domain", "norm_url", "safety")], F.inline(F.array(facts)))
@@ -55,6 +56,7 @@ def classify(results: DataFrame, policy: Policy, seen: DataFrame | None = None,
 def pieces(fates: DataFrame, next_doc: int = 1) -> DataFrame:
     """All chunks of the kept results in order, with doc_index (pages with text take the next number, also when they yield no chunk) and nth: the how manieth
     of equal chunks of the request it is."""
+    small_batches(fates.sparkSession)
     by = Window.partitionBy("request_id").orderBy(*ORDER)
     start = F.col("next_doc") if "next_doc" in fates.columns else F.lit(next_doc)  # a request that searches again goes on counting
     docs = fates.filter("fate = 'kept'").withColumn("doc_index", (F.row_number().over(by) + start - 1).cast("int"))
