@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from citewright.functions.text import normalise_quote
 from citewright.functions.trust import DomainSets, primary
+from citewright.operators.frames import small_batches
 
 MIN_TOKENS, MIN_CHARS = 4, 12
 #: What the tiers are called and weigh (in hundredths).
@@ -34,6 +35,7 @@ def check_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Cited chunks are looked up among all chunks of the request; each is normalised once, not once a citation.
     """
+    small_batches(citations.sparkSession)  # texts that are not ASCII go through Python
     keys = citations.select("request_id", "chunk_id").distinct()
     cited = chunks.join(keys, ["request_id", "chunk_id"], "left_semi").select("request_id", "chunk_id", "source_url", "title", "domain", F.col("text").alias("chunk_text"), normalise_quote(F.col("text")).alias("norm_chunk"))
     rows = citations.withColumn("norm_quote", normalise_quote(F.coalesce(F.col("quote"), F.lit("")))).join(cited, ["request_id", "chunk_id"], "left")

@@ -317,3 +317,25 @@ def test_command_line(capsys):
 
     assert main(["settings"]) == 0 and "cache_ttl_s" in capsys.readouterr().out
     assert main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Of 3,000 pages in one partition no worker is given more than 1,000 at once; the same holds for checks of citations."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def batch(s: pd.Series) -> pd.Series:
+        return pd.Series([str(len(s))] * len(s))
+
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(limit)
+    rows = spark.range(3000, numPartitions=1).select(
+        F.lit(1).cast("long").alias("request_id"), F.lit(0).alias("query_ord"), F.col("id").cast("int").alias("result_ord"), F.concat(F.lit("https://a.org/"), "id").alias("url"), F.lit("text").alias("content"), F.lit(None).cast("string").alias("title"), F.lit("raw").alias("content_mode")
+    )
+    fates = retrieve.classify(rows, Policy(), clean=batch)
+    assert max(int(r["clean"]) for r in fates.select("clean").collect()) <= 1000
+    spark.conf.unset(limit)
+    c = spark.createDataFrame([(1, 1, 0, "c", "doc_1_chunk_A", "q")], "request_id long, sentence_id long, cit_ord int, citation_id string, chunk_id string, quote string")
+    chunks = spark.createDataFrame([(1, "doc_1_chunk_A", "u", "t", "d", "text")], "request_id long, chunk_id string, source_url string, title string, domain string, text string")
+    verify.check_citations(c, chunks)
+    assert int(spark.conf.get(limit)) <= 1000
