@@ -35,6 +35,7 @@ def ingest(docs: DataFrame, model: str, embedder=None, created_at: str = "1970-0
     """(documents, chunks, rejects) of what is to be added."""
     chunks, rejects = chunk_documents(docs, max_chunks)
     chunks = embed(materialise(chunks), "text", "embedding", embedder).withColumn("embedding", l2_normalise(F.col("embedding")).cast("array<float>")).withColumn("dim", F.size("embedding"))
+    chunks = materialise(chunks)  # documents are read from it too: no text is embedded twice
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
     sums = chunks.groupBy("doc_id").agg(ordered.alias("o"), F.count("*").cast("int").alias("chunk_count"), F.sum(F.length("text")).cast("int").alias("char_count"))
     made = sums.select("doc_id", digest(F.transform("o", lambda x: x["text"])).alias("content_sha"), "chunk_count", "char_count")

@@ -299,3 +299,19 @@ def test_no_full_ranking_is_sorted_by_one_task(spark, method):
     assert sorted((r["query_id"], r["rank"]) for r in rows) == [(q, i + 1) for q in range(2) for i in range(12)]
     if method == "bm25":
         assert [r["doc_id"] for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"]))][12:] == list(range(12))
+
+
+def test_corpus_evaluation_embeds_each_text_once(spark, tmp_path):
+    log = str(tmp_path / "texts")
+
+    def embedder(texts):
+        with open(log, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return dense.HashEmbedder(8)(texts)
+
+    docs = spark.createDataFrame([(str(i), f"document number {i} has a text that is long enough to be a chunk") for i in range(6)], "doc_id string, text string")
+    queries = spark.createDataFrame([(1, "document number one")], "query_id long, query string")
+    qrels = spark.createDataFrame([(1, "1")], "query_id long, doc_id string")
+    metrics, _, n = runs.corpus_eval(docs, queries, qrels, embedder)
+    texts = [t for t in open(log).read().splitlines() if t.endswith("chunk")]
+    assert n == 6 and metrics.count() == 1 and len(texts) == len(set(texts)) == 6
