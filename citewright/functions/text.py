@@ -72,10 +72,21 @@ def sentence_list(text: str) -> list[str]:
     return [s for p in parts if (s := p.replace(HOLD, " ").strip(WHITE))]
 
 
-def window_list(parts: list[str]) -> list[str]:
-    """Sentences packed into windows of up to MAX_CHUNK characters; each next window begins with the last sentence of the one before."""
+def piece_list(sentence: str) -> list[str]:
+    """A sentence in pieces of up to MAX_CHUNK characters that lose none of its words; one ends at white space where it has any."""
+    out, at = [], 0
+    while len(sentence) - at > MAX_CHUNK:
+        gap = next((i for i in range(at + MAX_CHUNK, at, -1) if sentence[i] in WHITE), at + MAX_CHUNK)
+        out.append(sentence[at:gap].strip(WHITE))
+        at = gap
+    return [p for p in [*out, sentence[at:].strip(WHITE)] if p]
+
+
+def window_list(parts: list[str], whole: bool = False) -> list[str]:
+    """Sentences packed into windows of up to MAX_CHUNK characters; each next window begins with the last sentence of the one before. Of a longer sentence the beginning counts, or with `whole` each piece
+    as a sentence of its own."""
     done, held, n = [], [], 0
-    for s in parts:
+    for s in [p for s in parts for p in piece_list(s)] if whole else parts:
         s = s[:MAX_CHUNK]
         if held and n + len(s) + 1 > MAX_CHUNK:
             done.append(" ".join(held))
@@ -86,8 +97,8 @@ def window_list(parts: list[str]) -> list[str]:
     return done + [" ".join(held)] if held else done
 
 
-def chunk_list(text: str | None) -> list[str] | None:
-    """Paragraphs of MIN_CHUNK characters or more; longer ones than MAX_CHUNK in sentence windows, or by length where there is no sentence."""
+def chunk_list(text: str | None, whole: bool = False) -> list[str] | None:
+    """Paragraphs of MIN_CHUNK characters or more; longer ones than MAX_CHUNK in sentence windows, or by length where there is no sentence. whole: no sentence is cut off at MAX_CHUNK."""
     if text is None:
         return None
     out = []
@@ -97,7 +108,7 @@ def chunk_list(text: str | None) -> list[str] | None:
             out.append(p)
         else:
             ss = sentence_list(p)
-            out += window_list(ss) if ss else [p[at : at + MAX_CHUNK].strip(WHITE) for at in range(0, len(p), MAX_CHUNK)]
+            out += window_list(ss, whole) if ss else [p[at : at + MAX_CHUNK].strip(WHITE) for at in range(0, len(p), MAX_CHUNK)]
     return [c for c in out if len(c) >= MIN_CHUNK]
 
 
@@ -106,9 +117,14 @@ def _chunks(s: pd.Series) -> pd.Series:
     return s.map(chunk_list)
 
 
-def chunks(text: Column) -> Column:
+@F.pandas_udf(ArrayType(StringType()))
+def _whole_chunks(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: chunk_list(t, whole=True))
+
+
+def chunks(text: Column, whole: bool = False) -> Column:
     """chunk_list of a column: packing is a loop with state, which an Arrow function does once a text; explode its result straight away."""
-    return _chunks(text)
+    return _whole_chunks(text) if whole else _chunks(text)
 
 
 def chunk_label(i: Column) -> Column:

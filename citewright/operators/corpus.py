@@ -20,10 +20,10 @@ def digest(texts: Column) -> Column:
     return F.sha2(F.concat(F.array_join(texts, "\0"), F.lit("\0")), 256)
 
 
-def chunk_documents(docs: DataFrame, max_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text, title, source) -> (chunks, rejects with a reason). max_chunks: a document keeps its first ones (a service's limit is MAX_CHUNKS); none: all."""
+def chunk_documents(docs: DataFrame, max_chunks: int | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text, title, source) -> (chunks, rejects with a reason). max_chunks: a document keeps its first ones (a service's limit is MAX_CHUNKS); none: all. whole: long sentences are kept whole too."""
     small_batches(docs.sparkSession)
-    d = docs.withColumn("pieces", T.chunks(F.coalesce(F.col("text"), F.lit(""))))
+    d = docs.withColumn("pieces", T.chunks(F.coalesce(F.col("text"), F.lit("")), whole))
     bad = F.when(T.strip(F.coalesce(F.col("text"), F.lit(""))) == "", "no_text").when(F.size("pieces") == 0, "no_chunks")
     d = materialise(d.withColumn("reason", bad))  # chunks and rejects come of one pass
     kept = F.slice("pieces", 1, max_chunks) if max_chunks is not None else F.col("pieces")
@@ -31,9 +31,9 @@ def chunk_documents(docs: DataFrame, max_chunks: int | None = None) -> tuple[Dat
     return good.select(F.concat_ws("::", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "text"), d.filter("reason is not null").select("doc_id", "reason")
 
 
-def ingest(docs: DataFrame, model: str, embedder=None, created_at: str = "1970-01-01T00:00:00Z", max_chunks: int | None = MAX_CHUNKS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(docs: DataFrame, model: str, embedder=None, created_at: str = "1970-01-01T00:00:00Z", max_chunks: int | None = MAX_CHUNKS, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, chunks, rejects) of what is to be added."""
-    chunks, rejects = chunk_documents(docs, max_chunks)
+    chunks, rejects = chunk_documents(docs, max_chunks, whole)
     chunks = embed(materialise(chunks), "text", "embedding", embedder).withColumn("embedding", l2_normalise(F.col("embedding")).cast("array<float>")).withColumn("dim", F.size("embedding"))
     chunks = materialise(chunks)  # documents are read from it too: no text is embedded twice
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))

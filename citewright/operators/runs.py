@@ -105,10 +105,10 @@ def embed_cached(df: DataFrame, text: str, embedder: Callable, model: str, path:
 
 
 def corpus_eval(docs: DataFrame, queries: DataFrame, qrels: DataFrame, embedder: Callable, model: str = "hash", depth: int = DEPTH) -> tuple[DataFrame, DataFrame, int]:
-    """(metrics of each query, their means, number of documents taken in): documents are chunked and embedded as an ingest does, searches take the `depth` best chunks, and
-    each document stands at its best chunk's place. Documents without chunks are left out."""
+    """(metrics of each query, their means, number of documents taken in): documents are chunked and embedded as an ingest does, but with all their chunks and all
+    of a long sentence, searches take the `depth` best chunks, and each document stands at its best chunk's place. Documents without chunks are left out."""
     source = docs.select("doc_id", "text", F.lit("").alias("title"), F.lit("").alias("source"))
-    documents, chunks, _ = C.ingest(source, model, embedder)
+    documents, chunks, _ = C.ingest(source, model, embedder, max_chunks=None, whole=True)
     documents, chunks = materialise(documents), materialise(chunks)
     q = dense.embed(queries.select("query_id", "query"), "query", "query_embedding", embedder)
     hits = dense.knn(chunks, q.withColumn("query_embedding", dense.l2_normalise(F.col("query_embedding"))), depth, key="chunk_id")

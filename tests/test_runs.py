@@ -315,3 +315,24 @@ def test_corpus_evaluation_embeds_each_text_once(spark, tmp_path):
     metrics, _, n = runs.corpus_eval(docs, queries, qrels, embedder)
     texts = [t for t in open(log).read().splitlines() if t.endswith("chunk")]
     assert n == 6 and metrics.count() == 1 and len(texts) == len(set(texts)) == 6
+
+
+def test_corpus_evaluation_reads_texts_to_their_end(spark):
+    """The words asked for stand after 2,000 chunks of a document, and far behind the limit of a chunk in a sentence without an end."""
+    many = "\n\n".join(f"paragraph {i} is filled with words that nobody asks for" for i in range(corpus.MAX_CHUNKS))
+    docs = [("many", f"{many}\n\nviolet harbour lantern quarry meadow thistle"), ("long", "filling " * 2000 + "copper saddle orchard tunnel glacier compass " * 30)]
+    docs = spark.createDataFrame(docs + [(f"other{i}", f"other document number {i} with words of its own about nothing") for i in range(5)], "doc_id string, text string")
+    queries = spark.createDataFrame([("a", "violet harbour lantern quarry meadow thistle"), ("b", "copper saddle orchard tunnel glacier compass")], "query_id string, query string")
+    qrels = spark.createDataFrame([("a", "many"), ("b", "long")], "query_id string, doc_id string")
+    metrics, summary, n = runs.corpus_eval(docs, queries, qrels, dense.HashEmbedder(256), depth=3)
+    assert n == 7 and metrics.count() == 2 and summary.first()["recall_1"] == 1.0
+
+
+def test_long_sentences_lose_no_word():
+    from citewright.functions import text as T
+
+    for s in ("word " * 1000 + "end.", "x" * 4000 + " end.", "\u00a0".join(["ab"] * 2000), "y" * T.MAX_CHUNK + " z"):
+        pieces = T.piece_list(s)
+        assert "".join("".join(pieces).split()) == "".join(s.split()) and max(map(len, pieces)) <= T.MAX_CHUNK
+    words = [f"w{i}" for i in range(3000)]
+    assert {w for c in T.chunk_list(" ".join(words), whole=True) for w in c.split()} == set(words) > {w for c in T.chunk_list(" ".join(words)) for w in c.split()}
